@@ -15,12 +15,12 @@ from pyspark.sql import functions as F
 from .ranking import prefix_sum
 
 
-def roc_auc(df: DataFrame, label: str, score: str, group_cols=(), out: str = "auc") -> DataFrame:
+def roc_auc_counts(df: DataFrame, score: str, pos: str, neg: str, group_cols=(),
+                   out: str = "auc") -> DataFrame:
+    """AUC from pre-aggregated rows ``(group.., score, pos, neg)``; scores may repeat."""
     g = list(group_cols)
-    y = F.col(label).cast("long")
-    per_score = (df.where(F.col(score).isNotNull())
-                 .groupBy(*g, score)
-                 .agg(F.sum(y).alias("_pos"), F.sum(1 - y).alias("_neg")))
+    per_score = df.groupBy(*g, score).agg(F.sum(pos).cast("long").alias("_pos"),
+                                          F.sum(neg).cast("long").alias("_neg"))
     below = prefix_sum(per_score, [score], ["_neg"], g)
     return (below.groupBy(*g).agg(
                 F.sum("_pos").alias("n_pos"), F.sum("_neg").alias("n_neg"),
@@ -30,6 +30,14 @@ def roc_auc(df: DataFrame, label: str, score: str, group_cols=(), out: str = "au
                            F.col("_u2") / (2.0 * F.col("n_pos") * F.col("n_neg"))).alias(out)))
 
 
+def roc_auc(df: DataFrame, label: str, score: str, group_cols=(), out: str = "auc") -> DataFrame:
+    """Exact tie-aware ROC-AUC per group (NULL when a group has one class)."""
+    y = F.col(label).cast("long")
+    agg = (df.where(F.col(score).isNotNull())
+           .groupBy(*group_cols, score).agg(F.sum(y).alias("_p"), F.sum(1 - y).alias("_q")))
+    return roc_auc_counts(agg, score, "_p", "_q", group_cols, out)
+
+
 def regression_metrics(df: DataFrame, y: str, p: str, group_cols=()) -> DataFrame:
     """MSE, R² (1 - SSE/SST), MAE and max absolute error."""
     e = F.col(y) - F.col(p)

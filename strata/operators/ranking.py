@@ -1,11 +1,19 @@
 """Exact global ranks and prefix sums without a single-partition window.
 
 ``row_number() over (order by k)`` and running sums over a global order make
-Spark move every row into one partition. Here the order is split into
-range buckets (Spark's sampled ``RangePartitioner``), each bucket is ranked
-or summed locally, and a tiny per-bucket table (one row per bucket, size
-bounded by the bucket count) supplies the offsets. The result is identical
-to the single-window form, which is what the SQL oracles use.
+Spark move every row into one partition. Here the order is cut into range
+buckets, each bucket is ranked / summed locally (a window partitioned by the
+bucket), and a per-bucket table (one row per bucket, size bounded by the
+bucket count) supplies the offsets. The result is identical to the
+single-window form, which is what the SQL oracles use.
+
+Bucket bounds are sampled ONCE on the driver and compiled into a
+deterministic expression (a balanced tree of struct comparisons), so every
+branch of the plan — and every task retry after an executor loss — assigns
+the same bucket to the same row. (Spark's own ``RangePartitioner`` re-samples
+per RDD, so two branches of one plan could disagree on the bounds.)
+A hot key value is no problem: bounds are whole key tuples, and the order
+columns must be unique, so a heavy leading value is still split.
 """
 
 from __future__ import annotations
@@ -13,7 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_B, _I, _OFF = "_rk_b", "_rk_i", "_rk_off"
+_B, _OFF = "_rk_b", "_rk_off"
+SAMPLES_PER_BUCKET = 32
 
 
 def default_buckets(spark: SparkSession) -> int:
@@ -24,33 +33,63 @@ def _cols(cols) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
 
-def _bucket_offsets(per_bucket: DataFrame, value: str) -> DataFrame:
-    # one row per range bucket: the window below sees at most `buckets` rows
+def _bound_tree(key: Column, bounds: list[Column], lo: int, hi: int) -> Column:
+    """Bucket index in [lo, hi]: bucket j holds keys in [bounds[j-1], bounds[j])."""
+    if lo == hi:
+        return F.lit(lo)
+    mid = (lo + hi + 1) // 2
+    return F.when(key < bounds[mid - 1], _bound_tree(key, bounds, lo, mid - 1)) \
+            .otherwise(_bound_tree(key, bounds, mid, hi))
+
+
+def range_bucket(df: DataFrame, order_cols, buckets: int | None = None, seed: int = 17) -> Column:
+    """A deterministic bucket-id column, monotone in ``order_cols`` order.
+
+    Costs one count and one small sample (about ``32 * buckets`` rows) on the
+    driver."""
+    n_b = buckets or default_buckets(df.sparkSession)
+    oc = _cols(order_cols)
+    key = F.struct(*oc)
+    keyed = df.select(key.alias("_k"))
+    n = keyed.count()
+    if n == 0 or n_b <= 1:
+        return F.lit(0)
+    frac = min(1.0, SAMPLES_PER_BUCKET * n_b / n)
+    sample = keyed.sample(False, frac, seed) if frac < 1.0 else keyed
+    rows = sorted(tuple(r["_k"]) for r in sample.collect())
+    if not rows:
+        return F.lit(0)
+    step = len(rows) / n_b
+    cuts = []
+    for j in range(1, n_b):
+        t = rows[min(len(rows) - 1, int(j * step))]
+        if not cuts or t > cuts[-1]:
+            cuts.append(t)
+    if not cuts:
+        return F.lit(0)
+    types = [f.dataType for f in keyed.schema["_k"].dataType.fields]
+    names = [f.name for f in keyed.schema["_k"].dataType.fields]
+    lits = [F.struct(*[F.lit(v).cast(t).alias(nm) for v, t, nm in zip(c, types, names)]) for c in cuts]
+    return _bound_tree(key, lits, 0, len(cuts))
+
+
+def _offsets(per_bucket: DataFrame, value: str) -> DataFrame:
+    # one row per bucket: this window sees at most `buckets` rows
     w = Window.orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
     return per_bucket.select(_B, F.coalesce(F.sum(value).over(w), F.lit(0)).alias(_OFF))
 
 
 def global_rank(df: DataFrame, order_cols, rank_col: str = "rank",
                 buckets: int | None = None) -> DataFrame:
-    """1-based ``row_number() over (order by order_cols)``.
-
-    ``order_cols`` should be a unique key (ties are then ordered arbitrarily,
-    exactly as the window form would). Costs one range shuffle plus a
-    broadcast of ``buckets`` rows.
-    """
-    n = buckets or default_buckets(df.sparkSession)
-    oc = _cols(order_cols)
-    ordered = df.repartitionByRange(n, *oc).sortWithinPartitions(*oc)
-    mid = F.monotonically_increasing_id()
-    tagged = (ordered.withColumn("_rk_mid", mid)
-              .withColumn(_B, F.shiftright("_rk_mid", 33))
-              .withColumn(_I, F.col("_rk_mid") - F.shiftleft(F.col(_B), 33))
-              .drop("_rk_mid"))
-    counts = tagged.groupBy(_B).agg(F.count(F.lit(1)).alias("_rk_n"))
-    offsets = _bucket_offsets(counts, "_rk_n")
-    return (tagged.join(F.broadcast(offsets), _B)
-            .withColumn(rank_col, (F.col(_OFF) + F.col(_I) + 1).cast("long"))
-            .drop(_B, _I, _OFF))
+    """1-based ``row_number() over (order by order_cols)``; ``order_cols`` must be
+    a unique key. One hash exchange on the bucket + a broadcast of ≤ buckets rows."""
+    b = df.withColumn(_B, range_bucket(df, order_cols, buckets))
+    counts = b.groupBy(_B).agg(F.count(F.lit(1)).alias("_rk_n"))
+    w = Window.partitionBy(_B).orderBy(*_cols(order_cols))
+    return (b.withColumn("_rk_i", F.row_number().over(w))
+             .join(F.broadcast(_offsets(counts, "_rk_n")), _B)
+             .withColumn(rank_col, (F.col(_OFF) + F.col("_rk_i")).cast("long"))
+             .drop(_B, _OFF, "_rk_i"))
 
 
 def rank_within(df: DataFrame, group_cols, order_cols, rank_col: str = "rank",
@@ -60,9 +99,8 @@ def rank_within(df: DataFrame, group_cols, order_cols, rank_col: str = "rank",
     group's first rank. For many small groups a plain window is cheaper."""
     g = list(group_cols)
     ranked = global_rank(df, g + list(order_cols), "_rk_global", buckets)
+    # one row per group; AQE broadcasts it from the measured size
     starts = ranked.groupBy(*g).agg(F.min("_rk_global").alias("_rk_start"))
-    # one row per group: AQE turns this into a broadcast join from the
-    # measured size; no unchecked hint
     return (ranked.join(starts, g)
             .withColumn(rank_col, F.col("_rk_global") - F.col("_rk_start") + 1)
             .drop("_rk_global", "_rk_start"))
@@ -70,14 +108,13 @@ def rank_within(df: DataFrame, group_cols, order_cols, rank_col: str = "rank",
 
 def prefix_sum(df: DataFrame, order_cols, value_cols, group_cols=(),
                suffix: str = "_before", buckets: int | None = None) -> DataFrame:
-    """For each row, the sum of ``value_cols`` over rows that come strictly
-    before it in ``order_cols`` order within its ``group_cols`` group
-    (frame ``unbounded preceding .. 1 preceding``). ``order_cols`` must be
-    unique within a group. Output columns are ``<value><suffix>``."""
+    """For each row, the sum of ``value_cols`` over rows strictly before it in
+    ``order_cols`` order within its ``group_cols`` group (frame ``unbounded
+    preceding .. 1 preceding``). ``order_cols`` must be unique within a group.
+    Output columns are ``<value><suffix>``."""
     g = list(group_cols)
     oc = g + list(order_cols)
-    n = buckets or default_buckets(df.sparkSession)
-    b = df.repartitionByRange(n, *_cols(oc)).withColumn(_B, F.spark_partition_id())
+    b = df.withColumn(_B, range_bucket(df, oc, buckets))
     w = Window.partitionBy(_B).orderBy(*_cols(oc)).rowsBetween(Window.unboundedPreceding, -1)
     local = b.select("*", *[F.coalesce(F.sum(v).over(w), F.lit(0)).alias(f"_ps_{v}") for v in value_cols])
     tot = b.groupBy(_B).agg(*[F.sum(v).alias(f"_pt_{v}") for v in value_cols])
