@@ -102,8 +102,11 @@ def polar_angle(x0, y0, x1, y1) -> Column:
 
 
 def rel_angle(angle, ref) -> Column:
-    """``angle - ref`` normalised into [0, 2*pi)."""
-    return F.pmod(col(angle) - col(ref), F.lit(TWO_PI))
+    """``angle - ref`` normalised into [0, 2*pi) for angle, ref in [-pi, pi]
+    (one conditional turn either way, so in-range values are left untouched)."""
+    a = col(angle) - col(ref)
+    a = F.when(a < 0, a + F.lit(TWO_PI)).otherwise(a)
+    return F.when(a >= F.lit(TWO_PI), a - F.lit(TWO_PI)).otherwise(a)
 
 
 def prob_to_class(c, threshold: float = 0.5) -> Column:

@@ -138,3 +138,65 @@ def prefix_sum(df: DataFrame, order_cols, value_cols, group_cols=(),
             out = out.withColumn(f"{v}{suffix}", F.col(f"_pg_{v}"))
     drop = [_B] + [f"_{p}_{v}" for v in value_cols for p in ("ps", "po", "pg", "pm")]
     return out.drop(*[c for c in drop if c in out.columns])
+
+
+# ---- adaptive per-group forms -------------------------------------------------
+# A plain window partitioned by the group is the cheapest plan while every
+# group fits one task; a hot group (say a third of all rows) would pin one
+# task, so above ``max_group_rows`` the bucketed forms above are used.
+
+MAX_GROUP_ROWS = 2_000_000
+
+
+def max_group_size(df: DataFrame, group_cols) -> int:
+    g = list(group_cols)
+    if not g:
+        return df.count()
+    return df.groupBy(*g).count().agg(F.max("count")).first()[0] or 0
+
+
+def rank_in_groups(df: DataFrame, group_cols, order_cols, rank_col: str = "rank",
+                   max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+    """``row_number() over (partition by g order by o)``, skew-safe."""
+    g = list(group_cols)
+    if g and max_group_size(df, g) <= max_group_rows:
+        return df.withColumn(rank_col, F.row_number().over(Window.partitionBy(*g).orderBy(*_cols(order_cols))))
+    if not g:
+        return global_rank(df, order_cols, rank_col)
+    return rank_within(df, g, order_cols, rank_col)
+
+
+def prefix_in_groups(df: DataFrame, group_cols, order_cols, value_cols, suffix: str = "_before",
+                     max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+    """Exclusive running sums per group, skew-safe (see ``prefix_sum``)."""
+    g = list(group_cols)
+    if g and max_group_size(df, g) <= max_group_rows:
+        w = Window.partitionBy(*g).orderBy(*_cols(order_cols)).rowsBetween(Window.unboundedPreceding, -1)
+        return df.select("*", *[F.coalesce(F.sum(v).over(w), F.lit(0)).alias(f"{v}{suffix}") for v in value_cols])
+    return prefix_sum(df, order_cols, value_cols, g, suffix)
+
+
+def forward_fill(df: DataFrame, group_cols, order_cols, value_cols, buckets: int | None = None,
+                 max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+    """Replace NULLs of ``value_cols`` by the last non-NULL value earlier in
+    ``order_cols`` order within the group (an as-of join of markers onto rows).
+    A row's value columns must be all NULL or all set (one marker struct)."""
+    g = list(group_cols)
+    vs = list(value_cols)
+    mk = F.when(F.col(vs[0]).isNotNull(), F.struct(*vs))
+    if g and max_group_size(df, g) <= max_group_rows:
+        w = Window.partitionBy(*g).orderBy(*_cols(order_cols)).rowsBetween(Window.unboundedPreceding, 0)
+        filled = df.withColumn("_ff", F.last(mk, ignorenulls=True).over(w))
+        return filled.select(*[c for c in df.columns if c not in vs], *[F.col(f"_ff.{v}").alias(v) for v in vs])
+    # bucketed: local fill inside (bucket, group), carry from earlier buckets of the group
+    oc = g + list(order_cols)
+    b = df.withColumn(_B, range_bucket(df, oc, buckets)).withColumn("_mk", mk)
+    w = Window.partitionBy(_B, *g).orderBy(*_cols(order_cols)).rowsBetween(Window.unboundedPreceding, 0)
+    local = b.withColumn("_ff", F.last("_mk", ignorenulls=True).over(w))
+    last_in = (b.where(F.col("_mk").isNotNull()).groupBy(_B, *g)
+                .agg(F.max_by("_mk", F.struct(*_cols(order_cols))).alias("_lm")))
+    present = b.select(_B, *g).distinct().join(last_in, [_B] + g, "left")
+    wc = Window.partitionBy(*g).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
+    carry = present.select(_B, *g, F.last("_lm", ignorenulls=True).over(wc).alias("_carry"))
+    out = local.join(carry, [_B] + g, "left").withColumn("_ff", F.coalesce("_ff", "_carry"))
+    return out.select(*[c for c in df.columns if c not in vs], *[F.col(f"_ff.{v}").alias(v) for v in vs])

@@ -85,7 +85,7 @@ def staged_route_cost(routes: DataFrame, stops: DataFrame, cells: DataFrame,
     rectangle per grid). ``beam_width`` keeps only the k cheapest frontier
     cells (ties by r, c) before each stage — the approximate O3 mode; the
     default is exact."""
-    st = valid_stops(stops, routes, cells).persist(StorageLevel.MEMORY_AND_DISK)
+    st = cut_lineage(valid_stops(stops, routes, cells))
     n_stages = st.agg(F.max("seq")).first()[0] or 0
     grid = broadcast_if_small(cells.select("grid_id", "r", "c", "type"))
     frontier = routes.select("route_id", F.col("sr").alias("r"), F.col("sc").alias("c"),
@@ -98,21 +98,14 @@ def staged_route_cost(routes: DataFrame, stops: DataFrame, cells: DataFrame,
             frontier = frontier.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= beam_width).drop("_k")
         # routes without a stop at this stage are complete: keep their frontier
         finished_parts.append(frontier.join(stop.select("route_id"), "route_id", "left_anti")
-                              .groupBy("route_id").agg(F.min("cost").alias("cost"))
-                              .persist(StorageLevel.MEMORY_AND_DISK))
+                              .groupBy("route_id").agg(F.min("cost").alias("cost")))
         dense = stop.join(grid, "grid_id").withColumn("is_target", F.col("type") == F.col("stop_type"))
         nxt = _relax(frontier.join(stop.select("route_id"), "route_id", "left_semi"), dense)
-        # the frontier feeds two branches (finished / next stage): materialise it once;
-        # every few stages cut the lineage with a reliable checkpoint
-        prev = frontier
+        # the frontier feeds two branches (finished / next stage): compute it once
+        # per stage and cut the lineage (reliable checkpoint)
+        frontier = cut_lineage(nxt)
         if s % checkpoint_every == 0:
-            frontier = cut_lineage(nxt)
             finished_parts = [cut_lineage(_union(finished_parts))]
-        else:
-            frontier = nxt.persist(StorageLevel.MEMORY_AND_DISK)
-            frontier.count()   # materialise this stage once (one job per stage)
-        if s > 1:
-            prev.unpersist()
     last = frontier.groupBy("route_id").agg(F.min("cost").alias("cost"))
     out = last if not finished_parts else _union(finished_parts + [last])
     return out

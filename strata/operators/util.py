@@ -15,6 +15,15 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if n <= max_rows else df
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute once and cut the lineage (reliable checkpoint in the shared
+    checkpoint folder). Driver loops call this once per iteration: each
+    iteration is one job, survives executor loss without replaying earlier
+    iterations, and keeps the next iteration's plan small (cached plans with
+    long lineages make every later cache lookup slower)."""
+    return cut_lineage(df)
+
+
 def maybe_cut(df: DataFrame, step: int, every: int = 4) -> DataFrame:
     """Reliable checkpoint every ``every`` iterations of a driver loop."""
     return cut_lineage(df) if step > 0 and step % every == 0 else df
