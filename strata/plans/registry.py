@@ -36,7 +36,7 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 def load_all() -> None:
     # import for side effects (each module registers its queries)
-    from . import q_core, q_eval, q_features, q_profile, q_regression, q_routes, q_trees  # noqa: F401
+    from . import q_core, q_ensemble, q_eval, q_features, q_profile, q_regression, q_routes, q_trees  # noqa: F401
 
 
 def queries():
