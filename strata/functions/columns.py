@@ -52,15 +52,25 @@ def magnitude(a, b) -> Column:
     return F.sqrt(col(a) * col(a) + col(b) * col(b))
 
 
+def bin_edges(lo: float, hi: float, k: int) -> list:
+    """Interior edges ``lo + i * ((hi - lo) / k)``, i = 1..k-1 (NumPy ``linspace`` arithmetic)."""
+    step = (hi - lo) / k
+    return [i * step + lo for i in range(1, k)]
+
+
 def equal_width_bin(c, lo: float, hi: float, k: int) -> Column:
-    """Right-closed equal-width bin index 0..k-1 over [lo, hi], clipped.
-
-    Matches pandas ``cut(x, k, labels=False)`` on the fitted range (the first
-    bin also holds ``lo``); values outside the fitted range are clipped.
-    """
-    width = (hi - lo) / k if hi > lo else 1.0
-    raw = F.ceil((col(c) - F.lit(lo)) / F.lit(width)) - 1
-    return F.least(F.greatest(raw, F.lit(0)), F.lit(k - 1)).cast("int")
+    """Right-closed equal-width bin index 0..k-1 over [lo, hi]: the number of
+    interior edges strictly below the value. Identical to pandas
+    ``cut(x, k, labels=False)`` on the fitted range; outside values clip."""
+    if hi <= lo:
+        return F.lit(0)
+    return reduce(add, [(col(c) > F.lit(e)).cast("int") for e in bin_edges(lo, hi, k)])
+
+
+def equal_width_bin_sql(c: str, lo: str, hi: str, k: int) -> str:
+    """SQL twin of ``equal_width_bin`` with ``lo``/``hi`` as SQL expressions."""
+    terms = " + ".join(f"cast({c} > {i} * (({hi} - {lo}) / {k}) + {lo} as integer)" for i in range(1, k))
+    return f"(case when {hi} > {lo} then {terms} else 0 end)"
 
 
 def clip(c, lo, hi) -> Column:

@@ -96,8 +96,7 @@ def feat_sql(f: Feat) -> str:
         return f"sqrt({a[0]} * {a[0]} + {a[1]} * {a[1]})"
     if f.kind == "bin":
         c, k = a
-        w = f"(case when hi_{c} > lo_{c} then (hi_{c} - lo_{c}) / {k} else 1.0 end)"
-        return f"cast(least(greatest(ceil(({c} - lo_{c}) / {w}) - 1, 0), {k - 1}) as integer)"
+        return f"cast({C.equal_width_bin_sql(c, f'lo_{c}', f'hi_{c}', k)} as integer)"
     raise ValueError(f.kind)
 
 

@@ -12,7 +12,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import prefix_sum
+from .ranking import prefix_in_groups
+
+# distinct scores per group up to which one window partition per group is used;
+# above it the running sums go through range buckets
+WINDOW_MAX_SCORES = 2_000_000
 
 
 def roc_auc_counts(df: DataFrame, score: str, pos: str, neg: str, group_cols=(),
@@ -21,7 +25,7 @@ def roc_auc_counts(df: DataFrame, score: str, pos: str, neg: str, group_cols=(),
     g = list(group_cols)
     per_score = df.groupBy(*g, score).agg(F.sum(pos).cast("long").alias("_pos"),
                                           F.sum(neg).cast("long").alias("_neg"))
-    below = prefix_sum(per_score, [score], ["_neg"], g)
+    below = prefix_in_groups(per_score, g, [score], ["_neg"], max_group_rows=WINDOW_MAX_SCORES)
     return (below.groupBy(*g).agg(
                 F.sum("_pos").alias("n_pos"), F.sum("_neg").alias("n_neg"),
                 F.sum(F.col("_pos") * (2 * F.col("_neg_before") + F.col("_neg"))).alias("_u2"))

@@ -108,7 +108,7 @@ def logistic(C: float = 1.0, n: int | None = None, weight: str | None = None,
              label="label", features="features"):
     """M12 L2 logistic regression with inverse strength C on the summed loss:
     ``regParam = 1 / (C * n)`` (n = rows, or the weight total)."""
-    kw = dict(featuresCol=features, labelCol=label, standardization=False, maxIter=200, tol=1e-10)
+    kw = dict(featuresCol=features, labelCol=label, standardization=False, maxIter=100, tol=1e-8)
     if n:
         kw["regParam"] = 1.0 / (C * n)
         kw["elasticNetParam"] = 0.0

@@ -170,8 +170,9 @@ def prefix_in_groups(df: DataFrame, group_cols, order_cols, value_cols, suffix:
                      max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     """Exclusive running sums per group, skew-safe (see ``prefix_sum``)."""
     g = list(group_cols)
-    if g and max_group_size(df, g) <= max_group_rows:
-        w = Window.partitionBy(*g).orderBy(*_cols(order_cols)).rowsBetween(Window.unboundedPreceding, -1)
+    if max_group_size(df, g) <= max_group_rows:
+        w = (Window.partitionBy(*g) if g else Window).orderBy(*_cols(order_cols)) \
+            .rowsBetween(Window.unboundedPreceding, -1)
         return df.select("*", *[F.coalesce(F.sum(v).over(w), F.lit(0)).alias(f"{v}{suffix}") for v in value_cols])
     return prefix_sum(df, order_cols, value_cols, g, suffix)
 

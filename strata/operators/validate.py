@@ -2,8 +2,8 @@
 
 Folds come from ``folds`` (a ``fold`` column). Each fit is a distributed
 ``pyspark.ml`` job; the driver loop runs over the k folds / candidate settings
-only (a handful), never over rows. The fold frame is persisted once
-(MEMORY_AND_DISK) and reused by every fit.
+only (a handful), never over rows. The fold frame is checkpointed once and
+reused by every fit.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from . import models as M
 from .metrics import regression_metrics, roc_auc
 from ..functions.columns import ladder
+from ..session import cut_lineage
 
 
 def _pred_col(model_df: DataFrame, kind: str) -> DataFrame:
@@ -34,7 +35,7 @@ def oof_predictions(make_estimator: Callable, df: DataFrame, k: int, key: str,
     training row (each row scored exactly once, by the model that did not see
     it) and, if ``test`` is given, fold-averaged test predictions ``(key,
     model, p)``."""
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    df = cut_lineage(df)
     oof, tests = None, None
     for f in range(k):
         model = make_estimator().fit(df.where(F.col(fold_col) != f))
@@ -55,7 +56,7 @@ def cross_validate(make_estimator: Callable, df: DataFrame, k: int, label: str =
                    fold_col: str = "fold", key: str | None = None) -> DataFrame:
     """Per-fold validation metric(s) — AUC for classifiers, MSE/R² for
     regressors — plus the same metric on the fold's own training rows."""
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    df = cut_lineage(df)
     out = None
     for f in range(k):
         tr, va = df.where(F.col(fold_col) != f), df.where(F.col(fold_col) == f)

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.columns import auc_points, equal_width_bin, points_delta
+from ..functions.columns import auc_points, equal_width_bin, equal_width_bin_sql, points_delta
 from ..operators import drift as D
 from ..operators import reports as RP
 from ..operators.folds import kfold_contiguous, kfold_shuffled, kfold_stratified
@@ -132,7 +132,7 @@ GAP_SQL = f"""
 with f as {DOC_FOLD_SQL},
 mm as (select {', '.join(f'min({c}) as lo_{c}, max({c}) as hi_{c}' for c in GAP_FEATURES)} from f),
 b as (select target, fold, {', '.join(
-    f"cast(least(greatest(ceil(({c} - lo_{c}) / (case when hi_{c} > lo_{c} then (hi_{c} - lo_{c}) / {GAP_BINS} else 1.0 end)) - 1, 0), {GAP_BINS - 1}) as integer) as {c}"
+    f"cast({equal_width_bin_sql(c, f'lo_{c}', f'hi_{c}', GAP_BINS)} as integer) as {c}"
     for c in GAP_FEATURES)} from f, mm),
 long as (unpivot b on {', '.join(GAP_FEATURES)} into name feature value bin),
 cnt as (select feature, fold, bin, count(*) as n, sum(target) as pos from long group by all),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.columns import equal_width_bin_sql
 from ..operators.features import V3_31, V5_22, EqualWidthBins, FeaturePlan, RobustScaler, feat_sql, poly2
 from ..sources.tables import Tables
 from . import docs
@@ -64,7 +65,7 @@ def feature_plan_31(spark, sf):
 with st as (select min(o_totalprice) as lo, max(o_totalprice) as hi from orders
             where o_orderdate < timestamp '{ORDERS_SPLIT}')
 select o_orderkey, cast(o_orderdate < timestamp '{ORDERS_SPLIT}' as integer) as is_train,
-       cast(least(greatest(ceil((o_totalprice - lo) / ((hi - lo) / 5)) - 1, 0), 4) as integer) as price_bin
+       cast({equal_width_bin_sql('o_totalprice', 'lo', 'hi', 5)} as integer) as price_bin
 from orders, st
 """)
 def equal_width_bins(spark, sf):
