@@ -155,11 +155,17 @@ def max_group_size(df: DataFrame, group_cols) -> int:
     return df.groupBy(*g).count().agg(F.max("count")).first()[0] or 0
 
 
+def _small(df, g, max_group_rows, known_max):
+    n = known_max if known_max is not None else max_group_size(df, g)
+    return n <= max_group_rows
+
+
 def rank_in_groups(df: DataFrame, group_cols, order_cols, rank_col: str = "rank",
-                   max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
-    """``row_number() over (partition by g order by o)``, skew-safe."""
+                   max_group_rows: int = MAX_GROUP_ROWS, known_max: int | None = None) -> DataFrame:
+    """``row_number() over (partition by g order by o)``, skew-safe.
+    ``known_max``: a proven bound on the largest group (skips measuring it)."""
     g = list(group_cols)
-    if g and max_group_size(df, g) <= max_group_rows:
+    if g and _small(df, g, max_group_rows, known_max):
         return df.withColumn(rank_col, F.row_number().over(Window.partitionBy(*g).orderBy(*_cols(order_cols))))
     if not g:
         return global_rank(df, order_cols, rank_col)
@@ -167,10 +173,10 @@ def rank_in_groups(df: DataFrame, group_cols, order_cols, rank_col: str = "rank"
 
 
 def prefix_in_groups(df: DataFrame, group_cols, order_cols, value_cols, suffix: str = "_before",
-                     max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+                     max_group_rows: int = MAX_GROUP_ROWS, known_max: int | None = None) -> DataFrame:
     """Exclusive running sums per group, skew-safe (see ``prefix_sum``)."""
     g = list(group_cols)
-    if max_group_size(df, g) <= max_group_rows:
+    if _small(df, g, max_group_rows, known_max):
         w = (Window.partitionBy(*g) if g else Window).orderBy(*_cols(order_cols)) \
             .rowsBetween(Window.unboundedPreceding, -1)
         return df.select("*", *[F.coalesce(F.sum(v).over(w), F.lit(0)).alias(f"{v}{suffix}") for v in value_cols])
@@ -178,14 +184,14 @@ def prefix_in_groups(df: DataFrame, group_cols, order_cols, value_cols, suffix:
 
 
 def forward_fill(df: DataFrame, group_cols, order_cols, value_cols, buckets: int | None = None,
-                 max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+                 max_group_rows: int = MAX_GROUP_ROWS, known_max: int | None = None) -> DataFrame:
     """Replace NULLs of ``value_cols`` by the last non-NULL value earlier in
     ``order_cols`` order within the group (an as-of join of markers onto rows).
     A row's value columns must be all NULL or all set (one marker struct)."""
     g = list(group_cols)
     vs = list(value_cols)
     mk = F.when(F.col(vs[0]).isNotNull(), F.struct(*vs))
-    if g and max_group_size(df, g) <= max_group_rows:
+    if g and _small(df, g, max_group_rows, known_max):
         w = Window.partitionBy(*g).orderBy(*_cols(order_cols)).rowsBetween(Window.unboundedPreceding, 0)
         filled = df.withColumn("_ff", F.last(mk, ignorenulls=True).over(w))
         return filled.select(*[c for c in df.columns if c not in vs], *[F.col(f"_ff.{v}").alias(v) for v in vs])

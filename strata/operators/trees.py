@@ -110,21 +110,24 @@ def polar_rank(points: DataFrame, pivots: DataFrame, group_cols, rank_col: str =
 
 
 def allocate(items: DataFrame, bins: DataFrame, group_cols, rank_col: str = "rank",
-             bin_col: str = "bin", order_col: str = "bin_order", cap_col: str = "cap") -> DataFrame:
+             bin_col: str = "bin", order_col: str = "bin_order", cap_col: str = "cap",
+             max_items: int | None = None, max_bins: int | None = None) -> DataFrame:
     """Ranked items (1-based ``rank``) → bins taking consecutive ranks in
     ``bin_order`` order, each ``cap`` of them: item ``r`` goes to the bin with
     ``lo < r <= lo + cap``, ``lo`` = capacity of the earlier bins. Items past the
     total capacity get no bin. Done as an as-of fill of bin start markers onto
     the item stream (no item × bin pairs)."""
     g = list(group_cols)
-    lo = prefix_in_groups(bins, g, [order_col, bin_col], [cap_col], suffix="_lo")
+    lo = prefix_in_groups(bins, g, [order_col, bin_col], [cap_col], suffix="_lo", known_max=max_bins)
     marks = lo.select(*g, (F.col(f"{cap_col}_lo") + 1).alias("_pos"), F.lit(0).alias("_kind"),
                       F.col(bin_col).alias("_bin"), (F.col(f"{cap_col}_lo") + F.col(cap_col)).cast("long").alias("_hi"))
     its = items.select(*g, F.col(rank_col).cast("long").alias("_pos"), F.lit(1).alias("_kind"),
                        F.lit(None).cast(bins.schema[bin_col].dataType).alias("_bin"),
                        F.lit(None).cast("long").alias("_hi"), *[c for c in items.columns if c not in g])
     marks = marks.withColumn("_pos", F.col("_pos").cast("long"))
-    filled = forward_fill(its.unionByName(marks, allowMissingColumns=True), g, ["_pos", "_kind"], ["_bin", "_hi"])
+    known = None if max_items is None or max_bins is None else max_items + max_bins
+    filled = forward_fill(its.unionByName(marks, allowMissingColumns=True), g, ["_pos", "_kind"], ["_bin", "_hi"],
+                          known_max=known)
     out = filled.where((F.col("_kind") == 1) & (F.col("_pos") <= F.col("_hi")))
     return out.select(*items.columns, F.col("_bin").alias(bin_col))
 
@@ -146,6 +149,11 @@ def embed(edges: DataFrame, points: DataFrame, checkpoint_every: int = 3) -> Dat
     kids_all = (ori.where(F.col("parent") >= 0).join(sizes, ["tree_id", "vertex"])
                    .select("tree_id", F.col("parent").alias("vertex"), F.col("vertex").alias("child"), "eid", "size"))
     kids_all = materialize(kids_all)
+    # proven per-level bounds: a vertex at depth d owns at most max(size at d) points
+    # and has at most max-degree children — no per-level measuring jobs
+    size_by_depth = {r["depth"]: r["m"] for r in ori.join(sizes, ["tree_id", "vertex"])
+                     .groupBy("depth").agg(F.max("size").alias("m")).collect()}
+    max_kids = kids_all.groupBy("tree_id", "vertex").count().agg(F.max("count")).first()[0] or 0
     pts = points.select("tree_id", "point_id", "x", "y")
     rp = root_point(pts).withColumnRenamed("point_id", "_rp")
     roots = ori.where(F.col("depth") == 0).select("tree_id", "vertex")
@@ -172,24 +180,27 @@ def embed(edges: DataFrame, points: DataFrame, checkpoint_every: int = 3) -> Dat
         vinfo = materialize(vinfo)
         rest = (chunk.where(F.col("crank") > 1).join(pts, ["tree_id", "point_id"]).join(vinfo, ["tree_id", "vertex"]))
         rest = _with_rel(rest, "x", "y")
-        if rest.isEmpty():
+        if size_by_depth.get(level, 1) <= 1:     # every vertex at this level is a leaf
             break
-        ranked = rank_in_groups(rest, ["tree_id", "vertex"], ["rel", "point_id"], "r")
+        bound = size_by_depth.get(level, 0)
+        ranked = rank_in_groups(rest, ["tree_id", "vertex"], ["rel", "point_id"], "r", known_max=bound)
         kids = kids_all.join(vinfo.select("tree_id", "vertex"), ["tree_id", "vertex"], "left_semi")
         # first pass: children in adjacency order
         first = allocate(ranked.select("tree_id", "vertex", "point_id", "x", "y", "r"),
                          kids.select("tree_id", "vertex", "child", "eid", "size"), ["tree_id", "vertex"],
-                         rank_col="r", bin_col="child", order_col="eid", cap_col="size")
+                         rank_col="r", bin_col="child", order_col="eid", cap_col="size",
+                         max_items=bound, max_bins=max_kids)
         cen = centroids(first, ["tree_id", "vertex", "child"]).join(vinfo, ["tree_id", "vertex"])
         cen = _with_rel(cen, "cx", "cy").select("tree_id", "vertex", "child", F.col("rel").alias("cang"))
         # second pass: children by (centroid angle, child id, size)
         k2 = kids.join(cen, ["tree_id", "vertex", "child"])
-        k2 = rank_in_groups(k2, ["tree_id", "vertex"], ["cang", "child", "size"], "korder")
+        k2 = rank_in_groups(k2, ["tree_id", "vertex"], ["cang", "child", "size"], "korder", known_max=max_kids)
         second = allocate(ranked.select("tree_id", "vertex", "point_id", "r"),
                           k2.select("tree_id", "vertex", "child", "korder", "size"), ["tree_id", "vertex"],
-                          rank_col="r", bin_col="child", order_col="korder", cap_col="size")
+                          rank_col="r", bin_col="child", order_col="korder", cap_col="size",
+                          max_items=bound, max_bins=max_kids)
         lo2 = prefix_in_groups(k2.select("tree_id", "vertex", "child", "korder", "size"), ["tree_id", "vertex"],
-                               ["korder", "child"], ["size"], suffix="_lo")
+                               ["korder", "child"], ["size"], suffix="_lo", known_max=max_kids)
         nxt = (second.join(lo2.select("tree_id", "vertex", "child", "size_lo"), ["tree_id", "vertex", "child"])
                      .select("tree_id", F.col("child").alias("vertex"), "point_id",
                              (F.col("r") - F.col("size_lo")).cast("long").alias("crank")))

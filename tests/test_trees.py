@@ -83,8 +83,8 @@ def test_known_case_and_brute_force(spark):
     t1 = (2, [(0, 1)], [(292.365297, 561.624168), (28.742075, 869.836531)])
     rng = random.Random(9)
     trees = [t2, t1]
-    for _ in range(5):
-        n = rng.randint(2, 40)
+    for _ in range(4):
+        n = rng.randint(2, 25)
         edges = [(rng.randint(0, k - 1), k) for k in range(1, n)]
         rng.shuffle(edges)
         edges = [(v, u) if rng.random() < 0.5 else (u, v) for u, v in edges]
