@@ -105,10 +105,10 @@ def boosted(preset: str, max_iter: int | None = None, **over):
 
 
 def logistic(C: float = 1.0, n: int | None = None, weight: str | None = None,
-             label="label", features="features"):
+             label="label", features="features", tol: float = 1e-6):
     """M12 L2 logistic regression with inverse strength C on the summed loss:
     ``regParam = 1 / (C * n)`` (n = rows, or the weight total)."""
-    kw = dict(featuresCol=features, labelCol=label, standardization=False, maxIter=100, tol=1e-8)
+    kw = dict(featuresCol=features, labelCol=label, standardization=False, maxIter=100, tol=tol)
     if n:
         kw["regParam"] = 1.0 / (C * n)
         kw["elasticNetParam"] = 0.0

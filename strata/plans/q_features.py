@@ -14,23 +14,24 @@ RAW_NUM = ["A", "B", "D", "E", "F", "G", "H", "I"]
 ORDERS_SPLIT = "1998-01-01"   # orders before this date are the fitting half
 
 
-def _plan_frame(spark, sf, spec):
+def _plan_frame(spark, sf, spec, test_fill="train_median"):
     t = Tables(spark, sf)
     tr, te = docs.train_table(t).drop("target"), docs.test_table(t)
-    plan = FeaturePlan(numeric=RAW_NUM, spec=spec).fit(tr)
+    plan = FeaturePlan(numeric=RAW_NUM, spec=spec, test_fill=test_fill).fit(tr)
     cols = ["doc_id", "is_test"] + plan.output_columns
     a = plan.transform(tr).withColumn("is_test", F.lit(0)).select(*cols)
     b = plan.transform(te, is_test=True).withColumn("is_test", F.lit(1)).select(*cols)
     return rounded(a.unionByName(b))
 
 
-def _plan_sql(spec):
+def _plan_sql(spec, test_fill=None):
+    te_med = "med_E" if test_fill is None else repr(float(test_fill))
     base = f"""
 with tr as {docs.TRAIN_SQL}, te as {docs.TEST_SQL},
 st as (select quantile_cont(E, 0.5) as med_E from tr),
 raw as (select *, 0 as is_test from tr union all by name select *, 1 as is_test from te),
 base as (select doc_id, is_test, case when C = '+' then 1 else 0 end as C, A, B, D,
-                coalesce(cast(E as double), med_E) as E, F, G, H, I,
+                coalesce(cast(E as double), case when is_test = 1 then {te_med} else med_E end) as E, F, G, H, I,
                 cast(E is null as integer) as E_missing from raw, st),
 bst as (select min(A) as lo_A, max(A) as hi_A, min(G) as lo_G, max(G) as hi_G from base where is_test = 0)
 select doc_id, is_test, C, round(A, 6) as A, round(B, 6) as B, round(D, 6) as D, round(E, 6) as E, F,
@@ -48,6 +49,12 @@ def encode_impute_flag(spark, sf):
     return _plan_frame(spark, sf, ())
 
 
+@query("encode_impute_const", _plan_sql((), test_fill=2.0))
+def encode_impute_const(spark, sf):
+    """P5: the constant-fill rule — train rows get the train median, test rows 2.0."""
+    return _plan_frame(spark, sf, (), test_fill=2.0)
+
+
 @query("feature_plan_22", _plan_sql(V5_22))
 def feature_plan_22(spark, sf):
     """The conservative 22-column plan."""

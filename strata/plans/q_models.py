@@ -21,7 +21,7 @@ from ..operators.metrics import accuracy, regression_metrics, roc_auc
 from ..operators.profile import with_class_weight
 from ..operators.validate import cross_validate, feature_importance, oof_predictions
 from ..session import cut_lineage
-from ..sources.tables import Tables
+from ..sources.tables import Tables, spread
 from . import docs
 from . import regression as R
 from .q_features import RAW_NUM
@@ -39,13 +39,19 @@ def clf_frame(spark, sf, spec=V5_22, k=K):
     """Assembled, folded, weighted labelled table (+ assembled test table).
     Materialised once per session/scale/fold count as checkpointed tables and
     reused by every model query (all of them fit on the same frame)."""
-    key = (id(spark.sparkContext), sf, spec, k)
+    key = (spark.sparkContext.applicationId, sf, spec, k)
     if key not in _FRAMES:
         a, b, cols = _clf_frame(spark, sf, spec, k)
-        _FRAMES[key] = (cut_lineage(a), cut_lineage(b), cols)
+        _FRAMES[key] = (_store(a), _store(b), cols)
     return _FRAMES[key]
 
 
+def _store(df):
+    df = cut_lineage(df)
+    s = spread(df)
+    return df if s is df else cut_lineage(s)
+
+
 def _clf_frame(spark, sf, spec, k):
     t = Tables(spark, sf)
     tr, te = docs.train_table(t), docs.test_table(t)

@@ -47,7 +47,7 @@ def test_logistic_matches_newton(spark):
     X = rng.normal(size=(400, 2))
     y = (rng.random(400) < 1 / (1 + np.exp(-(X @ np.array([1.0, -2.0]) + 0.3)))).astype(float)
     C = 0.1
-    m = M.logistic(C=C, n=len(y), label="label").fit(_frame(spark, X, y))
+    m = M.logistic(C=C, n=len(y), label="label", tol=1e-10).fit(_frame(spark, X, y))
     A = np.hstack([X, np.ones((400, 1))])
     b = np.zeros(3)
     for _ in range(50):   # minimise C*sum(logloss) + 0.5*||w||^2 (intercept unpenalised)
