@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import manhattan
-from .ranking import rank_within
+from .ranking import rank_in_groups
 from ..session import cut_lineage
 from .util import broadcast_if_small
 
@@ -44,7 +44,7 @@ def valid_stops(stops: DataFrame, routes: DataFrame, cells: DataFrame) -> DataFr
     kept = s.join(kinds, ["grid_id", "type"], "left_semi")
     if s.join(kinds, ["grid_id", "type"], "left_anti").isEmpty():
         return kept          # nothing dropped: seq is already 1..k per route
-    return rank_within(kept, ["route_id"], ["seq"], "seq2").drop("seq").withColumnRenamed("seq2", "seq")
+    return rank_in_groups(kept, ["route_id"], ["seq"], "seq2").drop("seq").withColumnRenamed("seq2", "seq")
 
 
 def nearest_cell(points: DataFrame, cells: DataFrame) -> DataFrame:
@@ -60,18 +60,24 @@ def nearest_cell(points: DataFrame, cells: DataFrame) -> DataFrame:
 def _relax(frontier: DataFrame, dense: DataFrame) -> DataFrame:
     """One L1 min-plus step over each route's dense grid.
 
-    ``dense``: (route_id, grid_id, r, c, type, is_target) for every cell;
-    ``frontier``: (route_id, r, c, cost). Returns the target cells with cost."""
-    d = dense.join(frontier, ["route_id", "r", "c"], "left")
+    ``dense``: (route_id, r, c, is_target) for every cell of the route's grid;
+    ``frontier``: (route_id, r, c, cost). The frontier rows are unioned into the
+    grid rows (no join), the union is hash-partitioned by route once, and both
+    window passes — partitioned by (route, c) and (route, r) — run on that one
+    partitioning (a subset of their keys), so a stage costs one exchange.
+    Range frames make duplicate positions (grid row + frontier row) peers."""
+    grid_rows = dense.select("route_id", "r", "c", F.lit(None).cast("long").alias("cost"), "is_target")
+    src = frontier.select("route_id", "r", "c", "cost", F.lit(False).alias("is_target"))
+    d = grid_rows.unionByName(src).repartition("route_id")
     pre = Window.unboundedPreceding, Window.currentRow
     fol = Window.currentRow, Window.unboundedFollowing
     wc = Window.partitionBy("route_id", "c").orderBy("r")
-    g = F.least(F.col("r") + F.min(F.col("cost") - F.col("r")).over(wc.rowsBetween(*pre)),
-                -F.col("r") + F.min(F.col("cost") + F.col("r")).over(wc.rowsBetween(*fol)))
+    g = F.least(F.col("r") + F.min(F.col("cost") - F.col("r")).over(wc.rangeBetween(*pre)),
+                -F.col("r") + F.min(F.col("cost") + F.col("r")).over(wc.rangeBetween(*fol)))
     d = d.withColumn("g", g)
     wr = Window.partitionBy("route_id", "r").orderBy("c")
-    h = F.least(F.col("c") + F.min(F.col("g") - F.col("c")).over(wr.rowsBetween(*pre)),
-                -F.col("c") + F.min(F.col("g") + F.col("c")).over(wr.rowsBetween(*fol)))
+    h = F.least(F.col("c") + F.min(F.col("g") - F.col("c")).over(wr.rangeBetween(*pre)),
+                -F.col("c") + F.min(F.col("g") + F.col("c")).over(wr.rangeBetween(*fol)))
     return (d.withColumn("h", h).where(F.col("is_target") & F.col("h").isNotNull())
              .select("route_id", "r", "c", F.col("h").cast("long").alias("cost")))
 

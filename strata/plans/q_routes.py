@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import routes as RT
-from ..operators.ranking import rank_within
+from ..operators.ranking import rank_in_groups
 from ..sources.grid import explode_stops, read_grid
 from ..sources.tables import Tables
 from .registry import query
@@ -43,7 +43,8 @@ def route_stops(t: Tables):
            .join(r, n.n_regionkey == r.r_regionkey)
            .select(F.col("l_orderkey").alias("route_id"), "l_linenumber", "l_suppkey", F.col("r_name").alias("type")))
     # lines with equal (linenumber, suppkey) have equal types, so this order is total for the result
-    return rank_within(j, ["route_id"], ["l_linenumber", "l_suppkey"], "seq").select("route_id", "seq", "type")
+    # many small groups: a window per order unless one order is huge (then buckets)
+    return rank_in_groups(j, ["route_id"], ["l_linenumber", "l_suppkey"], "seq").select("route_id", "seq", "type")
 
 
 ROUTES_SQL = """
