@@ -19,7 +19,6 @@ reliable checkpoint every few stages.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 

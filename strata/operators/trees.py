@@ -23,12 +23,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import polar_angle, rel_angle
-from ..session import cut_lineage
+
 from .ranking import forward_fill, prefix_in_groups, rank_in_groups
 from .util import materialize
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import auc_points, equal_width_bin, equal_width_bin_sql, points_delta
 from ..operators import drift as D
 from ..operators import reports as RP
-from ..operators.folds import kfold_contiguous, kfold_shuffled, kfold_stratified
+from ..operators.folds import kfold_contiguous, kfold_shuffled
 from ..operators.metrics import roc_auc, roc_auc_counts
 from ..sources.tables import Tables
 from . import docs

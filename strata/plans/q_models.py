@@ -9,7 +9,7 @@ full presets are in ``operators.models.BOOSTED_PRESETS``.
 from __future__ import annotations
 
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import functions as F
 
 from ..operators import models as M

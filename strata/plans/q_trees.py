@@ -7,7 +7,6 @@ part k is point k at (p_size, p_retailprice). Root = vertex 0.
 
 from __future__ import annotations
 
-import math
 
 from pyspark.sql import functions as F
 
