@@ -49,7 +49,8 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 def with_class_weight(df: DataFrame, label: str, weight_col: str = "weight") -> DataFrame:
     """Attach the balanced class weight as a column (a ``weightCol`` for ML)."""
     w = class_weights(df, label).select(label, F.col("weight").alias(weight_col))
-    return df.join(F.broadcast(w), label)   # one row per class: bounded
+    # one row per class; broadcast only after checking how many classes there are
+    return df.join(F.broadcast(w) if w.count() <= 100_000 else w, label)
 
 
 def column_stats(df: DataFrame, cols) -> DataFrame:
