@@ -25,8 +25,11 @@ def spread(df: DataFrame, rows_per_partition: int = 50_000) -> DataFrame:
     parallelism. Tiny inputs stay in one task (per-task overhead would
     dominate); large inputs already scan in many partitions and are left
     alone, so this never adds a shuffle at scale. Costs one count."""
-    sc = df.sparkSession.sparkContext
-    have = df.rdd.getNumPartitions()
+    try:
+        sc = df.sparkSession.sparkContext
+        have = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - e.g. Spark Connect: no RDD view, leave the plan as is
+        return df
     if have >= sc.defaultParallelism:
         return df
     n = df.count()
