@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..plans.registry import query
-from . import bpe, packing, pii, quality_rules as rules
+from . import bpe, packing, pii, quality_rules as rules, secrets, sharding, simhash
 from .common import span_digests, table, written
 
 JSON, RANKS = (public_tokenizers.path(f"byte_bpe_50k.{x}") for x in ("json", "tiktoken"))
@@ -35,6 +35,14 @@ def packed_digest(docs):
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+@query("op3_simhash")
+def op3_simhash(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    marked = written(docs.select("doc_id", simhash.fingerprint(F.col("text")).alias("fp")), "fingerprints")
+    return simhash.near_duplicates(marked).select(
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 @query("op4_bpe")
 def op4_bpe(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -46,6 +54,27 @@ def op4_bpe(spark, sf_dir):
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query("op5_secrets")
+def op5_secrets(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    base, tokens = "base", "tokens"
+    scanned = written(secrets.scan(docs, "text", base, tokens).drop("text"), "scanned")
+    found = secrets.finished(scanned, secrets.dismissed_from(scanned, tokens), base, tokens, "found")
+    return found.select("doc_id", *[c.alias(k) for k, c in span_digests(F.col("found"), secrets.BASE).items()])
+
+
+@query("op8_sharding")
+def op8_sharding(spark, sf_dir):
+    """Law ``bytes``: eight shards of near-equal bytes, from five old ones by host."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    sized = sharding.text_sizes(docs, F.col("text")).select(
+        "doc_id", "size", "text_crc32", F.pmod(F.crc32(F.coalesce("source", F.lit("")).cast("binary")), F.lit(5))
+        .cast("int").alias("old_shard"))
+    placed = sharding.reshard(sized, 8, order=("doc_id", "size", "text_crc32"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"))
+
+
 @query("op9_quality_rules")
 def op9_quality_rules(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
