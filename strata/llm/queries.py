@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..plans.registry import query
-from . import bpe, packing, pii, quality_rules as rules, secrets, sharding, simhash
-from .common import span_digests, table, written
+from . import ann, bpe, packing, pii, quality_model, quality_rules as rules, secrets, sharding, simhash, toxicity
+from .common import held_out, span_digests, table, written
 
 JSON, RANKS = (public_tokenizers.path(f"byte_bpe_50k.{x}") for x in ("json", "tiktoken"))
 PATTERN = public_tokenizers.PATTERN
@@ -63,6 +63,21 @@ def op5_secrets(spark, sf_dir):
     return found.select("doc_id", *[c.alias(k) for k, c in span_digests(F.col("found"), secrets.BASE).items()])
 
 
+@query("op6_toxicity")
+def op6_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", toxicity.score(F.col("text"), model).alias("got"))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("got.score").alias("score"),
+                         (F.col("got.score") >= 0.5).cast("int").alias("predicted"), F.col("got.evidence").alias("evidence"))
+
+
+@query("op7_ann")
+def op7_ann(spark, sf_dir):
+    vectors = ann.usable(table(spark, sf_dir, "embeddings"))
+    return ann.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0), 20)
+
+
 @query("op8_sharding")
 def op8_sharding(spark, sf_dir):
     """Law ``bytes``: eight shards of near-equal bytes, from five old ones by host."""
@@ -80,3 +95,12 @@ def op9_quality_rules(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     judged = rules.quality_rules(docs.select("doc_id", "source", "text"))
     return judged.select("doc_id", "counts.*", "base_failed", "kept")
+
+
+@query("op10_quality")
+def op10_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_model.fit(docs, table(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", quality_model.score(F.col("text"), model).alias("score"))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+                         (F.col("score") >= 0.3).cast("int").alias("predicted"))
