@@ -1,5 +1,85 @@
-STAGES = []
+"""From raw documents to packed sequences, in five stages.
 
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor
+kept. All but the last return the columns of ``docs``, whatever these are
+beside doc_id, text and source; the last returns the packed pieces. ``run``
+writes what a stage returns and reads it again for the next, so a lost
+executor costs no finished stage.
+"""
 
-def register():
-    pass
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strata.llm import quality_model, quality_rules as rules, secrets, simhash
+from strata.llm.common import free_name, table, written
+from strata.llm.queries import packed_digest
+from strata.plans.registry import query
+from strata.session import ensure_checkpoint_dir
+
+#: Score below which a document is rejected.
+MIN_QUALITY = 0.3
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score is at least ``MIN_QUALITY``."""
+    model = quality_model.fit(docs, table(spark, sf_dir, "labels"))
+    name = free_name(docs, "__score")
+    return docs.withColumn(name, quality_model.score(F.col("text"), model)) \
+        .where(F.col(name) >= MIN_QUALITY).select(*docs.columns)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules, with the verdict on their host, keep."""
+    counts, failed, kept = (free_name(docs, x) for x in ("__counts", "__failed", "__kept"))
+    counted = docs.withColumn(counts, rules.document_counts(F.col("text")))
+    return rules.quality_rules(counted, counts, failed=failed, kept=kept).where(F.col(kept)).select(*docs.columns)
+
+
+def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: that of the smallest id
+    (of equal ids one row; a null id only if the group has no other)."""
+    fp, row = free_name(docs, "__fp"), free_name(docs, "__row")
+    # numbered as written: later reads see the same numbers
+    marked = written(docs.withColumn(fp, simhash.fingerprint(F.col("text")))
+                     .withColumn(row, F.monotonically_increasing_id()), "numbered")
+    slim = marked.select("doc_id", F.col(fp).alias("fp"), F.col(row).alias("row"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
+    stay = simhash.near_duplicates(slim).groupBy("component_fp").agg(first["row"].alias(row)).select(row)
+    return marked.join(written(stay, "stay"), row, "left_semi").select(*docs.columns)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with the secrets in their texts masked; n_chars follows."""
+    found = free_name(docs, "__found")
+    clean = secrets.redact(secrets.secret_spans(docs, "text", found), "text", found)
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        clean = clean.withColumn("n_chars", F.when(F.size(found) > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return clean.select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in the sequences."""
+    return packed_digest(docs)
+
+
+STAGES = [("quality_classifier", quality_classifier), ("quality_rules", quality_rules), ("simhash_dedup", simhash_dedup),
+          ("secret_scan", secret_scan), ("packing", packing)]
+
+#: SQL has no form of the classifier, of fingerprints or of packing; tests compare with brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_checkpoint_dir(spark)
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return docs
+
+
+def register() -> None:
+    """Add the query ``pipeline`` to the registry."""
+    query("pipeline", ORACLE_SQL)(run)

@@ -103,20 +103,19 @@ def host_rates(checked: DataFrame, host: str, failed: str) -> DataFrame:
     return hosts.withColumn("rate", (F.col("failures") + mean * weight) / (F.col("n") + weight))
 
 
-def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", max_rate: float = 0.5,
-                  counts: str = "counts", failed: str = "base_failed", kept: str = "kept") -> DataFrame:
-    """``docs`` with a struct of counts, the base verdict and ``kept``. The
-    verdict columns must not be in ``docs``. The checked table is written once,
-    as both the host sums and the result read it."""
-    key, soft = free_name(docs, "__host"), free_name(docs, "__soft")
-    checked = docs.withColumn(counts, document_counts(F.col(text)))
-    checked = checked.withColumn(failed, base_failed(F.col(counts))) \
+def quality_rules(counted: DataFrame, counts: str = "counts", host: str = "source", max_rate: float = 0.5,
+                  failed: str = "base_failed", kept: str = "kept") -> DataFrame:
+    """``counted`` (documents with their struct of counts, without those columns
+    that aren't wanted later) with the base verdict and ``kept``. The checked
+    table is written once, as both the host sums and the result read it."""
+    key, soft, bad = (free_name(counted, x) for x in ("__host", "__soft", "__bad"))
+    checked = counted.withColumn(failed, base_failed(F.col(counts))) \
         .withColumn(soft, F.col(failed) | soft_failed(F.col(counts))) \
         .withColumn(key, F.coalesce(F.concat(F.lit("host "), F.col(host)), F.lit("no host")))
     checked = written(checked, "checked")
-    bad = written(host_rates(checked, key, soft).where(F.col("rate") > max_rate)
-                  .select(F.col("host").alias(key), F.lit(True).alias("__bad_host")), "bad-hosts")
-    bad = bad.withColumnRenamed("__bad_host", flag := free_name(checked, "__bad"))
-    return checked.join(bad, key, "left") \
-        .withColumn(kept, ~F.col(failed) & ~(F.coalesce(F.col(flag), F.lit(False)) & F.col(soft))) \
-        .drop(key, soft, flag)
+    # written, so that its size is known: a small one is broadcast, a large one shuffled
+    verdicts = written(host_rates(checked, key, soft).where(F.col("rate") > max_rate)
+                       .select(F.col("host").alias(key), F.lit(True).alias(bad)), "bad-hosts")
+    return checked.join(verdicts, key, "left") \
+        .withColumn(kept, ~F.col(failed) & ~(F.coalesce(F.col(bad), F.lit(False)) & F.col(soft))) \
+        .drop(key, soft, bad)

@@ -93,7 +93,7 @@ def op8_sharding(spark, sf_dir):
 @query("op9_quality_rules")
 def op9_quality_rules(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    judged = rules.quality_rules(docs.select("doc_id", "source", "text"))
+    judged = rules.quality_rules(docs.select("doc_id", "source", rules.document_counts(F.col("text")).alias("counts")))
     return judged.select("doc_id", "counts.*", "base_failed", "kept")
 
 
