@@ -146,6 +146,6 @@ def rewrite(rows: DataFrame, old: str, shard: str, source: str, target: str) ->
     moved = rows.where(F.col(old) != F.col(shard))
     touched = moved.select(F.explode(F.array(F.col(old), F.col(shard))).alias("n")).distinct()
     numbers = sorted(r["n"] for r in touched.collect())  # shards, not rows
-    rows.where(F.col(shard).isin(numbers)).drop(old).repartition(shard, F.pmod(F.xxhash64("*"), F.lit(16))) \
+    rows.where(F.col(shard).isin(numbers)).repartition(shard, F.pmod(F.xxhash64(*rows.columns), F.lit(16))).drop(old) \
         .write.partitionBy(shard).mode("overwrite").parquet(target)
     return numbers

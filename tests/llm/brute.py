@@ -1,0 +1,88 @@
+"""Plain versions of what the queries return, one text at a time."""
+
+import hashlib
+import re
+from collections import Counter
+
+
+def luhn(digits):
+    total = 0
+    for i, c in enumerate(digits[::-1]):
+        d = int(c) * (1 + i % 2)
+        total += d - 9 * (d > 9)
+    return total % 10 == 0
+
+
+def digest(text, rules):
+    """(counts, base_sha256) for ordered (kind, pattern, test of a match)."""
+    counts, found = {}, []
+    for nth, (kind, pattern, ok) in enumerate(rules):
+        spans = [m.span() for m in re.finditer(pattern, text or "") if ok(m)]
+        counts[f"n_{kind}"] = len(spans)
+        found += [(s, nth, f"{kind}:{s}:{e}") for s, e in spans]
+    return counts, hashlib.sha256(",".join(x[2] for x in sorted(found)).encode()).hexdigest()
+
+
+def digits(m):
+    return re.sub("[^0-9]", "", m[0])
+
+
+PII = [
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m[0].split("."))),
+    ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 14 <= len(digits(m)) <= 19 and luhn(digits(m))),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 10 <= len(digits(m)) <= 15),
+]
+SECRETS = [
+    ("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+     lambda m: len(m[1]) >= 12),
+    ("access", r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 18),
+    ("hex", r"[0-9a-f]+", lambda m: len(m[0]) >= 16),
+]
+
+
+def quality_counts(text):
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    seen, dup = set(), 0
+    for line in text.split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            dup += line in seen
+            seen.add(line)
+    windows = Counter(tuple(words[i:i + 8]) for i in range(len(words) - 7))
+    covered = {j for i in range(len(words) - 7) if windows[tuple(words[i:i + 8])] > 1 for j in range(i, i + 8)}
+    return {"n_words": len(words), "word_chars": sum(map(len, words)), "n_symbols": len(re.findall(r"[#*$%&|<>]", text)),
+            "n_dup_lines": dup, "n_repeat_words": len(covered),
+            "base_failed": len(words) < 20 or 100 * len(covered) > 30 * len(words)}
+
+
+def fingerprint(text):
+    import xxhash
+    low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", low)
+    if not words:
+        return 0
+    shingles = [" ".join(words[i:i + 3]) for i in range(len(words) - 2)] or [" ".join(words)]
+    ones = [0] * 64
+    for s in shingles:
+        h = xxhash.xxh64_intdigest(s.encode(), 42)
+        for i in range(64):
+            ones[i] += h >> i & 1
+    return sum(1 << i for i in range(64) if 2 * ones[i] > len(shingles))
+
+
+def components(fps, bits=3):
+    """Index of the smallest member of each item's component."""
+    parent = list(range(len(fps)))
+
+    def find(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+    for i in range(len(fps)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= bits:
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+    return [find(i) for i in range(len(fps))]
