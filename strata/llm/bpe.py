@@ -16,6 +16,7 @@ when full they start anew, which costs time only.
 from __future__ import annotations
 
 import base64
+from array import array
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -23,7 +24,7 @@ from pyspark.sql.functions import arrow_udf
 
 from .common import process_cache
 
-MAX_PIECES, MAX_PAIRS = 200_000, 300_000
+MAX_PIECES, MAX_PAIRS = 600_000, 400_000
 
 
 class Bpe:
@@ -39,6 +40,7 @@ class Bpe:
         for token, i in ranks.items():
             self.bytes[i] = token
         self.text = [t.decode("latin-1") for t in self.bytes]
+        self.size = [len(t) for t in self.bytes]
         self.rank = {t.decode("latin-1"): i for t, i in ranks.items()}
         self.pattern = regex.compile(pattern)
         self.automaton = ahocorasick.Automaton()
@@ -48,7 +50,7 @@ class Bpe:
         self.halves: dict[int, tuple[int, int]] = {}
         self.prefix: dict[int, int] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.pieces = Pieces(self)
 
     def last_merge(self, token: int) -> tuple[int, int]:
         """The two tokens whose merge gives ``token``; a byte gives itself twice."""
@@ -108,44 +110,68 @@ class Bpe:
         """Ids of one piece in Latin-1 characters."""
         if (whole := self.rank.get(piece)) is not None:
             return [whole]
-        n = len(piece)
-        longest = [-1] * n
-        for end, i in self.automaton.iter(piece):
-            at = end + 1 - len(self.text[i])
-            if longest[at] < 0 or len(self.text[i]) > len(self.text[longest[at]]):
-                longest[at] = i
-        dead = bytearray(n + 1)
-        out: list[int] = []
-        pos, token = 0, longest[0]
+        known, apart, matches = self.pairs.get, self.apart, self.automaton.iter_long
+        # the longest matches one after another are the answer if all neighbours fit
+        out = [i for _, i in matches(piece)]
+        last, k = out[0], 0
+        for token in out[1:]:
+            k += 1
+            if (ok := known((last, token))) is None:
+                ok = apart(last, token)
+            if not ok:
+                break
+            last = token
+        else:
+            return out
+        # else go back to where they fit and search on from there
+        del out[k:]
+        n, size, shorter = len(piece), self.size, self.prefix
+        dead = set()
+        pos = sum([size[i] for i in out])
         while pos < n:
             while token >= 0:
-                end = pos + len(self.text[token])
-                if not dead[end] and (not out or self.apart(out[-1], token)):
-                    out.append(token)
-                    pos = end
-                    token = longest[pos] if pos < n else -1
-                    break
-                token = self.shorter(token)
+                end = pos + size[token]
+                if end not in dead:
+                    if not out:
+                        break
+                    if (ok := known((out[-1], token))) is None:
+                        ok = apart(out[-1], token)
+                    if ok:
+                        break
+                if (less := shorter.get(token)) is None:
+                    less = self.shorter(token)
+                token = less
+            if token >= 0:
+                out.append(token)
+                pos = end
+                if pos < n:
+                    token = next(matches(piece, pos))[1]
             else:
-                dead[pos] = 1
-                last = out.pop()
-                pos -= len(self.text[last])
-                token = self.shorter(last)
+                dead.add(pos)
+                token = out.pop()
+                pos -= size[token]
+                token = self.shorter(token)
         return out
 
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        pieces, add = self.pieces, out.extend
-        for w in self.pattern.findall(text):
-            got = pieces.get(w)
-            if got is None:
-                got = self.encode_piece(w.encode("utf-8").decode("latin-1"))
-                if len(w) <= 256:
-                    if len(pieces) >= MAX_PIECES:
-                        pieces.clear()
-                    pieces[w] = got
-            add(got)
-        return out
+    def encode(self, text: str) -> bytes:
+        """Ids of a text as native 32-bit integers."""
+        if len(self.pieces) > MAX_PIECES:
+            self.pieces.clear()
+        return b"".join(map(self.pieces.__getitem__, self.pattern.findall(text)))
+
+
+class Pieces(dict):
+    """Memo of encoded pieces; very long ones aren't kept."""
+
+    def __init__(self, vocabulary: Bpe):
+        super().__init__()
+        self.vocabulary = vocabulary
+
+    def __missing__(self, piece: str) -> bytes:
+        got = array("i", self.vocabulary.encode_piece(piece.encode("utf-8").decode("latin-1"))).tobytes()
+        if len(piece) <= 256:
+            self[piece] = got
+        return got
 
 
 def vocabulary(path: str, pattern: str) -> Bpe:
@@ -163,14 +189,10 @@ def encode(text: Column, path: str, pattern: str) -> Column:
     def run(col: pa.Array) -> pa.Array:
         import numpy as np
         v = vocabulary(path, pattern)
-        ids, ends, null = [], [0], []
-        for i in range(len(col)):
-            t = col[i].as_py()
-            null.append(t is None)
-            ids.append(np.array(v.encode(t) if t else [], dtype=np.int32))
-            ends.append(ends[-1] + len(ids[-1]))
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*ids, ids[0][:0]]))
-                                        if ids else pa.array([], pa.int32()), mask=pa.array(null, pa.bool_()))
+        got = [None if t is None else v.encode(t) for t in col.to_pylist()]
+        ends = np.cumsum([0, *(len(x or b"") // 4 for x in got)], dtype=np.int32)
+        ids = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(x for x in got if x))])
+        return pa.ListArray.from_arrays(pa.array(ends), ids, mask=pa.array([x is None for x in got], pa.bool_()))
     return arrow_udf(run, returnType="array<int>")(text)
 
 

@@ -93,8 +93,9 @@ def index_vectors():
 
 
 def context_sums(sample: DataFrame):
-    """Sum of the neighbours' index vectors for each bucket. ``PARTS`` tasks
-    send one matrix of fixed size each."""
+    """Sum of the neighbours' index vectors for each bucket. The sample, which
+    is bounded, is read by ``PARTS`` tasks at most, whatever the number of
+    shuffle partitions; each sends one matrix of fixed size."""
     def run(batches):
         import numpy as np
         index = index_vectors()
@@ -103,16 +104,20 @@ def context_sums(sample: DataFrame):
             for t in batch.column(0).cast(pa.binary()).to_pylist():
                 letters, shapes, _ = features(t)
                 for own in (letters, shapes):
-                    near = index[letters] if own is letters else index[shapes]
-                    for d in range(1, WINDOW + 1):
-                        if len(own) > d:
-                            np.add.at(total, own[d:], near[:-d])
-                            np.add.at(total, own[:-d], near[d:])
+                    for at in range(0, len(own), 1 << 14):  # blocks of a long text, with the words around
+                        lo, hi = max(0, at - WINDOW), min(len(own), at + (1 << 14) + WINDOW)
+                        near = index[own[lo:hi]]
+                        around = np.zeros_like(near)
+                        for d in range(1, WINDOW + 1):
+                            around[d:] += near[:-d]
+                            around[:-d] += near[d:]
+                        inner = slice(at - lo, min(at + (1 << 14), len(own)) - lo)
+                        np.add.at(total, own[lo:hi][inner], around[inner])
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["m"])
 
     import numpy as np
     got = np.zeros((BUCKETS, DIM), dtype=np.float32)
-    for r in sample.select("text").repartition(PARTS, "text").mapInArrow(run, "m binary").collect():
+    for r in sample.select("text").coalesce(PARTS).mapInArrow(run, "m binary").collect():
         got += np.frombuffer(r["m"], dtype=np.float32).reshape(BUCKETS, DIM)
     return got
 
