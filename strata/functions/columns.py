@@ -63,14 +63,14 @@ def equal_width_bin(c, lo: float, hi: float, k: int) -> Column:
     interior edges strictly below the value. Identical to pandas
     ``cut(x, k, labels=False)`` on the fitted range; outside values clip."""
     if hi <= lo:
-        return F.lit(0)
+        return F.when(col(c).isNotNull(), F.lit(0))
     return reduce(add, [(col(c) > F.lit(e)).cast("int") for e in bin_edges(lo, hi, k)])
 
 
 def equal_width_bin_sql(c: str, lo: str, hi: str, k: int) -> str:
     """SQL twin of ``equal_width_bin`` with ``lo``/``hi`` as SQL expressions."""
     terms = " + ".join(f"cast({c} > {i} * (({hi} - {lo}) / {k}) + {lo} as integer)" for i in range(1, k))
-    return f"(case when {hi} > {lo} then {terms} else 0 end)"
+    return f"(case when {hi} > {lo} then {terms} when {c} is not null then 0 end)"
 
 
 def clip(c, lo, hi) -> Column:

@@ -48,6 +48,6 @@ def mean_word_length(words: Column) -> Column:
 
 
 def word_band(words: Column) -> Column:
-    """Log2 word-count band, 1..10 (= bit length of the count, capped at 10)."""
+    """Log2 word-count band from 1 (= bit length of the count, 1 for no words)."""
     n = F.size(words).cast("long")
-    return F.least(F.lit(10), F.greatest(F.lit(1), F.length(F.bin(n)))).cast("int")
+    return F.greatest(F.lit(1), F.length(F.bin(n))).cast("int")

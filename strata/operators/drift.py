@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .reports import diff_marker
+from .util import broadcast_if_small, stored
 
 
 def tag_union(train: DataFrame, test: DataFrame, flag: str = "is_test") -> DataFrame:
@@ -39,7 +40,14 @@ def drift_weights(df: DataFrame, score: str, out: str = "weight") -> DataFrame:
 def frequency_drift_score(train: DataFrame, test: DataFrame, by, flag: str = "is_test",
                           out: str = "p") -> DataFrame:
     """A model-free adversarial score: P(test | by) estimated by counts over the
-    union (one grouped aggregate), attached to every row of the union."""
+    union (one grouped aggregate), attached to every row of the union. The rates
+    are written first: a small table is broadcast, so that a value of ``by`` that
+    holds most rows stays spread; null values are a group of their own."""
     u = tag_union(train, test, flag)
-    rate = u.groupBy(*by).agg(F.avg(F.col(flag).cast("double")).alias(out))
-    return u.join(rate, list(by))   # one row per `by` value; AQE picks the join
+    by = list(by)
+    rate = stored(u.groupBy(*[F.col(c).alias(f"_by_{c}") for c in by]).agg(F.avg(F.col(flag).cast("double")).alias(out)), "rates")
+    on = None
+    for c in by:
+        same = F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+        on = same if on is None else on & same
+    return u.join(broadcast_if_small(rate), on).drop(*[f"_by_{c}" for c in by])

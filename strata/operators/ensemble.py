@@ -11,7 +11,8 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .metrics import roc_auc
+from .metrics import roc_auc_counts
+from .util import broadcast_if_small, stored
 
 
 def hard_vote(preds: DataFrame, key: str, threshold: float = 0.5) -> DataFrame:
@@ -21,9 +22,9 @@ def hard_vote(preds: DataFrame, key: str, threshold: float = 0.5) -> DataFrame:
 
 
 def weighted_blend(preds: DataFrame, weights: DataFrame, key: str, out: str = "p") -> DataFrame:
-    """Σ w·p / Σ w per row; ``weights (model, w)`` has one row per model
-    (bounded by the model count) and is broadcast."""
-    j = preds.join(F.broadcast(weights), "model")
+    """Σ w·p / Σ w per row; ``weights (model, w)`` has one row per model and
+    is broadcast when its written size allows it."""
+    j = preds.join(broadcast_if_small(stored(weights, "weights")), "model")
     return j.groupBy(key).agg((F.sum(F.col("w") * F.col("p")) / F.sum("w")).alias(out))
 
 
@@ -43,21 +44,47 @@ def candidate_weights(spark, models, n_candidates: int, seed: int = 42, start: i
     return cm.select("cand", "model", u.alias("w"))
 
 
-def blend_search(oof: DataFrame, key: str, label: str, models, n_candidates: int = 64,
-                 seed: int = 42, digits: int = 12) -> DataFrame:
+def blend_search(oof: DataFrame, key: str, label: str, models, n_candidates: int = 200,
+                 seed: int = 42, digits: int = 12, candidates: DataFrame | None = None) -> DataFrame:
     """Score every candidate weight vector by the exact OOF AUC of its
-    normalised blend, all candidates in ONE grouped AUC (no driver loop).
-    A candidate whose weights sum to 0 scores 0. Returns every candidate's
-    AUC; ``best_candidate`` picks the winner."""
+    normalised blend. Predictions are pivoted to one row per key; the candidates
+    (``n_candidates`` arrays, a parameter of the search and not data) are a
+    literal, so blends are made where the rows lie and only counts per
+    (candidate, score) are shuffled. A candidate whose weights sum to 0 scores 0.
+    """
     spark = oof.sparkSession
-    cw = candidate_weights(spark, models, n_candidates, seed)
-    tot = cw.groupBy("cand").agg(F.sum("w").alias("wsum"))
-    j = oof.join(F.broadcast(cw), "model")   # weights: n_candidates × n_models rows
-    blend = (j.groupBy("cand", key, label)
-              .agg(F.round(F.sum(F.col("w") * F.col("p")) / F.sum("w"), digits).alias("score")))
-    auc = roc_auc(blend, label, "score", ["cand"]).select("cand", "auc")
-    return (tot.join(auc, "cand", "left")
-               .select("cand", F.when(F.col("wsum") > 0, F.col("auc")).otherwise(F.lit(0.0)).alias("auc")))
+    cw = candidates if candidates is not None else candidate_weights(spark, models, n_candidates, seed)
+    by = {}
+    for r in cw.collect():
+        by.setdefault(r["cand"], {})[r["model"]] = r["w"]
+    listed = F.array(*[F.struct(F.lit(c).cast("long").alias("cand"), F.array(*[F.lit(float(w[m])) for m in models]).alias("w"))
+                       for c, w in sorted(by.items()) if sum(w.values()) > 0])
+    wide = oof.groupBy(key, label).agg(*[F.max(F.when(F.col("model") == m, F.col("p"))).alias(f"_m{i}")
+                                         for i, m in enumerate(models)])
+    each = wide.select(label, F.array(*[f"_m{i}" for i in range(len(models))]).alias("p"), F.explode(listed).alias("c"))
+    total = F.aggregate("c.w", F.lit(0.0), lambda a, x: a + x)
+    dot = F.aggregate(F.zip_with("c.w", "p", lambda w, p: w * p), F.lit(0.0), lambda a, x: a + x)
+    y = F.col(label).cast("long")
+    counts = each.select(F.col("c.cand").alias("cand"), F.round(dot / total, digits).alias("score"), y.alias("y")) \
+        .groupBy("cand", "score").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+    auc = roc_auc_counts(counts, "score", "pos", "neg", ["cand"]).select("cand", "auc")
+    return cw.select("cand").distinct().join(auc, "cand", "left").select("cand", F.coalesce("auc", F.lit(0.0)).alias("auc"))
+
+
+def refine(oof: DataFrame, key: str, label: str, models, best: dict[str, float], rounds: int = 3, per_round: int = 50,
+           seed: int = 42) -> tuple[dict[str, float], float]:
+    """Rounds of candidates around the best weights so far, each narrower than
+    the last; the weights and AUC at the end, never worse than at the start."""
+    import random
+    rng, spark, auc, width = random.Random(seed), oof.sparkSession, None, 0.25
+    for _ in range(rounds):
+        tries = [best] + [{m: min(max(best[m] + rng.uniform(-width, width), 0.0), 1.0) for m in models}
+                          for _ in range(per_round - 1)]
+        rows = [(i, m, float(t[m])) for i, t in enumerate(tries) for m in models]
+        got = blend_search(oof, key, label, models, candidates=spark.createDataFrame(rows, "cand long, model string, w double"))
+        top = best_candidate(got).first()
+        best, auc, width = tries[top["cand"]], top["auc"], width / 2
+    return best, auc
 
 
 def best_candidate(scores: DataFrame) -> DataFrame:
@@ -94,7 +121,7 @@ def platt_fit(df: DataFrame, score: str, label: str):
              .select(score, F.col("r.y").alias("_y"), F.col("r.w").alias("_w")))
     a = VectorAssembler(inputCols=[score], outputCol="_pl_f").transform(two)
     return LogisticRegression(featuresCol="_pl_f", labelCol="_y", weightCol="_w", regParam=0.0,
-                              standardization=False, maxIter=100).fit(a)
+                              standardization=False, maxIter=1000, tol=1e-14).fit(a)
 
 
 def platt_apply(model, df: DataFrame, score: str, out: str = "p_cal") -> DataFrame:

@@ -8,7 +8,7 @@ same spec as SQL for the oracle.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -125,6 +125,30 @@ class FeaturePlan:
             self.stats["bins"] = {c: (float(mm[f"lo_{c}"]), float(mm[f"hi_{c}"])) for c in bin_cols}
         return self
 
+    def fit_folds(self, train: DataFrame, k: int, fold_col: str = "fold") -> list["FeaturePlan"]:
+        """One plan per fold, fitted without the fold's rows, and last the plan
+        of all rows; the statistics of all of them come from common passes."""
+        splits = range(k + 1)  # no fold has number k
+
+        def outside(c, f):
+            return F.when(~F.col(fold_col).eqNullSafe(F.lit(f)), F.col(c))
+        wide = train.select(fold_col, *[outside(c, f).cast("double").alias(f"{c}__{f}") for c in self.numeric for f in splits])
+        nulls = train.agg(*[F.count(F.lit(1)) - F.count(c) for c in self.numeric]).first()
+        fill = [c for c, n in zip(self.numeric, nulls) if n > 0]
+        med = exact_quantiles(wide, [f"{c}__{f}" for c in fill for f in splits], [0.5]) if fill else {}
+        plans = [replace(self, stats={"median": {c: med[f"{c}__{f}"][0] for c in fill}}) for f in splits]
+        bins = sorted({f.args[0] for f in self.spec if f.kind == "bin"})
+        if bins:
+            cells = [F.coalesce(F.col(f"{c}__{f}"), F.when(~F.col(fold_col).eqNullSafe(F.lit(f)),
+                                                           F.lit(plans[f].stats["median"].get(c)).cast("double")))
+                     for c in bins for f in splits]
+            ends = wide.agg(*[e for x in cells for e in (F.min(x), F.max(x))]).first()
+            at = iter(ends)
+            for c in bins:
+                for f in splits:
+                    plans[f].stats.setdefault("bins", {})[c] = (float(next(at)), float(next(at)))
+        return plans
+
     def _base(self, df: DataFrame, fills: dict) -> DataFrame:
         out = df
         for c, v in self.encode.items():

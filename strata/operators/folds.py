@@ -1,7 +1,7 @@
 """Deterministic fold assignment (contiguous, shuffled, stratified).
 
 Shuffling is an md5 order of ``seed:key`` so that Spark and SQL agree row for
-row; ranks come from ``ranking`` (range buckets), never from a global window.
+row; ranks come from ``ranking``, never from a global window.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import global_rank, rank_within
+from .ranking import global_rank, rank_in_groups
 
 
 def shuffle_key(key: str, seed: int = 42) -> Column:
@@ -47,10 +47,6 @@ def kfold_stratified(df: DataFrame, k: int, label: str, key: str, seed: int = 42
     """Per-class round robin over the md5 order: within every class the fold
     sizes differ by at most one."""
     h = df.withColumn("_kf_h", shuffle_key(key, seed))
-    ranked = rank_within(h, [label], ["_kf_h", key], "_kf_rank")
+    ranked = rank_in_groups(h, [label], ["_kf_h", key], "_kf_rank")
     return ranked.withColumn(fold_col, ((F.col("_kf_rank") - 1) % k).cast("int")).drop("_kf_h", "_kf_rank")
 
-
-def train_valid(df: DataFrame, fold: int, fold_col: str = "fold"):
-    """(train, validation) split of fold ``fold``."""
-    return df.where(F.col(fold_col) != fold), df.where(F.col(fold_col) == fold)

@@ -3,7 +3,7 @@
 ROC-AUC is the tie-aware Mann–Whitney statistic: rows are first collapsed to
 one row per distinct (group, score) — map-side partial aggregation, so a hot
 score costs nothing — then the running count of negatives below each score
-comes from a range-bucketed prefix sum. The sum is kept in integers
+comes from ``ranking.prefix_in_groups``. The sum is kept in integers
 (``pos * (2*neg_below + neg)``) so it is exact in any summation order.
 """
 
@@ -14,10 +14,6 @@ from pyspark.sql import functions as F
 
 from .ranking import prefix_in_groups
 
-# distinct scores per group up to which one window partition per group is used;
-# above it the running sums go through range buckets
-WINDOW_MAX_SCORES = 2_000_000
-
 
 def roc_auc_counts(df: DataFrame, score: str, pos: str, neg: str, group_cols=(),
                    out: str = "auc") -> DataFrame:
@@ -25,7 +21,7 @@ def roc_auc_counts(df: DataFrame, score: str, pos: str, neg: str, group_cols=(),
     g = list(group_cols)
     per_score = df.groupBy(*g, score).agg(F.sum(pos).cast("long").alias("_pos"),
                                           F.sum(neg).cast("long").alias("_neg"))
-    below = prefix_in_groups(per_score, g, [score], ["_neg"], max_group_rows=WINDOW_MAX_SCORES)
+    below = prefix_in_groups(per_score, g, [score], ["_neg"])
     return (below.groupBy(*g).agg(
                 F.sum("_pos").alias("n_pos"), F.sum("_neg").alias("n_neg"),
                 F.sum(F.col("_pos") * (2 * F.col("_neg_before") + F.col("_neg"))).alias("_u2"))
@@ -35,10 +31,11 @@ def roc_auc_counts(df: DataFrame, score: str, pos: str, neg: str, group_cols=(),
 
 
 def roc_auc(df: DataFrame, label: str, score: str, group_cols=(), out: str = "auc") -> DataFrame:
-    """Exact tie-aware ROC-AUC per group (NULL when a group has one class)."""
+    """Exact tie-aware ROC-AUC per group (NULL when a group has one class). A
+    null score or label is an error: dropping it would change the statistic."""
     y = F.col(label).cast("long")
-    agg = (df.where(F.col(score).isNotNull())
-           .groupBy(*group_cols, score).agg(F.sum(y).alias("_p"), F.sum(1 - y).alias("_q")))
+    whole = F.when(F.col(score).isNull() | y.isNull(), F.raise_error(F.lit("roc_auc: null score or label")).cast("long"))
+    agg = df.groupBy(*group_cols, score).agg(F.sum(F.coalesce(whole, y)).alias("_p"), F.sum(1 - y).alias("_q"))
     return roc_auc_counts(agg, score, "_p", "_q", group_cols, out)
 
 

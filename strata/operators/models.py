@@ -1,13 +1,10 @@
-"""Model presets on ``pyspark.ml`` (distributed fits via treeAggregate).
-
-The boosted-tree families of the original work (XGBoost/LightGBM/CatBoost)
-are expressed as ``GBTClassifier`` presets; Spark trees have no L1/L2 leaf
-penalty, so those settings map to depth/min-instances/min-gain instead.
+"""Estimators on ``pyspark.ml`` (distributed fits via treeAggregate). The
+boosted families with leaf penalties, and comparisons of many fits, are in
+``boosting``.
 """
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -43,9 +40,9 @@ def lasso(alpha: float, label: str = "label", features: str = "features"):
 
 
 def rf_regressor(n_trees: int = 100, depth: int = 10, seed: int = 42, label="label", features="features"):
-    """M5 random-forest regressor (presets 100/10 and 200/15)."""
+    """M5 random-forest regressor (presets 100/10 and 200/15); depth is at most 30 in MLlib, which rejects more."""
     return RandomForestRegressor(featuresCol=features, labelCol=label, numTrees=n_trees,
-                                 maxDepth=min(depth, 30), seed=seed)
+                                 maxDepth=depth, seed=seed)
 
 
 def gbt_regressor(n_iter: int = 100, step: float = 0.1, depth: int = 3, seed: int = 42,
@@ -70,7 +67,7 @@ def rf_classifier(n_trees: int = 100, depth: int = 10, min_leaf: int = 1, seed:
 def gbt_classifier(n_iter: int = 100, step: float = 0.1, depth: int = 3, subsample: float = 1.0,
                    feature_subset: str = "all", min_leaf: int = 1, min_gain: float = 0.0,
                    seed: int = 42, weight: str | None = None, label="label", features="features"):
-    """M8 gradient boosting; base of the boosted presets M9–M11."""
+    """M8 gradient boosting."""
     kw = dict(featuresCol=features, labelCol=label, maxIter=n_iter, stepSize=step, maxDepth=depth,
               subsamplingRate=subsample, featureSubsetStrategy=feature_subset,
               minInstancesPerNode=min_leaf, minInfoGain=min_gain, seed=seed)
@@ -79,31 +76,6 @@ def gbt_classifier(n_iter: int = 100, step: float = 0.1, depth: int = 3, subsamp
     return GBTClassifier(**kw)
 
 
-# fixed values: boosted-family presets (iterations, learning rate, depth,
-# row subsample, column subsample, min rows per leaf, min split gain)
-BOOSTED_PRESETS = {
-    "xgb_default": dict(n_iter=100, step=0.1, depth=6, subsample=1.0, feature_subset="all"),
-    "xgb_tuned": dict(n_iter=300, step=0.05, depth=4, subsample=0.8, feature_subset="0.8", min_leaf=3),
-    "xgb_conservative": dict(n_iter=200, step=0.03, depth=3, subsample=0.7, feature_subset="0.7",
-                             min_leaf=5, min_gain=0.1),
-    "lgb_default": dict(n_iter=100, step=0.1, depth=5, subsample=1.0, feature_subset="all", min_leaf=20),
-    "lgb_conservative": dict(n_iter=200, step=0.03, depth=4, subsample=0.7, feature_subset="0.7",
-                             min_leaf=30),
-    "catboost": dict(n_iter=400, step=0.05, depth=6, subsample=1.0, feature_subset="all"),
-    "catboost_conservative": dict(n_iter=300, step=0.03, depth=4, subsample=0.8, feature_subset="all",
-                                  min_leaf=5),
-}
-
-
-def boosted(preset: str, max_iter: int | None = None, **over):
-    """A named boosted preset; ``max_iter`` caps iterations for quick runs."""
-    kw = dict(BOOSTED_PRESETS[preset])
-    if max_iter is not None:
-        kw["n_iter"] = min(kw["n_iter"], max_iter)
-    kw.update(over)
-    return gbt_classifier(**kw)
-
-
 def logistic(C: float = 1.0, n: int | None = None, weight: str | None = None,
              label="label", features="features", tol: float = 1e-6):
     """M12 L2 logistic regression with inverse strength C on the summed loss:
@@ -121,6 +93,3 @@ def positive_probability(pred: DataFrame, prob_col: str = "probability", out: st
     """M32 score: P(class 1) as a double column."""
     return pred.withColumn(out, vector_to_array(F.col(prob_col)).getItem(1))
 
-
-def fit_pipeline(stages, df: DataFrame):
-    return Pipeline(stages=list(stages)).fit(df)

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .quantiles import exact_medians
+from .util import broadcast_if_small, stored
 
 
 def profile(df: DataFrame) -> DataFrame:
@@ -49,8 +50,8 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 def with_class_weight(df: DataFrame, label: str, weight_col: str = "weight") -> DataFrame:
     """Attach the balanced class weight as a column (a ``weightCol`` for ML)."""
     w = class_weights(df, label).select(label, F.col("weight").alias(weight_col))
-    # one row per class; broadcast only after checking how many classes there are
-    return df.join(F.broadcast(w) if w.count() <= 100_000 else w, label)
+    # one row per class, broadcast when its written size allows it
+    return df.join(broadcast_if_small(stored(w, "classes")), label)
 
 
 def column_stats(df: DataFrame, cols) -> DataFrame:

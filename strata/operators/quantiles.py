@@ -1,11 +1,13 @@
-"""Exact quantiles (linear interpolation, as NumPy/pandas and SQL
-``quantile_cont``) without collecting a column into one task.
+"""Exact quantiles (linear interpolation, as NumPy's and SQL's
+``quantile_cont``) of many columns at once, without collecting a column.
 
-Distributed selection: the k-th smallest value is located by repeated
-equal-width histograms over a shrinking bracket (one filtered aggregate per
-round, ``bins`` groups each), and only a bracket of at most ``collect_limit``
-values is ever brought to the driver. A bracket whose values are all equal
-ends the search at once, so a hot value costs nothing.
+The columns are stacked into (column, value) rows and counted, so a heavy value
+is one row; running counts in value order (``ranking``) then say which value
+holds each rank. One scan, one aggregate and one range shuffle serve all
+columns and ranks, whatever the spread of the values. The driver gets two rows
+per column and probability.
+
+Null and NaN don't count as values; infinities do.
 """
 
 from __future__ import annotations
@@ -15,76 +17,30 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _kth(df: DataFrame, c: str, ks: list[int], lo: float, hi: float,
-         bins: int, collect_limit: int, max_rounds: int = 12) -> dict[int, float]:
-    """Exact k-th smallest (0-based) non-null values of column ``c``."""
-    out: dict[int, float] = {}
-    x = F.col(c).cast("double")
-    for k in ks:
-        a, b, below = lo, hi, 0          # the k-th value lies in [a, b]; `below` values < a
-        for _ in range(max_rounds):
-            if a == b:
-                out[k] = a
-                break
-            inside = df.where(x.isNotNull() & (x >= a) & (x <= b))
-            cnt = inside.count() if _ == 0 else None
-            if cnt is not None and cnt <= collect_limit:
-                vals = sorted(r[0] for r in inside.select(x).collect())
-                out[k] = vals[k - below]
-                break
-            w = (b - a) / bins
-            hist = (inside.select(F.least(F.floor((x - a) / w), F.lit(bins - 1)).cast("int").alias("bin"), x.alias("v"))
-                    .groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("mn"), F.max("v").alias("mx"))
-                    .orderBy("bin").collect())      # at most `bins` rows
-            run = below
-            for r in hist:
-                if run + r["n"] > k:
-                    a, b, below = r["mn"], r["mx"], run
-                    break
-                run += r["n"]
-            if a == b:
-                out[k] = a
-                break
-            narrowed = df.where(x.isNotNull() & (x >= a) & (x <= b))
-            n_in = sum(h["n"] for h in hist if a <= h["mn"] and h["mx"] <= b)
-            if n_in <= collect_limit:
-                vals = sorted(r[0] for r in narrowed.select(x).collect())
-                out[k] = vals[k - below]
-                break
-        else:  # pathological spread: exact aggregate over the narrowed bracket
-            rank_in = k - below
-            n_in = df.where(x.isNotNull() & (x >= a) & (x <= b)).count()
-            p = rank_in / (n_in - 1) if n_in > 1 else 0.0
-            out[k] = df.where(x.isNotNull() & (x >= a) & (x <= b)).agg(
-                F.percentile(x, p)).first()[0]
-    return out
+from .ranking import prefix_in_groups
+from .util import stored
 
 
-def exact_quantiles(df: DataFrame, cols, probs, bins: int = 1024,
-                    collect_limit: int = 200_000) -> dict[str, list[float | None]]:
-    """``{col: [q(p) for p in probs]}`` with linear interpolation between the
-    closest ranks; NULL values are ignored (None if a column is all NULL)."""
+def exact_quantiles(df: DataFrame, cols, probs) -> dict[str, list[float | None]]:
+    """``{col: [q(p) for p in probs]}``; None for a column without values."""
     cols = list(cols)
-    stats = df.agg(*[F.count(c).alias(f"n_{i}") for i, c in enumerate(cols)],
-                   *[F.min(F.col(c).cast("double")).alias(f"lo_{i}") for i, c in enumerate(cols)],
-                   *[F.max(F.col(c).cast("double")).alias(f"hi_{i}") for i, c in enumerate(cols)]).first()
-    result: dict[str, list[float | None]] = {}
-    for i, c in enumerate(cols):
-        n, lo, hi = stats[f"n_{i}"], stats[f"lo_{i}"], stats[f"hi_{i}"]
-        if not n:
-            result[c] = [None for _ in probs]
-            continue
-        pos = [(n - 1) * p for p in probs]
-        ks = sorted({int(math.floor(q)) for q in pos} | {int(math.ceil(q)) for q in pos})
-        sub = df.select(c)
-        kv = _kth(sub, c, ks, lo, hi, bins, collect_limit)
-        vals = []
-        for q in pos:
-            f, cl = int(math.floor(q)), int(math.ceil(q))
-            vals.append(kv[f] + (kv[cl] - kv[f]) * (q - f))
-        result[c] = vals
-    return result
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("col"), F.col(c).cast("double").alias("value"))
+                                for i, c in enumerate(cols)]))
+    counts = df.select(cells.alias("cell")).select("cell.*").where("value is not null and not isnan(value)") \
+        .groupBy("col", "value").agg(F.count(F.lit(1)).alias("n"))
+    below = stored(prefix_in_groups(counts, ["col"], ["value"], ["n"]), "quantiles")
+    sizes = {r["col"]: r["n"] for r in below.groupBy("col").agg(F.sum("n").alias("n")).collect()}
+    places = {c: [(n - 1) * p for p in probs] for c, n in sizes.items()}
+    ranks = sorted({(c, k) for c, ps in places.items() for p in ps for k in (math.floor(p), math.ceil(p))})
+    wanted = F.broadcast(df.sparkSession.createDataFrame(ranks, "col int, rank long"))
+    at = {(r["col"], r["rank"]): r["value"] for r in below.join(wanted, "col").where(
+        "rank >= n_before and rank < n_before + n").select("col", "rank", "value").collect()}
+
+    def value(c, p):
+        low, high = at[c, math.floor(p)], at[c, math.ceil(p)]
+        return low if low == high else low + (high - low) * (p - math.floor(p))
+    return {name: [value(c, p) for p in places[c]] if c in places else [None for _ in probs]
+            for c, name in enumerate(cols)}
 
 
 def exact_medians(df: DataFrame, cols) -> dict[str, float | None]:

@@ -1,209 +1,132 @@
-"""Exact global ranks and prefix sums without a single-partition window.
-
-``row_number() over (order by k)`` and running sums over a global order make
-Spark move every row into one partition. Here the order is cut into range
-buckets, each bucket is ranked / summed locally (a window partitioned by the
-bucket), and a per-bucket table (one row per bucket, size bounded by the
-bucket count) supplies the offsets. The result is identical to the
-single-window form, which is what the SQL oracles use.
-
-Bucket bounds are sampled ONCE on the driver and compiled into a
-deterministic expression (a balanced tree of struct comparisons), so every
-branch of the plan — and every task retry after an executor loss — assigns
-the same bucket to the same row. (Spark's own ``RangePartitioner`` re-samples
-per RDD, so two branches of one plan could disagree on the bounds.)
-A hot key value is no problem: bounds are whole key tuples, and the order
-columns must be unique, so a heavy leading value is still split.
+"""Exact ranks, running sums and fills over a total order, at any group size.
+
+A window without a partition, or over one huge group, moves its rows into one
+task. Here the rows are range-partitioned by (group, order) and written once;
+each row keeps its partition and its place in it. Everything else follows from
+that table: places within a partition are local, and one number per partition
+(its row count, or its sum) is all that crosses partitions. Every branch of a
+plan reads the same written table, so a lost executor or a retried task can't
+move a bound. A hot group simply fills several partitions.
+
+Nulls order first and form a group of their own, as in SQL windows. The order
+columns should be unique within a group; ties get ranks in some fixed order.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_B, _OFF = "_rk_b", "_rk_off"
-SAMPLES_PER_BUCKET = 32
+from .util import stored
 
-
-def default_buckets(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+_PART, _PLACE = "_rk_part", "_rk_place"
+_LOCAL = (1 << 33) - 1  # the low bits of monotonically_increasing_id count within a partition
 
 
 def _cols(cols) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
 
-def _bound_tree(key: Column, bounds: list[Column], lo: int, hi: int) -> Column:
-    """Bucket index in [lo, hi]: bucket j holds keys in [bounds[j-1], bounds[j])."""
-    if lo == hi:
-        return F.lit(lo)
-    mid = (lo + hi + 1) // 2
-    return F.when(key < bounds[mid - 1], _bound_tree(key, bounds, lo, mid - 1)) \
-            .otherwise(_bound_tree(key, bounds, mid, hi))
-
-
-def range_bucket(df: DataFrame, order_cols, buckets: int | None = None, seed: int = 17) -> Column:
-    """A deterministic bucket-id column, monotone in ``order_cols`` order.
-
-    Costs one count and one small sample (about ``32 * buckets`` rows) on the
-    driver."""
-    n_b = buckets or default_buckets(df.sparkSession)
-    oc = _cols(order_cols)
-    key = F.struct(*oc)
-    keyed = df.select(key.alias("_k"))
-    n = keyed.count()
-    if n == 0 or n_b <= 1:
-        return F.lit(0)
-    frac = min(1.0, SAMPLES_PER_BUCKET * n_b / n)
-    sample = keyed.sample(False, frac, seed) if frac < 1.0 else keyed
-    rows = sorted(tuple(r["_k"]) for r in sample.collect())
-    if not rows:
-        return F.lit(0)
-    step = len(rows) / n_b
-    cuts = []
-    for j in range(1, n_b):
-        t = rows[min(len(rows) - 1, int(j * step))]
-        if not cuts or t > cuts[-1]:
-            cuts.append(t)
-    if not cuts:
-        return F.lit(0)
-    types = [f.dataType for f in keyed.schema["_k"].dataType.fields]
-    names = [f.name for f in keyed.schema["_k"].dataType.fields]
-    lits = [F.struct(*[F.lit(v).cast(t).alias(nm) for v, t, nm in zip(c, types, names)]) for c in cuts]
-    return _bound_tree(key, lits, 0, len(cuts))
-
-
-def _offsets(per_bucket: DataFrame, value: str) -> DataFrame:
-    # one row per bucket: this window sees at most `buckets` rows
-    w = Window.orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
-    return per_bucket.select(_B, F.coalesce(F.sum(value).over(w), F.lit(0)).alias(_OFF))
-
-
-def global_rank(df: DataFrame, order_cols, rank_col: str = "rank",
-                buckets: int | None = None) -> DataFrame:
-    """1-based ``row_number() over (order by order_cols)``; ``order_cols`` must be
-    a unique key. One hash exchange on the bucket + a broadcast of ≤ buckets rows."""
-    b = df.withColumn(_B, range_bucket(df, order_cols, buckets))
-    counts = b.groupBy(_B).agg(F.count(F.lit(1)).alias("_rk_n"))
-    w = Window.partitionBy(_B).orderBy(*_cols(order_cols))
-    return (b.withColumn("_rk_i", F.row_number().over(w))
-             .join(F.broadcast(_offsets(counts, "_rk_n")), _B)
-             .withColumn(rank_col, (F.col(_OFF) + F.col("_rk_i")).cast("long"))
-             .drop(_B, _OFF, "_rk_i"))
-
-
-def rank_within(df: DataFrame, group_cols, order_cols, rank_col: str = "rank",
-                buckets: int | None = None) -> DataFrame:
-    """1-based ``row_number() over (partition by g order by o)`` for FEW, possibly
-    huge groups (class labels, folds): a global rank over (g, o) minus the
-    group's first rank. For many small groups a plain window is cheaper."""
-    g = list(group_cols)
-    ranked = global_rank(df, g + list(order_cols), "_rk_global", buckets)
-    # one row per group; AQE broadcasts it from the measured size
-    starts = ranked.groupBy(*g).agg(F.min("_rk_global").alias("_rk_start"))
-    return (ranked.join(starts, g)
-            .withColumn(rank_col, F.col("_rk_global") - F.col("_rk_start") + 1)
-            .drop("_rk_global", "_rk_start"))
-
-
-def prefix_sum(df: DataFrame, order_cols, value_cols, group_cols=(),
-               suffix: str = "_before", buckets: int | None = None) -> DataFrame:
-    """For each row, the sum of ``value_cols`` over rows strictly before it in
-    ``order_cols`` order within its ``group_cols`` group (frame ``unbounded
-    preceding .. 1 preceding``). ``order_cols`` must be unique within a group.
-    Output columns are ``<value><suffix>``."""
-    g = list(group_cols)
-    oc = g + list(order_cols)
-    b = df.withColumn(_B, range_bucket(df, oc, buckets))
-    w = Window.partitionBy(_B).orderBy(*_cols(oc)).rowsBetween(Window.unboundedPreceding, -1)
-    local = b.select("*", *[F.coalesce(F.sum(v).over(w), F.lit(0)).alias(f"_ps_{v}") for v in value_cols])
-    tot = b.groupBy(_B).agg(*[F.sum(v).alias(f"_pt_{v}") for v in value_cols])
-    wb = Window.orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
-    offs = tot.select(_B, *[F.coalesce(F.sum(f"_pt_{v}").over(wb), F.lit(0)).alias(f"_po_{v}")
-                            for v in value_cols])
-    out = local.join(F.broadcast(offs), _B)
-    for v in value_cols:
-        out = out.withColumn(f"_pg_{v}", F.col(f"_po_{v}") + F.col(f"_ps_{v}"))
-    if g:
-        # subtract the global prefix at each group's first row
-        # (one row per group; AQE broadcasts it when its measured size is small)
-        first = F.struct(*_cols(order_cols))
-        starts = out.groupBy(*g).agg(*[F.min_by(F.col(f"_pg_{v}"), first).alias(f"_pm_{v}")
-                                       for v in value_cols])
-        out = out.join(starts, g)
-        for v in value_cols:
-            out = out.withColumn(f"{v}{suffix}", F.col(f"_pg_{v}") - F.col(f"_pm_{v}"))
-    else:
-        for v in value_cols:
-            out = out.withColumn(f"{v}{suffix}", F.col(f"_pg_{v}"))
-    drop = [_B] + [f"_{p}_{v}" for v in value_cols for p in ("ps", "po", "pg", "pm")]
-    return out.drop(*[c for c in drop if c in out.columns])
+def ordered(df: DataFrame, order_cols) -> DataFrame:
+    """``df`` written in ``order_cols`` order, with partition and place (from 0)."""
+    keys = _cols(order_cols)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    got = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys) \
+        .withColumn(_PLACE, F.monotonically_increasing_id())
+    return stored(got, "ordered").select(
+        *df.columns, F.shiftright(_PLACE, 33).alias(_PART), F.col(_PLACE).bitwiseAND(F.lit(_LOCAL)).alias(_PLACE))
 
 
-# ---- adaptive per-group forms -------------------------------------------------
-# A plain window partitioned by the group is the cheapest plan while every
-# group fits one task; a hot group (say a third of all rows) would pin one
-# task, so above ``max_group_rows`` the bucketed forms above are used.
+def _running(df: DataFrame, totals: dict[str, Column]) -> DataFrame:
+    """(partition, <name>...): the totals of all earlier partitions; a row per
+    partition, which is as many as there are shuffle partitions."""
+    rows = sorted(df.groupBy(_PART).agg(*[c.alias(n) for n, c in totals.items()]).collect(), key=lambda r: r[_PART])
+    kinds = df.groupBy(_PART).agg(*[c.alias(n) for n, c in totals.items()]).schema
+    out, before = [], {n: None for n in totals}
+    for r in rows:
+        out.append((r[_PART], *(before[n] or 0 for n in totals)))
+        for n in totals:
+            before[n] = (before[n] or 0) + (r[n] or 0)
+    kind = ", ".join(f"{n} {kinds[n].dataType.simpleString()}" for n in totals)
+    cast = [(p, *(type_of(kinds[n].dataType.typeName(), v) for n, v in zip(totals, vs))) for p, *vs in out]
+    return F.broadcast(df.sparkSession.createDataFrame(cast, f"{_PART} long, {kind}"))
 
-MAX_GROUP_ROWS = 2_000_000
 
+def type_of(name: str, v):
+    return float(v) if name in ("double", "float") else v
 
-def max_group_size(df: DataFrame, group_cols) -> int:
-    g = list(group_cols)
-    if not g:
-        return df.count()
-    return df.groupBy(*g).count().agg(F.max("count")).first()[0] or 0
+
+def _by_group(df: DataFrame, starts: DataFrame, group_cols) -> DataFrame:
+    """Join of one row per group onto all rows, null keys included. The rows of
+    a hot group meet a single row; adaptive execution splits them."""
+    on = None
+    for c in group_cols:
+        same = F.col(c).eqNullSafe(F.col(f"_st_{c}"))
+        on = same if on is None else on & same
+    return df.join(starts, on).drop(*[f"_st_{c}" for c in group_cols])
 
 
-def _small(df, g, max_group_rows, known_max):
-    n = known_max if known_max is not None else max_group_size(df, g)
-    return n <= max_group_rows
+def global_rank(df: DataFrame, order_cols, rank_col: str = "rank") -> DataFrame:
+    """1-based ``row_number() over (order by order_cols)``."""
+    rows = ordered(df, order_cols)
+    before = _running(rows, {"_rk_before": F.count(F.lit(1))})
+    return rows.join(before, _PART).withColumn(rank_col, F.col("_rk_before") + F.col(_PLACE) + 1) \
+        .select(*df.columns, rank_col)
 
 
-def rank_in_groups(df: DataFrame, group_cols, order_cols, rank_col: str = "rank",
-                   max_group_rows: int = MAX_GROUP_ROWS, known_max: int | None = None) -> DataFrame:
-    """``row_number() over (partition by g order by o)``, skew-safe.
-    ``known_max``: a proven bound on the largest group (skips measuring it)."""
+def rank_in_groups(df: DataFrame, group_cols, order_cols, rank_col: str = "rank") -> DataFrame:
+    """``row_number() over (partition by group_cols order by order_cols)``."""
     g = list(group_cols)
-    if g and _small(df, g, max_group_rows, known_max):
-        return df.withColumn(rank_col, F.row_number().over(Window.partitionBy(*g).orderBy(*_cols(order_cols))))
     if not g:
         return global_rank(df, order_cols, rank_col)
-    return rank_within(df, g, order_cols, rank_col)
+    rows = ordered(df, g + list(order_cols))
+    before = _running(rows, {"_rk_before": F.count(F.lit(1))})
+    ranked = rows.join(before, _PART).withColumn("_rk_all", F.col("_rk_before") + F.col(_PLACE))
+    starts = ranked.groupBy(*[F.col(c).alias(f"_st_{c}") for c in g]).agg(F.min("_rk_all").alias("_rk_first"))
+    return _by_group(ranked, starts, g).withColumn(rank_col, F.col("_rk_all") - F.col("_rk_first") + 1) \
+        .select(*df.columns, rank_col)
 
 
 def prefix_in_groups(df: DataFrame, group_cols, order_cols, value_cols, suffix: str = "_before",
-                     max_group_rows: int = MAX_GROUP_ROWS, known_max: int | None = None) -> DataFrame:
-    """Exclusive running sums per group, skew-safe (see ``prefix_sum``)."""
-    g = list(group_cols)
-    if _small(df, g, max_group_rows, known_max):
-        w = (Window.partitionBy(*g) if g else Window).orderBy(*_cols(order_cols)) \
-            .rowsBetween(Window.unboundedPreceding, -1)
-        return df.select("*", *[F.coalesce(F.sum(v).over(w), F.lit(0)).alias(f"{v}{suffix}") for v in value_cols])
-    return prefix_sum(df, order_cols, value_cols, g, suffix)
-
-
-def forward_fill(df: DataFrame, group_cols, order_cols, value_cols, buckets: int | None = None,
-                 max_group_rows: int = MAX_GROUP_ROWS, known_max: int | None = None) -> DataFrame:
-    """Replace NULLs of ``value_cols`` by the last non-NULL value earlier in
-    ``order_cols`` order within the group (an as-of join of markers onto rows).
-    A row's value columns must be all NULL or all set (one marker struct)."""
+                     rank_col: str | None = None) -> DataFrame:
+    """For each row the sums of ``value_cols`` over the rows before it in its
+    group, as ``<value><suffix>`` (nulls count as 0), and optionally its rank."""
     g = list(group_cols)
-    vs = list(value_cols)
-    mk = F.when(F.col(vs[0]).isNotNull(), F.struct(*vs))
-    if g and _small(df, g, max_group_rows, known_max):
-        w = Window.partitionBy(*g).orderBy(*_cols(order_cols)).rowsBetween(Window.unboundedPreceding, 0)
-        filled = df.withColumn("_ff", F.last(mk, ignorenulls=True).over(w))
-        return filled.select(*[c for c in df.columns if c not in vs], *[F.col(f"_ff.{v}").alias(v) for v in vs])
-    # bucketed: local fill inside (bucket, group), carry from earlier buckets of the group
-    oc = g + list(order_cols)
-    b = df.withColumn(_B, range_bucket(df, oc, buckets)).withColumn("_mk", mk)
-    w = Window.partitionBy(_B, *g).orderBy(*_cols(order_cols)).rowsBetween(Window.unboundedPreceding, 0)
-    local = b.withColumn("_ff", F.last("_mk", ignorenulls=True).over(w))
-    last_in = (b.where(F.col("_mk").isNotNull()).groupBy(_B, *g)
-                .agg(F.max_by("_mk", F.struct(*_cols(order_cols))).alias("_lm")))
-    present = b.select(_B, *g).distinct().join(last_in, [_B] + g, "left")
-    wc = Window.partitionBy(*g).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
-    carry = present.select(_B, *g, F.last("_lm", ignorenulls=True).over(wc).alias("_carry"))
-    out = local.join(carry, [_B] + g, "left").withColumn("_ff", F.coalesce("_ff", "_carry"))
-    return out.select(*[c for c in df.columns if c not in vs], *[F.col(f"_ff.{v}").alias(v) for v in vs])
+    ones = {"_rk_one": F.lit(1).cast("long")} if rank_col else {}
+    rows = ordered(df, g + list(order_cols)).withColumns(ones)
+    names = {v: f"{v}{suffix}" for v in value_cols} | ({"_rk_one": rank_col} if rank_col else {})
+    local = Window.partitionBy(_PART).orderBy(_PLACE).rowsBetween(Window.unboundedPreceding, -1)
+    before = _running(rows, {f"_pb_{i}": F.sum(v) for i, v in enumerate(names)})
+    sums = rows.select("*", *[F.coalesce(F.sum(v).over(local), F.lit(0)).alias(f"_pl_{i}") for i, v in enumerate(names)]) \
+        .join(before, _PART)
+    sums = sums.withColumns({f"_ps_{i}": F.col(f"_pb_{i}") + F.col(f"_pl_{i}") for i in range(len(names))})
+    if g:
+        at = F.struct(_PART, _PLACE)
+        starts = sums.groupBy(*[F.col(c).alias(f"_st_{c}") for c in g]).agg(
+            *[F.min_by(f"_ps_{i}", at).alias(f"_pf_{i}") for i in range(len(names))])
+        sums = _by_group(sums, starts, g)
+    else:
+        sums = sums.withColumns({f"_pf_{i}": F.lit(0) for i in range(len(names))})
+    out = [(F.col(f"_ps_{i}") - F.col(f"_pf_{i}") + (1 if n == rank_col else 0)).alias(n)
+           for i, n in enumerate(names.values())]
+    return sums.select(*df.columns, *out)
+
+
+def forward_fill(df: DataFrame, group_cols, order_cols, value_cols) -> DataFrame:
+    """Replace nulls of ``value_cols`` by the last values before them in the
+    group. A row's value columns are all null or all set (one marker)."""
+    g, vs = list(group_cols), list(value_cols)
+    rows = ordered(df, g + list(order_cols)).withColumn("_ff_mark", F.when(F.col(vs[0]).isNotNull(), F.struct(*vs)))
+    local = Window.partitionBy(_PART, *g).orderBy(_PLACE).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_ff", F.last("_ff_mark", ignorenulls=True).over(local))
+    # the last marker of a group in each partition it reaches, carried on to the partitions after
+    ends = rows.groupBy(_PART, *g).agg(F.max_by("_ff_mark", F.when(F.col("_ff_mark").isNotNull(), F.col(_PLACE))).alias("_ff_end"))
+    after = (Window.partitionBy(*g) if g else Window.partitionBy(F.lit(0))).orderBy(_PART) \
+        .rowsBetween(Window.unboundedPreceding, -1)  # at most a row per partition
+    carry = ends.select(F.col(_PART).alias("_ff_part"), *[F.col(c).alias(f"_st_{c}") for c in g],
+                        F.last("_ff_end", ignorenulls=True).over(after).alias("_ff_carry"))
+    on = F.col(_PART) == F.col("_ff_part")
+    for c in g:
+        on = on & F.col(c).eqNullSafe(F.col(f"_st_{c}"))
+    filled = rows.join(carry, on, "left").withColumn("_ff", F.coalesce("_ff", "_ff_carry"))
+    return filled.select(*[c for c in df.columns if c not in vs], *[F.col(f"_ff.{v}").alias(v) for v in vs])

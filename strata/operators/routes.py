@@ -1,20 +1,16 @@
 """Staged minimum-cost routes on lettered grids, for many routes at once.
 
-A route starts at a cell and must visit, in order, one cell of each stop
-type; moving costs the Manhattan distance. Stop types without any cell in
-the grid are skipped; a route with no valid stop costs 0.
-
-All routes advance together, one stop per iteration (level-synchronous DP).
-A stage never pairs frontier cells with target cells: the L1 min-plus step
-
-    h(x) = min_s cost(s) + |x.r - s.r| + |x.c - s.c|
-
-is separable, so it is two running-min passes over the dense grid — along
-rows within each column, then along columns within each row — each a window
-over at most ``height`` / ``width`` rows per route. Work per stage is
-O(routes × grid cells), independent of how many cells share a type.
-The loop length is the longest route (number of stops); lineage is cut by a
-reliable checkpoint every few stages.
+A route starts at a cell and must visit, in order, one cell of each stop type;
+moving costs the Manhattan distance. Stop types without a cell in the grid are
+skipped; a route without a valid stop costs 0.
+
+A stage takes the costs at the cells of one type to those of the next: a
+min-plus matrix product. Such products are associative, so a route is cut into
+segments of ``SEGMENT`` stops, each of which is folded on its own, in one
+expression, into the matrix of costs from its entry cells to its last cells;
+the matrices of a route are then multiplied in order, ``SEGMENT`` at a time.
+No stage is a job, a join or a shuffle, and a very long route is many rows.
+Only cells of the types that a route visits are ever looked at.
 """
 
 from __future__ import annotations
@@ -24,8 +20,9 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import manhattan
 from .ranking import rank_in_groups
-from ..session import cut_lineage
-from .util import broadcast_if_small
+from .util import broadcast_if_small, stored
+
+SEGMENT = 512
 
 
 def cells_by_type(cells: DataFrame) -> DataFrame:
@@ -37,87 +34,59 @@ def cells_by_type(cells: DataFrame) -> DataFrame:
 
 def valid_stops(stops: DataFrame, routes: DataFrame, cells: DataFrame) -> DataFrame:
     """Drop stops whose type has no cell in the route's grid, then
-    renumber ``seq`` 1..k per route (distributed rank, skew-safe)."""
-    kinds = cells.select("grid_id", "type").distinct()
+    renumber ``seq`` 1..k per route. Returns (route_id, grid_id, type, seq)."""
+    kinds = stored(cells.select("grid_id", "type").distinct(), "kinds")
     s = stops.join(routes.select("route_id", "grid_id"), "route_id")
-    kept = s.join(kinds, ["grid_id", "type"], "left_semi")
-    if s.join(kinds, ["grid_id", "type"], "left_anti").isEmpty():
-        return kept          # nothing dropped: seq is already 1..k per route
-    return rank_in_groups(kept, ["route_id"], ["seq"], "seq2").drop("seq").withColumnRenamed("seq2", "seq")
+    kept = s.join(broadcast_if_small(kinds), ["grid_id", "type"], "left_semi")
+    return rank_in_groups(kept, ["route_id"], ["seq"], "_seq").drop("seq").withColumnRenamed("_seq", "seq")
 
 
 def nearest_cell(points: DataFrame, cells: DataFrame) -> DataFrame:
-    """For each ``(route_id, grid_id, r, c, type)`` the nearest cell of that type
-    (ties → smallest (r, c)): one source per route, so this is a lookup join."""
-    cb = broadcast_if_small(cells.withColumnRenamed("r", "tr").withColumnRenamed("c", "tc"))
-    j = points.join(cb, ["grid_id", "type"]).withColumn("dist", manhattan("r", "c", "tr", "tc"))
-    best = F.min_by(F.struct("tr", "tc"), F.struct("dist", "tr", "tc"))
-    return (j.groupBy("route_id").agg(best.alias("b"), F.min("dist").alias("dist"))
-             .select("route_id", F.col("b.tr").alias("r"), F.col("b.tc").alias("c"), "dist"))
-
-
-def _relax(frontier: DataFrame, dense: DataFrame) -> DataFrame:
-    """One L1 min-plus step over each route's dense grid.
-
-    ``dense``: (route_id, r, c, is_target) for every cell of the route's grid;
-    ``frontier``: (route_id, r, c, cost). The frontier rows are unioned into the
-    grid rows (no join), the union is hash-partitioned by route once, and both
-    window passes — partitioned by (route, c) and (route, r) — run on that one
-    partitioning (a subset of their keys), so a stage costs one exchange.
-    Range frames make duplicate positions (grid row + frontier row) peers."""
-    grid_rows = dense.select("route_id", "r", "c", F.lit(None).cast("long").alias("cost"), "is_target")
-    src = frontier.select("route_id", "r", "c", "cost", F.lit(False).alias("is_target"))
-    d = grid_rows.unionByName(src).repartition("route_id")
-    pre = Window.unboundedPreceding, Window.currentRow
-    fol = Window.currentRow, Window.unboundedFollowing
-    wc = Window.partitionBy("route_id", "c").orderBy("r")
-    g = F.least(F.col("r") + F.min(F.col("cost") - F.col("r")).over(wc.rangeBetween(*pre)),
-                -F.col("r") + F.min(F.col("cost") + F.col("r")).over(wc.rangeBetween(*fol)))
-    d = d.withColumn("g", g)
-    wr = Window.partitionBy("route_id", "r").orderBy("c")
-    h = F.least(F.col("c") + F.min(F.col("g") - F.col("c")).over(wr.rangeBetween(*pre)),
-                -F.col("c") + F.min(F.col("g") + F.col("c")).over(wr.rangeBetween(*fol)))
-    return (d.withColumn("h", h).where(F.col("is_target") & F.col("h").isNotNull())
-             .select("route_id", "r", "c", F.col("h").cast("long").alias("cost")))
-
-
-def staged_route_cost(routes: DataFrame, stops: DataFrame, cells: DataFrame,
-                      beam_width: int | None = None, checkpoint_every: int = 4) -> DataFrame:
-    """G1: minimum total travel per route.
-
-    routes ``(route_id, grid_id, sr, sc)`` (0-based start), stops
-    ``(route_id, seq, type)``, cells ``(grid_id, r, c, type)`` (a full
-    rectangle per grid). ``beam_width`` keeps only the k cheapest frontier
-    cells (ties by r, c) before each stage — the approximate O3 mode; the
-    default is exact."""
-    st = cut_lineage(valid_stops(stops, routes, cells))
-    n_stages = st.agg(F.max("seq")).first()[0] or 0
-    grid = broadcast_if_small(cells.select("grid_id", "r", "c", "type"))
-    frontier = routes.select("route_id", F.col("sr").alias("r"), F.col("sc").alias("c"),
-                             F.lit(0).cast("long").alias("cost"))
-    finished_parts = []
-    for s in range(1, n_stages + 1):
-        stop = st.where(F.col("seq") == s).select("route_id", "grid_id", F.col("type").alias("stop_type"))
-        if beam_width:
-            w = Window.partitionBy("route_id").orderBy("cost", "r", "c")
-            frontier = frontier.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= beam_width).drop("_k")
-        # routes without a stop at this stage are complete: keep their frontier
-        finished_parts.append(frontier.join(stop.select("route_id"), "route_id", "left_anti")
-                              .groupBy("route_id").agg(F.min("cost").alias("cost")))
-        dense = stop.join(grid, "grid_id").withColumn("is_target", F.col("type") == F.col("stop_type"))
-        nxt = _relax(frontier.join(stop.select("route_id"), "route_id", "left_semi"), dense)
-        # the frontier feeds two branches (finished / next stage): compute it once
-        # per stage and cut the lineage (reliable checkpoint)
-        frontier = cut_lineage(nxt)
-        if s % checkpoint_every == 0:
-            finished_parts = [cut_lineage(_union(finished_parts))]
-    last = frontier.groupBy("route_id").agg(F.min("cost").alias("cost"))
-    out = last if not finished_parts else _union(finished_parts + [last])
-    return out
-
-
-def _union(parts):
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """``points`` (with grid_id, r, c, type) with the nearest cell of the
+    type as (to_r, to_c, dist), ties to the smallest (r, c). Only the distinct
+    (cell, type) that occur are compared with cells; points look them up."""
+    key = ["grid_id", "r", "c", "type"]
+    asked = points.select(*key).distinct()
+    j = asked.join(cells.select("grid_id", "type", F.col("r").alias("to_r"), F.col("c").alias("to_c")), ["grid_id", "type"])
+    j = j.withColumn("dist", manhattan("r", "c", "to_r", "to_c"))
+    best = j.groupBy(*key).agg(F.min(F.struct("dist", "to_r", "to_c")).alias("best"))
+    found = stored(best.select(*key, "best.to_r", "best.to_c", "best.dist"), "nearest")
+    return points.join(broadcast_if_small(found), key)
+
+
+def _product(steps: str) -> str:
+    """SQL for the min-plus product of an array of (n, m) matrices, in order."""
+    return f"""aggregate(slice({steps}, 2, size({steps})), {steps}[0].m, (a, s) -> transform(a, row ->
+        transform(sequence(0, size(s.m[0]) - 1), x -> array_min(zip_with(row, s.m, (k, to) -> k + to[x])))))"""
+
+
+def staged_route_cost(routes: DataFrame, stops: DataFrame, cells: DataFrame) -> DataFrame:
+    """G1: minimum total travel per route, as (route_id, cost).
+
+    routes ``(route_id, grid_id, sr, sc)`` (0-based start), stops ``(route_id,
+    seq, type)`` with ``seq`` 1..k, cells ``(grid_id, r, c, type)``."""
+    by_type = cells.groupBy("grid_id", "type").agg(F.sort_array(F.collect_list(F.struct("r", "c"))).alias("at"))
+    # a row per grid: what a route in it has to know of it
+    grids = stored(by_type.groupBy("grid_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("type", "at"))).alias("kinds")), "grids")
+    starts = routes.join(broadcast_if_small(grids), "grid_id").select(
+        "route_id", F.array(F.struct(F.col("sr").alias("r"), F.col("sc").alias("c"))).alias("start"), "kinds")
+    parts = stops.groupBy("route_id", F.floor((F.col("seq") - 1) / SEGMENT).alias("seg")).agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("seq", "type"))), lambda s: s["type"]).alias("types"))
+    rows = parts.join(starts, "route_id").withColumn("types", F.expr("filter(types, t -> map_contains_key(kinds, t))")) \
+        .where(F.size("types") > 0)
+    before = Window.partitionBy("route_id").orderBy("seg")  # a row per segment
+    rows = rows.withColumn("prev", F.lag(F.element_at("types", -1)).over(before)) \
+        .withColumn("n", F.row_number().over(before) - 1)
+    fold = F.expr("""aggregate(types,
+        transform(if(prev is null, start, kinds[prev]), e -> array(named_struct('r', e.r, 'c', e.c, 'cost', 0L))),
+        (state, t) -> transform(state, row -> transform(kinds[t], x -> named_struct('r', x.r, 'c', x.c, 'cost',
+            array_min(transform(row, s -> s.cost + abs(s.r - x.r) + abs(s.c - x.c)))))),
+        state -> transform(state, row -> transform(row, s -> s.cost)))""")
+    done = stored(rows.select("route_id", "n", fold.alias("m")), "segments")
+    while (done.agg(F.max("n")).first()[0] or 0) > 0:  # once per factor of SEGMENT in the longest route
+        done = stored(done.groupBy("route_id", F.floor(F.col("n") / SEGMENT).cast("int").alias("_n")).agg(
+            F.sort_array(F.collect_list(F.struct("n", "m"))).alias("steps"))
+            .select("route_id", F.col("_n").alias("n"), F.expr(_product("steps")).alias("m")), "segments")
+    return routes.select("route_id").join(done, "route_id", "left").select(
+        "route_id", F.coalesce(F.array_min(F.col("m")[0]), F.lit(0)).cast("long").alias("cost"))

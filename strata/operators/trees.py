@@ -8,15 +8,13 @@ vertices and points 0-based.
 * ``subtree_sizes``  — A18, bottom-up per level: O(n) rows in total
 * ``root_point``     — A15/G6: max y, then min x, then min id
 * ``polar_rank``     — W5/G4/O4: angle around a pivot relative to a reference
-* ``allocate``       — J6/W6: ranked items → consecutive capacity ranges (as-of fill)
+* ``allocate``       — J6/W6: ranked items → consecutive capacity ranges
 * ``centroids``      — A14
 * ``embed``          — the whole embedding, one tree level per iteration
 * ``segments``       — G7/J5: edges with their endpoints' coordinates
 
-Every per-group window goes through ``ranking``'s adaptive forms, so one
-vertex that owns a third of all points (the root level always owns all of a
-tree's points) is ranked, summed and filled over range buckets instead of
-one task.
+Ranks and running sums go through ``ranking``, so one vertex that owns a third
+of all points (the root owns all of a tree's points) fills many partitions.
 """
 
 from __future__ import annotations
@@ -28,8 +26,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import polar_angle, rel_angle
 
-from .ranking import forward_fill, prefix_in_groups, rank_in_groups
-from .util import materialize
+from .ranking import prefix_in_groups, rank_in_groups
+from .util import broadcast_if_small, stored
 
 DOWN = -math.pi / 2   # reference direction at the root (pointing down)
 
@@ -46,10 +44,10 @@ def directed(edges: DataFrame) -> DataFrame:
             .unionByName(edges.select("tree_id", "eid", F.col("v").alias("a"), F.col("u").alias("b"))))
 
 
-def orient(edges: DataFrame, roots: DataFrame | None = None, checkpoint_every: int = 4) -> DataFrame:
+def orient(edges: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     """``(tree_id, vertex, parent, depth, eid)``; the root has parent -1, eid -1.
     Default root: vertex 0 of every tree."""
-    d = materialize(directed(edges))
+    d = stored(directed(edges))
     if roots is None:
         roots = edges.select("tree_id").distinct().withColumn("root", F.lit(0))
     level = roots.select("tree_id", F.col("root").alias("vertex"), F.lit(-1).alias("parent"),
@@ -61,7 +59,7 @@ def orient(edges: DataFrame, roots: DataFrame | None = None, checkpoint_every: i
                  .select("tree_id", F.col("b").alias("vertex"), F.col("a").alias("parent"),
                          F.lit(depth + 1).alias("depth"), "eid"))
         depth += 1
-        nxt = materialize(nxt)
+        nxt = stored(nxt)
         if nxt.isEmpty():
             break
         parts.append(nxt)
@@ -71,7 +69,7 @@ def orient(edges: DataFrame, roots: DataFrame | None = None, checkpoint_every: i
 
 def subtree_sizes(oriented: DataFrame) -> DataFrame:
     """``(tree_id, vertex, size)`` — size counts the vertex itself."""
-    o = materialize(oriented)
+    o = stored(oriented)
     max_depth = o.agg(F.max("depth")).first()[0]
     below, parts = None, []
     for dep in range(max_depth, -1, -1):
@@ -82,7 +80,7 @@ def subtree_sizes(oriented: DataFrame) -> DataFrame:
             kids = below.groupBy("tree_id", F.col("parent").alias("vertex")).agg(F.sum("size").alias("_s"))
             cur = lv.join(kids, ["tree_id", "vertex"], "left").select(
                 "tree_id", "vertex", "parent", (1 + F.coalesce("_s", F.lit(0))).cast("long").alias("size"))
-        cur = materialize(cur)
+        cur = stored(cur)
         parts.append(cur.select("tree_id", "vertex", "size"))
         below = cur
     return _union(parts)
@@ -101,41 +99,47 @@ def centroids(points: DataFrame, group_cols) -> DataFrame:
 
 def polar_rank(points: DataFrame, pivots: DataFrame, group_cols, rank_col: str = "rank") -> DataFrame:
     """Rank each group's points by angle around the group's pivot ``(px, py)``
-    relative to direction ``ref`` (pivots carry ``ref``), ties by point_id."""
+    relative to direction ``ref`` (pivots carry ``ref``), ties by point_id.
+    Pivots are one row per group: a small written table is broadcast, so the
+    points of a large group don't meet in one task."""
     g = list(group_cols)
-    j = points.join(pivots, g).withColumn(
+    j = points.join(broadcast_if_small(stored(pivots, "pivots")), g).withColumn(
         "angle", rel_angle(polar_angle("px", "py", "x", "y"), F.col("ref")))
     return rank_in_groups(j, g, ["angle", "point_id"], rank_col)
 
 
+#: Ranks that a piece of a bin covers at most in ``allocate``.
+RUN = 1024
+
+
+def bin_starts(bins: DataFrame, group_cols, order_cols, cap_col: str = "cap", out: str = "lo") -> DataFrame:
+    """``bins`` with the capacity of the earlier bins of the group in ``out``."""
+    return prefix_in_groups(bins, group_cols, order_cols, [cap_col], suffix="__lo") \
+        .withColumnRenamed(f"{cap_col}__lo", out)
+
+
 def allocate(items: DataFrame, bins: DataFrame, group_cols, rank_col: str = "rank",
-             bin_col: str = "bin", order_col: str = "bin_order", cap_col: str = "cap",
-             max_items: int | None = None, max_bins: int | None = None) -> DataFrame:
-    """Ranked items (1-based ``rank``) → bins taking consecutive ranks in
-    ``bin_order`` order, each ``cap`` of them: item ``r`` goes to the bin with
-    ``lo < r <= lo + cap``, ``lo`` = capacity of the earlier bins. Items past the
-    total capacity get no bin. Done as an as-of fill of bin start markers onto
-    the item stream (no item × bin pairs)."""
+             bin_col: str = "bin", cap_col: str = "cap", lo_col: str = "lo") -> DataFrame:
+    """Ranked items (1-based ``rank``) to bins that take consecutive ranks:
+    item ``r`` goes to the bin with ``lo < r <= lo + cap``; items past the total
+    capacity get no bin. A bin is written out as the ranks it takes, first in
+    runs of ``RUN`` ranks and then, dealt anew, rank by rank, so the join is one
+    to one and a huge bin is nobody's single task."""
     g = list(group_cols)
-    lo = prefix_in_groups(bins, g, [order_col, bin_col], [cap_col], suffix="_lo", known_max=max_bins)
-    marks = lo.select(*g, (F.col(f"{cap_col}_lo") + 1).alias("_pos"), F.lit(0).alias("_kind"),
-                      F.col(bin_col).alias("_bin"), (F.col(f"{cap_col}_lo") + F.col(cap_col)).cast("long").alias("_hi"))
-    its = items.select(*g, F.col(rank_col).cast("long").alias("_pos"), F.lit(1).alias("_kind"),
-                       F.lit(None).cast(bins.schema[bin_col].dataType).alias("_bin"),
-                       F.lit(None).cast("long").alias("_hi"), *[c for c in items.columns if c not in g])
-    marks = marks.withColumn("_pos", F.col("_pos").cast("long"))
-    known = None if max_items is None or max_bins is None else max_items + max_bins
-    filled = forward_fill(its.unionByName(marks, allowMissingColumns=True), g, ["_pos", "_kind"], ["_bin", "_hi"],
-                          known_max=known)
-    out = filled.where((F.col("_kind") == 1) & (F.col("_pos") <= F.col("_hi")))
-    return out.select(*items.columns, F.col("_bin").alias(bin_col))
+    first, last = F.col(lo_col) + 1, F.col(lo_col) + F.col(cap_col)
+    runs = bins.where(F.col(cap_col) > 0).select(*g, F.col(bin_col), last.alias("_last"), F.explode(
+        F.sequence(first, last, F.lit(RUN).cast("long"))).alias("_first"))
+    taken = runs.repartition(*[F.col(c) for c in g], "_first").select(*g, bin_col, F.explode(F.sequence(
+        F.col("_first"), F.least(F.col("_first") + (RUN - 1), F.col("_last")))).alias(rank_col))
+    return items.withColumn(rank_col, F.col(rank_col).cast("long")).join(taken, [*g, rank_col]) \
+        .select(*items.columns, bin_col)
 
 
 def _with_rel(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.withColumn("rel", rel_angle(polar_angle("vx", "vy", x, y), F.col("pang")))
 
 
-def embed(edges: DataFrame, points: DataFrame, checkpoint_every: int = 3) -> DataFrame:
+def embed(edges: DataFrame, points: DataFrame) -> DataFrame:
     """Place every vertex on a distinct point: the root takes the highest point;
     each vertex takes the first point of its chunk, orders the rest by angle
     relative to the direction of its parent's point, hands consecutive runs
@@ -143,16 +147,13 @@ def embed(edges: DataFrame, points: DataFrame, checkpoint_every: int = 3) -> Dat
     re-orders the children by the angle of their runs' centroids and hands
     the runs out again in that order. One tree level per iteration.
     Returns ``(tree_id, vertex, point_id)``."""
-    ori = materialize(orient(edges))
+    ori = stored(orient(edges))
     sizes = subtree_sizes(ori)
     kids_all = (ori.where(F.col("parent") >= 0).join(sizes, ["tree_id", "vertex"])
                    .select("tree_id", F.col("parent").alias("vertex"), F.col("vertex").alias("child"), "eid", "size"))
-    kids_all = materialize(kids_all)
-    # proven per-level bounds: a vertex at depth d owns at most max(size at d) points
-    # and has at most max-degree children — no per-level measuring jobs
-    size_by_depth = {r["depth"]: r["m"] for r in ori.join(sizes, ["tree_id", "vertex"])
-                     .groupBy("depth").agg(F.max("size").alias("m")).collect()}
-    max_kids = kids_all.groupBy("tree_id", "vertex").count().agg(F.max("count")).first()[0] or 0
+    # where the run of a child starts in adjacency order, for all levels at once
+    kids_all = stored(bin_starts(kids_all, ["tree_id", "vertex"], ["eid", "child"], "size"))
+    depth = ori.agg(F.max("depth")).first()[0] or 0
     pts = points.select("tree_id", "point_id", "x", "y")
     rp = root_point(pts).withColumnRenamed("point_id", "_rp")
     roots = ori.where(F.col("depth") == 0).select("tree_id", "vertex")
@@ -162,7 +163,7 @@ def embed(edges: DataFrame, points: DataFrame, checkpoint_every: int = 3) -> Dat
     parent_pts = None          # (tree_id, vertex, vx, vy) of the previous level
     assigned, level = [], 0
     while True:
-        chunk = materialize(chunk)
+        chunk = stored(chunk)
         own = chunk.where(F.col("crank") == 1).select("tree_id", "vertex", "point_id")
         assigned.append(own)
         vinfo = own.join(pts, ["tree_id", "point_id"]).select("tree_id", "vertex", F.col("x").alias("vx"),
@@ -176,33 +177,26 @@ def embed(edges: DataFrame, points: DataFrame, checkpoint_every: int = 3) -> Dat
             vinfo = (vinfo.join(par, ["tree_id", "vertex"]).join(pp, ["tree_id", "parent"])
                           .withColumn("pang", polar_angle("vx", "vy", "ppx", "ppy"))
                           .select("tree_id", "vertex", "vx", "vy", "pang"))
-        vinfo = materialize(vinfo)
+        vinfo = stored(vinfo)
         rest = (chunk.where(F.col("crank") > 1).join(pts, ["tree_id", "point_id"]).join(vinfo, ["tree_id", "vertex"]))
         rest = _with_rel(rest, "x", "y")
-        if size_by_depth.get(level, 1) <= 1:     # every vertex at this level is a leaf
+        if level >= depth:
             break
-        bound = size_by_depth.get(level, 0)
-        ranked = rank_in_groups(rest, ["tree_id", "vertex"], ["rel", "point_id"], "r", known_max=bound)
+        ranked = rank_in_groups(rest, ["tree_id", "vertex"], ["rel", "point_id"], "r")
         kids = kids_all.join(vinfo.select("tree_id", "vertex"), ["tree_id", "vertex"], "left_semi")
         # first pass: children in adjacency order
-        first = allocate(ranked.select("tree_id", "vertex", "point_id", "x", "y", "r"),
-                         kids.select("tree_id", "vertex", "child", "eid", "size"), ["tree_id", "vertex"],
-                         rank_col="r", bin_col="child", order_col="eid", cap_col="size",
-                         max_items=bound, max_bins=max_kids)
+        first = allocate(ranked.select("tree_id", "vertex", "point_id", "x", "y", "r"), kids, ["tree_id", "vertex"],
+                         rank_col="r", bin_col="child", cap_col="size")
         cen = centroids(first, ["tree_id", "vertex", "child"]).join(vinfo, ["tree_id", "vertex"])
         cen = _with_rel(cen, "cx", "cy").select("tree_id", "vertex", "child", F.col("rel").alias("cang"))
         # second pass: children by (centroid angle, child id, size)
-        k2 = kids.join(cen, ["tree_id", "vertex", "child"])
-        k2 = rank_in_groups(k2, ["tree_id", "vertex"], ["cang", "child", "size"], "korder", known_max=max_kids)
-        second = allocate(ranked.select("tree_id", "vertex", "point_id", "r"),
-                          k2.select("tree_id", "vertex", "child", "korder", "size"), ["tree_id", "vertex"],
-                          rank_col="r", bin_col="child", order_col="korder", cap_col="size",
-                          max_items=bound, max_bins=max_kids)
-        lo2 = prefix_in_groups(k2.select("tree_id", "vertex", "child", "korder", "size"), ["tree_id", "vertex"],
-                               ["korder", "child"], ["size"], suffix="_lo", known_max=max_kids)
-        nxt = (second.join(lo2.select("tree_id", "vertex", "child", "size_lo"), ["tree_id", "vertex", "child"])
+        k2 = bin_starts(kids.drop("lo").join(cen, ["tree_id", "vertex", "child"]), ["tree_id", "vertex"],
+                        ["cang", "child", "size"], "size")
+        second = allocate(ranked.select("tree_id", "vertex", "point_id", "r"), k2, ["tree_id", "vertex"],
+                          rank_col="r", bin_col="child", cap_col="size")
+        nxt = (second.join(k2.select("tree_id", "vertex", "child", "lo"), ["tree_id", "vertex", "child"])
                      .select("tree_id", F.col("child").alias("vertex"), "point_id",
-                             (F.col("r") - F.col("size_lo")).cast("long").alias("crank")))
+                             (F.col("r") - F.col("lo")).cast("long").alias("crank")))
         level += 1
         parent_pts = vinfo
         chunk = nxt

@@ -1,29 +1,31 @@
-"""Small plan helpers: size-checked broadcast, periodic lineage cuts."""
+"""Small plan helpers: written intermediates and broadcasts of a checked size."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import ensure_checkpoint_dir, scratch_path
 
+#: Bytes that a side may have to be broadcast.
+BROADCAST_BYTES = 32 * 1024 * 1024
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """Broadcast hint only after the row count is checked; otherwise leave the
-    choice to AQE (which re-plans from measured shuffle sizes)."""
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
 
+def stored(df: DataFrame, name: str = "stored") -> DataFrame:
+    """Write ``df`` as Parquet in the shared checkpoint folder and read it back.
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Compute once and cut the lineage (reliable checkpoint in the shared
-    checkpoint folder). Driver loops call this once per iteration: each
-    iteration is one job, survives executor loss without replaying earlier
-    iterations, and keeps the next iteration's plan small (cached plans with
-    long lineages make every later cache lookup slower)."""
-    return cut_lineage(df)
+    Cuts the lineage, survives lost executors, keeps column pruning, and tells
+    the optimizer the size. ``session.clear_scratch`` deletes such tables."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def maybe_cut(df: DataFrame, step: int, every: int = 4) -> DataFrame:
-    """Reliable checkpoint every ``every`` iterations of a driver loop."""
-    return cut_lineage(df) if step > 0 and step % every == 0 else df
+def broadcast_if_small(table: DataFrame) -> DataFrame:
+    """A broadcast hint for a written or source table whose size, as the
+    optimizer knows it, is at most ``BROADCAST_BYTES``. Runs no job; beyond
+    the limit the join is left to adaptive execution."""
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(table) if size <= BROADCAST_BYTES else table

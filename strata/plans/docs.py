@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..session import cut_lineage
-from ..sources.tables import Tables, spread
+from ..operators.util import stored
+from ..sources.tables import Tables
 
 KEY = "doc_id"
 FEATURES = ["A", "B", "C", "D", "E", "F", "G", "H", "I"]
@@ -40,28 +40,24 @@ def features(documents: DataFrame) -> DataFrame:
     )
 
 
-_FEATURES: dict = {}
+def train_table(t: Tables) -> DataFrame:
+    """Labelled rows with ``target``. labels is keyed by doc_id (unique)."""
+    return _labelled(features(t.documents), t)
 
 
-def feature_table(t: Tables) -> DataFrame:
-    """Per-document features, computed once per session and scale (the text
-    scan is the expensive part) and kept as a checkpointed table in the
-    shared checkpoint folder — a small feature store every document query
-    reads instead of re-parsing the text."""
-    key = (t.spark.sparkContext.applicationId, t.sf_dir)
-    if key not in _FEATURES:
-        _FEATURES[key] = cut_lineage(features(spread(t.documents, rows_per_partition=500)))
-    return _FEATURES[key]
+def _labelled(feats: DataFrame, t: Tables) -> DataFrame:
+    return feats.join(t.labels.select("doc_id", (1 - F.col("quality")).cast("int").alias("target")), "doc_id", "inner")
 
 
-def train_table(t: Tables) -> DataFrame:
-    """Labelled rows with ``target``. labels is keyed by doc_id (unique)."""
-    lab = t.labels.select("doc_id", (1 - F.col("quality")).cast("int").alias("target"))
-    return feature_table(t).join(lab, "doc_id", "inner")
+def tables(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """(labelled, unlabelled) rows; the text is read once and the features are
+    written, as both sides and every fold read them."""
+    feats = stored(features(t.documents), "features")
+    return _labelled(feats, t), feats.join(t.labels.select("doc_id"), "doc_id", "left_anti")
 
 
 def test_table(t: Tables) -> DataFrame:
-    return feature_table(t).join(t.labels.select("doc_id"), "doc_id", "left_anti")
+    return features(t.documents).join(t.labels.select("doc_id"), "doc_id", "left_anti")
 
 
 # SQL twin of ``features`` for the DuckDB oracle (same definitions, same classes).
@@ -73,7 +69,7 @@ FEATURES_SQL = r"""
     ln(1 + cast(n_chars as double)) as D,
     case when doc_id % 12 = 0 then null
          else cast(1 + cast(substr(source, 4, 8) as integer) % 3 as integer) end as E,
-    cast(least(10, greatest(1, length(bin(cast(len(_w) as bigint))))) as integer) as F,
+    cast(greatest(1, length(bin(cast(len(_w) as bigint)))) as integer) as F,
     len(list_distinct(_w)) / greatest(len(_w), 1) as G,
     length(regexp_replace(text, '[^0-9]', '', 'g')) / greatest(n_chars, 1) as H,
     coalesce(list_sum(list_transform(_w, lambda w: length(w))), 0) / greatest(len(_w), 1) as I

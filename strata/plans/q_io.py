@@ -46,19 +46,32 @@ def prediction_csv(spark, sf):
     return FS.read_table(spark, path, "o_orderkey long, target int")
 
 
-@query("row_key", """
-select md5(concat_ws(chr(31), coalesce(cast(l_orderkey as varchar), '\\N'), coalesce(cast(l_linenumber as varchar), '\\N'),
-                     coalesce(cast(l_partkey as varchar), '\\N'), coalesce(cast(l_suppkey as varchar), '\\N'))) as row_key,
+ROW_KEY_COLS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+
+
+@query("row_key", f"""
+select md5(concat_ws('', {', '.join(f"coalesce(length(cast({c} as varchar)) || ':' || cast({c} as varchar), '-')" for c in ROW_KEY_COLS)})) as row_key,
        count(*) as n
 from lineitem group by 1
 """)
 def row_key(spark, sf):
     """Content keys for lineitem (its (orderkey, linenumber) is not unique);
     rows per key shows the exact duplicates."""
-    li = Tables(spark, sf).lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    li = Tables(spark, sf).lineitem.select(*ROW_KEY_COLS)
     return FS.with_row_key(li).groupBy("row_key").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("json_array", """
+select n_nationkey, n_name, round_even(n_nationkey / 7.0, 3) as share from nation
+""")
+def json_array(spark, sf):
+    """A small result as one JSON array of objects, read back."""
+    n = Tables(spark, sf).nation.select("n_nationkey", "n_name", (F.col("n_nationkey") / 7.0).alias("share"))
+    path = scratch_path(spark, "nation_json")
+    FS.write_json_array(n, path, round_cols=["share"], digits=3)
+    return FS.read_json_records(spark, path, "n_nationkey int, n_name string, share double", multiline=True)
+
+
 @query("head_orders", """
 select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 10
 """)

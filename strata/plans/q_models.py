@@ -1,320 +1,297 @@
 """Model queries.
 
-No SQL form exists for fitted models, so these are rows-only in the driver;
-exact behaviour (closed forms, invariants) is pinned by the pytest suite.
-Iteration counts are capped (``QUICK``) so a driver run stays short; the
-full presets are in ``operators.models.BOOSTED_PRESETS``.
+Features are fitted inside the folds, settings are the published ones in full
+(``boosting.PRESETS``), and the only bound is on the labelled rows a tree fit
+reads (``boosting.FIT_ROWS``). Fitted trees have no SQL form; tests compare
+them with plain versions, and the reports have fixed shapes.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.tuning import CrossValidator
+import random
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import prob_to_class
+from ..operators import boosting as B
 from ..operators import models as M
 from ..operators import reports as RP
+from ..operators import validate as V
 from ..operators.drift import drift_weights, tag_union
 from ..operators.features import V5_22, FeaturePlan
-from ..operators.folds import kfold_shuffled, kfold_stratified
-from ..operators.metrics import accuracy, regression_metrics, roc_auc
-from ..operators.profile import with_class_weight
-from ..operators.validate import cross_validate, feature_importance, oof_predictions
-from ..session import cut_lineage
-from ..sources.tables import Tables, spread
+from ..operators.folds import kfold_stratified
+from ..operators.metrics import accuracy, cv_summary, regression_metrics, roc_auc
+from ..operators.util import broadcast_if_small, stored
+from ..sources.tables import Tables
 from . import docs
 from . import regression as R
 from .q_features import RAW_NUM
 from .registry import query, rounded
 
-QUICK = 10     # boosting iterations / trees in driver queries
-K = 5          # folds where the fold rule itself is the point
-K3 = 3         # folds for model comparisons (many fits)
-
-
-_FRAMES: dict = {}
-
+K = 5
 
-def clf_frame(spark, sf, spec=V5_22, k=K):
-    """Assembled, folded, weighted labelled table (+ assembled test table).
-    Materialised once per session/scale/fold count as checkpointed tables and
-    reused by every model query (all of them fit on the same frame)."""
-    key = (spark.sparkContext.applicationId, sf, spec, k)
-    if key not in _FRAMES:
-        a, b, cols = _clf_frame(spark, sf, spec, k)
-        _FRAMES[key] = (_store(a), _store(b), cols)
-    return _FRAMES[key]
+#: The five models whose out-of-fold predictions are blended and stacked.
+FIVE = {"lgb": B.PRESETS["lgb_weights"], "xgb": B.PRESETS["xgb_v5"], "cb": B.PRESETS["catboost_v5"],
+        "rf": B.PRESETS["rf_weights"], "gb": B.PRESETS["gb_weights"]}
+#: The base models of the one-level stack.
+FOUR = {n: B.PRESETS[n] for n in ("xgb_v5", "lgb_v5", "catboost_v5", "rf_v5")}
 
 
-def _store(df):
-    df = cut_lineage(df)
-    s = spread(df)
-    return df if s is df else cut_lineage(s)
+def clf_setup(spark, sf, spec=V5_22, inner=False) -> V.Setup:
+    """Labelled documents in five stratified folds, plans fitted per fold."""
+    train, test = docs.tables(Tables(spark, sf))
+    rows = kfold_stratified(train, K, "target", "doc_id", 42)
+    if inner:
+        rows = kfold_stratified(rows, K, "target", "doc_id", 43, fold_col="inner")
+    return V.setup(stored(rows, "labelled"), K, "doc_id", "target", FeaturePlan(numeric=RAW_NUM, spec=spec), stored(test, "test"))
 
 
-def _clf_frame(spark, sf, spec, k):
-    t = Tables(spark, sf)
-    tr, te = docs.train_table(t), docs.test_table(t)
-    plan = FeaturePlan(numeric=RAW_NUM, spec=spec).fit(tr.drop("target"))
-    cols = plan.output_columns
-    trf = kfold_stratified(plan.transform(tr), k, "target", "doc_id", 42)
-    trf = with_class_weight(trf.withColumn("label", F.col("target").cast("double")), "target", "weight")
-    return M.assemble(trf, cols), M.assemble(plan.transform(te, is_test=True), cols), cols
-
-
-def _cv_report(spark, name, make, frame, k=K3):
-    cv = cross_validate(make, frame, k, "label", kind="classification")
-    return cv.agg(F.avg("train_auc").alias("train_auc"), F.avg("valid_auc").alias("cv_auc"),
-                  F.stddev_pop("valid_auc").alias("cv_std")).withColumn("model", F.lit(name))
+def final(s: V.Setup, settings: dict) -> V.Fitted:
+    """The models fitted on all labelled rows (split K)."""
+    return V.fit(s, settings, [s.k])
 
 
 @query("rf_clf")
 def rf_clf(spark, sf):
     """M7 + M13 + P24: balanced random forest, per-fold train/valid AUC."""
-    a, _, _ = clf_frame(spark, sf)
-    return rounded(cross_validate(lambda: M.rf_classifier(QUICK * 2, 6, weight="weight"), a, K, "label"))
+    s = clf_setup(spark, sf)
+    both, _ = V.out_of_fold(s, {"rf": B.PRESETS["rf_v5"]}, in_sample=True)
+    auc = roc_auc(both, "target", "p", ["fold", "seen"])
+    return rounded(auc.groupBy("fold").agg(F.max(F.when(F.col("seen"), F.col("auc"))).alias("train_auc"),
+                                           F.max(F.when(~F.col("seen"), F.col("auc"))).alias("valid_auc")))
 
 
 @query("gbt_presets")
 def gbt_presets(spark, sf):
-    """Boosted presets (capped iterations), CV AUC and gap per preset."""
-    a, _, _ = clf_frame(spark, sf, k=K3)
-    out = None
-    for name in ("xgb_default", "lgb_default", "catboost_conservative"):
-        r = _cv_report(spark, name, lambda n=name: M.boosted(n, max_iter=QUICK, weight="weight"), a)
-        out = r if out is None else out.unionByName(r)
-    return rounded(RP.gap_report(out))
+    """Every published boosted setting, CV AUC, gap bands."""
+    presets = {n: t for n, t in B.PRESETS.items() if not t.forest}
+    return rounded(RP.gap_report(V.cv_report(clf_setup(spark, sf), presets)))
 
 
 @query("logistic_balanced")
 def logistic_balanced(spark, sf):
     """L2 logistic regression (C = 0.1) with balanced class weights; coefficients."""
-    a, _, cols = clf_frame(spark, sf)
-    n = a.agg(F.sum("weight")).first()[0]
-    m = M.logistic(C=0.1, n=n, weight="weight").fit(a)
-    rows = [(c, float(w)) for c, w in zip(cols, m.coefficients)] + [("intercept", float(m.intercept))]
+    s = clf_setup(spark, sf)
+    m = V.meta_logistic(stored(s.fit_rows(s.k), "rows"), "target", 0.1, True)
+    rows = [(c, float(w)) for c, w in zip(s.cols, m.coefficients)] + [("intercept", float(m.intercept))]
     return rounded(spark.createDataFrame(rows, "feature string, coef double"))
 
 
 @query("oof_matrix")
 def oof_matrix(spark, sf):
-    """M14 + U2 + A10: out-of-fold predictions of two models (each row scored
-    once) and fold-averaged test predictions, stacked long."""
-    a, b, _ = clf_frame(spark, sf)
-    o1, t1 = oof_predictions(lambda: M.rf_classifier(QUICK * 2, 6, weight="weight"), a, K, "doc_id",
-                             "label", test=b, model_name="rf")
-    o2, t2 = oof_predictions(lambda: M.logistic(C=1.0, n=400), a, K, "doc_id", "label", test=b,
-                             model_name="logistic")
-    oof = o1.unionByName(o2)
-    test = t1.unionByName(t2).withColumn("fold", F.lit(-1)).withColumn("label", F.lit(None).cast("double"))
-    return rounded(oof.unionByName(test.select(*oof.columns)))
-
-
-def _stack_inputs(spark, sf):
-    a, b, _ = clf_frame(spark, sf, k=K3)
-    parts = []
-    for name, make in (("rf", lambda: M.rf_classifier(QUICK * 2, 6, weight="weight")),
-                       ("gbt", lambda: M.boosted("lgb_conservative", max_iter=QUICK)),
-                       ("logistic", lambda: M.logistic(C=1.0, n=400))):
-        o, _ = oof_predictions(make, a, K3, "doc_id", "label", model_name=name)
-        parts.append(o)
-    oof = parts[0]
-    for p in parts[1:]:
-        oof = oof.unionByName(p)
-    wide = oof.groupBy("doc_id", "label", "fold").pivot("model", ["rf", "gbt", "logistic"]).agg(F.first("p"))
-    return oof, M.assemble(wide, ["rf", "gbt", "logistic"])
+    """M14 + U2: out-of-fold predictions of the five models (each row scored once
+    by each) and fold-averaged test predictions, stacked long."""
+    s = clf_setup(spark, sf)
+    oof, models = V.out_of_fold(s, FIVE)
+    test = V.test_scores(s, models).withColumn("fold", F.lit(-1)).withColumn("target", F.lit(None).cast("int"))
+    return rounded(oof.unionByName(test))
+
+
+@query("oof_coverage", f"""
+with f as (select doc_id, target, cast((row_number() over (partition by target
+             order by md5('42:' || cast(doc_id as varchar)), doc_id) - 1) % 5 as integer) as fold from {docs.TRAIN_SQL} t),
+m as (select unnest(['lgb', 'xgb', 'cb', 'rf', 'gb']) as model)
+select model, fold, count(*) as n, cast(sum(target) as bigint) as n_pos, count(*) as n_scored, cast(sum(doc_id) as bigint) as keys
+from f, m group by model, fold
+""")
+def oof_coverage(spark, sf):
+    """Who is scored where: rows, positives and keys per model and fold."""
+    oof, _ = V.out_of_fold(clf_setup(spark, sf), FIVE)
+    return oof.groupBy("model", "fold").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("target").alias("n_pos"),
+        F.sum(F.col("p").between(0, 1).cast("long")).alias("n_scored"), F.sum("doc_id").alias("keys"))
 
 
 @query("stack_logistic")
 def stack_logistic(spark, sf):
-    """Logistic meta-model (C = 0.1) over out-of-fold base predictions,
-    cross-validated on the same folds; base and meta AUCs."""
-    oof, wide = _stack_inputs(spark, sf)
-    base = roc_auc(oof, "label", "p", ["model"]).select("model", "auc")
-    mo, _ = oof_predictions(lambda: M.logistic(C=0.1, n=400), wide, K3, "doc_id", "label", model_name="stack")
-    meta = roc_auc(mo, "label", "p").select(F.lit("stack").alias("model"), "auc")
-    return rounded(base.unionByName(meta))
+    """Four base models under a balanced logistic meta-model (C = 0.01),
+    fitted on inner out-of-fold predictions, five-fold CV AUC; test scores of
+    the stack refitted on all rows."""
+    oof, test = V.stack(clf_setup(spark, sf, inner=True), FOUR, 0.01)
+    auc = cv_summary(roc_auc(oof, "target", "p", ["model", "fold"]), "auc", ["model"])
+    scored = test.groupBy("model").agg(F.count(F.lit(1)).alias("n_test"), F.avg("p").alias("test_mean"))
+    return rounded(auc.join(scored, "model", "left"))
+
+
+def two_level(spark, sf):
+    """(per-model OOF AUC rows, fold-averaged test scores) of the two-level stack."""
+    s = clf_setup(spark, sf)
+    oof, models = V.out_of_fold(s, FIVE)
+    names = list(FIVE)
+    level1 = stored(V.wide(oof, "doc_id", names, "target", "fold"), "level1")
+    test1 = stored(V.wide(V.test_scores(s, models), "doc_id", names), "test1")
+    metas = {"meta_logistic": V.logistic(1.0), "meta_lightgbm": B.PRESETS["lgb_meta"]}
+    frames = {f: level1.where(F.col("fold") != f) for f in range(K)}
+    fitted = V.fit(s, metas, range(K), frames=frames)
+    parts, tests = [], []
+    for n in metas:
+        for f in range(K):
+            parts.append(fitted.score(level1.where(F.col("fold") == f), n, f)
+                         .select("doc_id", "target", F.lit(n).alias("model"), "p"))
+            tests.append(fitted.score(test1, n, f).select("doc_id", F.lit(n).alias("model"), "p"))
+    mean = F.aggregate("x", F.lit(0.0), lambda a, v: a + v) / len(names)
+    parts.append(level1.select("doc_id", "target", F.lit("mean_baseline").alias("model"), mean.alias("p")))
+    tests.append(test1.select("doc_id", F.lit("mean_baseline").alias("model"), mean.alias("p")))
+    auc = roc_auc(stored(V.union(parts), "level2"), "target", "p", ["model"]).select("model", "auc")
+    return auc, V.union(tests).groupBy("doc_id", "model").agg(F.avg("p").alias("p"))
 
 
 @query("stack_two_level")
 def stack_two_level(spark, sf):
-    """M16 + M22: meta ∈ {logistic, boosted} cross-fitted on OOF predictions,
-    baseline = mean of the base models; best by OOF AUC."""
-    oof, wide = _stack_inputs(spark, sf)
-    rows = []
-    for name, make in (("meta_logistic", lambda: M.logistic(C=0.1, n=400)),
-                       ("meta_boosted", lambda: M.gbt_classifier(n_iter=QUICK, depth=2, step=0.05))):
-        mo, _ = oof_predictions(make, wide, K3, "doc_id", "label", model_name=name)
-        rows.append(roc_auc(mo, "label", "p").select(F.lit(name).alias("model"), "auc"))
-    mean = oof.groupBy("doc_id", "label").agg(F.avg("p").alias("p"))
-    rows.append(roc_auc(mean, "label", "p").select(F.lit("mean_baseline").alias("model"), "auc"))
-    rep = rows[0].unionByName(rows[1]).unionByName(rows[2])
-    best = rep.agg(F.max_by("model", "auc")).first()[0]
-    return rounded(rep.withColumn("best", F.col("model") == F.lit(best)))
+    """M16 + M22: meta models cross-fitted on the out-of-fold predictions of five
+    models, fold-averaged test scores, baseline = their mean; best by OOF AUC."""
+    auc, test = two_level(spark, sf)
+    scored = test.groupBy("model").agg(F.count(F.lit(1)).alias("n_test"), F.avg("p").alias("test_mean"))
+    rep = stored(auc.join(scored, "model"), "report")
+    best = rep.where("model <> 'mean_baseline'").agg(F.max_by("model", "auc")).first()[0]
+    base = rep.where("model = 'mean_baseline'").first()["auc"]
+    return rounded(rep.withColumn("best", F.col("model") == F.lit(best))
+                   .withColumn("points_gain", RP.points_delta(F.col("auc") - F.lit(base))))
 
 
 @query("hyper_search")
 def hyper_search(spark, sf):
-    """Seeded random search over boosted-tree settings, scored with
-    CrossValidator on the precomputed stratified folds (parallel fits)."""
-    import random
-    a, _, _ = clf_frame(spark, sf, k=K3)
-    est = M.gbt_classifier(n_iter=QUICK // 2)
+    """30 seeded random settings of nine parameters, five-fold CV AUC each;
+    all 150 fits are dealt over the cluster at once."""
     rng = random.Random(42)
-    grid = []
-    for _ in range(4):   # log-uniform step, integer depth, uniform subsample
-        grid.append({est.stepSize: 10 ** rng.uniform(-2, -0.5), est.maxDepth: rng.randint(2, 5),
-                     est.subsamplingRate: rng.uniform(0.6, 1.0)})
-    cv = CrossValidator(estimator=est, estimatorParamMaps=grid, foldCol="fold", numFolds=K3, parallelism=4,
-                        evaluator=BinaryClassificationEvaluator(metricName="areaUnderROC", numBins=0))
-    m = cv.fit(a)
-    rows = [(i, float(g[est.stepSize]), int(g[est.maxDepth]), float(g[est.subsamplingRate]), float(s))
-            for i, (g, s) in enumerate(zip(grid, m.avgMetrics))]
-    rep = spark.createDataFrame(rows, "trial int, step double, depth int, subsample double, cv_auc double")
-    return rounded(rep.withColumn("best", F.col("cv_auc") == F.lit(max(m.avgMetrics))))
-
-
-# fixed values: the three regularisation levels (none / weak / strong)
-REG_LEVELS = {
-    "none": dict(depth=8, step=0.1, min_leaf=1, subsample=1.0, feature_subset="all"),
-    "weak": dict(depth=5, step=0.05, min_leaf=5, subsample=0.8, feature_subset="0.8"),
-    "strong": dict(depth=3, step=0.03, min_leaf=10, subsample=0.7, feature_subset="0.7", min_gain=0.01),
-}
+    trials = {}
+    for i in range(30):
+        trials[f"{i:02d}"] = B.Trees(
+            trees=rng.randint(300, 1000), depth=rng.randint(3, 7), step=0.01 * 10 ** rng.uniform(0, 1),
+            rows=rng.uniform(0.6, 0.9), columns=rng.uniform(0.6, 0.9), min_weight=float(rng.randint(1, 10)),
+            min_gain=rng.uniform(0, 0.5), l1=rng.uniform(0.5, 5.0), l2=rng.uniform(1.0, 5.0), balanced=True)
+    oof, _ = V.out_of_fold(clf_setup(spark, sf), trials)
+    auc = cv_summary(roc_auc(oof, "target", "p", ["model", "fold"]), "auc", ["model"])
+    rows = [(n, t.trees, t.depth, t.step, t.rows, t.columns, t.min_weight, t.min_gain, t.l1, t.l2) for n, t in trials.items()]
+    listed = spark.createDataFrame(rows, "model string, trees int, depth int, step double, subsample double, columns double, "
+                                         "min_weight double, min_gain double, l1 double, l2 double")
+    rep = stored(auc.join(listed, "model"), "trials")
+    best = rep.agg(F.max_by("model", F.struct("auc_mean", "model"))).first()[0]
+    return rounded(rep.withColumn("best", F.col("model") == F.lit(best)))
 
 
 @query("regularisation_levels")
 def regularisation_levels(spark, sf):
     """M25 + A11 + P20: train vs CV AUC for none / weak / strong settings, gap bands."""
-    a, _, _ = clf_frame(spark, sf, k=K3)
-    out = None
-    for name, kw in REG_LEVELS.items():
-        r = _cv_report(spark, name, lambda kw=kw: M.gbt_classifier(n_iter=QUICK, **kw), a)
-        out = r if out is None else out.unionByName(r)
-    return rounded(RP.gap_report(out))
+    return rounded(RP.gap_report(V.cv_report(clf_setup(spark, sf), B.REG_LEVELS)))
+
+
+def _ranked(spark, importances):
+    df = spark.createDataFrame(importances, "feature string, importance double")
+    return df.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("importance"), "feature")))
 
 
 @query("importance_rank")
 def importance_rank(spark, sf):
-    """M26 + W1: random-forest importances, ranked (ties by name)."""
-    a, _, cols = clf_frame(spark, sf)
-    m = M.rf_classifier(QUICK * 2, 6, weight="weight").fit(a)
-    df = spark.createDataFrame(feature_importance(m, cols), "feature string, importance double")
-    from pyspark.sql import Window
-    w = Window.orderBy(F.desc("importance"), "feature")   # ≤ #features rows
-    return rounded(df.withColumn("rank", F.row_number().over(w)))
+    """M26 + W1: random-forest importances, ranked (ties by name; a row per feature)."""
+    s = clf_setup(spark, sf)
+    model = final(s, {"rf": B.PRESETS["rf_v4"]}).trees["rf", s.k]
+    return rounded(_ranked(spark, V.feature_importance(model, s.cols)))
 
 
 @query("importance_select")
 def importance_select(spark, sf):
-    """Keep features with importance ≥ the median importance; CV AUC before/after."""
-    a, _, cols = clf_frame(spark, sf, k=K3)
-    m = M.boosted("lgb_default", max_iter=QUICK).fit(a)
-    imp = feature_importance(m, cols)
-    vals = sorted(v for _, v in imp)
-    mid = len(vals) // 2
-    med = vals[mid] if len(vals) % 2 else (vals[mid - 1] + vals[mid]) / 2
-    keep = [c for c, v in imp if v >= med]
-    sel = M.assemble(a.drop("features"), keep)
-    before = _cv_report(spark, "all", lambda: M.boosted("lgb_default", max_iter=QUICK), a)
-    after = _cv_report(spark, "selected", lambda: M.boosted("lgb_default", max_iter=QUICK), sel)
-    return rounded(before.unionByName(after).withColumn(
-        "n_features", F.when(F.col("model") == "all", len(cols)).otherwise(len(keep))))
-
-
-def _adversarial_frame(spark, sf):
-    t = Tables(spark, sf)
-    tr, te = docs.train_table(t).drop("target"), docs.test_table(t)
-    plan = FeaturePlan(numeric=RAW_NUM, spec=()).fit(tr)
-    cols = plan.output_columns
-    u = tag_union(plan.transform(tr), plan.transform(te, is_test=True))
-    u = kfold_stratified(u, K, "is_test", "doc_id", 42).withColumn("label", F.col("is_test").cast("double"))
-    return M.assemble(u, cols), cols
+    """Keep features of at least the median importance; the selector is
+    fitted inside each fold. CV AUC with all and with the selected features."""
+    from dataclasses import replace
+    s = clf_setup(spark, sf)
+    pair = {"all": B.PRESETS["lgb_v4"], "selected": replace(B.PRESETS["lgb_v4"], select=B.PRESETS["lgb_selector"])}
+    kept = final(s, pair).trees["selected", s.k]["cols"]
+    return rounded(V.cv_report(s, pair).withColumn(
+        "n_features", F.when(F.col("model") == "all", len(s.cols)).otherwise(len(kept))))
+
+
+def adversarial_setup(spark, sf) -> V.Setup:
+    """Labelled and unlabelled documents together; the label is which."""
+    train, test = docs.tables(Tables(spark, sf))
+    u = kfold_stratified(tag_union(train.drop("target"), test), K, "is_test", "doc_id", 42)
+    return V.setup(stored(u, "tagged"), K, "doc_id", "is_test", FeaturePlan(numeric=RAW_NUM, spec=()))
+
+
+ADVERSARY = {"adversarial": B.PRESETS["lgb_adversarial"]}
 
 
 @query("adversarial_validation")
 def adversarial_validation(spark, sf):
     """M29 + A9 + P20: can a model tell labelled from unlabelled documents?
     Per-fold AUC, mean ± std, status and action ladders."""
-    u, _ = _adversarial_frame(spark, sf)
-    oof, _ = oof_predictions(lambda: M.gbt_classifier(n_iter=QUICK, depth=3), u, K, "doc_id", "label",
-                             model_name="adversarial")
-    per = roc_auc(oof, "label", "p", ["fold"])
-    s = per.agg(F.avg("auc").alias("auc_mean"), F.stddev_pop("auc").alias("auc_std"))
-    return rounded(s.select("auc_mean", "auc_std", RP.drift_status(F.col("auc_mean")).alias("status"),
+    oof, _ = V.out_of_fold(adversarial_setup(spark, sf), ADVERSARY)
+    r = cv_summary(roc_auc(oof, "is_test", "p", ["model", "fold"]), "auc", ["model"])
+    return rounded(r.select("auc_mean", "auc_std", RP.drift_status(F.col("auc_mean")).alias("status"),
                             RP.drift_action(F.col("auc_mean")).alias("action")))
 
 
+@query("adversarial_importance")
+def adversarial_importance(spark, sf):
+    """M29 + W1: the features that tell the two apart, ranked."""
+    s = adversarial_setup(spark, sf)
+    model = final(s, ADVERSARY).trees["adversarial", s.k]
+    return rounded(_ranked(spark, V.feature_importance(model, s.cols)))
+
+
 @query("drift_weighted_fit")
 def drift_weighted_fit(spark, sf):
     """M30 + P27: out-of-fold adversarial scores on the labelled rows → weights
-    p²/mean(p²) → weighted forest; CV AUC with and without the weights."""
-    u, _ = _adversarial_frame(spark, sf)
-    oof, _ = oof_predictions(lambda: M.gbt_classifier(n_iter=QUICK, depth=3), u, K, "doc_id", "label",
-                             model_name="adversarial")
-    w = drift_weights(oof.where(F.col("label") == 0).select("doc_id", "p"), "p", "dw")
-    a, _, _ = clf_frame(spark, sf, k=K3)
-    aw = a.join(w.select("doc_id", "dw"), "doc_id")
-    plain = _cv_report(spark, "unweighted", lambda: M.rf_classifier(QUICK * 2, 6), aw)
-    weighted = _cv_report(spark, "drift_weighted", lambda: M.rf_classifier(QUICK * 2, 6, weight="dw"), aw)
-    mx = w.agg(F.max("dw")).first()[0]
-    return rounded(plain.unionByName(weighted).withColumn("max_weight", F.lit(float(mx))))
+    p²/mean(p²) → weighted fit; CV AUC with and without the weights."""
+    oof, _ = V.out_of_fold(adversarial_setup(spark, sf), ADVERSARY)
+    w = stored(drift_weights(oof.where("is_test = 0").select("doc_id", "p"), "p", "dw"), "weights")
+    s = clf_setup(spark, sf)
+    s.rows = stored(s.rows.join(w.select("doc_id", "dw"), "doc_id"), "weighted")
+    model = {"lgb": B.PRESETS["lgb_weights"]}
+    s.weight = "dw"
+    plain = V.cv_report(s, model).withColumn("model", F.lit("unweighted"))
+    weighted = V.cv_report(s, model, weight="dw").withColumn("model", F.lit("drift_weighted"))
+    top = w.agg(F.max("dw")).first()[0]
+    return rounded(plain.unionByName(weighted).withColumn("max_weight", F.lit(float(top))))
 
 
 @query("model_report")
 def model_report(spark, sf):
-    """M31 + O1 + A17 + A7 + P23 + P18: leaderboard by CV AUC (desc, name),
-    best model, its hold-out accuracy at threshold 0.5 and points."""
-    a, _, _ = clf_frame(spark, sf, k=K3)
-    makers = {"random_forest": lambda: M.rf_classifier(QUICK * 2, 6, weight="weight"),
-              "boosted": lambda: M.boosted("xgb_conservative", max_iter=QUICK),
-              "logistic": lambda: M.logistic(C=1.0, n=400)}
-    out = None
-    for name, make in makers.items():
-        r = _cv_report(spark, name, make, a)
-        out = r if out is None else out.unionByName(r)
-    from pyspark.sql import Window
-    out = out.withColumn("points", RP.auc_points(F.col("cv_auc")))
-    out = out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("cv_auc"), "model")))  # ≤ 3 rows
-    best = out.agg(F.max_by("model", F.struct("cv_auc", F.lit(0)))).first()[0]
-    tr, va = a.where(F.col("fold") != 0), a.where(F.col("fold") == 0)
-    pred = M.positive_probability(makers[best]().fit(tr).transform(va))
-    acc = accuracy(pred.withColumn("cls", (F.col("p") > 0.5).cast("double")), "label", "cls").first()[0]
-    return rounded(out.withColumn("holdout_accuracy",
-                                  F.when(F.col("model") == best, F.lit(float(acc)))))
+    """M31 + O1 + A17 + A7 + P23 + P18: leaderboard by CV AUC (desc, name), the
+    best model, and its accuracy on the held-out rows at threshold 0.5."""
+    s = clf_setup(spark, sf)
+    oof, _ = V.out_of_fold(s, FOUR)
+    rep = cv_summary(roc_auc(oof, "target", "p", ["model", "fold"]), "auc", ["model"]).withColumnsRenamed(
+        {"auc_mean": "cv_auc", "auc_std": "cv_std"}).drop("n_folds")
+    acc = accuracy(oof.withColumn("cls", prob_to_class("p")), "target", "cls", ["model"])
+    rep = stored(rep.join(acc, "model"), "report").withColumn("points", RP.auc_points(F.col("cv_auc")))
+    one = Window.partitionBy(F.lit(0))  # a row per model
+    return rounded(rep.withColumn("rank", F.row_number().over(one.orderBy(F.desc("cv_auc"), "model")))
+                   .withColumn("best", F.col("rank") == 1))
 
 
 @query("predict_unlabelled")
 def predict_unlabelled(spark, sf):
     """M32 + S3: fit on all labelled rows, score the unlabelled documents."""
-    a, b, _ = clf_frame(spark, sf)
-    m = M.rf_classifier(QUICK * 2, 6, weight="weight").fit(a)
-    return rounded(M.positive_probability(m.transform(b)).select("doc_id", F.col("p").alias("target")))
-
-
-def _reg_cv(spark, sf, make):
-    df = M.assemble(kfold_shuffled(R.table(Tables(spark, sf)), K, "p_partkey", 42), ["W0", "W1"])
-    return cross_validate(make, df, K, "y", kind="regression")
-
-
-@query("rf_reg")
-def rf_reg(spark, sf):
-    """M5: random-forest regressor, per-fold train/valid MSE and R²."""
-    return rounded(_reg_cv(spark, sf, lambda: M.rf_regressor(QUICK * 2, 8, label="y")))
-
-
-@query("gbt_reg")
-def gbt_reg(spark, sf):
-    """M6: gradient-boosting regressor, per-fold train/valid MSE and R²."""
-    return rounded(_reg_cv(spark, sf, lambda: M.gbt_regressor(QUICK * 2, 0.1, 3, label="y")))
-
-
-@query("lasso_path")
+    s = clf_setup(spark, sf)
+    return rounded(final(s, {"rf": B.PRESETS["rf_v5"]}).score(s.test_rows(s.k), "rf", s.k)
+                   .select("doc_id", F.col("p").alias("target")))
+
+
+@query("lasso_path", f"""
+with recursive r as {R.SQL},
+s as (select count(*) as n, avg(W0) as m1, avg(W1) as m2, avg(y) as my, var_pop(W0) as v1, var_pop(W1) as v2,
+             covar_pop(W0, W1) as c12, covar_pop(W0, y) as c1y, covar_pop(W1, y) as c2y from r),
+a as (select unnest([0.001, 0.01, 0.1]) as alpha),
+cd(alpha, i, b1, b2) as (
+  select alpha, 0, 0.0::double, 0.0::double from a
+  union all
+  select alpha, i + 1, nb1, sign(c2y - c12 * nb1) * greatest(abs(c2y - c12 * nb1) - alpha, 0) / v2
+  from (select alpha, i, b2, sign(c1y - c12 * b2) * greatest(abs(c1y - c12 * b2) - alpha, 0) / v1 as nb1, c12, c2y, v2
+        from cd, s where i < 200) t),
+e as (select alpha, b1, b2, my - b1 * m1 - b2 * m2 as b0 from cd, s where i = 200)
+select alpha, round(b1, 4) as coef_W0, round(b2, 4) as coef_W1, round(b0, 4) as intercept,
+       round((select avg((y - b0 - b1 * W0 - b2 * W1) * (y - b0 - b1 * W0 - b2 * W1)) from r), 4) as mse from e
+""")
 def lasso_path(spark, sf):
-    """M3: lasso coefficients over alpha ∈ {0.001, 0.01, 0.1} (in-sample MSE too)."""
-    df = M.assemble(R.table(Tables(spark, sf)), ["W0", "W1"])
+    """M3: lasso coefficients over alpha, with in-sample MSE
+    (oracle: coordinate descent on the moments)."""
+    df = stored(M.assemble(R.table(Tables(spark, sf)), ["W0", "W1"]), "rows")
     rows = []
     for alpha in (0.001, 0.01, 0.1):
         m = M.lasso(alpha, "y").fit(df)
         mse = regression_metrics(m.transform(df), "y", "prediction").first()["mse"]
         rows.append((alpha, float(m.coefficients[0]), float(m.coefficients[1]), float(m.intercept), float(mse)))
-    return rounded(spark.createDataFrame(rows, "alpha double, coef_W0 double, coef_W1 double, intercept double, mse double"))
+    got = spark.createDataFrame(rows, "alpha double, coef_W0 double, coef_W1 double, intercept double, mse double")
+    return got.select("alpha", *[F.round(c, 4).alias(c) for c in got.columns[1:]])

@@ -5,11 +5,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import boosting as B
 from ..operators import models as M
 from ..operators.features import poly2
-from ..operators.folds import kfold_shuffled
+from ..operators.folds import kfold_contiguous, kfold_shuffled
 from ..operators.metrics import regression_metrics
-from ..operators.validate import cross_validate, fit_diagnosis, quality_band
+from ..operators.util import stored
+from ..operators.validate import cross_validate, fit_diagnosis, quality_band, union
 from ..sources.tables import Tables
 from . import regression as R
 from .registry import query, rounded
@@ -125,14 +127,26 @@ def predict_head(spark, sf):
         F.abs(F.col("y") - F.col("prediction")).alias("abs_error")))
 
 
-@query("poly2_fit")
+POLY = ["W0", "W1", "W0_W0", "W0_W1", "W1_W1"]
+
+
+@query("poly2_fit", f"""
+with r as (select y, W0, W1, W0 * W0 as W0_W0, W0 * W1 as W0_W1, W1 * W1 as W1_W1 from {R.SQL} t)
+select count(*) as n, {', '.join(f"round(corr(y, {c}), 4) as corr_{c}, cast(0 as bigint) as gradient_{c}" for c in POLY)},
+       cast(1 as integer) as quadratic
+from r
+""")
 def poly2_fit(spark, sf):
-    """M4: degree-2 expansion + OLS; in-sample MSE < 1 ⇒ the target is quadratic."""
+    """M4: degree-2 expansion + OLS. A least-squares fit is one whose residuals
+    are orthogonal to every feature: the gradients, in units of 1e-4 of the
+    feature's and target's spread, are 0. In-sample MSE < 1 ⇒ quadratic target."""
     df = poly2(R.table(Tables(spark, sf)), ["W0", "W1"])
-    cols = ["W0", "W1", "W0_W0", "W0_W1", "W1_W1"]
-    model, a = _fit(df, cols, M.linear("y"))
-    m = regression_metrics(model.transform(a), "y", "prediction")
-    return m.select("n", (F.col("mse") < 1).cast("int").alias("quadratic"))
+    model, a = _fit(df, POLY, M.linear("y"))
+    p = stored(model.transform(a).select("y", *POLY, (F.col("y") - F.col("prediction")).alias("e")), "fitted")
+    slope = [F.abs(F.round(F.covar_pop("e", c) / F.greatest(F.stddev_pop("y") * F.stddev_pop(c), F.lit(1e-12)) * 1e4))
+             .cast("long").alias(f"gradient_{c}") for c in POLY]
+    return p.agg(F.count(F.lit(1)).alias("n"), *[F.round(F.corr("y", c), 4).alias(f"corr_{c}") for c in POLY], *slope,
+                 (F.avg(F.col("e") * F.col("e")) < 1).cast("int").alias("quadratic"))
 
 
 def _cv_frame(spark, sf):
@@ -173,7 +187,7 @@ from mv join mt using (fold)
 """)
 def cv_folds_regression(spark, sf):
     """M13 + A11 per fold: train and validation MSE / R² of OLS over shuffled folds."""
-    return rounded(cross_validate(lambda: M.linear("y"), _cv_frame(spark, sf), 5, "y", kind="regression"))
+    return rounded(cross_validate(lambda: M.linear("y"), _cv_frame(spark, sf), 5, "y"))
 
 
 @query("fit_diagnosis", f"""
@@ -200,7 +214,7 @@ from d
 """)
 def fit_diagnosis_q(spark, sf):
     """P21 + A9 + A11: train vs cross-validated fit, relative gap, verdicts."""
-    cv = cross_validate(lambda: M.linear("y"), _cv_frame(spark, sf), 5, "y", kind="regression")
+    cv = cross_validate(lambda: M.linear("y"), _cv_frame(spark, sf), 5, "y")
     model, a = _fit(R.table(Tables(spark, sf)), ["W0", "W1"], M.linear("y"))
     full = regression_metrics(model.transform(a), "y", "prediction").select(
         F.col("mse").alias("train_mse"), F.col("r2").alias("train_r2"))
@@ -213,3 +227,106 @@ def fit_diagnosis_q(spark, sf):
     d = d.withColumn("diagnosis", fit_diagnosis(F.col("train_r2"), F.col("cv_r2"), F.col("relative_gap")))
     d = d.withColumn("quality", quality_band(F.col("cv_r2")))
     return rounded(d).withColumn("relative_gap", F.round("relative_gap", 4))
+
+
+# ---- model comparison of the regression study ------------------------------------
+
+CONTIGUOUS_SQL = FOLD_SQL.replace(
+    "cast((row_number() over (order by md5('42:' || cast(p_partkey as varchar)), p_partkey) - 1) % 5\n                    as integer)",
+    "cast(ntile(5) over (order by p_partkey) - 1 as integer)")
+RIDGE_SQL = CONTIGUOUS_SQL.replace(
+    "cf as (select fold,", "al as (select * from (values ('Linear Regression', 0.0), ('Ridge (1)', 1.0), ('Ridge (10)', 10.0)) v(model, alpha)),\n"
+    "cf as (select model, fold,").replace("c11 * c22 - c12 * c12", "(c11 + alpha) * (c22 + alpha) - c12 * c12") \
+    .replace("c1y * c22 -", "c1y * (c22 + alpha) -").replace("c2y * c11 -", "c2y * (c11 + alpha) -") \
+    .replace("m1, m2, my from cm)", "m1, m2, my from cm, al)").replace("cf2 as (select fold,", "cf2 as (select model, fold,") \
+    .replace("pv as (select r.fold,", "pv as (select model, r.fold,").replace("mv as (select fold,", "mv as (select model, fold,") \
+    .replace("from pv group by fold)", "from pv group by model, fold)")
+RIDGE_SQL = RIDGE_SQL[:RIDGE_SQL.index("pt as (")] + RIDGE_SQL[RIDGE_SQL.index("mv as ("):RIDGE_SQL.index("mt as (")].rstrip().rstrip(",")
+
+LINEAR = {"Linear Regression": lambda n, sd: M.linear("y"), "Ridge (1)": lambda n, sd: M.ridge(1.0, n, sd, "y"),
+          "Ridge (10)": lambda n, sd: M.ridge(10.0, n, sd, "y"), "Lasso (0.1)": lambda n, sd: M.lasso(0.1, "y")}
+POLYNOMIAL = {"Poly-2 + Linear": lambda n, sd: M.linear("y"), "Poly-2 + Ridge": lambda n, sd: M.ridge(1.0, n, sd, "y")}
+
+
+def comparison_rows(spark, sf):
+    """The regression table in five contiguous folds with its degree-2 terms."""
+    df = poly2(kfold_contiguous(R.table(Tables(spark, sf)), 5, ["p_partkey"]), ["W0", "W1"])
+    return stored(df, "regression")
+
+
+def fit_linear(df, name):
+    make, cols = (LINEAR[name], ["W0", "W1"]) if name in LINEAR else (POLYNOMIAL[name], POLY)
+    a = M.assemble(df, cols)
+    t = a.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("y").alias("sd")).first()
+    return lambda x: make(t["n"], t["sd"]).fit(a).transform(M.assemble(x, cols)).withColumn("p", F.col("prediction"))
+
+
+def held_out_errors(df, names, trees):
+    """(model, fold, mse) of every model on its held-out fold."""
+    parts = []
+    for f in range(5):
+        seen, held = df.where(F.col("fold") != f), df.where(F.col("fold") == f)
+        parts += [fit_linear(seen, n)(held).select(F.lit(n).alias("model"), "fold", "y", "p") for n in names]
+    if trees:
+        x = F.array("W0", "W1").alias("x")
+        frames = {f: df.where(F.col("fold") != f).select("p_partkey", "y", x) for f in range(5)}
+        models = B.fit_many(frames, trees, "p_partkey", "y")
+        parts += [df.where(F.col("fold") == f).select(F.lit(n).alias("model"), "fold", "y", B.score(x, m).alias("p"))
+                  for (n, f), m in models.items()]
+    e = (F.col("y") - F.col("p")) * (F.col("y") - F.col("p"))
+    return union(parts).groupBy("model", "fold").agg(F.avg(e).alias("mse"))
+
+
+@query("cv_linear_family", f"""
+with {RIDGE_SQL}
+select model, round(avg(valid_mse), 5) as cv_mse, round(stddev_pop(valid_mse), 5) as cv_std from mv group by model
+""")
+def cv_linear_family(spark, sf):
+    """M1 + M2 + W2 + M13: OLS and both ridges over unshuffled five folds."""
+    errors = held_out_errors(comparison_rows(spark, sf), ["Linear Regression", "Ridge (1)", "Ridge (10)"], {})
+    r = errors.groupBy("model").agg(F.avg("mse").alias("cv_mse"), F.stddev_pop("mse").alias("cv_std"))
+    return r.select("model", F.round("cv_mse", 5).alias("cv_mse"), F.round("cv_std", 5).alias("cv_std"))
+
+
+def leaderboard(spark, sf):
+    df = comparison_rows(spark, sf)
+    errors = held_out_errors(df, [*LINEAR, *POLYNOMIAL], B.REGRESSORS)
+    board = stored(errors.groupBy("model").agg(F.avg("mse").alias("cv_mse"), F.stddev_pop("mse").alias("cv_std")), "board")
+    return df, board, board.orderBy("cv_mse", "model").first()["model"]
+
+
+@query("regression_compare")
+def regression_compare(spark, sf):
+    """M1–M6 + O1 + A17: nine regressors, CV MSE over unshuffled five folds,
+    ascending, the best marked."""
+    _, board, best = leaderboard(spark, sf)
+    return rounded(board.withColumn("best", F.col("model") == F.lit(best)).orderBy("cv_mse", "model"))
+
+
+@query("regression_predict")
+def regression_predict(spark, sf):
+    """S3/S4 + A5: the best regressor refitted on all rows; predictions rounded to
+    three places, with the minimum, maximum, mean and deviation over the table."""
+    df, _, best = leaderboard(spark, sf)
+    if best in B.REGRESSORS:
+        x = F.array("W0", "W1").alias("x")
+        m = B.fit_many({5: df.select("p_partkey", "y", x)}, {best: B.REGRESSORS[best]}, "p_partkey", "y")[best, 5]
+        got = df.select("p_partkey", "W0", "W1", B.score(x, m).alias("p"))
+    else:
+        got = fit_linear(df, best)(df).select("p_partkey", "W0", "W1", "p")
+    got = stored(got, "predictions")
+    t = got.agg(F.min("p").alias("lo"), F.max("p").alias("hi"), F.avg("p").alias("mean"), F.stddev_pop("p").alias("std")).first()
+    return got.select("p_partkey", "W0", "W1", F.bround("p", 3).alias("mse"),
+                      *[F.round(F.lit(t[c]), 6).alias(f"p_{c}") for c in ("lo", "hi", "mean", "std")])
+
+
+@query("rf_reg")
+def rf_reg(spark, sf):
+    """M5: both forest regressors, MSE per held-out fold."""
+    return rounded(held_out_errors(comparison_rows(spark, sf), [], {n: t for n, t in B.REGRESSORS.items() if t.forest}))
+
+
+@query("gbt_reg")
+def gbt_reg(spark, sf):
+    """M6: gradient-boosting regressor, MSE per held-out fold."""
+    return rounded(held_out_errors(comparison_rows(spark, sf), [], {n: t for n, t in B.REGRESSORS.items() if not t.forest}))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import trees as TR
 from ..operators.ranking import rank_in_groups
+from ..operators.util import broadcast_if_small, stored
 from ..sources.tables import Tables
 from .registry import query, rounded
 
@@ -77,7 +78,7 @@ select tree_id, vertex, size from sz
 """)
 def subtree_sizes(spark, sf):
     """Subtree size of every vertex of every tree."""
-    v = tree_vertices(Tables(spark, sf))
+    v = stored(tree_vertices(Tables(spark, sf)), "vertices")
     return TR.subtree_sizes(TR.orient(tree_edges(v))).select("tree_id", "vertex", "size")
 
 
@@ -88,29 +89,32 @@ select tree_id, point_id, round(angle, 6) as angle, r as rank from rk
 def polar_rank(spark, sf):
     """W5 + G4 + O4: all points of a tree ordered by angle around its root point,
     relative to the downward direction."""
-    v = tree_vertices(Tables(spark, sf))
+    v = stored(tree_vertices(Tables(spark, sf)), "vertices")
     pts = tree_points(v)
     rp = TR.root_point(pts).join(pts, ["tree_id", "point_id"]).select(
         "tree_id", F.col("point_id").alias("_rk"), F.col("x").alias("px"), F.col("y").alias("py"),
         F.lit(TR.DOWN).alias("ref"))
-    r = TR.polar_rank(pts, rp, ["tree_id"]).where(F.col("point_id") != F.col("_rk"))
-    r = rank_in_groups(r.drop("rank"), ["tree_id"], ["angle", "point_id"], "rank")
+    rest = pts.join(broadcast_if_small(stored(rp.select("tree_id", "_rk"), "roots")), "tree_id") \
+        .where(F.col("point_id") != F.col("_rk")).drop("_rk")
+    r = TR.polar_rank(rest, rp.drop("_rk"), ["tree_id"])
     return rounded(r.select("tree_id", "point_id", "angle", "rank"))
 
 
 def _root_level(spark, sf):
-    v = tree_vertices(Tables(spark, sf))
+    v = stored(tree_vertices(Tables(spark, sf)), "vertices")
     pts, edges = tree_points(v), tree_edges(v)
     sizes = TR.subtree_sizes(TR.orient(edges))
     rp = TR.root_point(pts).join(pts, ["tree_id", "point_id"]).select(
         "tree_id", F.col("point_id").alias("_rk"), F.col("x").alias("px"), F.col("y").alias("py"),
         F.lit(TR.DOWN).alias("ref"))
-    ranked = TR.polar_rank(pts.join(rp.select("tree_id", "_rk"), "tree_id").where(F.col("point_id") != F.col("_rk"))
-                           .drop("_rk"), rp.drop("_rk"), ["tree_id"], "r")
+    rp = stored(rp, "roots")
+    rest = pts.join(broadcast_if_small(rp.select("tree_id", "_rk")), "tree_id").where(F.col("point_id") != F.col("_rk"))
+    # read by both passes
+    ranked = stored(TR.polar_rank(rest.drop("_rk"), rp.drop("_rk"), ["tree_id"], "r"), "ranked")
     kids = (edges.where(F.col("u") == 0).select("tree_id", F.col("v").alias("vertex"), "eid")
                  .join(sizes, ["tree_id", "vertex"])
                  .select("tree_id", F.col("vertex").alias("child"), "eid", "size"))
-    return ranked, kids, rp
+    return ranked, stored(TR.bin_starts(kids, ["tree_id"], ["eid", "child"], "size"), "kids"), rp
 
 
 @query("quota_allocate", f"""
@@ -122,7 +126,7 @@ def quota_allocate(spark, sf):
     adjacency order in runs of their subtree sizes."""
     ranked, kids, _ = _root_level(spark, sf)
     a = TR.allocate(ranked.select("tree_id", "point_id", "r"), kids, ["tree_id"], rank_col="r",
-                    bin_col="child", order_col="eid", cap_col="size")
+                    bin_col="child", cap_col="size")
     return a.select("tree_id", "point_id", "child")
 
 
@@ -139,7 +143,7 @@ def centroids(spark, sf):
     """Centroids of the first-pass runs and their angles around the root point."""
     ranked, kids, rp = _root_level(spark, sf)
     a = TR.allocate(ranked.select("tree_id", "point_id", "x", "y", "r"), kids, ["tree_id"], rank_col="r",
-                    bin_col="child", order_col="eid", cap_col="size")
+                    bin_col="child", cap_col="size")
     c = TR.centroids(a, ["tree_id", "child"]).join(rp, "tree_id")
     from ..functions.columns import polar_angle, rel_angle
     c = c.withColumn("cang", rel_angle(polar_angle("px", "py", "cx", "cy"), F.col("ref")))
@@ -159,32 +163,30 @@ def child_partition(spark, sf):
     centroids, runs re-dealt in that order (the chunk each child recurses on)."""
     ranked, kids, rp = _root_level(spark, sf)
     a = TR.allocate(ranked.select("tree_id", "point_id", "x", "y", "r"), kids, ["tree_id"], rank_col="r",
-                    bin_col="child", order_col="eid", cap_col="size")
+                    bin_col="child", cap_col="size")
     from ..functions.columns import polar_angle, rel_angle
     c = TR.centroids(a, ["tree_id", "child"]).join(rp, "tree_id").withColumn(
         "cang", rel_angle(polar_angle("px", "py", "cx", "cy"), F.col("ref")))
-    k2 = kids.join(c.select("tree_id", "child", "cang"), ["tree_id", "child"])
-    k2 = rank_in_groups(k2, ["tree_id"], ["cang", "child", "size"], "korder")
-    from ..operators.ranking import prefix_in_groups
-    lo2 = prefix_in_groups(k2, ["tree_id"], ["korder"], ["size"], suffix="_lo")
+    k2 = stored(TR.bin_starts(kids.drop("lo").join(c.select("tree_id", "child", "cang"), ["tree_id", "child"]),
+                              ["tree_id"], ["cang", "child", "size"], "size"), "kids")
     b = TR.allocate(ranked.select("tree_id", "point_id", "r"), k2, ["tree_id"], rank_col="r",
-                    bin_col="child", order_col="korder", cap_col="size")
-    return (b.join(lo2.select("tree_id", "child", "size_lo"), ["tree_id", "child"])
-             .select("tree_id", "point_id", "child", (F.col("r") - F.col("size_lo")).cast("long").alias("crank")))
+                    bin_col="child", cap_col="size")
+    return (b.join(k2.select("tree_id", "child", "lo"), ["tree_id", "child"])
+             .select("tree_id", "point_id", "child", (F.col("r") - F.col("lo")).cast("long").alias("crank")))
 
 
 @query("tree_embedding")
 def tree_embedding(spark, sf):
     """The whole embedding (every vertex of every brand tree gets a point),
     one level per iteration; checked against a brute-force solver in tests."""
-    v = tree_vertices(Tables(spark, sf))
+    v = stored(tree_vertices(Tables(spark, sf)), "vertices")
     return TR.embed(tree_edges(v), tree_points(v))
 
 
 @query("segments")
 def segments(spark, sf):
     """G7 + J5: embedded edges as segments, plus the permutation check per tree."""
-    v = tree_vertices(Tables(spark, sf))
+    v = stored(tree_vertices(Tables(spark, sf)), "vertices")
     pts, edges = tree_points(v), tree_edges(v)
     a = TR.embed(edges, pts)
     seg = TR.segments(edges, a, pts)

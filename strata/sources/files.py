@@ -49,11 +49,26 @@ def read_json_records(spark: SparkSession, path: str, schema: StructType | str,
     return spark.read.schema(schema).option("multiLine", multiline).json(path)
 
 
+#: Rows that a single JSON array may have: it is one record of one file.
+ARRAY_ROWS = 100_000
+
+
+def write_json_array(df: DataFrame, path: str, round_cols=(), digits: int = 3, mode: str = "overwrite") -> None:
+    """One JSON array of objects in one file, for results that a program
+    reads whole. Larger tables are refused; write them as JSON lines."""
+    if df.limit(ARRAY_ROWS + 1).count() > ARRAY_ROWS:
+        raise ValueError(f"a JSON array holds at most {ARRAY_ROWS} rows; use write_json_records")
+    row = F.struct(*[F.bround(F.col(c), digits).alias(c) if c in round_cols else F.col(c) for c in df.columns])
+    text = df.agg(F.to_json(F.sort_array(F.collect_list(row))).alias("value"))
+    text.coalesce(1).write.mode(mode).text(path)
+
+
 def with_row_key(df: DataFrame, cols=None, out: str = "row_key") -> DataFrame:
-    """A deterministic key from the row's content: md5 of the columns
-    joined with an unlikely separator (NULL spelled out). Equal rows get equal
-    keys, so it identifies rows up to exact duplicates — never a
+    """A deterministic key from the row's content: md5 of the columns, each
+    with its length before it and null as a mark of its own, so that different
+    rows never spell the same text. Equal rows get equal keys — never a
     ``monotonically_increasing_id``, which changes with partitioning."""
     cols = list(cols or df.columns)
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in cols]
-    return df.withColumn(out, F.md5(F.concat_ws("\u001f", *parts)))
+    texts = [F.col(c).cast("string") for c in cols]
+    parts = [F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts]
+    return df.withColumn(out, F.md5(F.concat(*parts)))

@@ -18,25 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def spread(df: DataFrame, rows_per_partition: int = 50_000) -> DataFrame:
-    """Spread a CPU-heavy input over the cluster when its scan has fewer
-    partitions than its size warrants (a single-row-group file is one task):
-    target = ceil(rows / rows_per_partition), capped at 2x the default
-    parallelism. Tiny inputs stay in one task (per-task overhead would
-    dominate); large inputs already scan in many partitions and are left
-    alone, so this never adds a shuffle at scale. Costs one count."""
-    try:
-        sc = df.sparkSession.sparkContext
-        have = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - e.g. Spark Connect: no RDD view, leave the plan as is
-        return df
-    if have >= sc.defaultParallelism:
-        return df
-    n = df.count()
-    want = min(-(-n // rows_per_partition), 2 * sc.defaultParallelism)
-    return df.repartition(want) if want > have else df
-
-
 class Tables:
     """Attribute access to the driver tables of one scale-factor folder."""
 

@@ -23,10 +23,20 @@ def test_exact_quantiles_multi_round(spark):
     rng = np.random.default_rng(3)
     x = np.concatenate([rng.exponential(5, 5000), np.full(3000, 2.5)])   # heavy value + tail
     df = spark.createDataFrame([(float(v),) for v in x], "x double")
-    q = exact_quantiles(df, ["x"], [0.1, 0.25, 0.5, 0.75, 0.99], bins=16, collect_limit=50)["x"]
+    q = exact_quantiles(df, ["x"], [0.1, 0.25, 0.5, 0.75, 0.99])["x"]
     assert q == pytest.approx(np.quantile(x, [0.1, 0.25, 0.5, 0.75, 0.99]), abs=1e-12)
 
 
+def test_exact_quantiles_with_nan_and_infinities(spark):
+    rows = [(float(i), i / 3) for i in range(1000)] + [(float("nan"), None), (None, float("nan"))]
+    df = spark.createDataFrame(rows, "x double, y double")
+    got = exact_quantiles(df, ["x", "y"], [0.5, 1.0])
+    assert got["x"] == [499.5, 999.0] and got["y"] == pytest.approx([499.5 / 3, 333.0])
+    inf = spark.createDataFrame([(float("-inf"),), (1.0,), (2.0,), (1e300,), (float("inf"),)], "x double")
+    assert exact_quantiles(inf, ["x"], [0.0, 0.5, 1.0])["x"] == [float("-inf"), 2.0, float("inf")]
+    assert exact_quantiles(inf.where("x > 3e300 and x < 0"), ["x"], [0.5])["x"] == [None]
+
+
 def test_exact_median_even_count(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (10.0,), (None,)], "x double")
     assert exact_quantiles(df, ["x"], [0.5])["x"] == [2.5]

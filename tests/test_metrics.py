@@ -32,6 +32,17 @@ def test_auc_edge_cases(spark):
     assert roc_auc(perfect, "y", "s").first()["auc"] == 1.0
 
 
+def test_auc_with_null_groups_and_scores(spark):
+    rows = [(i % 2, float(i % 5), None if i % 3 == 0 else i % 3) for i in range(60)]
+    df = spark.createDataFrame(rows, "y int, s double, g int")
+    got = {r["g"]: r["auc"] for r in roc_auc(df, "y", "s", ["g"]).collect()}
+    for g in (None, 1, 2):
+        sub = [r for r in rows if r[2] == g]
+        assert got[g] == pytest.approx(brute_auc([r[0] for r in sub], [r[1] for r in sub]), abs=1e-12)
+    with pytest.raises(Exception, match="null score"):
+        roc_auc(spark.createDataFrame([(1, None), (0, 1.0)], "y int, s double"), "y", "s").collect()
+
+
 def test_regression_metrics(spark):
     y = np.array([1.0, 2.0, 3.0, 4.0])
     p = np.array([1.5, 2.0, 2.0, 5.0])

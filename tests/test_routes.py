@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from strata.operators import routes as RT
 from strata.operators.routes import staged_route_cost
 from strata.sources.grid import explode_stops, read_grid
 
@@ -23,7 +24,7 @@ def brute(grid, start, stops):
     return min(front.values())
 
 
-def run(spark, cases, beam=None):
+def run(spark, cases):
     lines, routes, stops = [], [], []
     for i, (sr, sc, grid, st, _) in enumerate(cases):
         lines += [(i, r, line) for r, line in enumerate(grid)]
@@ -32,7 +33,7 @@ def run(spark, cases, beam=None):
     cells = read_grid(spark.createDataFrame(lines, "grid_id int, r int, line string"))
     rt = spark.createDataFrame(routes, "route_id int, grid_id int, sr int, sc int")
     sp = explode_stops(spark.createDataFrame(stops, "route_id int, stops string"))
-    out = staged_route_cost(rt, sp, cells, beam_width=beam)
+    out = staged_route_cost(rt, sp, cells)
     return {r["route_id"]: r["cost"] for r in out.collect()}
 
 
@@ -54,6 +55,28 @@ def test_random_grids_vs_brute_force(spark):
         assert got[i] == brute(grid, (sr - 1, sc - 1), st)
 
 
+def test_segments_multiply_to_the_whole_route(spark, monkeypatch):
+    """Routes of many segments, some without any valid stop, several rounds of products."""
+    monkeypatch.setattr(RT, "SEGMENT", 2)
+    rng = random.Random(5)
+    grid = ["".join(rng.choice("abcd") for _ in range(5)) for _ in range(4)]
+    cases = [(2, 3, grid, "".join(rng.choice("abcdzz") for _ in range(n)), None) for n in (0, 1, 2, 3, 5, 9, 17, 40)]
+    got = run(spark, cases)
+    for i, (sr, sc, g, st, _) in enumerate(cases):
+        assert got[i] == brute(g, (sr - 1, sc - 1), st)
+
+
+def test_valid_stops_and_nearest(spark):
+    cells = spark.createDataFrame([(0, 0, 0, "a"), (0, 2, 2, "a"), (0, 0, 3, "b")], "grid_id int, r int, c int, type string")
+    routes = spark.createDataFrame([(1, 0), (2, 0)], "route_id int, grid_id int")
+    stops = spark.createDataFrame([(1, 1, "z"), (1, 2, "a"), (1, 3, "b"), (2, 1, "b")], "route_id int, seq int, type string")
+    got = RT.valid_stops(stops, routes, cells).select("route_id", "seq", "type").collect()
+    assert sorted(map(tuple, got)) == [(1, 1, "a"), (1, 2, "b"), (2, 1, "b")]
+    points = spark.createDataFrame([(7, 0, 1, 1, "a"), (8, 0, 2, 1, "a")], "route_id int, grid_id int, r int, c int, type string")
+    near = {r["route_id"]: (r["to_r"], r["to_c"], r["dist"]) for r in RT.nearest_cell(points, cells).collect()}
+    assert near == {7: (0, 0, 2), 8: (2, 2, 1)}
+
+
 def test_all_unknown_stops_cost_zero(spark):
     got = run(spark, [(1, 1, ["ab", "ba"], "xyz", 0)])
     assert got == {0: 0}

@@ -104,5 +104,13 @@ def test_subtree_sizes_and_allocate(spark):
     assert s == {0: 5, 1: 3, 2: 1, 3: 1, 4: 1}
     items = spark.createDataFrame([(0, i, i) for i in range(1, 7)], "g int, item int, rank long")
     bins = spark.createDataFrame([(0, "a", 2, 3), (0, "b", 1, 2)], "g int, bin string, bin_order int, cap long")
-    got = {r["item"]: r["bin"] for r in TR.allocate(items, bins, ["g"]).collect()}
+    got = {r["item"]: r["bin"] for r in TR.allocate(items, TR.bin_starts(bins, ["g"], ["bin_order"]), ["g"]).collect()}
     assert got == {1: "b", 2: "b", 3: "a", 4: "a", 5: "a"}      # item 6 exceeds capacity
+
+
+def test_allocate_long_and_empty_bins(spark):
+    """Bins longer than a run of ranks, and bins that take nothing."""
+    items = spark.createDataFrame([(0, i) for i in range(1, 3001)], "g int, rank long")
+    bins = spark.createDataFrame([(0, 1, 0), (0, 2, 2500), (0, 3, 0), (0, 4, 400)], "g int, bin int, cap long")
+    got = TR.allocate(items, TR.bin_starts(bins, ["g"], ["bin"]), ["g"]).groupBy("bin").count().collect()
+    assert sorted(map(tuple, got)) == [(2, 2500), (4, 400)]
