@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import auc_points, ladder, points_delta
+from .util import broadcast_if_small
 
 # fixed values: generalisation-gap bands [lo, hi) → status
 GAP_BANDS = [(0.05, "excellent"), (0.10, "good"), (0.12, "acceptable"), (0.15, "problem")]
@@ -72,9 +73,9 @@ def thresholds_table(spark, bands, top_label, hi: float = 1.0) -> DataFrame:
 
 
 def range_lookup(df: DataFrame, value: str, table: DataFrame, out: str = "status") -> DataFrame:
-    """Attach the status whose [lo, hi) contains ``value``. The ladder has a
-    handful of rows (bounded by construction), so it is broadcast."""
-    t = F.broadcast(table.withColumnRenamed("status", out))
+    """Attach the status whose [lo, hi) contains ``value``. The ladder is a
+    table of the caller's, broadcast when its size allows it."""
+    t = broadcast_if_small(table.withColumnRenamed("status", out))
     return df.join(t, (F.col(value) >= t["lo"]) & (F.col(value) < t["hi"]), "left").drop("lo", "hi")
 
 

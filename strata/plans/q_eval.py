@@ -5,11 +5,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.columns import auc_points, equal_width_bin, equal_width_bin_sql, points_delta
+from ..functions.columns import auc_points, encode_binary, equal_width_bin, equal_width_bin_sql, points_delta
 from ..operators import drift as D
 from ..operators import reports as RP
 from ..operators.folds import kfold_contiguous, kfold_shuffled
 from ..operators.metrics import roc_auc, roc_auc_counts
+from ..operators.util import stored
 from ..sources.tables import Tables
 from . import docs
 from .q_core import FOLD_SQL as DOC_FOLD_SQL
@@ -90,7 +91,7 @@ from pf, pp
 """)
 def auc_foldmean_vs_pooled(spark, sf):
     """A10 + P19: mean of per-fold AUCs vs the pooled AUC, and the points delta."""
-    f = docs_folds(spark, sf).cache()
+    f = stored(docs_folds(spark, sf).select("target", "fold", "B"), "folds")
     per = roc_auc(f, "target", "B", ["fold"]).agg(F.avg("auc").alias("auc_fold_mean"),
                                                    F.stddev_pop("auc").alias("auc_fold_std")).first()
     pooled = roc_auc(f, "target", "B").first()["auc"]
@@ -100,7 +101,7 @@ def auc_foldmean_vs_pooled(spark, sf):
 
 # ---- gap / version report over binned target-rate models ----------------------
 
-GAP_FEATURES = ["A", "B", "G", "H", "I"]
+GAP_FEATURES = docs.FEATURES  # C as 0/1, a missing E as 0
 GAP_BINS = 10
 
 
@@ -108,14 +109,14 @@ def bin_rate_scores(spark, sf):
     """Per feature, a 10-bin target-rate model: cross-fitted rates (fold k scored by
     the rates of the other folds) and in-sample rates, as aggregated
     ``(feature, fold, rate, pos, neg)`` rows."""
-    f = docs_folds(spark, sf)
+    f = stored(docs_folds(spark, sf).withColumn("C", encode_binary("C", "+")).withColumn("E", F.coalesce("E", F.lit(0))), "folds")
     mm = f.agg(*[e for c in GAP_FEATURES for e in (F.min(c).alias(f"lo_{c}"), F.max(c).alias(f"hi_{c}"))]).first()
     wide = f.select("target", "fold", *[equal_width_bin(c, mm[f"lo_{c}"], mm[f"hi_{c}"], GAP_BINS).alias(c)
                                        for c in GAP_FEATURES])
     stack = ", ".join(f"'{c}', `{c}`" for c in GAP_FEATURES)
     long = wide.selectExpr("target", "fold", f"stack({len(GAP_FEATURES)}, {stack}) as (feature, bin)")
     cnt = long.groupBy("feature", "fold", "bin").agg(F.count(F.lit(1)).alias("n"), F.sum("target").alias("pos"))
-    cnt = cnt.cache()
+    cnt = stored(cnt, "counts")
     tot = cnt.groupBy("feature", "bin").agg(F.sum("n").alias("n_all"), F.sum("pos").alias("p_all"))
     ftot = cnt.groupBy("feature", "fold").agg(F.sum("n").alias("nf"), F.sum("pos").alias("pf"))
     alltot = cnt.groupBy("feature").agg(F.sum("n").alias("NN"), F.sum("pos").alias("PP"))
@@ -129,7 +130,8 @@ def bin_rate_scores(spark, sf):
 
 
 GAP_SQL = f"""
-with f as {DOC_FOLD_SQL},
+with f0 as {DOC_FOLD_SQL},
+f as (select * replace (cast(C = '+' as integer) as C, coalesce(E, 0) as E) from f0),
 mm as (select {', '.join(f'min({c}) as lo_{c}, max({c}) as hi_{c}' for c in GAP_FEATURES)} from f),
 b as (select target, fold, {', '.join(
     f"cast({equal_width_bin_sql(c, f'lo_{c}', f'hi_{c}', GAP_BINS)} as integer) as {c}"
@@ -198,11 +200,12 @@ def gap_bands_join(spark, sf):
 
 # ---- drift ---------------------------------------------------------------------
 
-DRIFT_COLS = ["A", "B", "D", "F", "G", "H", "I"]
+DRIFT_COLS = docs.FEATURES
 
 
 @query("drift_table", f"""
-with tr as {docs.TRAIN_SQL}, te as {docs.TEST_SQL},
+with tr0 as {docs.TRAIN_SQL}, te0 as {docs.TEST_SQL},
+tr as (select * replace (cast(C = '+' as integer) as C) from tr0), te as (select * replace (cast(C = '+' as integer) as C) from te0),
 m as (select 'train' as s, {', '.join(f'avg({c}) as {c}' for c in DRIFT_COLS)} from tr
       union all select 'test', {', '.join(f'avg({c})' for c in DRIFT_COLS)} from te),
 l as (unpivot m on {', '.join(DRIFT_COLS)} into name column_name value mean),
@@ -216,8 +219,8 @@ from d
 """)
 def drift_table_q(spark, sf):
     """U1 + A12: labelled vs unlabelled document feature means."""
-    t = Tables(spark, sf)
-    return rounded(D.drift_table(docs.train_table(t), docs.test_table(t), DRIFT_COLS))
+    train, test = (x.withColumn("C", encode_binary("C", "+")) for x in docs.tables(Tables(spark, sf)))
+    return rounded(D.drift_table(train, test, DRIFT_COLS))
 
 
 @query("drift_weights", f"""

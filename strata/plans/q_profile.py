@@ -16,13 +16,15 @@ u as (unpivot (select count(*) as n, count(doc_id) as doc_id, count(A) as A, cou
         count(target) as target from tr)
       on doc_id, A, B, C, D, E, F, G, H, I, target into name column_name value non_null)
 select column_name,
+       case when column_name = 'doc_id' then 'bigint' when column_name = 'C' then 'string'
+            when column_name in ('E', 'F', 'target') then 'int' else 'double' end as dtype,
        cast(list_position(['doc_id','A','B','C','D','E','F','G','H','I','target'], column_name) - 1 as integer) as position,
        n as n_rows, non_null, n - non_null as null_count
 from u
 """)
 def profile_train(spark, sf):
-    """A1: shape and null profile of the labelled feature table."""
-    return P.profile(docs.train_table(Tables(spark, sf))).drop("dtype")
+    """A1: types, shape and null profile of the labelled feature table."""
+    return P.profile(docs.train_table(Tables(spark, sf)))
 
 
 @query("value_counts_lang", """

@@ -22,8 +22,3 @@ def score_stream(stream: DataFrame, transforms) -> DataFrame:
         out = t(out)
     return out
 
-
-def to_memory(df: DataFrame, name: str, checkpoint: str):
-    """Start a memory-sink query (tests / local inspection); caller stops it."""
-    return (df.writeStream.format("memory").queryName(name).outputMode("append")
-              .option("checkpointLocation", checkpoint).start())
