@@ -175,15 +175,50 @@ def child_partition(spark, sf):
              .select("tree_id", "point_id", "child", (F.col("r") - F.col("lo")).cast("long").alias("crank")))
 
 
-@query("tree_embedding")
+PANG = "case when px is null then -pi() / 2 else atan2(py - vy, px - vx) end"
+EMBED_SQL = f"""
+kl as (select v.tree_id, (v.k - 1) // 2 as vertex, v.k as child, sz.size,
+              coalesce(sum(sz.size) over (partition by v.tree_id, (v.k - 1) // 2 order by v.k
+                       rows between unbounded preceding and 1 preceding), 0) as lo
+       from v join sz on sz.tree_id = v.tree_id and sz.vertex = v.k where v.k >= 1),
+st(level, tree_id, vertex, point_id, x, y, crank, px, py) as (
+  select 0, v.tree_id, cast(0 as bigint), v.k, v.x, v.y, cast(case when v.k = rp.rk then 1 else 2 end as bigint), null::double, null::double
+  from v join rp using (tree_id)
+  union all
+  select level + 1, tree_id, kids[r], point_id, x, y, cast(r - los[r] as bigint), vx, vy
+  from (select *, list(child) over (partition by tree_id, vertex order by cang, child, r
+                                    rows between unbounded preceding and unbounded following) as kids,
+               list(lo2) over (partition by tree_id, vertex order by cang, child, r
+                               rows between unbounded preceding and unbounded following) as los
+        from (select *, rank() over (partition by tree_id, vertex order by cang, child) - 1 as lo2
+              from (select *, {rel_sql(f'atan2(cy - vy, cx - vx) - ({PANG})')} as cang
+                    from (select c.*, kl.child, avg(x) over (partition by c.tree_id, c.vertex, kl.child) as cx,
+                                 avg(y) over (partition by c.tree_id, c.vertex, kl.child) as cy
+                          from (select *, row_number() over (partition by tree_id, vertex order by rel, point_id) as r
+                                from (select *, {rel_sql(f'atan2(y - vy, x - vx) - ({PANG})')} as rel
+                                      from (select *, max(case when crank = 1 then x end) over (partition by tree_id, vertex) as vx,
+                                                   max(case when crank = 1 then y end) over (partition by tree_id, vertex) as vy
+                                            from st) a where crank > 1) b) c
+                          join kl on kl.tree_id = c.tree_id and kl.vertex = c.vertex and c.r > kl.lo and c.r <= kl.lo + kl.size) d) e) f) g),
+emb as (select tree_id, vertex, point_id, x, y from st where crank = 1)"""
+
+
+@query("tree_embedding", f"""
+with recursive {V_SQL}, {SIZES_SQL}, {ROOT_SQL}, {EMBED_SQL}
+select tree_id, vertex, point_id from emb
+""")
 def tree_embedding(spark, sf):
     """The whole embedding (every vertex of every brand tree gets a point),
-    one level per iteration; checked against a brute-force solver in tests."""
+    one level per iteration."""
     v = stored(tree_vertices(Tables(spark, sf)), "vertices")
     return TR.embed(tree_edges(v), tree_points(v))
 
 
-@query("segments")
+@query("segments", f"""
+with recursive {V_SQL}, {SIZES_SQL}, {ROOT_SQL}, {EMBED_SQL}
+select a.tree_id, a.vertex as u, b.vertex as v, a.x as x1, a.y as y1, b.x as x2, b.y as y2, true as ok
+from emb b join emb a on a.tree_id = b.tree_id and a.vertex = (b.vertex - 1) // 2 where b.vertex >= 1
+""")
 def segments(spark, sf):
     """G7 + J5: embedded edges as segments, plus the permutation check per tree."""
     v = stored(tree_vertices(Tables(spark, sf)), "vertices")
