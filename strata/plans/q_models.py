@@ -21,8 +21,9 @@ from ..operators import validate as V
 from ..operators.drift import drift_weights, tag_union
 from ..operators.features import V5_22, FeaturePlan
 from ..operators.folds import kfold_stratified
+from ..operators.resample import oversample
 from ..operators.metrics import accuracy, cv_summary, regression_metrics, roc_auc
-from ..operators.util import broadcast_if_small, stored
+from ..operators.util import stored
 from ..sources.tables import Tables
 from . import docs
 from . import regression as R
@@ -150,6 +151,19 @@ def stack_two_level(spark, sf):
                    .withColumn("points_gain", RP.points_delta(F.col("auc") - F.lit(base))))
 
 
+@query("oversample", f"""
+with c as (select target, count(*) as n from {docs.TRAIN_SQL} t group by target)
+select target, n as n_real, (select max(n) from c) - n as n_synthetic from c
+""")
+def oversample_q(spark, sf):
+    """The smaller class of the labelled documents filled up with points
+    between neighbours; rows per class."""
+    s = clf_setup(spark, sf)
+    got = oversample(stored(s.fit_rows(s.k), "rows"), "doc_id", "target")
+    return got.groupBy("target").agg(F.sum((~F.col("synthetic")).cast("long")).alias("n_real"),
+                                     F.sum(F.col("synthetic").cast("long")).alias("n_synthetic"))
+
+
 @query("hyper_search")
 def hyper_search(spark, sf):
     """30 seeded random settings of nine parameters, five-fold CV AUC each;

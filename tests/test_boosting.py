@@ -10,6 +10,7 @@ from strata.operators import boosting as B
 from strata.operators import validate as V
 from strata.operators.features import V5_22, FeaturePlan
 from strata.operators.folds import kfold_stratified
+from strata.operators.resample import oversample
 from strata.operators.util import stored
 
 
@@ -161,3 +162,26 @@ def test_penalty_is_divided_by_the_rows_fitted(spark):
                                          "k long, x array<double>, label double"))
     assert V.logistic(0.5)(df).getRegParam() == pytest.approx(1 / (0.5 * 4))
     assert V.logistic(0.5)(df.where("k < 3")).getRegParam() == pytest.approx(1 / (0.5 * 3))
+
+
+def test_oversampling_lies_between_neighbours(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(60, 3))
+    rows = [(i, [float(v) for v in a], int(i < 45)) for i, a in enumerate(x)]
+    df = spark.createDataFrame(rows, "k long, x array<double>, y int")
+    one, many = (oversample(df.repartition(n), "k", "y").where("synthetic").collect() for n in (1, 5))
+    assert len(one) == 30 and all(r["y"] == 0 for r in one)
+    assert sorted(r["x"] for r in one) == sorted(r["x"] for r in many)
+    small = x[45:]
+    d = ((small[:, None] - small[None]) ** 2).sum(axis=2)
+    near = np.argsort(np.where(np.eye(15, dtype=bool), np.inf, d), axis=1)[:, :5]
+    for r in one:
+        p = np.array(r["x"])
+        ok = False
+        for i in range(15):
+            for j in near[i]:
+                way = small[j] - small[i]
+                t = (p - small[i]) @ way / (way @ way)
+                ok |= -1e-9 <= t <= 1 + 1e-9 and np.abs(small[i] + t * way - p).max() < 1e-9
+        assert ok
+    assert oversample(df.where("y = 1"), "k", "y").where("synthetic").count() == 0
