@@ -47,7 +47,8 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     slim = marked.select("doc_id", F.col(fp).alias("fp"), F.col(row).alias("row"))
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
     stay = simhash.near_duplicates(slim).groupBy("component_fp").agg(first["row"].alias(row)).select(row)
-    return marked.join(written(stay, "stay"), row, "left_semi").select(*docs.columns)
+    # a merge join at every size: the list of rows grows with the documents, so it is never broadcast
+    return marked.join(written(stay, "stay").hint("merge"), row, "left_semi").select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
