@@ -98,8 +98,8 @@ def context_sums(sample: DataFrame):
     shuffle partitions; each sends one matrix of fixed size."""
     def run(batches):
         import numpy as np
-        index = index_vectors()
-        total = np.zeros((BUCKETS, DIM), dtype=np.float32)
+        index = index_vectors().astype(np.int32)
+        total = np.zeros((BUCKETS, DIM), dtype=np.int32)  # whole numbers: the same in any order
         for batch in batches:
             for t in batch.column(0).cast(pa.binary()).to_pylist():
                 letters, shapes, _ = features(t)
@@ -116,10 +116,10 @@ def context_sums(sample: DataFrame):
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["m"])
 
     import numpy as np
-    got = np.zeros((BUCKETS, DIM), dtype=np.float32)
+    got = np.zeros((BUCKETS, DIM), dtype=np.int64)
     for r in sample.select("text").coalesce(PARTS).mapInArrow(run, "m binary").collect():
-        got += np.frombuffer(r["m"], dtype=np.float32).reshape(BUCKETS, DIM)
-    return got
+        got += np.frombuffer(r["m"], dtype=np.int32).reshape(BUCKETS, DIM)
+    return got.astype(np.float64)
 
 
 def pooled(text: bytes | None, vectors):
