@@ -90,7 +90,36 @@ def op8_sharding(spark, sf_dir):
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
-@query("op9_quality_rules")
+#: The counts by list functions, and the host verdicts from the beta prior as ``host_rates`` fits it.
+RULES_SQL = r"""
+with w as (select doc_id, source, coalesce(text, '') as text,
+                  list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+win as (select doc_id, i, array_to_string(list_slice(ws, i, i + 7), ' ') as win
+        from (select doc_id, ws, unnest(range(1, len(ws) - 6)) as i from w)),
+rep as (select doc_id, win from win group by all having count(*) > 1),
+cov as (select doc_id, count(distinct i + k) as n from (select doc_id, i, unnest(range(0, 8)) as k from win semi join rep using (doc_id, win))
+        group by doc_id),
+c as (select doc_id, source, cast(len(ws) as bigint) as n_words,
+             cast(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) as bigint) as word_chars,
+             cast(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as bigint) as n_symbols,
+             list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls,
+             cast(coalesce(cov.n, 0) as bigint) as n_repeat_words
+      from w left join cov using (doc_id)),
+m as (select *, cast(len(ls) - len(list_distinct(ls)) as bigint) as n_dup_lines,
+             n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from c),
+f as (select *, base_failed or 10 * n_symbols > n_words or 5 * n_dup_lines > n_words
+                or word_chars < 2 * n_words or word_chars > 14 * n_words as soft from m),
+h as (select source, count(*) as n, sum(soft::int) as bad from f group by source),
+p as (select (sum(bad) + 1) / (sum(n) + 2) as mean, var_pop(bad / n) as v, avg(1 / n) as inv from h),
+q as (select mean, least(greatest(mean * (1 - mean) / greatest(v - mean * (1 - mean) * inv, 1e-6) - 1, 1), 1e6) as weight from p),
+r as (select source, (bad + mean * weight) / (n + weight) as rate from h, q)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       not base_failed and not (rate > 0.5 and soft) as kept
+from f join r on f.source is not distinct from r.source
+"""
+
+
+@query("op9_quality_rules", RULES_SQL)
 def op9_quality_rules(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     judged = rules.quality_rules(docs.select("doc_id", "source", rules.document_counts(F.col("text")).alias("counts")))
