@@ -46,8 +46,7 @@ def op3_simhash(spark, sf_dir):
 @query("op4_bpe")
 def op4_bpe(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    ids = docs.select("doc_id", bpe.encode(F.col("text"), RANKS, PATTERN).alias("ids"))
-    back = ids.withColumn("decoded", bpe.decode(F.col("ids"), RANKS, PATTERN))
+    back = docs.select("doc_id", bpe.round_trip(F.col("text"), RANKS, PATTERN).alias("got")).select("doc_id", "got.*")
     return back.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
