@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +17,7 @@ def assemble(df: DataFrame, features, out: str = "features") -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="keep").transform(df)
 
 
-# ---- regression (M1–M6) -------------------------------------------------------
+# ---- regression (M1–M4) -------------------------------------------------------
 
 def linear(label: str = "label", features: str = "features"):
     """M1 ordinary least squares (normal equations)."""
@@ -39,19 +39,6 @@ def lasso(alpha: float, label: str = "label", features: str = "features"):
                             elasticNetParam=1.0, standardization=False, maxIter=500, tol=1e-10)
 
 
-def rf_regressor(n_trees: int = 100, depth: int = 10, seed: int = 42, label="label", features="features"):
-    """M5 random-forest regressor (presets 100/10 and 200/15); depth is at most 30 in MLlib, which rejects more."""
-    return RandomForestRegressor(featuresCol=features, labelCol=label, numTrees=n_trees,
-                                 maxDepth=depth, seed=seed)
-
-
-def gbt_regressor(n_iter: int = 100, step: float = 0.1, depth: int = 3, seed: int = 42,
-                  label="label", features="features"):
-    """M6 gradient-boosting regressor."""
-    return GBTRegressor(featuresCol=features, labelCol=label, maxIter=n_iter, stepSize=step,
-                        maxDepth=depth, seed=seed)
-
-
 # ---- classification (M7–M12) --------------------------------------------------
 
 def rf_classifier(n_trees: int = 100, depth: int = 10, min_leaf: int = 1, seed: int = 42,

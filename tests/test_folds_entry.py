@@ -1,7 +1,5 @@
-from pyspark.sql import functions as F
 
 from strata.operators.folds import kfold_contiguous, kfold_stratified
-from tests.conftest import SF
 
 
 def test_stratified_fold_sizes(spark):
@@ -31,10 +29,12 @@ def test_entry_and_registry(spark):
 
 
 def test_oof_covers_each_row_once(spark):
-    from strata.operators import models as M
-    from strata.operators.validate import oof_predictions
+    from strata.operators import validate as V
+    from strata.operators.features import FeaturePlan
+    from strata.operators.util import stored
     rows = [(i, float(i % 3), float((i * 7) % 11), 1.0 if i % 4 == 0 else 0.0) for i in range(200)]
     df = spark.createDataFrame(rows, "id long, a double, b double, label double")
-    df = kfold_stratified(df, 4, "label", "id", 1)
-    oof, _ = oof_predictions(lambda: M.logistic(C=1.0, n=200), M.assemble(df, ["a", "b"]), 4, "id")
+    df = stored(kfold_stratified(df, 4, "label", "id", 1), "rows")
+    s = V.setup(df, 4, "id", "label", FeaturePlan(numeric=["a", "b"], encode={}, flags=(), spec=()))
+    oof, _ = V.out_of_fold(s, {"line": V.logistic(1.0)})
     assert oof.count() == 200 and oof.select("id").distinct().count() == 200

@@ -1,6 +1,5 @@
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from strata.operators import models as M
 from strata.operators.ensemble import isotonic_apply, isotonic_fit

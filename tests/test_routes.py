@@ -1,6 +1,5 @@
 import random
 
-from pyspark.sql import functions as F
 
 from strata.operators import routes as RT
 from strata.operators.routes import staged_route_cost

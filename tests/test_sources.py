@@ -4,7 +4,6 @@ import json
 import os
 
 import pytest
-from pyspark.sql import functions as F
 
 from strata.functions.columns import equal_width_bin
 from strata.sources import files as FS
