@@ -6,30 +6,19 @@ from __future__ import annotations
 import sys
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import _parse_datatype_string
 
-from ..session import ensure_checkpoint_dir, scratch_path
+from ..operators.util import stored as written
 from ..sources.tables import table
 
 __all__ = ["table", "written", "process_cache", "arrow_column", "free_name", "held_out",
            "salted_rank", "span_digests"]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet under the shared checkpoint folder and read it
-    back: the lineage is cut, lost executors cost nothing that was finished,
-    and the reader knows the size of the table."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def process_cache() -> dict:
     """A dict that lives as long as the Python worker. Functions are shipped by
     value, so their module globals last for one task only."""
@@ -40,12 +29,10 @@ def arrow_column(fn, schema: str):
     """Turn ``fn(list of bytes or None) -> list of values`` into an Arrow UDF.
     Only the argument column travels to Python; the other columns of a row,
     whatever their names, stay in the JVM."""
-
     kind = to_arrow_type(_parse_datatype_string(schema))
 
     def run(col: pa.Array) -> pa.Array:
         return pa.array(fn(col.cast(pa.binary()).to_pylist()), type=kind)
-
     return arrow_udf(run, returnType=schema)
 
 

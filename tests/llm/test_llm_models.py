@@ -7,9 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from conftest import TEXTS
-from strata.llm import packing, quality_model, queries, simhash, toxicity
-from strata.llm.common import held_out, written
+from brute import TEXTS
+from strata.llm import quality_model, queries, simhash, toxicity
+from strata.llm.common import written
 from strata.llm.sampling import labelled_sample
 
 MID = "/root/testdata/sf0.01"

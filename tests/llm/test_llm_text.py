@@ -9,7 +9,7 @@ import brute
 import numpy as np
 import public_tokenizers as P
 import pytest
-from conftest import TEXTS
+from brute import TEXTS
 from hypothesis import given, settings, strategies as st
 
 from strata.llm import bpe, packing, pii, queries, quality_rules, secrets
