@@ -16,7 +16,8 @@ ORDERS_SPLIT = "1998-01-01"   # orders before this date are the fitting half
 
 def _plan_frame(spark, sf, spec, test_fill="train_median"):
     t = Tables(spark, sf)
-    tr, te = docs.train_table(t).drop("target"), docs.test_table(t)
+    tr, te = docs.tables(t)  # the text is read once, the plan's statistics read the written features
+    tr = tr.drop("target")
     plan = FeaturePlan(numeric=RAW_NUM, spec=spec, test_fill=test_fill).fit(tr)
     cols = ["doc_id", "is_test"] + plan.output_columns
     a = plan.transform(tr).withColumn("is_test", F.lit(0)).select(*cols)
