@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from strata.llm import quality_model, quality_rules as rules, secrets, simhash
 from strata.llm.common import free_name, table, written
-from strata.llm.queries import packed_digest
+from strata.llm.queries import packed
 from strata.plans.registry import query
 from strata.session import ensure_checkpoint_dir
 
@@ -62,8 +62,8 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places in the sequences."""
-    return packed_digest(docs)
+    """The pieces of all documents, ids included, with their places in the sequences."""
+    return packed(docs)
 
 
 STAGES = [("quality_classifier", quality_classifier), ("quality_rules", quality_rules), ("simhash_dedup", simhash_dedup),

@@ -28,11 +28,15 @@ def op2_packing(spark, sf_dir):
     return packed_digest(docs)
 
 
+def packed(docs):
+    """The pieces with their ids and places."""
+    cut = written(packing.document_pieces(docs, JSON, PATTERN), "pieces")
+    return packing.pack(cut, order=("doc_id", "start", "doc_tokens", "ids"))
+
+
 def packed_digest(docs):
-    cut = packing.document_pieces(docs, JSON, PATTERN)
-    cut = written(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces")
-    return packing.pack(cut, order=("doc_id", "start", "doc_tokens", "ids_crc32")).select(
-        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    return packed(docs).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
+                               "sequence_id", "offset")
 
 
 @query("op3_simhash")
@@ -81,12 +85,13 @@ def op7_ann(spark, sf_dir):
 def op8_sharding(spark, sf_dir):
     """Law ``bytes``: eight shards of near-equal bytes, from five old ones by host."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    sized = sharding.text_sizes(docs, F.col("text")).select(
-        "doc_id", "size", "text_crc32", F.pmod(F.crc32(F.coalesce("source", F.lit("")).cast("binary")), F.lit(5))
-        .cast("int").alias("old_shard"))
-    placed = sharding.reshard(sized, 8, order=("doc_id", "size", "text_crc32"))
-    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
-                         F.lit(None).cast("int").alias("grown_shard"))
+    sized = sharding.text_sizes(docs, F.col("text")).withColumn(
+        "old_shard", F.pmod(F.crc32(F.coalesce("source", F.lit("")).cast("binary")), F.lit(5)).cast("int"))
+    moved = sharding.move(sized, 8, order=("doc_id", "size", "text_crc32"))
+    # size and checksum of the texts that lie in the new shards
+    return sharding.text_sizes(moved.select("doc_id", "text", "shard", "slot"), F.col("text")).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
 
 
 #: The counts by list functions, and the host verdicts from the beta prior as ``host_rates`` fits it.

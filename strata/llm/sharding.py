@@ -25,6 +25,7 @@ from collections import deque
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
 from .common import free_name, salted_rank, written
 
 
@@ -146,6 +147,29 @@ def rewrite(rows: DataFrame, old: str, shard: str, source: str, target: str) ->
     moved = rows.where(F.col(old) != F.col(shard))
     touched = moved.select(F.explode(F.array(F.col(old), F.col(shard))).alias("n")).distinct()
     numbers = sorted(r["n"] for r in touched.collect())  # shards, not rows
-    rows.where(F.col(shard).isin(numbers)).repartition(shard, F.pmod(F.xxhash64(*rows.columns), F.lit(16))).drop(old) \
-        .write.partitionBy(shard).mode("overwrite").parquet(target)
+    rows.where(F.col(shard).isin(numbers)).drop(old).write.partitionBy(shard).mode("overwrite") \
+        .option("compression", "zstd").parquet(target)
     return numbers
+
+
+def move(rows: DataFrame, shards: int, old: str = "old_shard", size: str = "size", order: tuple[str, ...] = ("doc_id",),
+         shard: str = "shard", slot: str = "slot") -> DataFrame:
+    """``rows`` with all their columns but ``old``, read from the files of the new
+    shards, with ``shard`` and ``slot``. Places are found on the columns that
+    ``reshard`` needs; the whole rows meet them in one join and are written."""
+    spark, row = rows.sparkSession, free_name(rows, "__row")
+    # numbered as written: later reads see the same numbers
+    path, target = scratch_path(spark, "old_shards"), scratch_path(spark, "new_shards")
+    numbered = rows.withColumn(row, F.monotonically_increasing_id())
+    numbered.write.option("compression", "zstd").parquet(path)
+    source = spark.read.schema(numbered.schema).parquet(path)
+    slim = source.select(*dict.fromkeys([row, old, size, *order]))
+    placed = written(reshard(slim, shards, old, size, order, shard=shard, slot=slot).select(row, shard, slot), "placed")
+    # a merge join at every size: the list of places grows with the rows, so it is never broadcast
+    whole = source.join(placed.hint("merge"), row).drop(row)
+    numbers = rewrite(whole, old, shard, path, target)
+    names = [*(c for c in rows.columns if c != old), shard, slot]
+    new = spark.read.schema(whole.drop(old).schema).parquet(target).select(*names)
+    if set(range(shards)) <= set(numbers):
+        return new
+    return new.unionByName(whole.where(~F.col(shard).isin(numbers)).select(*names))  # these shards keep their files

@@ -171,6 +171,24 @@ def test_rewrite_leaves_other_shards_alone(spark, tmp_path):
         sharding.rewrite(df, "old", "shard", "same", "same")
 
 
+def test_move_writes_whole_rows(spark, edge, as_table, monkeypatch):
+    """Every row arrives with its text in a file of its shard, those of untouched shards too."""
+    rows = [(i, f"text {i} " * (i % 7), i % 3) for i in range(600)] + [(None, None, 0), (3, "twice", 1), (3, "twice", 1)]
+    df = sharding.text_sizes(spark.createDataFrame(rows, "doc_id long, text string, old_shard int"), F.col("text"))
+    for shards in (3, 8):
+        got = sharding.move(df, shards, order=("doc_id", "size", "text_crc32"))
+        assert sorted(map(str, got.select("doc_id", "text").collect())) == sorted(map(str, df.select("doc_id", "text").collect()))
+        assert {r["shard"] for r in got.collect()} == set(range(shards))
+    assert sharding.move(df.where("doc_id < 0"), 4).count() == 0
+    one = sharding.move(df.where("old_shard = 0").limit(5), 1).collect()  # stays where it is
+    assert len(one) == 5 and all(r["shard"] == 0 for r in one)
+    calls = []
+    rewrite = sharding.rewrite
+    monkeypatch.setattr(sharding, "rewrite", lambda rows, *a: calls.append(rows.columns) or rewrite(rows, *a))
+    assert queries.op8_sharding(spark, as_table(documents=edge)).count() == edge.count()
+    assert calls and "text" in calls[0]
+
+
 def exact(rows, k):
     """Brute force: query id -> [(vec_id, product)], and all products."""
     out = {}

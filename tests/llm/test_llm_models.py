@@ -130,3 +130,17 @@ def test_pipeline_on_odd_rows(spark, edge, as_table, no_docs):
 def test_pipeline_runs_whole(spark):
     got = corpus_pipeline.run(spark, MID)
     assert got.count() > 700 and got.where("offset + length > 1024").count() == 0
+
+
+def test_pipeline_keeps_the_tokens(spark, edge):
+    """The packed table holds every id of every document, in place."""
+    from strata.llm import packing
+    docs = edge.where("doc_id is not null and doc_id <> 3")
+    t = packing.tokenizer(queries.JSON, queries.PATTERN)
+    got = {}
+    for r in corpus_pipeline.packing(spark, docs, MID).collect():
+        assert len(r["ids"]) == 4 * r["length"] and r["offset"] + r["length"] <= 1024
+        got.setdefault(r["doc_id"], {})[r["start"]] = bytes(r["ids"])
+    for r in docs.select("doc_id", "text").collect():
+        ids = np.frombuffer(b"".join(x for _, x in sorted(got[r["doc_id"]].items())), dtype="<u4").tolist()
+        assert ids[-1] == 0 and t.decode(ids[:-1]) == (r["text"] or "")
