@@ -4,9 +4,10 @@ Patterns propose the base spans: assign (a value of 12 or more characters given
 to a name such as password or token), access (key ids), hex (16 or more).
 
 The method adds ``random`` spans: unbroken tokens of 20 or more characters with
-letters and digits that look like the output of a random generator. Their
-encoding is inferred (hex, base32, lower or upper base36, base62, base64, url-safe base64),
-which gives the alphabet, and three tests are made for it: chi-squared of the
+letters that look like the output of a random generator; '=' stands only at
+their end, as padding. Their encoding is inferred (hex, letters of one or both
+cases, base32, lower or upper base36, base62, base64, url-safe base64, or the
+symbols of both), which gives the alphabet, and three tests are made for it: chi-squared of the
 symbol counts against uniformity, runs above and below the middle of the
 alphabet, and serial correlation of neighbours; Fisher's method joins their
 p-values. Benjamini-Hochberg, at level ``q`` and apart for each encoding and
@@ -15,7 +16,7 @@ over the whole corpus which tokens are not random: of those that it dismisses,
 a share of ``q`` at most are random in truth. The others are reported.
 
 p-values are counted in bins of a tenth of a decimal power, so the tables that
-decide have at most 7 encodings * 32 lengths * 301 bins, of which the driver
+decide have at most 12 encodings * 32 lengths * 301 bins, of which the driver
 gets one threshold per encoding and length.
 
 Cases: a null text counts as empty. Positions are code points, ends exclusive.
@@ -35,23 +36,28 @@ KINDS = (*BASE, "random")
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"(?<![0-9a-f])[0-9a-f]{16,}+"
-CLASS = r"A-Za-z0-9+/_=-"
-TOKEN = rf"(?<![{CLASS}])(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])[{CLASS}]{{20,}}+"
+CLASS = r"A-Za-z0-9+/_-"
+#: An inner '=' ends a token, so a value is apart from its name; padding counts to the 20.
+TOKEN = rf"(?<![{CLASS}])(?=[0-9+/_-]*+[A-Za-z])(?:[{CLASS}]{{20,}}+={{0,2}}|[{CLASS}]{{19}}={{1,2}}|[{CLASS}]{{18}}==)"
 #: A cheap look whether a kind's pattern can match at all.
 MAY = {"assign": r"(?i)password|passwd|secret|token|api_?key", "access": "AKIA", "hex": "[0-9a-f]{16}",
-       "random": rf"[{CLASS}]{{20}}"}
+       "random": rf"[{CLASS}]{{18}}"}
 
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Encoding: what its tokens look like without padding, alphabet in order.
 ENCODINGS = {
     "hex": ("[0-9a-f]+", DIGITS + LOWER[:6]),
     "HEX": ("[0-9A-F]+", DIGITS + UPPER[:6]),
+    "lower26": ("[a-z]+", LOWER),
+    "upper26": ("[A-Z]+", UPPER),
+    "letters52": ("[A-Za-z]+", UPPER + LOWER),
     "base32": ("[A-Z2-7]+", UPPER + DIGITS[2:8]),
     "lower36": ("[0-9a-z]+", DIGITS + LOWER),
     "upper36": ("[0-9A-Z]+", DIGITS + UPPER),
     "base62": ("[0-9A-Za-z]+", DIGITS + UPPER + LOWER),
     "base64": ("[0-9A-Za-z+/]+", UPPER + LOWER + DIGITS + "+/"),
     "base64url": ("[0-9A-Za-z_-]+", UPPER + LOWER + DIGITS + "-_"),
+    "mixed66": ("[0-9A-Za-z+/_-]+", UPPER + LOWER + DIGITS + "+/-_"),
 }
 MAX_BIN = 300
 BLOCK = 256

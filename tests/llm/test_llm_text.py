@@ -201,6 +201,27 @@ def test_randomness_battery(spark):
     assert not [i for i in range(len(random), len(rows)) if i in flagged]
 
 
+def test_random_values_after_names(spark):
+    """Values after '=', of every encoding, are found and masked apart from their names."""
+    rng = np.random.default_rng(8)
+    upper = "".join(rng.choice(list("0123456789ABCDEF"), 40))
+    letters = "".join(rng.choice(list(secrets.UPPER + secrets.LOWER), 40))
+    low = "".join(rng.choice(list(secrets.LOWER), 40))
+    both = "Zx8/kQp0+LmN7vB3-tYw9eRf2_gHs5JcUa1"
+    values = ["Zx81kQp0LmN7vB3tYw9eRf2g", upper, letters, low, both, base64.b64encode(rng.bytes(16)).decode(), "Zx81kQp0LmN7vB3tYw==",
+              "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzX9QKEYab"]
+    forms = ["AccountKey={} end", "get ?sig={}&x=1", "aws_secret_access_key={}", "value {} alone"]
+    rows = [(i, f.format(v)) for i, (f, v) in enumerate((f, v) for v in values for f in forms)]
+    found = secrets.secret_spans(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["found"] if s["kind"] == "random"] for r in found.collect()}
+    for i, text in rows:
+        value = values[i // len(forms)]
+        at = text.index(value)
+        assert (at, at + len(value)) in got[i], text
+    masked = {r["doc_id"]: r["text"] for r in secrets.redact(found).collect()}
+    assert not [i for i, _ in rows if values[i // len(forms)] in masked[i]] and masked[0] == "AccountKey=[secret] end"
+
+
 def test_p_values(spark):
     """The chain of SQL steps against the same statistics in numpy."""
     import math
