@@ -3,7 +3,7 @@
 ``pieces`` turns texts into pieces of at most ``size`` tokens. ``pack`` counts
 the pieces of each length (at most ``size`` rows, the only thing the driver
 gets) and fills packs on counts alone: lengths longest first, each into the
-open packs with the least room that still fits, as often as it fits, then into
+shortest open packs, those with the most room, as often as it fits, then into
 new packs. The outcome is a list of patterns with counts. The k-th piece of a
 length belongs to the k-th place of that length in the patterns, which the
 rank of a piece within its length finds again.
@@ -104,7 +104,7 @@ def patterns(histogram: dict[int, int], size: int) -> list[tuple[int, list[tuple
     for length in sorted((k for k, n in histogram.items() if n), reverse=True):
         left = histogram[length]
         changed = []  # packs that have got this length are not looked at again
-        for free in sorted(f for f in room if f >= length):
+        for free in sorted((f for f in room if f >= length), reverse=True):
             if not left:
                 break
             times, kept = free // length, []

@@ -178,6 +178,12 @@ def test_patterns_place_every_length_once(histogram):
     assert dict(used) == {k: n for k, n in histogram.items() if n}
 
 
+def test_shortest_pack_first():
+    """A length goes into the open pack with the most room left."""
+    got = packing.patterns({60: 1, 50: 1, 4: 1}, 64)
+    assert sorted(p for _, p in got) == [[(50, 1), (4, 1)], [(60, 1)]]
+
+
 def test_secret_base_spans(spark, edge, as_table, no_docs):
     check_digests(queries.op5_secrets, brute.SECRETS, spark, SF)
     got = check_digests(queries.op5_secrets, brute.SECRETS, spark, as_table(documents=edge))
