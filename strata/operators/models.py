@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import LinearRegression
+from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +17,7 @@ def assemble(df: DataFrame, features, out: str = "features") -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="keep").transform(df)
 
 
-# ---- regression (M1–M4) -------------------------------------------------------
+# ---- regression (M1–M6) -------------------------------------------------------
 
 def linear(label: str = "label", features: str = "features"):
     """M1 ordinary least squares (normal equations)."""
@@ -39,6 +39,13 @@ def lasso(alpha: float, label: str = "label", features: str = "features"):
                             elasticNetParam=1.0, standardization=False, maxIter=500, tol=1e-10)
 
 
+def tree_regressor(s, label: str = "label", features: str = "features"):
+    """M5 random forest or M6 gradient boosting with the settings of a ``boosting.Trees``."""
+    if s.forest:
+        return RandomForestRegressor(featuresCol=features, labelCol=label, numTrees=s.trees, maxDepth=s.depth, seed=s.seed)
+    return GBTRegressor(featuresCol=features, labelCol=label, maxIter=s.trees, stepSize=s.step, maxDepth=s.depth, seed=s.seed)
+
+
 # ---- classification (M7–M12) --------------------------------------------------
 
 def rf_classifier(n_trees: int = 100, depth: int = 10, min_leaf: int = 1, seed: int = 42,

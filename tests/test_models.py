@@ -77,3 +77,17 @@ def test_isotonic_matches_pava(spark):
             merged.append([(b1[0] * b1[1] + b2[0] * b2[1]) / wt, wt, b1[2] + b2[2]])
     exp = [m_ for m_, _, c in merged for _ in range(c)]
     assert got == pytest.approx(exp, abs=1e-12)
+
+
+def test_tree_regressors_read_all_rows(spark, monkeypatch):
+    """The bound of the bounded fits doesn't reach the regressors."""
+    from pyspark.sql import functions as F
+    from strata.operators import boosting as B
+    from strata.plans import q_regression as Q
+    monkeypatch.setattr(B, "FIT_ROWS", 2)
+    df = spark.range(2000).select(F.col("id").alias("p_partkey"), (F.col("id") % 5).cast("int").alias("fold"),
+                                  (F.col("id") % 100 / 10).alias("W0"), (F.col("id") % 7).cast("double").alias("W1")) \
+        .withColumn("y", F.col("W0") + F.col("W1"))
+    settings = {"forest": B.Trees(5, 6, forest=True, squared=True), "boosted": B.Trees(5, 3, 0.1, squared=True)}
+    errors = Q.held_out_errors(df, [], settings).collect()
+    assert len(errors) == 10 and all(r["mse"] < 2 for r in errors)
