@@ -225,4 +225,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     later = asked.where(F.col("nth") >= FIRST).join(bounds, "query_id", "left") \
         .withColumn("bound", F.coalesce("bound", F.lit(float("-inf"))))
     found = start.unionByName(search(index, written(later, "later"), sizes, norm2, k))
+    if count < len(c):
+        # queries with fewer than k results in their probed lists go on with all others
+        found = written(found, "found")
+        done = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select("query_id")
+        short = queries.join(done, queries["vec_id"] == done["query_id"], "left_anti")
+        rest = probes(short, c, norm2, len(c), True).withColumnRenamed("vec_id", "query_id").where(F.col("nth") >= count) \
+            .withColumn("bound", F.lit(float("-inf")))
+        found = found.unionByName(search(index, written(rest, "rest"), sizes, norm2, k))
     return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

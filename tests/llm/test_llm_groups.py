@@ -239,6 +239,18 @@ def test_nearest_with_odd_vectors(spark, as_table):
     assert queries.op7_ann(spark, none).count() == 0
 
 
+@pytest.mark.parametrize("n", [4, 21, 26])
+def test_few_vectors_have_all_neighbours(spark, as_table, n):
+    rng = np.random.default_rng(n)
+    data = [(i, rng.normal(size=8).astype(np.float32).astype(float).tolist(), 0) for i in range(n)]
+    folder = as_table(embeddings=spark.createDataFrame(data, "vec_id long, embedding array<float>, label int"))
+    got = defaultdict(set)
+    for r in queries.op7_ann(spark, folder).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    want = {q: len(near) for q, near in exact([(i, np.array(x)) for i, x, _ in data], 20).items()}
+    assert {q: len(v) for q, v in got.items()} == want and set(want.values()) == {min(n - 1, 20)}
+
+
 def test_scan_equals_a_full_scan():
     """The abandoned candidates of one list aren't among the nearest."""
     rng = np.random.default_rng(4)
