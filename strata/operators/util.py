@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, scratch_path
@@ -20,9 +23,33 @@ def stored(df: DataFrame, name: str = "stored") -> DataFrame:
     ensure_checkpoint_dir(spark)
     path = scratch_path(spark, name)
     df.write.parquet(path)
+    for paths in _RECORDS:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Lists that ``recording`` fills, innermost last.
+_RECORDS: list[list[str]] = []
+
+
+@contextmanager
+def recording() -> Iterator[list[str]]:
+    """The paths of the tables that are ``stored`` in the block."""
+    paths: list[str] = []
+    _RECORDS.append(paths)
+    try:
+        yield paths
+    finally:
+        _RECORDS.remove(paths)
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete stored tables that nothing reads any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def broadcast_if_small(table: DataFrame) -> DataFrame:
     """A broadcast hint for a written or source table whose size, as the
     optimizer knows it, is at most ``BROADCAST_BYTES``. Runs no job; beyond
