@@ -6,7 +6,8 @@ gets) and fills packs on counts alone: lengths longest first, each into the
 shortest open packs, those with the most room, as often as it fits, then into
 new packs. The outcome is a list of patterns with counts. The k-th piece of a
 length belongs to the k-th place of that length in the patterns, which the
-rank of a piece within its length finds again.
+rank of a piece within its length finds again. Ranks follow the order in which
+the pieces were written.
 
 Patterns: every length adds at most two to those it changes, so there are at
 most 2 * size; a pattern holds at most sqrt(2 * size) different lengths. The
@@ -15,21 +16,21 @@ rows, whatever the input.
 
 Cases: a null or empty text is one piece with the end id alone. Repeated rows
 are separate documents. Very long texts give many pieces. An empty table gives
-no sequences.
+no sequences. A column named like an output is refused; other columns stay.
 """
 
-from __future__ import annotations
-
 import json
+from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import _parse_datatype_string
 
-from .common import free_name, process_cache, salted_rank
+from ..operators.util import broadcast_if_small
+from .common import free_name, process_cache, written
 
 PIECES = "array<struct<start:long,length:long,doc_tokens:long,ids:binary>>"
 
@@ -42,22 +43,29 @@ def byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
-def tokenizer(path: str, pattern: str):
-    """Encoder of a byte-level BPE tokenizer file, read once per Python worker.
+def encoder(path: str, pattern: str):
+    """Text to ids by a byte-level BPE tokenizer file, read once per Python worker.
 
-    The ids are those of the ``tokenizers`` library with special tokens taken
-    as ordinary text (tested); its merges run in tiktoken, from the same file,
-    at five times the speed.
+    The ids are those of the ``tokenizers`` library (tested): a literal added
+    token such as the end marker is that token, as it is by default there. The
+    merges run in tiktoken, from the same file, at five times the speed.
     """
     import tiktoken
     cache = process_cache()
-    key = ("tokenizer", path, pattern)
+    key = ("encoder", path, pattern)
     if key not in cache:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        back, added = byte_of_char(), {x["content"] for x in spec.get("added_tokens") or []}
+        added = {x["content"]: x["id"] for x in spec.get("added_tokens") or []}
+        back = byte_of_char()
         ranks = {bytes(back[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in added}
-        cache[key] = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        own = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
+
+        def encode(text: str) -> list[int]:
+            if any(x in text for x in added):
+                return own.encode(text, allowed_special="all")
+            return own.encode_ordinary(text)
+        cache[key] = encode
     return cache[key]
 
 
@@ -69,7 +77,7 @@ def pieces(text: Column, path: str, pattern: str, size: int, end_id: int) -> Col
 
     def run(col: pa.Array) -> pa.Array:
         import numpy as np
-        encode = tokenizer(path, pattern).encode_ordinary
+        encode = encoder(path, pattern)
         start, length, total, ids, ends = [], [], [], [], [0]
         for i in range(len(col)):
             got = np.array([*encode(col[i].as_py() or ""), end_id], dtype="<u4")
@@ -145,12 +153,41 @@ def places(histogram: dict[int, int], size: int):
     return np.array(sorted(rows), dtype=np.int64).reshape(-1, 5)
 
 
-def pack(rows: DataFrame, size: int = 1024, order: tuple[str, ...] = ("doc_id", "start")) -> DataFrame:
-    """``rows`` (with a ``length`` of 1 to ``size``) with sequence_id and offset.
-    ``rows`` is read twice, so it should be a written table. ``order`` names the
-    columns that fix a row's rank within its length."""
-
-    histogram = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+def count_before(length: Column, size: int) -> Column:
+    """How many earlier rows of the partition have this length: a count per
+    length is all that a task keeps."""
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        import numpy as np
+        seen = np.zeros(size + 1, dtype=np.int64)
+        for batch in batches:
+            n = batch.to_numpy(zero_copy_only=False).astype(np.int64)
+            order = np.argsort(n, kind="stable")
+            first = np.searchsorted(n[order], n[order], side="left")
+            before = np.empty(len(n), dtype=np.int64)
+            before[order] = np.arange(len(n)) - first
+            yield pa.array(before + seen[n])
+            seen += np.bincount(n, minlength=size + 1)
+    return arrow_udf(run, returnType="long").asNondeterministic()(length)
+
+
+def pack(rows: DataFrame, size: int = 1024, sequence: str = "sequence_id", offset: str = "offset") -> DataFrame:
+    """``rows`` (with a ``length`` of 1 to ``size``) with ``sequence`` and ``offset``.
+
+    ``rows`` is written once, each row with its partition and its number among
+    the rows of its length there. Counts per partition and length, running over
+    the partitions, turn that number into a rank, so the rows themselves (token
+    ids and all) are neither sorted nor shuffled. The table of running counts
+    is broadcast while it is small by the optimizer's measure; beyond that the
+    join moves every row once."""
+    for name in (sequence, offset):
+        if free_name(rows, name) != name:
+            raise ValueError(f"rows have a column {name} already; name another")
+    part, nth, before, place = (free_name(rows, f"__{x}") for x in ("part", "nth", "before", "place"))
+    numbered = written(rows.withColumn(part, F.spark_partition_id()).withColumn(nth, count_before(F.col("length"), size)), "pieces")
+    counts = written(numbered.groupBy("length", part).agg(F.count(F.lit(1)).alias("n")), "counts")
+    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    running = Window.partitionBy("length").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = written(counts.select("length", part, F.coalesce(F.sum("n").over(running), F.lit(0)).alias(before)), "starts")
     table = places(histogram, size)
 
     def run(length: pa.Array, rank: pa.Array) -> pa.Array:
@@ -163,9 +200,6 @@ def pack(rows: DataFrame, size: int = 1024, order: tuple[str, ...] = ("doc_id",
             [pa.array(table[i, 3] + at // table[i, 2]), pa.array(table[i, 4] + at % table[i, 2] * length)],
             names=["sequence_id", "offset"])
 
-    rank, place = free_name(rows, "__rank"), free_name(rows, "__place")
-    ranked = salted_rank(rows, "length", list(order), F.xxhash64(*order), rank)
-    got = ranked.withColumn(place, arrow_udf(run, returnType="struct<sequence_id:long,offset:long>")(
-        F.col("length"), F.col(rank)))
-    return got.select(*rows.columns, F.col(place)["sequence_id"].alias("sequence_id"),
-                      F.col(place)["offset"].alias("offset"))
+    got = numbered.join(broadcast_if_small(starts), ["length", part]).withColumn(
+        place, arrow_udf(run, returnType="struct<sequence_id:long,offset:long>")(F.col("length"), F.col(nth) + F.col(before)))
+    return got.select(*rows.columns, F.col(place)["sequence_id"].alias(sequence), F.col(place)["offset"].alias(offset))

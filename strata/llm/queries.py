@@ -30,8 +30,7 @@ def op2_packing(spark, sf_dir):
 
 def packed(docs):
     """The pieces with their ids and places."""
-    cut = written(packing.document_pieces(docs, JSON, PATTERN), "pieces")
-    return packing.pack(cut, order=("doc_id", "start", "doc_tokens", "ids"))
+    return packing.pack(packing.document_pieces(docs, JSON, PATTERN))
 
 
 def packed_digest(docs):

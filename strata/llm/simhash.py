@@ -21,7 +21,9 @@ add nothing.
 Cases: null and wordless texts have fingerprint zero, linked like any other.
 Texts under three words are one shingle. Ties of ``doc_id`` and repeated rows
 stay separate rows of one component; a component without any non-null id has a
-null component_id. An empty table gives an empty result.
+null component_id. An empty table gives an empty result. A column named like
+an output is refused (``component`` and ``root`` give other names); other
+columns stay.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from ..operators.util import discard, recording
 from .common import free_name, written
 from .components import components
 
@@ -215,13 +218,18 @@ def near_duplicates(marked: DataFrame, doc_id: str = "doc_id", fp: str = "fp", b
     """``marked`` (a written table with fingerprints in ``fp``, as it is read
     twice) with ``component``, the smallest id of the component, and ``root``,
     its smallest fingerprint, which tells components apart where ids repeat."""
-    # ids are combined per fingerprint before the shuffle: a group of copies costs a row a task
-    fps = written(marked.groupBy(F.col(fp).alias("fp")).agg(F.min(doc_id).alias("least")), "distinct-fps")
-    linked = components(links(fps, bits)).withColumnRenamed("node", "fp")
-    rooted = written(fps.join(linked, "fp", "left")
-                     .select("fp", "least", F.coalesce("label", "fp").alias("root")), "roots")
-    least = rooted.groupBy("root").agg(F.min("least").alias("least"))
-    members = written(rooted.select("fp", "root").join(least, "root"), "members")
+    for name in (component, root):
+        if free_name(marked, name) != name:
+            raise ValueError(f"rows have a column {name} already; name another")
+    with recording() as made:
+        # ids are combined per fingerprint before the shuffle: a group of copies costs a row a task
+        fps = written(marked.groupBy(F.col(fp).alias("fp")).agg(F.min(doc_id).alias("least")), "distinct-fps")
+        linked = components(links(fps, bits)).withColumnRenamed("node", "fp")
+        rooted = written(fps.join(linked, "fp", "left")
+                         .select("fp", "least", F.coalesce("label", "fp").alias("root")), "roots")
+        least = rooted.groupBy("root").agg(F.min("least").alias("least"))
+        members = written(rooted.select("fp", "root").join(least, "root"), "members")
+    discard(marked.sparkSession, made[:-1])  # all but the members
     key = free_name(marked, "__fp")
     members = members.select(F.col("fp").alias(key), F.col("least").alias(component), F.col("root").alias(root))
     return marked.join(members, F.col(fp) == F.col(key)).drop(key)

@@ -136,7 +136,6 @@ def test_bpe_query(spark, edge, as_table, reference, no_docs):
 def test_packing_ids_are_those_of_tokenizers(spark, edge, as_table, no_docs):
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     folders = (SF, as_table(documents=edge.where("doc_id is not null and doc_id <> 3")))
     for folder in folders:
         texts = dict(texts_of(spark, folder))
