@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..plans.registry import query
-from . import ann, bpe, packing, pii, quality_model, quality_rules as rules, secrets, sharding, simhash, toxicity
+from . import (ann, bpe, embedding_dups, lexical, packing, pii, quality_model, quality_rules as rules, secrets, sharding, simhash,
+               toxicity, variants)
 from .common import held_out, span_digests, table, written
 
 JSON, RANKS = (public_tokenizers.path(f"byte_bpe_50k.{x}") for x in ("json", "tiktoken"))
@@ -30,7 +31,7 @@ def op2_packing(spark, sf_dir):
 
 def packed(docs):
     """The pieces with their ids and places."""
-    return packing.pack(packing.document_pieces(docs, JSON, PATTERN))
+    return packing.pack(packing.document_pieces(docs, JSON, PATTERN), numbers="nth")
 
 
 def packed_digest(docs):
@@ -136,3 +137,43 @@ def op10_quality(spark, sf_dir):
     scored = docs.select("doc_id", quality_model.score(F.col("text"), model).alias("score"))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
                          (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op11_embedding_dups")
+def op11_embedding_dups(spark, sf_dir):
+    return embedding_dups.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_variants")
+def op12_variants(spark, sf_dir):
+    runs = variants.runs(table(spark, sf_dir, "documents"))
+    worn = runs.select(variants.dropped_letter(F.col("run"), F.col("doc_id")).alias("word"))
+    return variants.variants(written(variants.counted(worn), "words"))
+
+
+#: The scores of all documents that hold a term of the item, in whole numbers.
+RANKED_SQL = r"""
+with t as (select doc_id, row_number() over () as r,
+                  list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                    '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') as ts
+           from documents where text is not null),
+i as (select item_id, unnest(list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                         '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')) as term from benchmark),
+q as (select item_id, term, count(*) as times from i group by all),
+d as (select r, doc_id, cast(len(ts) as bigint) as n, ts from t where len(ts) > 0),
+a as (select cast(count(*) as bigint) as nn, cast(sum(n) as bigint) as ll from d),
+v as (select r, term, count(*) as tf from (select r, unnest(ts) as term from d) where term in (select term from q) group by all),
+w as (select term, cast(floor(1000 * ln(cast(2 * any_value(nn) + 2 as double) / cast(2 * count(*) + 1 as double))) as bigint) as w
+      from v, a group by term),
+m as (select r, doc_id, 100 - 75 + ((75 * n * nn) // ll) as m from d, a),
+s as (select q.item_id, m.doc_id, v.r,
+             cast(sum(q.times * w.w * ((1000000000 * v.tf) // (1000 * v.tf + 8 * m.m))) as bigint) as score
+      from v join q using (term) join w using (term) join m using (r) group by all),
+k as (select *, cast(row_number() over (partition by item_id order by score desc, doc_id, r) as int) as rank from s where score > 0)
+select item_id, rank, doc_id, score from k where rank <= 10
+"""
+
+
+@query("op13_ranked", RANKED_SQL)
+def op13_ranked(spark, sf_dir):
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
