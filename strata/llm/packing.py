@@ -32,7 +32,7 @@ from pyspark.sql.types import _parse_datatype_string
 from ..operators.util import broadcast_if_small
 from .common import free_name, process_cache, written
 
-PIECES = "array<struct<start:long,length:long,doc_tokens:long,ids:binary>>"
+PIECES = "array<struct<start:long,length:long,doc_tokens:long,ids:binary,nth:long>>"
 
 
 def byte_of_char() -> dict[str, int]:
@@ -69,34 +69,54 @@ def encoder(path: str, pattern: str):
     return cache[key]
 
 
+class Seen:
+    """Numbers rows within their length, batch after batch of a partition: a
+    count per length is all that a task keeps."""
+
+    def __init__(self, size: int):
+        import numpy as np
+        self.count = np.zeros(size + 1, dtype=np.int64)
+
+    def number(self, lengths):
+        import numpy as np
+        order = np.argsort(lengths, kind="stable")
+        nth = np.empty(len(lengths), dtype=np.int64)
+        nth[order] = np.arange(len(lengths)) - np.searchsorted(lengths[order], lengths[order], side="left")
+        nth += self.count[lengths]
+        self.count += np.bincount(lengths, minlength=len(self.count))
+        return nth
+
+
 def pieces(text: Column, path: str, pattern: str, size: int, end_id: int) -> Column:
     """Array of the pieces of a text: ids (unsigned, little-endian, 32 bits) in
-    runs of ``size``, the end id after the last."""
+    runs of ``size``, the end id after the last, and the piece's number among
+    those of its length that the partition had before."""
 
     kind = to_arrow_type(_parse_datatype_string(PIECES))
 
-    def run(col: pa.Array) -> pa.Array:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import numpy as np
-        encode = encoder(path, pattern)
-        start, length, total, ids, ends = [], [], [], [], [0]
-        for i in range(len(col)):
-            got = np.array([*encode(col[i].as_py() or ""), end_id], dtype="<u4")
-            for at in range(0, len(got), size):
-                part = got[at:at + size]
-                start.append(at)
-                length.append(len(part))
-                total.append(len(got))
-                ids.append(part.tobytes())
-            ends.append(len(start))
-        fields = [pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(total, pa.int64()),
-                  pa.array(ids, pa.binary())]
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(
-            fields, fields=list(kind.value_type))).cast(kind)
-    return arrow_udf(run, returnType=PIECES)(text)
+        encode, seen = encoder(path, pattern), Seen(size)
+        for col in batches:
+            start, length, total, ids, ends = [], [], [], [], [0]
+            for i in range(len(col)):
+                got = np.array([*encode(col[i].as_py() or ""), end_id], dtype="<u4")
+                for at in range(0, len(got), size):
+                    part = got[at:at + size]
+                    start.append(at)
+                    length.append(len(part))
+                    total.append(len(got))
+                    ids.append(part.tobytes())
+                ends.append(len(start))
+            nth = seen.number(np.array(length, dtype=np.int64))
+            fields = [*(pa.array(x, pa.int64()) for x in (start, length, total)), pa.array(ids, pa.binary()), pa.array(nth)]
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(
+                fields, fields=list(kind.value_type))).cast(kind)
+    return arrow_udf(run, returnType=PIECES).asNondeterministic()(text)
 
 
 def document_pieces(docs: DataFrame, path: str, pattern: str, size: int = 1024, end_id: int = 0) -> DataFrame:
-    """(doc_id, start, length, doc_tokens, ids), a row per piece."""
+    """(doc_id, start, length, doc_tokens, ids, nth), a row per piece."""
     got = docs.select("doc_id", F.explode(pieces(F.col("text"), path, pattern, size, end_id)).alias("piece"))
     return got.select("doc_id", "piece.*")
 
@@ -154,24 +174,20 @@ def places(histogram: dict[int, int], size: int):
 
 
 def count_before(length: Column, size: int) -> Column:
-    """How many earlier rows of the partition have this length: a count per
-    length is all that a task keeps."""
+    """How many earlier rows of the partition have this length."""
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import numpy as np
-        seen = np.zeros(size + 1, dtype=np.int64)
+        seen = Seen(size)
         for batch in batches:
-            n = batch.to_numpy(zero_copy_only=False).astype(np.int64)
-            order = np.argsort(n, kind="stable")
-            first = np.searchsorted(n[order], n[order], side="left")
-            before = np.empty(len(n), dtype=np.int64)
-            before[order] = np.arange(len(n)) - first
-            yield pa.array(before + seen[n])
-            seen += np.bincount(n, minlength=size + 1)
+            yield pa.array(seen.number(batch.to_numpy(zero_copy_only=False).astype(np.int64)))
     return arrow_udf(run, returnType="long").asNondeterministic()(length)
 
 
-def pack(rows: DataFrame, size: int = 1024, sequence: str = "sequence_id", offset: str = "offset") -> DataFrame:
+def pack(rows: DataFrame, size: int = 1024, sequence: str = "sequence_id", offset: str = "offset",
+         numbers: str | None = None) -> DataFrame:
     """``rows`` (with a ``length`` of 1 to ``size``) with ``sequence`` and ``offset``.
+    ``numbers`` names a column that has each row's number among those of its
+    length in the partition already; it is left out of the result.
 
     ``rows`` is written once, each row with its partition and its number among
     the rows of its length there. Counts per partition and length, running over
@@ -183,7 +199,8 @@ def pack(rows: DataFrame, size: int = 1024, sequence: str = "sequence_id", offse
         if free_name(rows, name) != name:
             raise ValueError(f"rows have a column {name} already; name another")
     part, nth, before, place = (free_name(rows, f"__{x}") for x in ("part", "nth", "before", "place"))
-    numbered = written(rows.withColumn(part, F.spark_partition_id()).withColumn(nth, count_before(F.col("length"), size)), "pieces")
+    given = F.col(numbers) if numbers else count_before(F.col("length"), size)
+    numbered = written(rows.withColumn(part, F.spark_partition_id()).withColumn(nth, given), "pieces")
     counts = written(numbered.groupBy("length", part).agg(F.count(F.lit(1)).alias("n")), "counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     running = Window.partitionBy("length").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
@@ -202,4 +219,4 @@ def pack(rows: DataFrame, size: int = 1024, sequence: str = "sequence_id", offse
 
     got = numbered.join(broadcast_if_small(starts), ["length", part]).withColumn(
         place, arrow_udf(run, returnType="struct<sequence_id:long,offset:long>")(F.col("length"), F.col(nth) + F.col(before)))
-    return got.select(*rows.columns, F.col(place)["sequence_id"].alias(sequence), F.col(place)["offset"].alias(offset))
+    return got.select(*(c for c in rows.columns if c != numbers), F.col(place)["sequence_id"].alias(sequence), F.col(place)["offset"].alias(offset))

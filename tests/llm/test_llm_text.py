@@ -166,6 +166,20 @@ def test_packing_ids_are_those_of_tokenizers(spark, edge, as_table, no_docs):
     assert queries.op2_packing(spark, as_table(documents=no_docs)).count() == 0
 
 
+def test_pack_any_rows(spark):
+    """Rows of any columns, numbered by the operator; names of outputs are refused."""
+    df = spark.range(500).selectExpr("id", "cast(id % 37 + 1 as int) as length", "1 as nth", "2 as __part").repartition(7)
+    rows = packing.pack(df, 64, sequence="s", offset="o").collect()
+    assert [*rows[0].asDict()] == ["id", "length", "nth", "__part", "s", "o"] and len({r["id"] for r in rows}) == 500
+    packs = defaultdict(list)
+    for r in rows:
+        packs[r["s"]].append((r["o"], r["length"]))
+    for got in packs.values():
+        assert [o for o, _ in sorted(got)] == [sum(n for _, n in sorted(got)[:i]) for i in range(len(got))] and sum(n for _, n in got) <= 64
+    with pytest.raises(ValueError, match="offset"):
+        packing.pack(df.withColumn("offset", F.lit(1)))
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(0, 500), max_size=20))
 def test_patterns_place_every_length_once(histogram):
