@@ -1,81 +1,61 @@
 """Minority oversampling between nearest neighbours.
 
-The neighbours come from a bounded sample of the minority (``boosting.FIT_ROWS``
-rows in the order of a hash of the key), compared in blocks in one task. The
-synthetic rows, as many as the classes differ by, are made where Spark deals
-their numbers: each is a point on the segment from a minority row to one of
-its ``k`` nearest, chosen by a hash of its number, so the same whatever the
-partitions.
+Every row of the smaller class is a seed, each as often as the others but for
+the remainder, which falls to the first in the order of a hash of the key. A
+synthetic row is a point on the segment from its seed to one of the seed's
+``k`` nearest rows of the class (``knn``, exact); which one, and how far, follow
+from a hash of seed, key and number, so the same whatever the partitions, and
+the same in SQL (``draw``).
 """
 
 from __future__ import annotations
 
-import sys
-
-import pyarrow as pa
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .boosting import FIT_ROWS
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-
-def neighbours(x, k: int):
-    """Rows of the ``k`` nearest other rows of each row (ties to smaller numbers)."""
-    import numpy as np
-    out = []
-    for at in range(0, len(x), 512):
-        d = ((x[at:at + 512, None, :] - x[None, :, :]) ** 2).sum(axis=2) if len(x) <= 2048 else \
-            (x[at:at + 512] ** 2).sum(axis=1)[:, None] - 2 * x[at:at + 512] @ x.T + (x ** 2).sum(axis=1)[None, :]
-        d[np.arange(len(d)), np.arange(at, at + len(d))] = np.inf
-        out.append(np.argsort(d, axis=1, kind="stable")[:, :k])
-    return np.concatenate(out)
-
-
-def uniform(n, seed: int):
-    """Numbers in [0, 1) from a 64-bit mix of ``n`` and ``seed``."""
-    import numpy as np
-    with np.errstate(over="ignore"):
-        z = (n.astype(np.uint64) + np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53)
+from .knn import nearest
+from .ranking import global_rank
+from .util import stored
+
+
+def draw(seed: int, *parts: Column) -> Column:
+    """A number in [0, 1) from the first 32 bits of md5 of seed:part:...; SQL has the same."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[p.cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+
+
+def synthetic(minority: DataFrame, need: int, key: str, features: str = "x", k: int = 5, seed: int = 42) -> DataFrame:
+    """(key, copy, neighbour, features): ``need`` points between rows of
+    ``minority`` (unique keys, vectors of one length without nulls) and their
+    neighbours. A minority of one row is repeated."""
+    rows = stored(minority.select(F.col(key).cast("long").alias("key"), F.col(features).cast("array<double>").alias("x")), "minority")
+    ranked = stored(global_rank(rows, [F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("key").cast("string"))), "key"], "rank"), "seeds")
+    n = ranked.count()
+    if not n:
+        return rows.select("key", F.lit(0).alias("copy"), F.lit(None).cast("long").alias("neighbour"), F.col("x").alias(features))
+    each, more = divmod(need, n)
+    copies = F.lit(each) + (F.col("rank") <= more).cast("int")
+    drawn = ranked.where(copies > 0).select("key", "x", F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy"))
+    near = nearest(rows, k)
+    degree = near.groupBy("key").agg(F.max("nth").alias("degree"))
+    chosen = drawn.join(degree, "key", "left").withColumn(
+        "nth", (F.floor(draw(seed + 1, F.col("key"), F.col("copy")) * F.col("degree")) + 1).cast("int"))
+    pairs = chosen.join(near.select("key", "nth", "neighbour"), ["key", "nth"], "left")
+    ends = pairs.join(rows.select(F.col("key").alias("neighbour"), F.col("x").alias("end")), "neighbour", "left")
+    way = draw(seed + 2, F.col("key"), F.col("copy"))
+    between = F.when(F.col("end").isNull(), F.col("x")).otherwise(F.zip_with("x", "end", lambda a, b: a + way * (b - a)))
+    return ends.select("key", F.col("copy").cast("int").alias("copy"), "neighbour", between.alias(features))
 
 
 def oversample(rows: DataFrame, key: str, label: str, features: str = "x", k: int = 5, seed: int = 42) -> DataFrame:
     """(label, features, synthetic): all rows, and synthetic ones that make the
-    smaller class as large as the other. A minority of one row is repeated."""
-    import numpy as np
+    smaller class as large as the other."""
     counts = {r[label]: r["count"] for r in rows.groupBy(label).count().collect()}
     real = rows.select(label, features, F.lit(False).alias("synthetic"))
     if len(counts) < 2 or len(set(counts.values())) == 1:
         return real
     small = min(counts, key=counts.__getitem__)
     need = max(counts.values()) - counts[small]
-    sample = rows.where(F.col(label) == small).orderBy(F.xxhash64(key), key).limit(FIT_ROWS).select(key, features)
-
-    def find(batches):
-        import pyarrow.compute as pc
-        table = pa.Table.from_batches(list(batches)).combine_chunks()
-        table = table.take(pc.sort_indices(table.column(0)))
-        x = np.array(table.column(1).to_pylist(), dtype=float)
-        near = neighbours(x, min(k, len(x) - 1)) if len(x) > 1 else np.zeros((1, 1), dtype=np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(x.tolist(), pa.list_(pa.float64())), pa.array(near.tolist(), pa.list_(pa.int64()))],
-                                         names=["x", "near"])
-    # a bounded table: one task, and at most FIT_ROWS rows for the driver to hand out
-    table = sample.coalesce(1).mapInArrow(find, "x array<double>, near array<long>").collect()
-    x, near = np.array([r["x"] for r in table]), np.array([r["near"] for r in table])
-
-    def make(batches):
-        for b in batches:
-            n = b.column(0).to_numpy()
-            i = (uniform(n, seed) * len(x)).astype(int)
-            j = near[i, (uniform(n, seed + 1) * near.shape[1]).astype(int)]
-            at = x[i] + uniform(n, seed + 2)[:, None] * (x[j] - x[i])
-            yield pa.RecordBatch.from_arrays([pa.array(at.tolist(), pa.list_(pa.float64()))], names=["x"])
+    new = synthetic(rows.where(F.col(label) == small), need, key, features, k, seed)
     kind = rows.schema[label].dataType
-    new = rows.sparkSession.range(need).mapInArrow(make, "x array<double>").select(
-        F.lit(small).cast(kind).alias(label), F.col("x").alias(features), F.lit(True).alias("synthetic"))
-    return real.unionByName(new)
+    return real.unionByName(new.select(F.lit(small).cast(kind).alias(label), features, F.lit(True).alias("synthetic")))

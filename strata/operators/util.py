@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -23,24 +24,30 @@ def stored(df: DataFrame, name: str = "stored") -> DataFrame:
     ensure_checkpoint_dir(spark)
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    for paths in _RECORDS:
+    for paths in _records():
         paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Lists that ``recording`` fills, innermost last.
-_RECORDS: list[list[str]] = []
+_LOCAL = threading.local()
+
+
+def _records() -> list[list[str]]:
+    """The lists that ``recording`` fills in this thread, innermost last."""
+    if not hasattr(_LOCAL, "records"):
+        _LOCAL.records = []
+    return _LOCAL.records
 
 
 @contextmanager
 def recording() -> Iterator[list[str]]:
-    """The paths of the tables that are ``stored`` in the block."""
+    """The paths of the tables that are ``stored`` in the block, by this thread."""
     paths: list[str] = []
-    _RECORDS.append(paths)
+    _records().append(paths)
     try:
         yield paths
     finally:
-        _RECORDS.remove(paths)
+        _records().pop()
 
 
 def discard(spark: SparkSession, paths: list[str]) -> None:

@@ -21,7 +21,8 @@ from ..operators import validate as V
 from ..operators.drift import drift_weights, tag_union
 from ..operators.features import V5_22, FeaturePlan
 from ..operators.folds import kfold_stratified
-from ..operators.resample import oversample
+from ..operators.knn import nearest
+from ..operators.resample import oversample, synthetic
 from ..operators.metrics import accuracy, cv_summary, regression_metrics, roc_auc
 from ..operators.util import stored
 from ..sources.tables import Tables
@@ -164,6 +165,50 @@ def oversample_q(spark, sf):
                                      F.sum(F.col("synthetic").cast("long")).alias("n_synthetic"))
 
 
+NEAR_COLS = ["A", "B", "G", "H", "I"]
+NEAR_SQL = f"""
+t as (select doc_id as key, {", ".join(NEAR_COLS)} from {docs.TRAIN_SQL} t where target = 1),
+d as (select a.key, b.key as neighbour, {" + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in NEAR_COLS)} as d2
+      from t a join t b on a.key <> b.key),
+near as (select * from (select *, cast(row_number() over (partition by key order by d2, neighbour) as integer) as nth from d) where nth <= 5)
+"""
+
+
+def minority(spark, sf):
+    """(key, x) of the labelled documents of low quality."""
+    train = docs.train_table(Tables(spark, sf)).where("target = 1")
+    return stored(train.select(F.col("doc_id").alias("key"), F.array(*[F.col(c).cast("double") for c in NEAR_COLS]).alias("x")), "minority")
+
+
+@query("minority_neighbours", f"with {NEAR_SQL} select key, nth, neighbour, round(d2, 9) as d2 from near")
+def minority_neighbours(spark, sf):
+    """The five nearest rows of the class for every row of it, exactly."""
+    return nearest(minority(spark, sf), 5).select("key", "nth", "neighbour", F.round("d2", 9).alias("d2"))
+
+
+def _draw_sql(seed):
+    return f"cast(('0x' || substr(md5('{seed}:' || cast(key as varchar) || ':' || cast(copy as varchar)), 1, 8))::bigint as double) / 4294967296.0"
+
+
+@query("smote_points", f"""
+with {NEAR_SQL},
+c as (select count(*) filter (target = 0) - count(*) filter (target = 1) as need from {docs.TRAIN_SQL} t),
+k as (select t.*, row_number() over (order by md5('42:' || cast(key as varchar)), key) as rank, (select count(*) from t) as n from t),
+e as (select key, n, unnest(range(0, greatest(need // n + (rank <= need % n)::int, 0))) as copy from k, c),
+deg as (select key, max(nth) as degree from near group by key),
+w as (select e.key, cast(copy as integer) as copy, cast(floor({_draw_sql(43)} * degree) + 1 as integer) as nth, {_draw_sql(44)} as way
+      from e join deg using (key))
+select w.key, copy, near.neighbour, {", ".join(f"round(a.{c} + way * (b.{c} - a.{c}), 6) as {c}" for c in NEAR_COLS)}
+from w join near using (key, nth) join t a on a.key = w.key join t b on b.key = near.neighbour
+""")
+def smote_points(spark, sf):
+    """The synthetic rows that fill the smaller class up, each between a row
+    and one of its neighbours."""
+    n = docs.train_table(Tables(spark, sf)).groupBy().agg(F.sum(F.when(F.col("target") == 0, 1).otherwise(-1)).alias("need")).first()
+    got = synthetic(minority(spark, sf), max(n["need"] or 0, 0), "key")
+    return got.select("key", "copy", "neighbour", *[F.round(F.col("x")[i], 6).alias(c) for i, c in enumerate(NEAR_COLS)])
+
+
 @query("hyper_search")
 def hyper_search(spark, sf):
     """30 seeded random settings of nine parameters, five-fold CV AUC each;

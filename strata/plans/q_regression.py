@@ -6,7 +6,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import boosting as B
+from ..operators import gram as G
 from ..operators import models as M
+from ..operators.concurrent import at_once
 from ..operators.features import poly2
 from ..operators.folds import kfold_contiguous, kfold_shuffled
 from ..operators.metrics import regression_metrics
@@ -243,9 +245,11 @@ RIDGE_SQL = CONTIGUOUS_SQL.replace(
     .replace("from pv group by fold)", "from pv group by model, fold)")
 RIDGE_SQL = RIDGE_SQL[:RIDGE_SQL.index("pt as (")] + RIDGE_SQL[RIDGE_SQL.index("mv as ("):RIDGE_SQL.index("mt as (")].rstrip().rstrip(",")
 
-LINEAR = {"Linear Regression": lambda n, sd: M.linear("y"), "Ridge (1)": lambda n, sd: M.ridge(1.0, n, sd, "y"),
-          "Ridge (10)": lambda n, sd: M.ridge(10.0, n, sd, "y"), "Lasso (0.1)": lambda n, sd: M.lasso(0.1, "y")}
-POLYNOMIAL = {"Poly-2 + Linear": lambda n, sd: M.linear("y"), "Poly-2 + Ridge": lambda n, sd: M.ridge(1.0, n, sd, "y")}
+#: Features and fit from moments, by model.
+W, POLY_AT = [0, 1], list(range(len(POLY)))
+LINEAR = {"Linear Regression": (W, G.ridge), "Ridge (1)": (W, lambda m: G.ridge(m, 1.0)),
+          "Ridge (10)": (W, lambda m: G.ridge(m, 10.0)), "Lasso (0.1)": (W, lambda m: G.lasso(m, 0.1)),
+          "Poly-2 + Linear": (POLY_AT, G.ridge), "Poly-2 + Ridge": (POLY_AT, lambda m: G.ridge(m, 1.0))}
 
 
 def comparison_rows(spark, sf):
@@ -254,28 +258,52 @@ def comparison_rows(spark, sf):
     return stored(df, "regression")
 
 
-def fit_linear(df, name):
-    make, cols = (LINEAR[name], ["W0", "W1"]) if name in LINEAR else (POLYNOMIAL[name], POLY)
-    a = M.assemble(df, cols)
-    t = a.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("y").alias("sd")).first()
-    return lambda x: make(t["n"], t["sd"]).fit(a).transform(M.assemble(x, cols)).withColumn("p", F.col("prediction"))
+def linear_errors(df, names):
+    """[(model, fold, rows, mse)] of linear models on their held-out folds, from one scan."""
+    folds = G.fold_moments(df, POLY, "y")
+    rows = []
+    for n in names:
+        at, fit = LINEAR[n]
+        own = {f: G.of(m, at) for f, m in folds.items()}
+        rows += [(n, f, held.n, G.mse(held, model)) for f, (_, held, model) in G.cross_validated(own, fit).items()]
+    return rows
+
+
+def assembled(df):
+    """The rows with a feature vector, written once for all fits, in as many
+    files as their size asks for: a fit is many small jobs."""
+    keep = M.assemble(df, ["W0", "W1"]).select("p_partkey", "fold", "y", "W0", "W1", "features")
+    return stored(keep.repartition(max(1, df.count() // TASK_ROWS)), "assembled")
+
+
+TASK_ROWS = 100_000
+
 
+def tree_predictions(df, trees):
+    """(model, fold, p_partkey, y, p) of every tree regressor on its held-out
+    folds: all fits at once, each on all rows outside its fold, scored where the
+    fold lies."""
+    rows = assembled(df)
 
-def fit_trees(df, setting):
-    """A tree regressor over all rows of ``df``, fitted by MLlib."""
-    model = M.tree_regressor(setting, "y").fit(M.assemble(df, ["W0", "W1"]))
-    return lambda x: model.transform(M.assemble(x, ["W0", "W1"])).withColumn("p", F.col("prediction"))
+    def one(name, f):
+        def run():
+            model = M.tree_regressor(trees[name], "y").fit(rows.where(F.col("fold") != f))
+            return stored(model.transform(rows.where(F.col("fold") == f)).select(
+                F.lit(name).alias("model"), "fold", "p_partkey", "y", F.col("prediction").alias("p")), "held")
+        return run
+    got = at_once(df.sparkSession, {f"{n} {f}": one(n, f) for n in trees for f in range(5)})
+    return union(list(got.values()))
 
 
 def held_out_errors(df, names, trees):
     """(model, fold, mse) of every model on its held-out fold."""
-    parts = []
-    for f in range(5):
-        seen, held = df.where(F.col("fold") != f), df.where(F.col("fold") == f)
-        parts += [fit_linear(seen, n)(held).select(F.lit(n).alias("model"), "fold", "y", "p") for n in names]
-        parts += [fit_trees(seen, t)(held).select(F.lit(n).alias("model"), "fold", "y", "p") for n, t in trees.items()]
-    e = (F.col("y") - F.col("p")) * (F.col("y") - F.col("p"))
-    return union(parts).groupBy("model", "fold").agg(F.avg(e).alias("mse"))
+    spark, parts = df.sparkSession, []
+    if names:
+        parts.append(spark.createDataFrame([(n, f, e) for n, f, _, e in linear_errors(df, names)], "model string, fold int, mse double"))
+    if trees:
+        e = (F.col("y") - F.col("p")) * (F.col("y") - F.col("p"))
+        parts.append(tree_predictions(df, trees).groupBy("model", "fold").agg(F.avg(e).alias("mse")))
+    return union(parts)
 
 
 @query("cv_linear_family", f"""
@@ -291,11 +319,24 @@ def cv_linear_family(spark, sf):
 
 def leaderboard(spark, sf):
     df = comparison_rows(spark, sf)
-    errors = held_out_errors(df, [*LINEAR, *POLYNOMIAL], B.REGRESSORS)
+    errors = held_out_errors(df, [*LINEAR], B.REGRESSORS)
     board = stored(errors.groupBy("model").agg(F.avg("mse").alias("cv_mse"), F.stddev_pop("mse").alias("cv_std")), "board")
     return df, board, board.orderBy("cv_mse", "model").first()["model"]
 
 
+def refitted(df, name):
+    """``df`` with the predictions ``p`` of a regressor fitted on all of its rows."""
+    if name in B.REGRESSORS:
+        rows = assembled(df)
+        return M.tree_regressor(B.REGRESSORS[name], "y").fit(rows).transform(rows).withColumn("p", F.col("prediction"))
+    at, fit = LINEAR[name]
+    b, b0 = fit(G.of(G.total(G.fold_moments(df, POLY, "y")), at))
+    p = F.lit(float(b0))
+    for i, w in zip(at, b):
+        p = p + F.lit(float(w)) * F.col(POLY[i])
+    return df.withColumn("p", p)
+
+
 @query("regression_compare")
 def regression_compare(spark, sf):
     """M1–M6 + O1 + A17: nine regressors, CV MSE over unshuffled five folds,
@@ -309,8 +350,7 @@ def regression_predict(spark, sf):
     """S3/S4 + A5: the best regressor refitted on all rows; predictions rounded to
     three places, with the minimum, maximum, mean and deviation over the table."""
     df, _, best = leaderboard(spark, sf)
-    fitted = fit_trees(df, B.REGRESSORS[best]) if best in B.REGRESSORS else fit_linear(df, best)
-    got = stored(fitted(df).select("p_partkey", "W0", "W1", "p"), "predictions")
+    got = stored(refitted(df, best).select("p_partkey", "W0", "W1", "p"), "predictions")
     t = got.agg(F.min("p").alias("lo"), F.max("p").alias("hi"), F.avg("p").alias("mean"), F.stddev_pop("p").alias("std")).first()
     return got.select("p_partkey", "W0", "W1", F.bround("p", 3).alias("mse"),
                       *[F.round(F.lit(t[c]), 6).alias(f"p_{c}") for c in ("lo", "hi", "mean", "std")])
@@ -326,3 +366,39 @@ def rf_reg(spark, sf):
 def gbt_reg(spark, sf):
     """M6: gradient-boosting regressor, MSE per held-out fold."""
     return rounded(held_out_errors(comparison_rows(spark, sf), [], {n: t for n, t in B.REGRESSORS.items() if not t.forest}))
+
+
+@query("regression_coverage", f"""
+with {CONTIGUOUS_SQL[:CONTIGUOUS_SQL.index("fs as (")].rstrip().rstrip(",")},
+m as (select unnest([{", ".join(f"'{n}'" for n in B.REGRESSORS)}]) as model)
+select model, fold, count(*) as n, cast(sum(p_partkey) as bigint) as keys, count(*) as n_finite from r, m group by model, fold
+""")
+def regression_coverage(spark, sf):
+    """M5 + M6 + M13: which rows each tree regressor scored while held out."""
+    got = tree_predictions(comparison_rows(spark, sf), B.REGRESSORS)
+    return got.groupBy("model", "fold").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("p_partkey").alias("keys"),
+        F.sum((F.col("p").isNotNull() & ~F.isnan("p")).cast("long")).alias("n_finite"))
+
+
+@query("cv_lasso", f"""
+with recursive {CONTIGUOUS_SQL[:CONTIGUOUS_SQL.index("cf as (")].rstrip().rstrip(",")},
+cd(fold, i, b1, b2) as (
+  select fold, 0, 0.0::double, 0.0::double from cm
+  union all
+  select fold, i + 1, nb1, sign(k2y - k12 * nb1) * greatest(abs(k2y - k12 * nb1) - 0.1, 0) / k22
+  from (select cd.fold, i, c2y / n as k2y, c12 / n as k12, c22 / n as k22,
+               sign(c1y / n - c12 / n * b2) * greatest(abs(c1y / n - c12 / n * b2) - 0.1, 0) / (c11 / n) as nb1
+        from cd join cm using (fold) join tr using (fold) where i < 200) t),
+cf2 as (select fold, b1, b2, my - b1 * m1 - b2 * m2 as b0 from cd join cm using (fold) where i = 200)
+select r.fold, round(any_value(b1), 5) as coef_W0, round(any_value(b2), 5) as coef_W1,
+       round(avg((y - b0 - b1 * W0 - b2 * W1) * (y - b0 - b1 * W0 - b2 * W1)), 5) as mse
+from r join cf2 using (fold) group by r.fold
+""")
+def cv_lasso(spark, sf):
+    """M3 + M13: the lasso of every fold and its held-out error, from the moments of one scan."""
+    folds = {f: G.of(m, W) for f, m in G.fold_moments(comparison_rows(spark, sf), POLY, "y").items()}
+    rows = [(f, *map(float, model[0]), G.mse(held, model))
+            for f, (_, held, model) in G.cross_validated(folds, lambda m: G.lasso(m, 0.1)).items()]
+    got = spark.createDataFrame(rows, "fold int, coef_W0 double, coef_W1 double, mse double")
+    return got.select("fold", *[F.round(c, 5).alias(c) for c in ("coef_W0", "coef_W1", "mse")])
