@@ -1,28 +1,37 @@
 """Toxicity: votes of the nearest labelled examples by exact TF-IDF cosine.
 
 Terms are words in lower case without punctuation, and their first four and
-five letters (so that inflected forms meet). The vocabulary holds the terms of
-the labelled sample that go with either class beyond chance (chi-squared of at
-least ``CHI2``), ``TERMS`` at most.
+five letters (so that inflected forms meet). All terms of the labelled sample
+are indexed. A term's weight is its idf times ``EVEN`` plus the squared phi
+coefficient of term and label over the sample, less what chance gives: the
+cosine is exact over all terms, and those that go with a class count most.
 
-The examples lie in an inverted index in blocks of ``BLOCK``: for every term
-the greatest weight in each block bounds what the block can score. Blocks are
-visited in the order of their bounds until the bound is below the k-th best
-cosine, so the neighbours are exact. Votes weigh ``1 / (0.05 + distance)``; the
-prior joins them with a weight of its own, which is all that a document
-without a known term gets. A logistic curve, fitted on rows apart, turns the
-vote into a probability.
+The examples lie in an inverted index in blocks of ``BLOCK``. Terms that more
+than one in ``DENSE`` examples has are columns of a dense matrix, whose part of
+the cosine is one product for a batch of documents; the others are postings by
+term and block. The greatest weight of a term in a block bounds what the block
+can add. The block of the best bound is read first, which bounds the k-th best
+cosine, and then every block that reaches it, so the neighbours are exact.
+Votes weigh ``1 / (0.05 + distance)``; the prior joins them with a weight of its
+own, which is all that a document without any known term gets. A logistic curve,
+fitted on rows apart, turns the vote into a probability.
 
-The sample is bounded (``PER_CLASS``, ``CALIBRATION``); every document is scored
-on its whole text.
+The sample is bounded in rows (``PER_CLASS``, ``CALIBRATION``); what the tasks get
+of it (terms, postings) is as large as these rows' texts. idf and phi are of the
+sample, as part of the fit. Every document is scored on its whole text.
 
 Cases: a null text counts as empty, and gets the score of the prior. Ties in
-cosine go to the smaller id. Without labels of both classes the score is the
-share of label 1 (0 without labels).
+cosine go to the smaller id. Repeated rows are scored each; repeated ids count
+once in the fit. Very long texts are read whole. An empty table gives an empty
+result. Only the text travels, so other columns may have any name. Without
+labels of both classes the score is the share of label 1 (0 without labels).
 """
 
 from __future__ import annotations
 
+import pickle
+import uuid
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,8 +42,9 @@ from .sampling import labelled_sample
 
 PER_CLASS = {0: 3000, 1: 1500}
 CALIBRATION = 3000
-TERMS, CHI2, MIN_DOCS = 4096, 20.0, 3
-NEAREST, BLOCK, PRIOR_WEIGHT = 15, 32, 2.0
+EVEN = 0.01
+NEAREST, BLOCK, DENSE, PRIOR_WEIGHT = 15, 64, 16, 2.0
+BATCH = 128
 MAX_WORDS = 300_000
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¿«»…–—"
 
@@ -62,14 +72,16 @@ def term_counts(sample: DataFrame) -> DataFrame:
 
 
 def vocabulary(sample: DataFrame, total: int, positive: int) -> dict[str, tuple[int, float]]:
-    """term -> (number, idf) of the terms that tell the classes apart."""
-    n, a = F.col("n").cast("double"), F.col("positive").cast("double")
-    expected = n * positive / total
-    chi2 = (a - expected) ** 2 / expected + (a - expected) ** 2 / (n - expected)
-    rows = term_counts(sample).where(n >= MIN_DOCS).withColumn("chi2", chi2).where(F.col("chi2") >= CHI2) \
-        .orderBy(F.col("chi2").desc(), "term").limit(TERMS).collect()
+    """term -> (number, weight) of all terms of the sample, a bounded number of rows."""
     import math
-    return {r["term"]: (i, math.log(1 + total / r["n"])) for i, r in enumerate(sorted(rows, key=lambda r: r["term"]))}
+    rows = term_counts(sample).collect()
+    out = {}
+    for i, r in enumerate(sorted(rows, key=lambda r: r["term"])):
+        n, a = r["n"], r["positive"]
+        spread = n * (total - n) * positive * (total - positive)
+        phi2 = (a * total - n * positive) ** 2 / spread if spread else 0.0
+        out[r["term"]] = (i, math.log(1 + total / n) * (EVEN + max(0.0, phi2 - 1 / (total - 1))))
+    return out
 
 
 class Index:
@@ -82,32 +94,83 @@ class Index:
         self.ids = np.array([ids[i] for i in order], dtype=np.int64)
         self.labels = np.array([labels[i] for i in order], dtype=np.float64)
         self.blocks = -(-len(order) // BLOCK)
-        self.bound = np.zeros((terms, self.blocks), dtype=np.float64)
-        post: dict[tuple[int, int], list[tuple[int, float]]] = {}
-        for at, i in enumerate(order):
-            for t, w in vectors[i].items():
-                post.setdefault((t, at // BLOCK), []).append((at, w))
-                self.bound[t, at // BLOCK] = max(self.bound[t, at // BLOCK], w)
-        self.post = {k: (np.array([a for a, _ in v]), np.array([w for _, w in v])) for k, v in post.items()}
+        term = np.array([t for i in order for t in vectors[i]], dtype=np.int64)
+        weight = np.array([w for i in order for w in vectors[i].values()])
+        row = np.repeat(np.arange(len(order)), [len(vectors[i]) for i in order])
+        often = np.bincount(term, minlength=terms) * DENSE > len(order)
+        self.column = np.where(often, np.cumsum(often) - 1, -1)  # of the dense matrix, by term
+        self.dense = np.zeros((int(often.sum()), self.blocks * BLOCK))
+        here = often[term]
+        self.dense[self.column[term[here]], row[here]] = weight[here]
+        # postings by (term, row); a run of one term and block is an entry of its block list
+        term, row, weight = term[~here], row[~here], weight[~here]
+        by = np.lexsort((row, term))
+        term, self.row, self.weight = term[by], row[by], weight[by]
+        block = self.row // BLOCK
+        new = np.ones(len(term), dtype=bool)
+        new[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
+        start = np.flatnonzero(new)
+        self.first = np.append(start, len(term))
+        self.block = block[start]
+        self.top = np.maximum.reduceat(self.weight, start) if len(start) else np.zeros(0)
+        self.lists = np.searchsorted(term[start], np.arange(terms + 1))
 
     def nearest(self, query: dict[int, float], k: int):
         """(rows, cosines) of the k examples of greatest cosine above 0; ties to smaller ids."""
+        return self.nearest_of([query], k)[0]
+
+    def nearest_of(self, queries: list[dict[int, float]], k: int):
+        """``nearest`` for a batch of queries."""
         import numpy as np
-        terms = list(query)
-        bound = np.array([query[t] for t in terms]) @ self.bound[terms]
-        rows, cosines = np.zeros(0, dtype=np.int64), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(rows) >= k and bound[b] < cosines[k - 1] - 1e-12:
-                break
-            scores = np.zeros(BLOCK)
-            for t in terms:
-                if (got := self.post.get((t, int(b)))) is not None:
-                    scores[got[0] - b * BLOCK] += query[t] * got[1]
-            at = np.flatnonzero(scores > 0)
-            rows, cosines = np.append(rows, at + b * BLOCK), np.append(cosines, scores[at])
-            keep = np.lexsort((self.ids[rows], -np.round(cosines, 12)))[:k]
-            rows, cosines = rows[keep], cosines[keep]
-        return rows, cosines
+        terms = [np.fromiter(q, dtype=np.int64, count=len(q)) for q in queries]
+        weights = [np.fromiter(q.values(), dtype=np.float64, count=len(q)) for q in queries]
+        q = np.zeros((len(queries), len(self.dense)))
+        for i, (t, w) in enumerate(zip(terms, weights)):
+            c = self.column[t]
+            q[i, c[c >= 0]] = w[c >= 0]
+        return [self._nearest(t[self.column[t] < 0], w[self.column[t] < 0], dense, k)
+                for t, w, dense in zip(terms, weights, q @ self.dense)]
+
+    def _nearest(self, terms, weights, scores, k: int):
+        """``scores`` is the dense part of the cosine with every row."""
+        import numpy as np
+        entry, weight = spread(self.lists[terms], self.lists[terms + 1], weights)
+        block = self.block[entry]
+        add = np.bincount(block, weights=weight * self.top[entry], minlength=self.blocks)
+        bound = scores.reshape(-1, BLOCK).max(axis=1, initial=0.0) + add + 1e-12
+
+        def read(blocks):
+            use = blocks[block]
+            at, w = spread(self.first[entry[use]], self.first[entry[use] + 1], weight[use])
+            return np.bincount(self.row[at], weights=w * self.weight[at], minlength=len(scores))
+
+        if not len(bound):
+            return np.zeros(0, dtype=np.int64), np.zeros(0)
+        best = np.zeros(self.blocks, dtype=bool)
+        best[np.argsort(-bound, kind="stable")[:-(-2 * k // BLOCK)]] = True
+        scores = scores + read(best)
+        done = np.repeat(best, BLOCK)
+        got = scores[done]
+        least = np.partition(got, len(got) - k)[len(got) - k] if len(got) >= k else 0.0
+        more = ~best & (bound >= least - 1e-12)
+        if more.any():
+            scores = scores + read(more)
+            done |= np.repeat(more, BLOCK)
+        rows = np.flatnonzero(done & (scores > 0))
+        rows = rows[rows < len(self.ids)]
+        if len(rows) > k:  # all at the k-th cosine stay, as the ids decide
+            cut = np.partition(scores[rows], len(rows) - k)[len(rows) - k]
+            rows = rows[scores[rows] >= cut - 1e-11]
+        rows = rows[np.lexsort((self.ids[rows], -np.round(scores[rows], 12)))[:k]]
+        return rows, scores[rows]
+
+
+def spread(start, end, values):
+    """All numbers from start to end of each range, and the range's value with each."""
+    import numpy as np
+    n = end - start
+    at = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    return at, np.repeat(values, n)
 
 
 def vector(text: str | None, known: dict[str, tuple[int, float]], memo: dict) -> dict[int, float]:
@@ -131,14 +194,15 @@ def vector(text: str | None, known: dict[str, tuple[int, float]], memo: dict) ->
     return {t: x / norm for t, x in out.items()}
 
 
-def vote(model: dict, query: dict[int, float]):
-    """(weighted share of label 1, rows of the neighbours)."""
+def votes(model: dict, queries: list[dict[int, float]]):
+    """(weighted share of label 1, rows of the neighbours) of each query."""
     import numpy as np
-    if not query:
-        return model["prior"], np.zeros(0, dtype=np.int64)
-    rows, cosines = model["index"].nearest(query, NEAREST)
-    w = 1 / (0.05 + np.maximum(0.0, 1 - cosines))
-    return float((w @ model["index"].labels[rows] + PRIOR_WEIGHT * model["prior"]) / (w.sum() + PRIOR_WEIGHT)), rows
+    out = []
+    for at in range(0, len(queries), BATCH):
+        for rows, cosines in model["index"].nearest_of(queries[at:at + BATCH], NEAREST):
+            w = 1 / (0.05 + np.maximum(0.0, 1 - cosines))
+            out.append((float((w @ model["index"].labels[rows] + PRIOR_WEIGHT * model["prior"]) / (w.sum() + PRIOR_WEIGHT)), rows))
+    return out
 
 
 def logistic(v, y) -> tuple[float, float]:
@@ -175,7 +239,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "t
                 [b.column("doc_id").cast(pa.int64()), b.column("y"), b.column("part"),
                  pa.array([[*x] for x in v], pa.list_(pa.int32())), pa.array([[*x.values()] for x in v], pa.list_(pa.float64()))],
                 names=["doc_id", "y", "part", "terms", "weights"])
-    # at most sum(PER_CLASS) + CALIBRATION rows of at most TERMS terms
+    # at most sum(PER_CLASS) + CALIBRATION rows, as long as their texts
     rows = sorted(sample.mapInArrow(run, "doc_id long, y int, part string, terms array<int>, weights array<double>").collect(),
                   key=lambda r: r["doc_id"])
     own = [r for r in rows if r["part"] == "fit" and r["terms"]]
@@ -183,7 +247,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "t
                   len(known))
     model = {"known": known, "index": index, "prior": fits[1] / total}
     apart = [r for r in rows if r["part"] == "calibrate"]
-    v = np.array([vote(model, dict(zip(r["terms"], r["weights"])))[0] for r in apart])
+    v = np.array([x for x, _ in votes(model, [dict(zip(r["terms"], r["weights"])) for r in apart])])
     model["curve"] = logistic(np.clip(v, 1e-6, 1 - 1e-6), np.array([r["y"] for r in apart], dtype=float)) if apart else (1.0, 0.0)
     return model
 
@@ -191,19 +255,23 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "t
 def score(text: Column, model: dict) -> Column:
     """(score, evidence): probability of label 1, ids of the nearest examples, nearest first."""
     kind = pa.struct([("score", pa.float64()), ("evidence", pa.list_(pa.int64()))])
+    # a task gets bytes, and a worker makes the model of them once
+    packed, name = pickle.dumps(model, protocol=5), uuid.uuid4().hex
 
     def run(col: pa.Array) -> pa.Array:
         import math
-        if "constant" in model:
-            return pa.array([{"score": model["constant"], "evidence": []}] * len(col), kind)
-        cache, out = process_cache(), []
-        if cache.get("toxicity of") != model["known"]:  # another model than the memo's
-            cache["toxicity of"], cache["toxicity words"] = model["known"], {}
-        memo, (slope, shift) = cache["toxicity words"], model["curve"]
-        for t in col.to_pylist():
-            v, rows = vote(model, vector(t, model["known"], memo))
-            v = min(max(v, 1e-6), 1 - 1e-6)
-            z = slope * math.log(v / (1 - v)) + shift
-            out.append({"score": 1 / (1 + math.exp(-min(max(z, -40.0), 40.0))), "evidence": model["index"].ids[rows].tolist()})
+        cache = process_cache()
+        if cache.get("toxicity of") != name:
+            cache["toxicity of"], cache["toxicity model"], cache["toxicity words"] = name, pickle.loads(packed), {}
+        own, memo = cache["toxicity model"], cache["toxicity words"]
+        if "constant" in own:
+            return pa.array([{"score": own["constant"], "evidence": []}] * len(col), kind)
+        slope, shift = own["curve"]
+        out = []
+        for at in range(0, len(col), BATCH):
+            for v, rows in votes(own, [vector(t, own["known"], memo) for t in col[at:at + BATCH].to_pylist()]):
+                v = min(max(v, 1e-6), 1 - 1e-6)
+                z = slope * math.log(v / (1 - v)) + shift
+                out.append({"score": 1 / (1 + math.exp(-min(max(z, -40.0), 40.0))), "evidence": own["index"].ids[rows].tolist()})
         return pa.array(out, kind)
     return arrow_udf(run, returnType="struct<score:double,evidence:array<long>>")(text)
