@@ -42,8 +42,9 @@ def lasso(alpha: float, label: str = "label", features: str = "features"):
 def tree_regressor(s, label: str = "label", features: str = "features"):
     """M5 random forest or M6 gradient boosting with the settings of a ``boosting.Trees``."""
     if s.forest:
+        # rows keep their nodes, so that tasks aren't sent the trees, and a level of all trees is one job
         return RandomForestRegressor(featuresCol=features, labelCol=label, numTrees=s.trees, maxDepth=s.depth,
-                                     featureSubsetStrategy="all", seed=s.seed)
+                                     featureSubsetStrategy="all", cacheNodeIds=True, maxMemoryInMB=1024, seed=s.seed)
     return GBTRegressor(featuresCol=features, labelCol=label, maxIter=s.trees, stepSize=s.step, maxDepth=s.depth, seed=s.seed)
 
 

@@ -4,25 +4,33 @@ A route starts at a cell and must visit, in order, one cell of each stop type;
 moving costs the Manhattan distance. Stop types without a cell in the grid are
 skipped; a route without a valid stop costs 0.
 
-A stage takes the costs at the cells of one type to those of the next: a
-min-plus matrix product. Such products are associative, so a route is cut into
-segments of ``SEGMENT`` stops, each of which is folded on its own, in one
-expression, into the matrix of costs from its entry cells to its last cells;
-the matrices of a route are then multiplied in order, ``SEGMENT`` at a time.
-No stage is a job, a join or a shuffle, and a very long route is many rows.
-Only cells of the types that a route visits are ever looked at.
+A stage is an exact L1 distance transform: the costs at the cells of one type
+spread over the grid by a forward and a backward sweep along the rows, then
+along the columns, and are read at the cells of the next type. That is linear in
+the cells of the grid, however many cells the types have. The routes of a grid
+are dealt into chunks of about ``STOPS`` stops, each of which meets one copy of
+the grid; a route is followed ``SEGMENT`` stops at a time, and longer ones go on
+in a next round from the costs written by the last, so no group is unbounded.
+
+``nearest_cell`` makes the same sweeps with windows over a grid's columns and
+rows, at the rows and columns that are asked for.
 """
 
 from __future__ import annotations
 
+import sys
+
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import manhattan
 from .ranking import rank_in_groups
 from .util import broadcast_if_small, stored
 
-SEGMENT = 512
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need numpy and pyarrow only
+
+SEGMENT, STOPS = 65_536, 1_000_000
 
 
 def cells_by_type(cells: DataFrame) -> DataFrame:
@@ -43,21 +51,88 @@ def valid_stops(stops: DataFrame, routes: DataFrame, cells: DataFrame) -> DataFr
 
 def nearest_cell(points: DataFrame, cells: DataFrame) -> DataFrame:
     """``points`` (with grid_id, r, c, type) with the nearest cell of the
-    type as (to_r, to_c, dist), ties to the smallest (r, c). Only the distinct
-    (cell, type) that occur are compared with cells; points look them up."""
-    key = ["grid_id", "r", "c", "type"]
-    asked = points.select(*key).distinct()
-    j = asked.join(cells.select("grid_id", "type", F.col("r").alias("to_r"), F.col("c").alias("to_c")), ["grid_id", "type"])
-    j = j.withColumn("dist", manhattan("r", "c", "to_r", "to_c"))
-    best = j.groupBy(*key).agg(F.min(F.struct("dist", "to_r", "to_c")).alias("best"))
-    found = stored(best.select(*key, "best.to_r", "best.to_c", "best.dist"), "nearest")
-    return points.join(broadcast_if_small(found), key)
-
-
-def _product(steps: str) -> str:
-    """SQL for the min-plus product of an array of (n, m) matrices, in order."""
-    return f"""aggregate(slice({steps}, 2, size({steps})), {steps}[0].m, (a, s) -> transform(a, row ->
-        transform(sequence(0, size(s.m[0]) - 1), x -> array_min(zip_with(row, s.m, (k, to) -> k + to[x])))))"""
+    type as (to_r, to_c, dist), ties to the smallest (r, c).
+
+    Columns first: for every row asked and every column with a cell of the type,
+    the nearest of these above and below. Rows then: the least of that plus the
+    way along the row, which to the left orders like the sum less the column and
+    to the right like the sum plus the column, so running minima find it. A grid
+    with h rows and w columns makes at most h * w rows a type."""
+    kind = ["grid_id", "type"]
+    asked = stored(points.select(*kind, "r", "c").distinct(), "asked")
+    there = stored(cells.select(*kind, "r", "c").distinct(), "there")
+    spots = asked.select(*kind, "r").distinct().join(there.select(*kind, "c").distinct(), kind)
+    column = there.withColumn("own", F.col("r")).unionByName(spots.withColumn("own", F.lit(None).cast(there.schema["r"].dataType)))
+    by_row = Window.partitionBy(*kind, "c").orderBy("r")  # the cells of one column
+    above = F.last("own", ignorenulls=True).over(by_row.rangeBetween(Window.unboundedPreceding, 0))
+    below = F.first("own", ignorenulls=True).over(by_row.rangeBetween(0, Window.unboundedFollowing))
+
+    def step(to):
+        return F.when(to.isNotNull(), F.struct(F.abs(F.col("r") - to).cast("long").alias("d"), to.alias("to_r")))
+    met = column.withColumn("up", step(above)).withColumn("down", step(below)).where("own is null").select(
+        *kind, "r", "c", F.least("up", "down").alias("best"))
+    row = met.select(*kind, "r", "c", F.col("best.d").alias("d"), F.col("best.to_r").alias("to_r")).unionByName(
+        asked.select(*kind, "r", "c", F.lit(None).cast("long").alias("d"), F.lit(None).cast(there.schema["r"].dataType).alias("to_r")))
+    by_column = Window.partitionBy(*kind, "r").orderBy("c")  # the cells of one row
+
+    def least(way, window):
+        key = F.when(F.col("d").isNotNull(), F.struct((F.col("d") + way).alias("k"), "to_r", F.col("c").alias("to_c")))
+        return F.min(key).over(window)
+    row = row.withColumn("left", least(-F.col("c"), by_column.rangeBetween(Window.unboundedPreceding, 0))) \
+        .withColumn("right", least(F.col("c"), by_column.rangeBetween(0, Window.unboundedFollowing))).where("d is null")
+
+    def reached(side, way):
+        return F.when(F.col(side).isNotNull(), F.struct((F.col(f"{side}.k") + way).cast("long").alias("dist"),
+                                                        F.col(f"{side}.to_r").alias("to_r"), F.col(f"{side}.to_c").alias("to_c")))
+    best = row.select(*kind, "r", "c", F.least(reached("left", F.col("c")), reached("right", -F.col("c"))).alias("best"))
+    found = stored(best.where("best is not null").select(*kind, "r", "c", "best.to_r", "best.to_c", "best.dist"), "nearest")
+    return points.join(broadcast_if_small(found), ["grid_id", "r", "c", "type"])
+
+
+def sweep(cost, rows, columns):
+    """Exact L1 distance transform of ``cost`` (least cost to reach each cell at
+    first), over sorted coordinates: two sweeps along either axis."""
+    import numpy as np
+    for axis, at in ((1, columns[None, :]), (0, rows[:, None])):
+        ahead = np.minimum.accumulate(cost - at, axis=axis) + at
+        back = np.flip(np.minimum.accumulate(np.flip(cost + at, axis), axis=axis), axis) - at
+        cost = np.minimum(ahead, back)
+    return cost
+
+
+FAR = 1 << 60
+
+
+def followed(parts: pa.Table, cells: pa.Table) -> pa.Table:
+    """(route_id, type, costs) after the types of each part, in the grid of
+    ``cells``: the costs at the cells of the last type, by row and column."""
+    import numpy as np
+    r, c = (cells.column(x).to_numpy().astype(np.int64) for x in ("r", "c"))
+    rows, i = np.unique(r, return_inverse=True)
+    columns, j = np.unique(c, return_inverse=True)
+    kinds: dict = {}
+    for n, t in enumerate(cells.column("type").to_pylist()):
+        kinds.setdefault(t, []).append(n)
+    # cells of a type by (row, column); the same place twice is one cell
+    at = {t: tuple(np.unique(np.stack([i[n], j[n]]), axis=1)) for t, n in kinds.items()}
+    out = []
+    for p in parts.to_pylist():
+        last, costs = p["last"], None if p["costs"] is None else np.array(p["costs"], dtype=np.int64)
+        for t in p["types"]:
+            if t not in at:
+                continue
+            y, x = at[t]
+            if last is None:
+                costs = np.abs(rows[y] - p["sr"]) + np.abs(columns[x] - p["sc"])
+            else:
+                grid = np.full((len(rows), len(columns)), FAR, dtype=np.int64)
+                grid[at[last]] = costs
+                costs = sweep(grid, rows, columns)[y, x]
+            last = t
+        out.append((p["route_id"], last, None if costs is None else costs.tolist()))
+    return pa.table({"route_id": pa.array([o[0] for o in out], parts.schema.field("route_id").type),
+                     "last": pa.array([o[1] for o in out], parts.schema.field("last").type),
+                     "costs": pa.array([o[2] for o in out], pa.list_(pa.int64()))})
 
 
 def staged_route_cost(routes: DataFrame, stops: DataFrame, cells: DataFrame) -> DataFrame:
@@ -65,28 +140,22 @@ def staged_route_cost(routes: DataFrame, stops: DataFrame, cells: DataFrame) ->
 
     routes ``(route_id, grid_id, sr, sc)`` (0-based start), stops ``(route_id,
     seq, type)`` with ``seq`` 1..k, cells ``(grid_id, r, c, type)``."""
-    by_type = cells.groupBy("grid_id", "type").agg(F.sort_array(F.collect_list(F.struct("r", "c"))).alias("at"))
-    # a row per grid: what a route in it has to know of it
-    grids = stored(by_type.groupBy("grid_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("type", "at"))).alias("kinds")), "grids")
-    starts = routes.join(broadcast_if_small(grids), "grid_id").select(
-        "route_id", F.array(F.struct(F.col("sr").alias("r"), F.col("sc").alias("c"))).alias("start"), "kinds")
-    parts = stops.groupBy("route_id", F.floor((F.col("seq") - 1) / SEGMENT).alias("seg")).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("seq", "type"))), lambda s: s["type"]).alias("types"))
-    rows = parts.join(starts, "route_id").withColumn("types", F.expr("filter(types, t -> map_contains_key(kinds, t))")) \
-        .where(F.size("types") > 0)
-    before = Window.partitionBy("route_id").orderBy("seg")  # a row per segment
-    rows = rows.withColumn("prev", F.lag(F.element_at("types", -1)).over(before)) \
-        .withColumn("n", F.row_number().over(before) - 1)
-    fold = F.expr("""aggregate(types,
-        transform(if(prev is null, start, kinds[prev]), e -> array(named_struct('r', e.r, 'c', e.c, 'cost', 0L))),
-        (state, t) -> transform(state, row -> transform(kinds[t], x -> named_struct('r', x.r, 'c', x.c, 'cost',
-            array_min(transform(row, s -> s.cost + abs(s.r - x.r) + abs(s.c - x.c)))))),
-        state -> transform(state, row -> transform(row, s -> s.cost)))""")
-    done = stored(rows.select("route_id", "n", fold.alias("m")), "segments")
-    while (done.agg(F.max("n")).first()[0] or 0) > 0:  # once per factor of SEGMENT in the longest route
-        done = stored(done.groupBy("route_id", F.floor(F.col("n") / SEGMENT).cast("int").alias("_n")).agg(
-            F.sort_array(F.collect_list(F.struct("n", "m"))).alias("steps"))
-            .select("route_id", F.col("_n").alias("n"), F.expr(_product("steps")).alias("m")), "segments")
-    return routes.select("route_id").join(done, "route_id", "left").select(
-        "route_id", F.coalesce(F.array_min(F.col("m")[0]), F.lit(0)).cast("long").alias("cost"))
+    id_type, kind = routes.schema["route_id"].dataType.simpleString(), cells.schema["type"].dataType.simpleString()
+    parts = stops.groupBy("route_id", F.floor((F.col("seq") - 1) / SEGMENT).cast("int").alias("part")).agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("seq", "type"))), lambda s: s["type"]).alias("types"))  # SEGMENT at most
+    parts = stored(parts.join(routes.select("route_id", "grid_id", "sr", "sc"), "route_id"), "parts")
+    chunks = parts.groupBy("grid_id").agg(F.ceil(F.sum(F.size("types")) / STOPS).cast("int").alias("chunks"))
+    chunks = broadcast_if_small(stored(chunks, "chunks"))  # a row per grid
+    grids = cells.select("grid_id", "r", "c", "type").join(chunks, "grid_id") \
+        .select("grid_id", "r", "c", "type", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    dealt = parts.join(chunks, "grid_id").withColumn("chunk", F.pmod(F.xxhash64("route_id"), F.col("chunks")).cast("int"))
+    longest = parts.agg(F.max("part")).first()[0]
+    done = routes.select("route_id", F.lit(None).cast(kind).alias("last"), F.lit(None).cast("array<long>").alias("costs"))
+    for n in range((longest if longest is not None else -1) + 1):  # one round for every SEGMENT stops of the longest route
+        now = dealt.where(F.col("part") == n).join(done, "route_id").select(
+            "grid_id", "chunk", "route_id", "types", F.col("sr").cast("long").alias("sr"), F.col("sc").cast("long").alias("sc"), "last", "costs")
+        went = now.groupBy("grid_id", "chunk").cogroup(grids.groupBy("grid_id", "chunk")).applyInArrow(
+            lambda part, grid: followed(part, grid), f"route_id {id_type}, last {kind}, costs array<bigint>")
+        ended = done.join(parts.where(F.col("part") == n).select("route_id"), "route_id", "left_anti")
+        done = stored(went.unionByName(ended), "routes")
+    return done.select("route_id", F.coalesce(F.array_min("costs"), F.lit(0)).cast("long").alias("cost"))

@@ -4,8 +4,7 @@ edges ``(tree_id, eid, u, v)`` — undirected, ``eid`` = input order, which is
 also each vertex's adjacency (child) order; points ``(tree_id, point_id, x, y)``;
 vertices and points 0-based.
 
-* ``orient``         — root every tree, level-synchronous BFS (one join per level)
-* ``subtree_sizes``  — A18, bottom-up per level: O(n) rows in total
+* ``orient``         — root every tree: parents, depths and subtree sizes (A18) from Euler tours, by pointer jumping
 * ``root_point``     — A15/G6: max y, then min x, then min id
 * ``polar_rank``     — W5/G4/O4: angle around a pivot relative to a reference
 * ``allocate``       — J6/W6: ranked items → consecutive capacity ranges
@@ -26,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import polar_angle, rel_angle
 
-from .ranking import prefix_in_groups, rank_in_groups
+from .ranking import forward_fill, prefix_in_groups, rank_in_groups
 from .util import broadcast_if_small, stored
 
 DOWN = -math.pi / 2   # reference direction at the root (pointing down)
@@ -39,51 +38,84 @@ def _union(parts):
     return out
 
 
-def directed(edges: DataFrame) -> DataFrame:
-    return (edges.select("tree_id", "eid", F.col("u").alias("a"), F.col("v").alias("b"))
-            .unionByName(edges.select("tree_id", "eid", F.col("v").alias("a"), F.col("u").alias("b"))))
+def successors(arcs: DataFrame, roots: DataFrame) -> DataFrame:
+    """(tree_id, arc, next): the Euler tour of every tree as a linked list. After
+    the arc into a vertex comes the vertex's next arc out, in edge order and
+    around; the list ends before the root's first arc. ``arcs`` is ranked."""
+    number = (F.col("eid") * 2 + F.col("side")).cast("long")
+    degree = arcs.groupBy("tree_id", "a").agg(F.count(F.lit(1)).alias("degree"))
+    into = arcs.join(degree, ["tree_id", "a"]).select(  # the arc into ``a`` along the same edge, and what follows it
+        "tree_id", "a", (F.col("eid") * 2 + 1 - F.col("side")).cast("long").alias("arc"), (F.col("r") % F.col("degree") + 1).alias("r"))
+    out = arcs.select("tree_id", "a", "r", number.alias("next"))
+    first = arcs.where(F.col("r") == 1).join(roots.withColumnRenamed("root", "a"), ["tree_id", "a"]).select(
+        "tree_id", number.alias("next"), F.lit(True).alias("last"))
+    linked = into.join(out, ["tree_id", "a", "r"]).join(broadcast_if_small(stored(first, "tours")), ["tree_id", "next"], "left")
+    return linked.select("tree_id", "arc", F.when(F.col("last").isNull(), F.col("next")).alias("next"))
+
+
+def steps_to_end(links: DataFrame, key: str = "arc") -> DataFrame:
+    """(tree_id, ``key``, steps): list ranking by pointer jumping. A jump makes
+    every pointer twice as long; two jumps a written round, so a list of n takes
+    log4(n) rounds. What no end can be reached from is left out."""
+    at = stored(links.select("tree_id", key, "next", F.when(F.col("next").isNotNull(), 1).otherwise(0).cast("long").alias("steps")), "tour")
+    longest = at.groupBy("tree_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+
+    def jump(df):
+        on = df.select("tree_id", F.col(key).alias("next"), F.col("next").alias("_next"), F.col("steps").alias("_steps"))
+        return df.join(on, ["tree_id", "next"], "left").select(
+            "tree_id", key, F.col("_next").alias("next"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"))
+    reach = 1
+    while reach < longest:
+        at = stored(jump(jump(at)), "tour")
+        reach *= 4
+        if reach < longest and at.where(F.col("next").isNotNull()).isEmpty():
+            break
+    return at.where(F.col("next").isNull()).select("tree_id", key, "steps")
 
 
 def orient(edges: DataFrame, roots: DataFrame | None = None) -> DataFrame:
-    """``(tree_id, vertex, parent, depth, eid)``; the root has parent -1, eid -1.
-    Default root: vertex 0 of every tree."""
-    d = stored(directed(edges))
+    """``(tree_id, vertex, parent, depth, eid, size)``; the root has parent -1,
+    eid -1; ``size`` counts the subtree, the vertex itself included. Default
+    root: vertex 0 of every tree. Vertices that the root doesn't reach have no row.
+
+    Places on the Euler tour, found by list ranking, give all of it: of an
+    edge's two arcs the first leads down, what lies between them is the subtree,
+    and the depth is the running sum of steps down less steps up. The number of
+    rounds is logarithmic in the size of a tree, whatever its depth."""
     if roots is None:
         roots = edges.select("tree_id").distinct().withColumn("root", F.lit(0))
-    level = roots.select("tree_id", F.col("root").alias("vertex"), F.lit(-1).alias("parent"),
-                         F.lit(0).alias("depth"), F.lit(-1).cast(edges.schema["eid"].dataType).alias("eid"))
-    parts, depth = [level], 0
-    while True:
-        lv = level.select("tree_id", F.col("vertex").alias("a"), F.col("parent").alias("_par"))
-        nxt = (lv.join(d, ["tree_id", "a"]).where(F.col("b") != F.col("_par"))
-                 .select("tree_id", F.col("b").alias("vertex"), F.col("a").alias("parent"),
-                         F.lit(depth + 1).alias("depth"), "eid"))
-        depth += 1
-        nxt = stored(nxt)
-        if nxt.isEmpty():
-            break
-        parts.append(nxt)
-        level = nxt
-    return _union(parts)
+    roots = stored(roots.select("tree_id", F.col("root").cast(edges.schema["u"].dataType).alias("root")), "roots")
+    arcs = edges.select("tree_id", "eid", F.col("u").alias("a"), F.col("v").alias("b"), F.lit(0).alias("side")).unionByName(
+        edges.select("tree_id", "eid", F.col("v").alias("a"), F.col("u").alias("b"), F.lit(1).alias("side")))
+    arcs = stored(rank_in_groups(arcs, ["tree_id", "a"], ["eid", "side"], "r"), "arcs")
+    ends = steps_to_end(successors(arcs, roots))
+    number = (F.col("eid") * 2 + F.col("side")).cast("long").alias("arc")
+    placed = arcs.select("tree_id", "eid", "a", "b", number).join(ends, ["tree_id", "arc"])
+    # later arcs have fewer steps to the end
+    edge = stored(placed.groupBy("tree_id", "eid").agg(
+        F.max_by(F.struct("a", "b"), "steps").alias("down"), F.max("steps").alias("first"), F.min("steps").alias("last")), "edges")
+    moves = edge.select("tree_id", "eid", (-F.col("first")).alias("at"), F.lit(1).cast("long").alias("step")).unionByName(
+        edge.select("tree_id", "eid", (-F.col("last")).alias("at"), F.lit(-1).cast("long").alias("step")))
+    level = prefix_in_groups(moves, ["tree_id"], ["at"], ["step"]).where(F.col("step") == 1).select(
+        "tree_id", "eid", (F.col("step_before") + 1).cast("int").alias("depth"))
+    below = edge.join(level, ["tree_id", "eid"]).select(
+        "tree_id", F.col("down.b").alias("vertex"), F.col("down.a").alias("parent"), "depth", "eid",
+        ((F.col("first") - F.col("last") + 1) / 2).cast("long").alias("size"))
+    counts = edge.groupBy("tree_id").agg(F.count(F.lit(1)).alias("n"))
+    top = roots.join(counts, "tree_id", "left").select(
+        "tree_id", F.col("root").alias("vertex"), F.lit(-1).cast(edges.schema["u"].dataType).alias("parent"), F.lit(0).alias("depth"),
+        F.lit(-1).cast(edges.schema["eid"].dataType).alias("eid"), (F.coalesce("n", F.lit(0)) + 1).cast("long").alias("size"))
+    return top.unionByName(below)
 
 
 def subtree_sizes(oriented: DataFrame) -> DataFrame:
-    """``(tree_id, vertex, size)`` — size counts the vertex itself."""
-    o = stored(oriented)
-    max_depth = o.agg(F.max("depth")).first()[0]
-    below, parts = None, []
-    for dep in range(max_depth, -1, -1):
-        lv = o.where(F.col("depth") == dep).select("tree_id", "vertex", "parent")
-        if below is None:
-            cur = lv.withColumn("size", F.lit(1).cast("long"))
-        else:
-            kids = below.groupBy("tree_id", F.col("parent").alias("vertex")).agg(F.sum("size").alias("_s"))
-            cur = lv.join(kids, ["tree_id", "vertex"], "left").select(
-                "tree_id", "vertex", "parent", (1 + F.coalesce("_s", F.lit(0))).cast("long").alias("size"))
-        cur = stored(cur)
-        parts.append(cur.select("tree_id", "vertex", "size"))
-        below = cur
-    return _union(parts)
+    """``(tree_id, vertex, size)`` — size counts the vertex itself. Of a
+    table without ``size`` the tours are made anew from the parents."""
+    if "size" not in oriented.columns:
+        o = stored(oriented, "oriented")
+        edges = o.where("parent >= 0").select("tree_id", "eid", F.col("parent").alias("u"), F.col("vertex").alias("v"))
+        oriented = orient(edges, o.where("parent < 0").select("tree_id", F.col("vertex").alias("root")))
+    return oriented.select("tree_id", "vertex", "size")
 
 
 def root_point(points: DataFrame) -> DataFrame:
@@ -108,10 +140,6 @@ def polar_rank(points: DataFrame, pivots: DataFrame, group_cols, rank_col: str =
     return rank_in_groups(j, g, ["angle", "point_id"], rank_col)
 
 
-#: Ranks that a piece of a bin covers at most in ``allocate``.
-RUN = 1024
-
-
 def bin_starts(bins: DataFrame, group_cols, order_cols, cap_col: str = "cap", out: str = "lo") -> DataFrame:
     """``bins`` with the capacity of the earlier bins of the group in ``out``."""
     return prefix_in_groups(bins, group_cols, order_cols, [cap_col], suffix="__lo") \
@@ -122,17 +150,22 @@ def allocate(items: DataFrame, bins: DataFrame, group_cols, rank_col: str = "ran
              bin_col: str = "bin", cap_col: str = "cap", lo_col: str = "lo") -> DataFrame:
     """Ranked items (1-based ``rank``) to bins that take consecutive ranks:
     item ``r`` goes to the bin with ``lo < r <= lo + cap``; items past the total
-    capacity get no bin. A bin is written out as the ranks it takes, first in
-    runs of ``RUN`` ranks and then, dealt anew, rank by rank, so the join is one
-    to one and a huge bin is nobody's single task."""
+    capacity get no bin. A merge: bins stand in the order of the ranks where
+    they begin, and every item takes the last bin before it, which is carried
+    over the borders of partitions. No row per rank is made, and a huge bin or
+    group is spread like any other rows."""
     g = list(group_cols)
-    first, last = F.col(lo_col) + 1, F.col(lo_col) + F.col(cap_col)
-    runs = bins.where(F.col(cap_col) > 0).select(*g, F.col(bin_col), last.alias("_last"), F.explode(
-        F.sequence(first, last, F.lit(RUN).cast("long"))).alias("_first"))
-    taken = runs.repartition(*[F.col(c) for c in g], "_first").select(*g, bin_col, F.explode(F.sequence(
-        F.col("_first"), F.least(F.col("_first") + (RUN - 1), F.col("_last")))).alias(rank_col))
-    return items.withColumn(rank_col, F.col(rank_col).cast("long")).join(taken, [*g, rank_col]) \
-        .select(*items.columns, bin_col)
+    fields = [c for c in items.columns if c not in g]
+    begin = bins.where(F.col(cap_col) > 0).select(
+        *g, (F.col(lo_col) + 1).cast("long").alias("_at"), F.lit(0).alias("_kind"), F.col(bin_col).alias("_bin"),
+        (F.col(lo_col) + F.col(cap_col)).cast("long").alias("_last"),
+        F.lit(None).cast(items.select(F.struct(*fields)).schema[0].dataType).alias("_item"))
+    asks = items.select(*g, F.col(rank_col).cast("long").alias("_at"), F.lit(1).alias("_kind"),
+                        F.lit(None).cast(bins.schema[bin_col].dataType).alias("_bin"), F.lit(None).cast("long").alias("_last"),
+                        F.struct(*fields).alias("_item"))
+    filled = forward_fill(begin.unionByName(asks), g, ["_at", "_kind"], ["_bin", "_last"])
+    return filled.where((F.col("_kind") == 1) & (F.col("_at") <= F.col("_last"))).select(
+        *[F.col(c) if c in g else F.col(f"_item.{c}").alias(c) for c in items.columns], F.col("_bin").alias(bin_col))
 
 
 def _with_rel(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -148,8 +181,7 @@ def embed(edges: DataFrame, points: DataFrame) -> DataFrame:
     the runs out again in that order. One tree level per iteration.
     Returns ``(tree_id, vertex, point_id)``."""
     ori = stored(orient(edges))
-    sizes = subtree_sizes(ori)
-    kids_all = (ori.where(F.col("parent") >= 0).join(sizes, ["tree_id", "vertex"])
+    kids_all = (ori.where(F.col("parent") >= 0)
                    .select("tree_id", F.col("parent").alias("vertex"), F.col("vertex").alias("child"), "eid", "size"))
     # where the run of a child starts in adjacency order, for all levels at once
     kids_all = stored(bin_starts(kids_all, ["tree_id", "vertex"], ["eid", "child"], "size"))
@@ -157,7 +189,8 @@ def embed(edges: DataFrame, points: DataFrame) -> DataFrame:
     pts = points.select("tree_id", "point_id", "x", "y")
     rp = root_point(pts).withColumnRenamed("point_id", "_rp")
     roots = ori.where(F.col("depth") == 0).select("tree_id", "vertex")
-    chunk = (pts.join(rp, "tree_id").join(roots, "tree_id")
+    # a row per tree: broadcast while it is small, so that a tree's points don't meet in one task
+    chunk = (pts.join(broadcast_if_small(stored(rp.join(roots, "tree_id"), "roots")), "tree_id")
                 .select("tree_id", "vertex", "point_id",
                         F.when(F.col("point_id") == F.col("_rp"), 1).otherwise(2).cast("long").alias("crank")))
     parent_pts = None          # (tree_id, vertex, vx, vy) of the previous level

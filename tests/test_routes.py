@@ -85,3 +85,21 @@ def test_grid_scan_shapes(spark):
     cells = read_grid(spark.createDataFrame([(0, 0, "abc"), (0, 1, "def")], "grid_id int, r int, line string"))
     rows = sorted((r["r"], r["c"], r["type"]) for r in cells.collect())
     assert rows == [(0, 0, "a"), (0, 1, "b"), (0, 2, "c"), (1, 0, "d"), (1, 1, "e"), (1, 2, "f")]
+
+
+def test_large_grids_and_ties(spark):
+    """Distances over a grid with many cells a type; several stops at one place; ties to the smallest cell."""
+    rng = random.Random(8)
+    grid = ["".join(rng.choice("ab") if rng.random() < 0.7 else "c" for _ in range(60)) for _ in range(50)]
+    cases = [(rng.randint(1, 50), rng.randint(1, 60), grid, "".join(rng.choice("abc") for _ in range(12)), None) for _ in range(3)]
+    got = run(spark, cases)
+    for i, (sr, sc, g, st, _) in enumerate(cases):
+        assert got[i] == brute(g, (sr - 1, sc - 1), st)
+    small = ["".join(rng.choice("aaabbc") for _ in range(9)) for _ in range(7)]
+    at = [(r, c, ch) for r, line in enumerate(small) for c, ch in enumerate(line)]
+    points = [(n, g, r, c, t) for n, (g, r, c, t) in enumerate((g, r, c, t) for g in (0, 1) for r in range(-2, 9) for c in range(-1, 11) for t in "abcz")]
+    cells = spark.createDataFrame([(g, *x) for g in (0, 1) for x in at] + [(0, *at[0])], "grid_id int, r int, c int, type string")
+    near = {r["n"]: (r["dist"], r["to_r"], r["to_c"]) for r in RT.nearest_cell(
+        spark.createDataFrame(points, "n int, grid_id int, r int, c int, type string"), cells).collect()}
+    want = {n: min((abs(r - y) + abs(c - x), y, x) for y, x, k in at if k == t) for n, _, r, c, t in points if t != "z"}
+    assert near == want

@@ -114,3 +114,45 @@ def test_allocate_long_and_empty_bins(spark):
     bins = spark.createDataFrame([(0, 1, 0), (0, 2, 2500), (0, 3, 0), (0, 4, 400)], "g int, bin int, cap long")
     got = TR.allocate(items, TR.bin_starts(bins, ["g"], ["bin"]), ["g"]).groupBy("bin").count().collect()
     assert sorted(map(tuple, got)) == [(2, 2500), (4, 400)]
+
+
+def test_deep_and_wide_trees(spark, monkeypatch):
+    """A path of 10,000 vertices in few written rounds, a star, random trees with other roots."""
+    rng = random.Random(4)
+    trees = {0: [(k, k + 1) for k in range(9_999)], 1: [(0, k) for k in range(1, 500)]}
+    for t in range(2, 8):
+        trees[t] = [(rng.randint(max(0, k - 5), k - 1), k) for k in range(1, rng.randint(2, 300))]
+    rows = []
+    for t, edges in trees.items():
+        edges = [(v, u) if rng.random() < 0.5 else (u, v) for u, v in edges]
+        rng.shuffle(edges)
+        rows += [(t, i, u, v) for i, (u, v) in enumerate(edges)]
+    e = spark.createDataFrame(rows, "tree_id int, eid int, u long, v long")
+    written, keep = [], TR.stored
+    monkeypatch.setattr(TR, "stored", lambda df, name="stored": written.append(name) or keep(df, name))
+    got = TR.orient(e).collect()
+    assert written.count("tour") <= 20
+    want = {}
+    for t, edges in trees.items():
+        depth, size = {0: 0}, {}
+        for u, v in edges:
+            depth[v] = depth[u] + 1
+        for u, v in reversed(edges):
+            size[v] = size.get(v, 1)
+            size[u] = size.get(u, 1) + size[v]
+        want |= {(t, v): (u, depth[v], size[v]) for u, v in edges} | {(t, 0): (-1, 0, size[0])}
+    assert {(r["tree_id"], r["vertex"]): (r["parent"], r["depth"], r["size"]) for r in got} == want
+    # the eid is the edge's own
+    edge = {(t, i): {u, v} for t, i, u, v in rows}
+    assert all({r["vertex"], r["parent"]} == edge[r["tree_id"], r["eid"]] for r in got if r["parent"] >= 0)
+    plain = TR.subtree_sizes(spark.createDataFrame([(r["tree_id"], r["vertex"], r["parent"], r["eid"]) for r in got if r["tree_id"] > 1],
+                                                   "tree_id int, vertex long, parent long, eid int"))
+    assert {(r["tree_id"], r["vertex"]): r["size"] for r in plain.collect()} == {k: v[2] for k, v in want.items() if k[0] > 1}
+
+
+def test_roots_and_what_they_reach(spark):
+    e = spark.createDataFrame([(0, 0, 5, 6), (0, 1, 6, 7), (0, 2, 8, 9), (1, 0, 0, 1)], "tree_id int, eid int, u long, v long")
+    roots = spark.createDataFrame([(0, 6), (1, 1), (2, 3)], "tree_id int, root long")
+    got = sorted((r["tree_id"], r["vertex"], r["parent"], r["depth"], r["size"]) for r in TR.orient(e, roots).collect())
+    assert got == [(0, 5, 6, 1, 1), (0, 6, -1, 0, 3), (0, 7, 6, 1, 1), (1, 0, 1, 1, 1), (1, 1, -1, 0, 2), (2, 3, -1, 0, 1)]
+    assert TR.orient(e.limit(0)).count() == 0
