@@ -206,7 +206,7 @@ class Pieces(dict):
 
 def vocabulary(path: str, pattern: str) -> Bpe:
     """The vocabulary, read once per Python worker."""
-    cache = process_cache()
+    cache = process_cache("bpe")
     key = ("bpe", path, pattern)
     if key not in cache:
         cache[key] = Bpe(path, pattern)

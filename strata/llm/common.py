@@ -19,10 +19,15 @@ __all__ = ["table", "written", "process_cache", "arrow_column", "free_name", "he
            "salted_rank", "span_digests"]
 
 
-def process_cache() -> dict:
-    """A dict that lives as long as the Python worker. Functions are shipped by
-    value, so their module globals last for one task only."""
-    return sys.__dict__.setdefault("_strata_llm_cache", {})
+def process_cache(owner: str) -> dict:
+    """A dict that lives as long as the Python worker or until another operator
+    asks for its own: what one leaves behind would else stay in memory through
+    all later stages. Functions are shipped by value, so their module globals
+    last for one task only."""
+    cache = sys.__dict__.setdefault("_strata_llm_cache", {})
+    if owner not in cache:
+        cache.clear()
+    return cache.setdefault(owner, {})
 
 
 def arrow_column(fn, schema: str):

@@ -54,7 +54,7 @@ def features(text: bytes | None):
 
     import numpy as np
     text = text or b""
-    known = process_cache().setdefault("quality words", {})
+    known = process_cache("quality").setdefault("quality words", {})
     if len(known) > MAX_WORDS:
         known.clear()
     words = text.split()

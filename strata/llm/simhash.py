@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from ..operators.util import discard, recording
-from .common import free_name, written
+from .common import free_name, process_cache, written
 from .components import components
 
 WORDS, SEED, MAX_BITS = 3, 42, 3
@@ -63,6 +63,7 @@ def fingerprint(text: Column, words: int = WORDS, seed: int = SEED) -> Column:
     """Fingerprint of a string column, as a signed long."""
     def run(col: pa.Array) -> pa.Array:
         import numpy as np
+        process_cache("simhash")  # frees what an earlier stage left in this worker
         got = [fingerprint_of(t, words, seed) for t in col.cast(pa.binary()).to_pylist()]
         return pa.array(np.array(got, dtype=np.uint64).view(np.int64))
     return arrow_udf(run, returnType="long")(text)

@@ -260,7 +260,7 @@ def score(text: Column, model: dict) -> Column:
 
     def run(col: pa.Array) -> pa.Array:
         import math
-        cache = process_cache()
+        cache = process_cache("toxicity")
         if cache.get("toxicity of") != name:
             cache["toxicity of"], cache["toxicity model"], cache["toxicity words"] = name, pickle.loads(packed), {}
         own, memo = cache["toxicity model"], cache["toxicity words"]
