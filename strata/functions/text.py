@@ -17,13 +17,14 @@ WORD_SPLIT = "[^A-Za-z0-9]+"
 
 
 def _count_class(text: Column, keep_not: str) -> Column:
-    return F.length(F.regexp_replace(text, keep_not, ""))
+    # a match a run of other characters, not one a character
+    return F.length(F.regexp_replace(text, keep_not + "+", ""))
 
 
 def normalised_words(text: Column) -> Column:
     """Lower-cased ASCII alphanumeric runs (array<string>, no empty tokens)."""
     norm = F.lower(F.regexp_replace(text, WORD_SPLIT, " "))
-    return F.filter(F.split(norm, " "), lambda w: w != F.lit(""))
+    return F.array_remove(F.split(norm, " "), "")
 
 
 def upper_ratio(text: Column, n_chars: Column) -> Column:
@@ -42,9 +43,9 @@ def type_token_ratio(words: Column) -> Column:
     return F.size(F.array_distinct(words)) / F.greatest(F.size(words), F.lit(1))
 
 
-def mean_word_length(words: Column) -> Column:
-    total = F.aggregate(words, F.lit(0), lambda acc, w: acc + F.length(w))
-    return total / F.greatest(F.size(words), F.lit(1))
+def mean_word_length(text: Column, words: Column) -> Column:
+    """Letters and digits of ``text`` by the number of its ``words``."""
+    return F.length(F.regexp_replace(text, WORD_SPLIT, "")) / F.greatest(F.size(words), F.lit(1))
 
 
 def word_band(words: Column) -> Column:

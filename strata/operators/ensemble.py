@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .metrics import roc_auc_counts
@@ -44,33 +44,72 @@ def candidate_weights(spark, models, n_candidates: int, seed: int = 42, start: i
     return cm.select("cand", "model", u.alias("w"))
 
 
-def blend_search(oof: DataFrame, key: str, label: str, models, n_candidates: int = 200,
-                 seed: int = 42, digits: int = 12, candidates: DataFrame | None = None) -> DataFrame:
-    """Score every candidate weight vector by the exact OOF AUC of its
-    normalised blend. Predictions are pivoted to one row per key; the candidates
-    (``n_candidates`` arrays, a parameter of the search and not data) are a
-    literal, so blends are made where the rows lie and only counts per
-    (candidate, score) are shuffled. A candidate whose weights sum to 0 scores 0.
-    """
-    spark = oof.sparkSession
-    cw = candidates if candidates is not None else candidate_weights(spark, models, n_candidates, seed)
+def blended(oof: DataFrame, key: str, label: str, models, candidates: DataFrame, digits: int) -> DataFrame:
+    """(cand, score, y): every candidate's normalised blend of every row, made
+    where the rows lie. Predictions are pivoted to one row per key; candidates
+    are a literal, as they are a parameter of the search and not data. One whose
+    weights sum to 0 has no rows."""
     by = {}
-    for r in cw.collect():
+    for r in candidates.collect():
         by.setdefault(r["cand"], {})[r["model"]] = r["w"]
-    listed = F.array(*[F.struct(F.lit(c).cast("long").alias("cand"), F.array(*[F.lit(float(w[m])) for m in models]).alias("w"))
+    listed = F.array(*[F.struct(F.lit(c).cast("long").alias("cand"), *[F.lit(float(w[m])).alias(f"w{i}") for i, m in enumerate(models)])
                        for c, w in sorted(by.items()) if sum(w.values()) > 0])
     wide = oof.groupBy(key, label).agg(*[F.max(F.when(F.col("model") == m, F.col("p"))).alias(f"_m{i}")
                                          for i, m in enumerate(models)])
-    each = wide.select(label, F.array(*[f"_m{i}" for i in range(len(models))]).alias("p"), F.explode(listed).alias("c"))
-    total = F.aggregate("c.w", F.lit(0.0), lambda a, x: a + x)
-    dot = F.aggregate(F.zip_with("c.w", "p", lambda w, p: w * p), F.lit(0.0), lambda a, x: a + x)
-    y = F.col(label).cast("long")
-    counts = each.select(F.col("c.cand").alias("cand"), F.round(dot / total, digits).alias("score"), y.alias("y")) \
-        .groupBy("cand", "score").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-    auc = roc_auc_counts(counts, "score", "pos", "neg", ["cand"]).select("cand", "auc")
+    each = wide.select(label, *[f"_m{i}" for i in range(len(models))], F.explode(listed).alias("c"))
+    dot, total = F.lit(0.0), F.lit(0.0)
+    for i in range(len(models)):
+        dot, total = dot + F.col(f"c.w{i}") * F.col(f"_m{i}"), total + F.col(f"c.w{i}")
+    return each.select(F.col("c.cand").alias("cand"), F.round(dot / total, digits).alias("score"), F.col(label).cast("long").alias("y"))
+
+
+def auc_of(scored: DataFrame) -> DataFrame:
+    counts = scored.groupBy("cand", "score").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+    return roc_auc_counts(counts, "score", "pos", "neg", ["cand"]).select("cand", "auc")
+
+
+def blend_search(oof: DataFrame, key: str, label: str, models, n_candidates: int = 200,
+                 seed: int = 42, digits: int = 12, candidates: DataFrame | None = None) -> DataFrame:
+    """The exact OOF AUC of every candidate weight vector (``n_candidates``
+    drawn ones, or those given). A candidate whose weights sum to 0 scores 0."""
+    cw = candidates if candidates is not None else candidate_weights(oof.sparkSession, models, n_candidates, seed)
+    auc = auc_of(blended(oof, key, label, models, cw, digits))
     return cw.select("cand").distinct().join(auc, "cand", "left").select("cand", F.coalesce("auc", F.lit(0.0)).alias("auc"))
 
 
+#: Classes of scores in a rank histogram.
+CLASSES = 1024
+
+
+def auc_bounds(scored: DataFrame, classes: int = CLASSES) -> DataFrame:
+    """(cand, low, high): proven bounds of each candidate's AUC from counts per
+    class of scores. Pairs of rows in different classes are decided; those in
+    one class may all be right or all be wrong. Counts merge before the shuffle,
+    which gets at most a row per candidate, class and task."""
+    kind = F.floor(F.col("score") * classes).cast("long").alias("class")
+    counts = scored.groupBy("cand", kind).agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+    before = Window.partitionBy("cand").orderBy("class").rowsBetween(Window.unboundedPreceding, -1)  # at most a row per class
+    run = counts.withColumn("below", F.coalesce(F.sum("neg").over(before), F.lit(0)))
+    sums = run.groupBy("cand").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"), F.sum(F.col("pos") * F.col("below")).alias("sure"),
+                                   F.sum(F.col("pos") * F.col("neg")).alias("open"))
+    pairs = F.col("p") * F.col("n")
+    return sums.where(pairs > 0).select("cand", (F.col("sure") / pairs).alias("low"), ((F.col("sure") + F.col("open")) / pairs).alias("high"))
+
+
+def blend_race(oof: DataFrame, key: str, label: str, models, candidates: DataFrame, digits: int = 12) -> DataFrame:
+    """(cand, auc) of the candidates that can be the best: those whose upper
+    bound is below another's lower bound are dropped, and only the others' AUCs
+    are made exactly. The best of ``blend_search`` is the best here."""
+    rows = stored(oof.select(key, label, "model", "p"), "predictions")
+    scored = blended(rows, key, label, models, candidates, digits)
+    bounds = stored(auc_bounds(scored), "bounds")
+    least = bounds.agg(F.max("low")).first()[0]
+    if least is None:
+        return candidates.select("cand").distinct().withColumn("auc", F.lit(0.0))
+    left = [r["cand"] for r in bounds.where(F.col("high") >= least).select("cand").collect()]  # candidates, not data
+    return auc_of(blended(rows, key, label, models, candidates.where(F.col("cand").isin(left)), digits))
+
+
 def refine(oof: DataFrame, key: str, label: str, models, best: dict[str, float], rounds: int = 3, per_round: int = 50,
            seed: int = 42) -> tuple[dict[str, float], float]:
     """Rounds of candidates around the best weights so far, each narrower than
@@ -81,7 +120,7 @@ def refine(oof: DataFrame, key: str, label: str, models, best: dict[str, float],
         tries = [best] + [{m: min(max(best[m] + rng.uniform(-width, width), 0.0), 1.0) for m in models}
                           for _ in range(per_round - 1)]
         rows = [(i, m, float(t[m])) for i, t in enumerate(tries) for m in models]
-        got = blend_search(oof, key, label, models, candidates=spark.createDataFrame(rows, "cand long, model string, w double"))
+        got = blend_race(oof, key, label, models, spark.createDataFrame(rows, "cand long, model string, w double"))
         top = best_candidate(got).first()
         best, auc, width = tries[top["cand"]], top["auc"], width / 2
     return best, auc

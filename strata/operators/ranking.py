@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .util import stored
+from .util import broadcast_if_small, stored
 
 _PART, _PLACE = "_rk_part", "_rk_place"
 _LOCAL = (1 << 33) - 1  # the low bits of monotonically_increasing_id count within a partition
@@ -57,8 +57,10 @@ def type_of(name: str, v):
 
 
 def _by_group(df: DataFrame, starts: DataFrame, group_cols) -> DataFrame:
-    """Join of one row per group onto all rows, null keys included. The rows of
-    a hot group meet a single row; adaptive execution splits them."""
+    """Join of one row per group onto all rows, null keys included. Few groups
+    are broadcast, so that the rows of a hot one stay where they are; beyond that
+    adaptive execution splits them."""
+    starts = broadcast_if_small(stored(starts, "starts"))
     on = None
     for c in group_cols:
         same = F.col(c).eqNullSafe(F.col(f"_st_{c}"))

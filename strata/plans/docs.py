@@ -36,7 +36,7 @@ def features(documents: DataFrame) -> DataFrame:
         T.word_band(F.col("_w")).alias("F"),
         T.type_token_ratio(F.col("_w")).alias("G"),
         T.digit_ratio(F.col("text"), n).alias("H"),
-        T.mean_word_length(F.col("_w")).alias("I"),
+        T.mean_word_length(F.col("text"), F.col("_w")).alias("I"),
     )
 
 
@@ -56,6 +56,11 @@ def tables(t: Tables) -> tuple[DataFrame, DataFrame]:
     return _labelled(feats, t), feats.join(t.labels.select("doc_id"), "doc_id", "left_anti")
 
 
+def targets(t: Tables) -> DataFrame:
+    """(doc_id, target) of the labelled documents; no text is read."""
+    return _labelled(t.documents.select("doc_id"), t)
+
+
 def test_table(t: Tables) -> DataFrame:
     return features(t.documents).join(t.labels.select("doc_id"), "doc_id", "left_anti")
 

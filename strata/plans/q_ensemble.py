@@ -123,7 +123,7 @@ select arg_max(cand, (auc, -cand)) as cand, round(max(auc), 6) as auc from sc
 """)
 def blend_best(spark, sf):
     """M23 + A17: the winning candidate (max AUC, ties → lowest id)."""
-    s = EN.blend_search(long_preds(spark, sf), "doc_id", "target", MODELS, N_CAND, 42)
+    s = EN.blend_race(long_preds(spark, sf), "doc_id", "target", MODELS, EN.candidate_weights(spark, MODELS, N_CAND, 42))
     return rounded(EN.best_candidate(s))
 
 
@@ -206,7 +206,7 @@ def blend_oof(spark, sf):
 
     def search(rows):
         cw = EN.candidate_weights(spark, names, N_CAND)
-        top = EN.best_candidate(EN.blend_search(rows, "doc_id", "target", names, candidates=cw)).first()["cand"]
+        top = EN.best_candidate(EN.blend_race(rows, "doc_id", "target", names, cw)).first()["cand"]
         start = {r["model"]: r["w"] for r in cw.where(F.col("cand") == top).collect()}
         return EN.refine(rows, "doc_id", "target", names, start)
 

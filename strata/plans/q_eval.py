@@ -91,7 +91,7 @@ from pf, pp
 """)
 def auc_foldmean_vs_pooled(spark, sf):
     """A10 + P19: mean of per-fold AUCs vs the pooled AUC, and the points delta."""
-    f = stored(docs_folds(spark, sf).select("target", "fold", "B"), "folds")
+    f = stored(docs_folds(spark, sf, "B").select("target", "fold", "B"), "folds")
     per = roc_auc(f, "target", "B", ["fold"]).agg(F.avg("auc").alias("auc_fold_mean"),
                                                    F.stddev_pop("auc").alias("auc_fold_std")).first()
     pooled = roc_auc(f, "target", "B").first()["auc"]
@@ -109,7 +109,7 @@ def bin_rate_scores(spark, sf):
     """Per feature, a 10-bin target-rate model: cross-fitted rates (fold k scored by
     the rates of the other folds) and in-sample rates, as aggregated
     ``(feature, fold, rate, pos, neg)`` rows."""
-    f = stored(docs_folds(spark, sf).withColumn("C", encode_binary("C", "+")).withColumn("E", F.coalesce("E", F.lit(0))), "folds")
+    f = stored(docs_folds(spark, sf, *docs.FEATURES).withColumn("C", encode_binary("C", "+")).withColumn("E", F.coalesce("E", F.lit(0))), "folds")
     mm = f.agg(*[e for c in GAP_FEATURES for e in (F.min(c).alias(f"lo_{c}"), F.max(c).alias(f"hi_{c}"))]).first()
     wide = f.select("target", "fold", *[equal_width_bin(c, mm[f"lo_{c}"], mm[f"hi_{c}"], GAP_BINS).alias(c)
                                        for c in GAP_FEATURES])
