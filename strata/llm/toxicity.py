@@ -71,32 +71,39 @@ def term_counts(sample: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.sum("y").alias("positive"))
 
 
-def vocabulary(sample: DataFrame, total: int, positive: int) -> dict[str, tuple[int, float]]:
-    """term -> (number, weight) of all terms of the sample, a bounded number of rows."""
-    import math
-    rows = term_counts(sample).collect()
-    out = {}
-    for i, r in enumerate(sorted(rows, key=lambda r: r["term"])):
-        n, a = r["n"], r["positive"]
-        spread = n * (total - n) * positive * (total - positive)
-        phi2 = (a * total - n * positive) ** 2 / spread if spread else 0.0
-        out[r["term"]] = (i, math.log(1 + total / n) * (EVEN + max(0.0, phi2 - 1 / (total - 1))))
-    return out
+def vocabulary(sample: DataFrame, total: int, positive: int):
+    """(term -> number, weight by number) of all terms of the sample, a bounded number of rows."""
+    import numpy as np
+    rows = term_counts(sample).toArrow().sort_by("term")
+    n, a = (rows.column(c).to_numpy().astype(np.float64) for c in ("n", "positive"))
+    spread = n * (total - n) * positive * (total - positive)
+    phi2 = np.divide((a * total - n * positive) ** 2, spread, out=np.zeros(len(n)), where=spread > 0)
+    weight = np.log(1 + total / n) * (EVEN + np.maximum(0.0, phi2 - 1 / max(total - 1, 1)))
+    return {t: i for i, t in enumerate(rows.column("term").to_pylist())}, weight
+
+
+def as_arrays(vector):
+    """(terms, weights) of a sparse vector, which may be a dict as well."""
+    import numpy as np
+    if isinstance(vector, dict):
+        return np.fromiter(vector, np.int64, len(vector)), np.fromiter(vector.values(), np.float64, len(vector))
+    return vector
 
 
 class Index:
     """Block-max inverted index of sparse unit vectors."""
 
-    def __init__(self, vectors: list[dict[int, float]], labels: list[int], ids: list[int], terms: int):
+    def __init__(self, vectors: list, labels: list[int], ids: list[int], terms: int):
         import numpy as np
+        vectors = [as_arrays(v) for v in vectors]
         # examples with the same strongest term share blocks, which keeps the bounds low
-        order = sorted(range(len(ids)), key=lambda i: (max(vectors[i], key=lambda t: (vectors[i][t], -t)), ids[i]))
+        order = sorted(range(len(ids)), key=lambda i: (int(vectors[i][0][vectors[i][1] == vectors[i][1].max()].min()), ids[i]))
         self.ids = np.array([ids[i] for i in order], dtype=np.int64)
         self.labels = np.array([labels[i] for i in order], dtype=np.float64)
         self.blocks = -(-len(order) // BLOCK)
-        term = np.array([t for i in order for t in vectors[i]], dtype=np.int64)
-        weight = np.array([w for i in order for w in vectors[i].values()])
-        row = np.repeat(np.arange(len(order)), [len(vectors[i]) for i in order])
+        term = np.concatenate([np.zeros(0, np.int32), *(vectors[i][0].astype(np.int32) for i in order)])
+        weight = np.concatenate([np.zeros(0), *(vectors[i][1] for i in order)])
+        row = np.repeat(np.arange(len(order), dtype=np.int32), [len(vectors[i][0]) for i in order])
         often = np.bincount(term, minlength=terms) * DENSE > len(order)
         self.column = np.where(often, np.cumsum(often) - 1, -1)  # of the dense matrix, by term
         self.dense = np.zeros((int(often.sum()), self.blocks * BLOCK))
@@ -115,15 +122,14 @@ class Index:
         self.top = np.maximum.reduceat(self.weight, start) if len(start) else np.zeros(0)
         self.lists = np.searchsorted(term[start], np.arange(terms + 1))
 
-    def nearest(self, query: dict[int, float], k: int):
+    def nearest(self, query, k: int):
         """(rows, cosines) of the k examples of greatest cosine above 0; ties to smaller ids."""
         return self.nearest_of([query], k)[0]
 
-    def nearest_of(self, queries: list[dict[int, float]], k: int):
+    def nearest_of(self, queries: list, k: int):
         """``nearest`` for a batch of queries."""
         import numpy as np
-        terms = [np.fromiter(q, dtype=np.int64, count=len(q)) for q in queries]
-        weights = [np.fromiter(q.values(), dtype=np.float64, count=len(q)) for q in queries]
+        terms, weights = zip(*map(as_arrays, queries))
         q = np.zeros((len(queries), len(self.dense)))
         for i, (t, w) in enumerate(zip(terms, weights)):
             c = self.column[t]
@@ -173,28 +179,28 @@ def spread(start, end, values):
     return at, np.repeat(values, n)
 
 
-def vector(text: str | None, known: dict[str, tuple[int, float]], memo: dict) -> dict[int, float]:
-    """Unit TF-IDF vector of a whole text over the vocabulary; {} if no term occurs."""
-    import math
+def vector(text: str | None, known: dict[str, int], weight, memo: dict):
+    """Unit TF-IDF vector (terms, weights) of a whole text; empty if no term occurs."""
     from collections import Counter
-    words = (text or "").split()
+
+    import numpy as np
     if len(memo) > MAX_WORDS:
         memo.clear()
-    for w in set(words):
-        if w not in memo:
-            memo[w] = [known[t] for t in terms_of(w) if t in known]
-    tf: dict[int, float] = {}
-    idf: dict[int, float] = {}
-    for w, n in Counter(w for w in words if memo[w]).items():
-        for t, x in memo[w]:
+    tf: dict[int, int] = {}
+    for w, n in Counter((text or "").split()).items():
+        terms = memo.get(w)
+        if terms is None:
+            terms = memo[w] = tuple(known[t] for t in terms_of(w) if t in known)
+        for t in terms:
             tf[t] = tf.get(t, 0) + n
-            idf[t] = x
-    out = {t: (1 + math.log(n)) * idf[t] for t, n in sorted(tf.items())}
-    norm = math.sqrt(sum(x * x for x in out.values()))
-    return {t: x / norm for t, x in out.items()}
+    terms = np.fromiter(tf, np.int64, len(tf))
+    order = np.argsort(terms)
+    terms = terms[order]
+    out = (1 + np.log(np.fromiter(tf.values(), np.float64, len(tf))[order])) * weight[terms]
+    return terms, out / np.sqrt((out * out).sum())
 
 
-def votes(model: dict, queries: list[dict[int, float]]):
+def votes(model: dict, queries: list):
     """(weighted share of label 1, rows of the neighbours) of each query."""
     import numpy as np
     out = []
@@ -229,26 +235,29 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "t
     total = sum(fits.values())
     if len(fits) < 2:
         return {"constant": fits.get(1, 0) / total if total else 0.0}
-    known = vocabulary(sample.where("part = 'fit'"), total, fits[1])
+    known, weight = vocabulary(sample.where("part = 'fit'"), total, fits[1])
 
     def run(batches):
         memo: dict = {}
         for b in batches:
-            v = [vector(t, known, memo) for t in b.column("text").to_pylist()]
+            v = [vector(t, known, weight, memo) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id").cast(pa.int64()), b.column("y"), b.column("part"),
-                 pa.array([[*x] for x in v], pa.list_(pa.int32())), pa.array([[*x.values()] for x in v], pa.list_(pa.float64()))],
+                 pa.array([t.astype("<i4").tobytes() for t, _ in v], pa.binary()), pa.array([w.astype("<f8").tobytes() for _, w in v], pa.binary())],
                 names=["doc_id", "y", "part", "terms", "weights"])
     # at most sum(PER_CLASS) + CALIBRATION rows, as long as their texts
-    rows = sorted(sample.mapInArrow(run, "doc_id long, y int, part string, terms array<int>, weights array<double>").collect(),
-                  key=lambda r: r["doc_id"])
-    own = [r for r in rows if r["part"] == "fit" and r["terms"]]
-    index = Index([dict(zip(r["terms"], r["weights"])) for r in own], [r["y"] for r in own], [r["doc_id"] for r in own],
-                  len(known))
-    model = {"known": known, "index": index, "prior": fits[1] / total}
-    apart = [r for r in rows if r["part"] == "calibrate"]
-    v = np.array([x for x, _ in votes(model, [dict(zip(r["terms"], r["weights"])) for r in apart])])
-    model["curve"] = logistic(np.clip(v, 1e-6, 1 - 1e-6), np.array([r["y"] for r in apart], dtype=float)) if apart else (1.0, 0.0)
+    rows = sample.mapInArrow(run, "doc_id long, y int, part string, terms binary, weights binary").toArrow().sort_by("doc_id").to_pylist()
+
+    def own(part):
+        got = [(r["doc_id"], r["y"], np.frombuffer(r["terms"], "<i4"), np.frombuffer(r["weights"], "<f8")) for r in rows if r["part"] == part]
+        return [[r[0] for r in got], [r[1] for r in got], [r[2:] for r in got]]
+    ids, y, vectors = own("fit")
+    full = [i for i, v in enumerate(vectors) if len(v[0])]
+    index = Index([vectors[i] for i in full], [y[i] for i in full], [ids[i] for i in full], len(known))
+    model = {"known": known, "weight": weight, "index": index, "prior": fits[1] / total}
+    _, y, vectors = own("calibrate")
+    v = np.array([x for x, _ in votes(model, vectors)])
+    model["curve"] = logistic(np.clip(v, 1e-6, 1 - 1e-6), np.array(y, dtype=float)) if y else (1.0, 0.0)
     return model
 
 
@@ -269,7 +278,7 @@ def score(text: Column, model: dict) -> Column:
         slope, shift = own["curve"]
         out = []
         for at in range(0, len(col), BATCH):
-            for v, rows in votes(own, [vector(t, own["known"], memo) for t in col[at:at + BATCH].to_pylist()]):
+            for v, rows in votes(own, [vector(t, own["known"], own["weight"], memo) for t in col[at:at + BATCH].to_pylist()]):
                 v = min(max(v, 1e-6), 1 - 1e-6)
                 z = slope * math.log(v / (1 - v)) + shift
                 out.append({"score": 1 / (1 + math.exp(-min(max(z, -40.0), 40.0))), "evidence": own["index"].ids[rows].tolist()})
