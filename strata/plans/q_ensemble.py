@@ -17,6 +17,7 @@ from ..operators.metrics import cv_summary, roc_auc
 from ..operators.util import stored
 from ..sources.tables import Tables
 from . import docs
+from ..operators.search import Range, study
 from .registry import query, rounded
 
 MODELS = ["punct", "upper", "repeat"]
@@ -127,6 +128,36 @@ def blend_best(spark, sf):
     return rounded(EN.best_candidate(s))
 
 
+@query("blend_study_start", f"""
+with {PREDS_SQL}, {CAND_SQL}
+select cast(cand as integer) as trial, round(auc, 6) as auc from sc where cand < 10
+""")
+def blend_study_start(spark, sf):
+    """The trials that a study of blend weights starts from."""
+    return rounded(blend_trials(spark, sf, 10).select("trial", "auc"))
+
+
+@query("blend_study")
+def blend_study(spark, sf):
+    """A guided study of 200 weight vectors, in batches, with the exact AUC of each."""
+    return rounded(blend_trials(spark, sf, 200))
+
+
+def blend_trials(spark, sf, n):
+    preds = stored(long_preds(spark, sf), "predictions")
+    drawn = {}
+    for r in EN.candidate_weights(spark, MODELS, 10, 42).collect():
+        drawn.setdefault(r["cand"], {})[r["model"]] = r["w"]
+
+    def evaluate(batch):
+        cw = spark.createDataFrame([(i, m, float(w[m])) for i, w in enumerate(batch) for m in MODELS], "cand long, model string, w double")
+        got = {r["cand"]: r["auc"] for r in EN.blend_search(preds, "doc_id", "target", MODELS, candidates=cw).collect()}
+        return [got[i] for i in range(len(batch))]
+    trials = study({m: Range(0.0, 1.0) for m in MODELS}, evaluate, n, batch=38, first=[drawn[i] for i in range(10)])
+    rows = [(i, *(float(v[m]) for m in MODELS), a) for i, (v, a) in enumerate(trials)]
+    return spark.createDataFrame(rows, "trial int, " + ", ".join(f"w_{m} double" for m in MODELS) + ", auc double")
+
+
 @query("isotonic_calibration", f"""
 with {PREDS_SQL},
 g as (select model, p, count(*) as n, sum(target) as pos, row_number() over (partition by model order by p) as i

@@ -8,14 +8,13 @@ them with plain versions, and the reports have fixed shapes.
 
 from __future__ import annotations
 
-import random
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import prob_to_class
 from ..operators import boosting as B
 from ..operators import models as M
+from ..operators import newton
 from ..operators import reports as RP
 from ..operators import validate as V
 from ..operators.drift import drift_weights, tag_union
@@ -24,10 +23,12 @@ from ..operators.folds import kfold_stratified
 from ..operators.knn import nearest
 from ..operators.resample import oversample, synthetic
 from ..operators.metrics import accuracy, cv_summary, regression_metrics, roc_auc
+from ..operators.search import Range, searching
 from ..operators.util import stored
 from ..sources.tables import Tables
 from . import docs
 from . import regression as R
+from .q_core import docs_folds
 from .q_features import RAW_NUM
 from .registry import query, rounded
 
@@ -75,9 +76,49 @@ def gbt_presets(spark, sf):
 def logistic_balanced(spark, sf):
     """L2 logistic regression (C = 0.1) with balanced class weights; coefficients."""
     s = clf_setup(spark, sf)
-    m = V.meta_logistic(stored(s.fit_rows(s.k), "rows"), "target", 0.1, True)
-    rows = [(c, float(w)) for c, w in zip(s.cols, m.coefficients)] + [("intercept", float(m.intercept))]
-    return rounded(spark.createDataFrame(rows, "feature string, coef double"))
+    b, b0 = newton.fit(stored(s.fit_rows(s.k), "rows"), {"all": newton.Logistic(0.1, balanced=True)}, "target")["all"]
+    return rounded(spark.createDataFrame([*((c, float(w)) for c, w in zip(s.cols, b)), ("intercept", b0)], "feature string, coef double"))
+
+
+def _newton_sql():
+    """Newton steps for two features and an intercept, by Cramer's rule, for each fold left out."""
+    x = ["1.0", "x1", "x2"]
+    sums = ", ".join([f"sum(w * (p - y) * {x[i]}) + {f'b{i}' if i else '0'} * {1 if i else 0} as g{i}" for i in range(3)]
+                     + [f"sum(w * p * (1 - p) * {x[i]} * {x[j]}) + {1 if i == j and i else 0} as h{i}{j}" for i in range(3) for j in range(i, 3)])
+
+    def det(m):
+        (a, b, c), (d, e, f), (g, h, i) = m
+        return f"({a} * ({e} * {i} - {f} * {h}) - {b} * ({d} * {i} - {f} * {g}) + {c} * ({d} * {h} - {e} * {g}))"
+    h = [[f"h{min(i, j)}{max(i, j)}" for j in range(3)] for i in range(3)]
+    down = [det([[f"g{r}" if c == k else h[r][c] for c in range(3)] for r in range(3)]) + " / " + det(h) for k in range(3)]
+    return f"""
+nt(held, i, b0, b1, b2) as (
+  select unnest(range(0, 5)), 0, 0.0::double, 0.0::double, 0.0::double
+  union all
+  select held, i + 1, b0 - {down[0]}, b1 - {down[1]}, b2 - {down[2]}
+  from (select held, i, b0, b1, b2, {sums}
+        from (select nt.*, x1, x2, y, case when y = 1 then cw.n / (2.0 * cw.pos) else cw.n / (2.0 * (cw.n - cw.pos)) end as w,
+                     1 / (1 + exp(-(b0 + b1 * x1 + b2 * x2))) as p
+              from nt join f on f.fold <> nt.held join cw using (held) where i < 12) a
+        group by held, i, b0, b1, b2) s)"""
+
+
+@query("logistic_folds", f"""
+with recursive f0 as (select doc_id, D as x1, G as x2, target as y from {docs.TRAIN_SQL} t),
+f as (select *, cast((row_number() over (partition by y order by md5('42:' || cast(doc_id as varchar)), doc_id) - 1) % 5 as integer) as fold
+      from f0),
+h as (select unnest(range(0, 5)) as held),
+cw as (select held, count(*) as n, sum(y) as pos from h join f on f.fold <> h.held group by held),
+{_newton_sql()}
+select cast(held as integer) as held, round(b1, 6) as coef_D, round(b2, 6) as coef_G, round(b0, 6) as intercept from nt where i = 12
+""")
+def logistic_folds(spark, sf):
+    """M12 + M13: balanced logistic regressions on two features, every fold left out
+    once, all fitted in the same passes."""
+    rows = docs_folds(spark, sf, "D", "G").select("target", "fold", F.array("D", "G").alias("x"))
+    got = newton.fit(stored(rows, "rows"), {str(f): newton.Logistic(1.0, f, True) for f in range(K)}, "target")
+    return rounded(spark.createDataFrame([(int(f), float(b[0]), float(b[1]), b0) for f, (b, b0) in got.items()],
+                                         "held int, coef_D double, coef_G double, intercept double"))
 
 
 @query("oof_matrix")
@@ -209,25 +250,43 @@ def smote_points(spark, sf):
     return got.select("key", "copy", "neighbour", *[F.round(F.col("x")[i], 6).alias(c) for i, c in enumerate(NEAR_COLS)])
 
 
+# fixed values: the spaces of the two studies
+COMMON = {"trees": Range(300, 1000, whole=True), "depth": Range(3, 7, whole=True), "step": Range(0.01, 0.1, log=True),
+          "rows": Range(0.6, 0.9), "columns": Range(0.6, 0.9), "l1": Range(0.5, 5.0), "l2": Range(1.0, 5.0)}
+STUDIES = {"xgb": COMMON | {"min_weight": Range(1, 10, whole=True), "min_gain": Range(0.0, 0.5)},
+           "lgb": COMMON | {"leaves": Range(15, 63, whole=True), "min_rows": Range(10, 50, whole=True)}}
+TRIALS = 30
+SETTINGS = ["trees", "depth", "step", "rows", "columns", "l1", "l2", "min_weight", "min_gain", "leaves", "min_rows"]
+
+
 @query("hyper_search")
 def hyper_search(spark, sf):
-    """30 seeded random settings of nine parameters, five-fold CV AUC each;
-    all 150 fits are dealt over the cluster at once."""
-    rng = random.Random(42)
-    trials = {}
-    for i in range(30):
-        trials[f"{i:02d}"] = B.Trees(
-            trees=rng.randint(300, 1000), depth=rng.randint(3, 7), step=0.01 * 10 ** rng.uniform(0, 1),
-            rows=rng.uniform(0.6, 0.9), columns=rng.uniform(0.6, 0.9), min_weight=float(rng.randint(1, 10)),
-            min_gain=rng.uniform(0, 0.5), l1=rng.uniform(0.5, 5.0), l2=rng.uniform(1.0, 5.0), balanced=True)
-    oof, _ = V.out_of_fold(clf_setup(spark, sf), trials)
-    auc = cv_summary(roc_auc(oof, "target", "p", ["model", "fold"]), "auc", ["model"])
-    rows = [(n, t.trees, t.depth, t.step, t.rows, t.columns, t.min_weight, t.min_gain, t.l1, t.l2) for n, t in trials.items()]
-    listed = spark.createDataFrame(rows, "model string, trees int, depth int, step double, subsample double, columns double, "
-                                         "min_weight double, min_gain double, l1 double, l2 double")
-    rep = stored(auc.join(listed, "model"), "trials")
-    best = rep.agg(F.max_by("model", F.struct("auc_mean", "model"))).first()[0]
-    return rounded(rep.withColumn("best", F.col("model") == F.lit(best)))
+    """Two guided studies of 30 trials, one for each boosted family: ten even
+    draws, then Parzen proposals, five-fold CV AUC each. The trials of a batch of
+    both studies are fitted at once."""
+    s = clf_setup(spark, sf)
+    running = {f: searching(space, TRIALS, seed=42) for f, space in STUDIES.items()}
+    asked = {f: next(g) for f, g in running.items()}
+    done, rows = {f: 0 for f in running}, []
+    while asked:
+        batch = {f"{f}_{done[f] + i:02d}": B.Trees(**v, balanced=True) for f, vs in asked.items() for i, v in enumerate(vs)}
+        oof, _ = V.out_of_fold(s, batch)
+        auc = {r["model"]: r for r in cv_summary(roc_auc(oof, "target", "p", ["model", "fold"]), "auc", ["model"]).collect()}
+        following = {}
+        for f, vs in asked.items():
+            names = [f"{f}_{done[f] + i:02d}" for i in range(len(vs))]
+            rows += [(f, done[f] + i, *(float(v[k]) if k in v else None for k in SETTINGS), auc[n]["auc_mean"], auc[n]["auc_std"])
+                     for i, (n, v) in enumerate(zip(names, vs))]
+            done[f] += len(vs)
+            try:
+                following[f] = running[f].send([auc[n]["auc_mean"] for n in names])
+            except StopIteration:
+                pass
+        asked = following
+    kinds = ", ".join(f"{k} double" for k in SETTINGS)
+    rep = spark.createDataFrame(rows, f"family string, trial int, {kinds}, auc_mean double, auc_std double")
+    best = Window.partitionBy("family").orderBy(F.desc("auc_mean"), "trial")  # a row per trial
+    return rounded(rep.withColumn("best", F.row_number().over(best) == 1))
 
 
 @query("regularisation_levels")
