@@ -23,7 +23,7 @@ need that much for a recall of 0.9. Lists are cut into chunks of ``CHUNK`` vecto
 Cases: vectors that are null, zero or hold null or non-finite components, and
 those without an id or of another dimension than most, take no part. Of rows
 with one id the least vector counts. Ties go to the smaller id. An empty table
-gives an empty result.
+gives an empty result. Extra columns aren't read, whatever their names.
 """
 
 from __future__ import annotations

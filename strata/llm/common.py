@@ -15,7 +15,7 @@ from pyspark.sql.types import _parse_datatype_string
 from ..operators.util import stored as written
 from ..sources.tables import table
 
-__all__ = ["table", "written", "process_cache", "arrow_column", "free_name", "held_out",
+__all__ = ["table", "written", "process_cache", "arrow_column", "free_name", "refuse", "held_out",
            "salted_rank", "span_digests"]
 
 
@@ -41,6 +41,14 @@ def arrow_column(fn, schema: str):
     return arrow_udf(run, returnType=schema)
 
 
+def refuse(df: DataFrame, *names: str) -> None:
+    """An error if ``df`` has a column named like one that an operator adds: the
+    rule of all operators for clashing names. Most let the caller choose another."""
+    for name in names:
+        if free_name(df, name) != name:
+            raise ValueError(f"the table has a column {name} already; name another")
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name based on ``name`` that ``df`` doesn't have."""
     have = {c.lower() for c in df.columns}

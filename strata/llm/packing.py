@@ -30,7 +30,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import _parse_datatype_string
 
 from ..operators.util import broadcast_if_small
-from .common import free_name, process_cache, written
+from .common import free_name, process_cache, refuse, written
 
 PIECES = "array<struct<start:long,length:long,doc_tokens:long,ids:binary,nth:long>>"
 
@@ -197,9 +197,7 @@ def pack(rows: DataFrame, size: int = 1024, sequence: str = "sequence_id", offse
     ids and all) are neither sorted nor shuffled. The table of running counts
     is broadcast while it is small by the optimizer's measure; beyond that the
     join moves every row once."""
-    for name in (sequence, offset):
-        if free_name(rows, name) != name:
-            raise ValueError(f"rows have a column {name} already; name another")
+    refuse(rows, sequence, offset)
     part, nth, before, place = (free_name(rows, f"__{x}") for x in ("part", "nth", "before", "place"))
     given = F.col(numbers) if numbers else count_before(F.col("length"), size)
     numbered = written(rows.withColumn(part, F.spark_partition_id()).withColumn(nth, given), "pieces")

@@ -7,7 +7,9 @@ reaches ``THRESHOLD`` and no base span overlaps.
 
 Cases: a null text counts as empty and has no spans; work is linear in the
 length of a text, runs of one character class included. Repeated rows get the
-same spans. Positions are code points, ends exclusive.
+same spans. Positions are code points, ends exclusive. An empty table gives an
+empty result. The spans are one column, so the table's other columns may have
+any name.
 """
 
 from __future__ import annotations

@@ -15,7 +15,9 @@ every document is scored on its whole text.
 
 Cases: a null text counts as empty and has a score like any other. Without
 labels of both classes the score is the share of label 1 (0.5 without labels).
-Repeated rows get equal scores.
+Repeated rows get equal scores. Very long texts are pooled in blocks, whole. An
+empty table gives an empty result. Only the text travels, so other columns may
+have any name.
 """
 
 from __future__ import annotations

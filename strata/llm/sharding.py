@@ -15,7 +15,8 @@ Slots are gapless ranks in the shard, made in parts (``salted_rank``).
 
 Cases: a null text has size 1 and the checksum of no bytes. Null old-shard keys
 are a shard's like any other value. Repeated rows are rows of their own. An
-empty table gives an empty result.
+empty table gives an empty result. A column named like an output is refused;
+other columns stay.
 """
 
 from __future__ import annotations
@@ -25,8 +26,9 @@ from collections import deque
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.util import broadcast_if_small
 from ..session import scratch_path
-from .common import free_name, salted_rank, written
+from .common import free_name, refuse, salted_rank, written
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost: list[list[int]]) -> list[list[int]]:
@@ -77,6 +79,7 @@ def reshard(rows: DataFrame, shards: int, old: str = "old_shard", size: str = "s
             slot: str = "slot") -> DataFrame:
     """``rows`` with the new ``shard`` and the ``slot`` in it. ``old`` is an int
     from 0 (few values: shards, not keys); ``order`` fixes ties."""
+    refuse(rows, shard, slot)
     names = {k: free_name(rows, f"__{k}") for k in ("old", "band", "bucket", "middle", "at")}
     given, old, band, bucket, before = old, names["old"], names["band"], names["bucket"], names["middle"]
     # four bands to a doubling, so sizes in a block differ by a fifth at most
@@ -97,14 +100,14 @@ def reshard(rows: DataFrame, shards: int, old: str = "old_shard", size: str = "s
         parts += transfers([(r[band], r[bucket], r["bytes"]) for r in by_old[i]], out, i)
     keys = [f"{c}2" for c in (old, band, bucket)]
     lo, hi = f"{names['at']}_lo", f"{names['at']}_hi"
-    plan = small_table(rows.sparkSession, parts, [*((k, "int") for k in keys), (lo, "long"), (hi, "long"), (shard, "int")])
+    plan = written(small_table(rows.sparkSession, parts, [*((k, "int") for k in keys), (lo, "long"), (hi, "long"), (shard, "int")]), "plan")
     within = Window.partitionBy(old, band, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     # a row goes where its middle byte falls
     middle = F.coalesce(F.sum(size).over(within), F.lit(0)) + F.floor(F.col(size) / 2)
     on = (F.col(before) >= F.col(lo)) & (F.col(before) < F.col(hi))
     for c, k in zip((old, band, bucket), keys):
         on = (F.col(c) == F.col(k)) & on
-    placed = cut.withColumn(before, middle).join(F.broadcast(plan), on).select(*rows.columns, shard)
+    placed = cut.withColumn(before, middle).join(broadcast_if_small(plan), on).select(*rows.columns, shard)
     return salted_rank(written(placed, "resharded"), shard, list(order), F.xxhash64(*order), slot) \
         .select(*rows.columns, shard, slot)
 
@@ -131,10 +134,11 @@ def small_table(spark: SparkSession, rows: list[tuple], schema: list[tuple[str,
     return spark.createDataFrame(rows, ", ".join(f"`{n}` {t}" for n, t in schema))
 
 
-def text_sizes(docs: DataFrame, text: Column) -> DataFrame:
-    """``docs`` with size (UTF-8 bytes plus 1) and text_crc32."""
+def text_sizes(docs: DataFrame, text: Column, size: str = "size", checksum: str = "text_crc32") -> DataFrame:
+    """``docs`` with ``size`` (UTF-8 bytes plus 1) and ``checksum``."""
+    refuse(docs, size, checksum)
     raw = F.coalesce(text, F.lit("")).cast("binary")
-    return docs.withColumn("size", F.octet_length(raw).cast("long") + 1).withColumn("text_crc32", F.crc32(raw))
+    return docs.withColumn(size, F.octet_length(raw).cast("long") + 1).withColumn(checksum, F.crc32(raw))
 
 
 def rewrite(rows: DataFrame, old: str, shard: str, source: str, target: str) -> list[int]:
@@ -157,6 +161,7 @@ def move(rows: DataFrame, shards: int, old: str = "old_shard", size: str = "size
     """``rows`` with all their columns but ``old``, read from the files of the new
     shards, with ``shard`` and ``slot``. Places are found on the columns that
     ``reshard`` needs; the whole rows meet them in one join and are written."""
+    refuse(rows, shard, slot)
     spark, row = rows.sparkSession, free_name(rows, "__row")
     # numbered as written: later reads see the same numbers
     path, target = scratch_path(spark, "old_shards"), scratch_path(spark, "new_shards")

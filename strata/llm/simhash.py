@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from ..operators.util import discard, recording
-from .common import free_name, process_cache, written
+from .common import free_name, process_cache, refuse, written
 from .components import components
 
 WORDS, SEED, MAX_BITS = 3, 42, 3
@@ -219,9 +219,7 @@ def near_duplicates(marked: DataFrame, doc_id: str = "doc_id", fp: str = "fp", b
     """``marked`` (a written table with fingerprints in ``fp``, as it is read
     twice) with ``component``, the smallest id of the component, and ``root``,
     its smallest fingerprint, which tells components apart where ids repeat."""
-    for name in (component, root):
-        if free_name(marked, name) != name:
-            raise ValueError(f"rows have a column {name} already; name another")
+    refuse(marked, component, root)
     with recording() as made:
         # ids are combined per fingerprint before the shuffle: a group of copies costs a row a task
         fps = written(marked.groupBy(F.col(fp).alias("fp")).agg(F.min(doc_id).alias("least")), "distinct-fps")

@@ -262,3 +262,16 @@ def test_scan_equals_a_full_scan():
     want = {q: set(np.argsort(-p[q])[:10]) for q in range(50)}
     hit = sum(len(want[q] & set(j[i == q].tolist())) for q in range(50))
     assert hit >= 0.97 * 500 and np.allclose(s, p[i, j])
+
+
+def test_clashing_names_are_refused(spark):
+    """One rule: a column named like an output is refused, in any case of letters."""
+    from strata.llm import sharding
+    df = spark.createDataFrame([(1, "a", 5, 2, 0)], "doc_id long, text string, fp long, size long, old_shard int")
+    for call in (lambda: simhash.near_duplicates(df.withColumn("Component_Id", F.lit(1))), lambda: sharding.text_sizes(df, F.col("text")),
+                 lambda: sharding.reshard(df.withColumn("SLOT", F.lit(1)), 2), lambda: sharding.move(df.withColumn("shard", F.lit(1)), 2)):
+        with pytest.raises(ValueError, match="already"):
+            call()
+    assert sharding.text_sizes(df, F.col("text"), "bytes", "crc").columns[-2:] == ["bytes", "crc"]
+    got = simhash.near_duplicates(df.withColumn("component_id", F.lit("x")), component="c", root="r").first()
+    assert (got["component_id"], got["c"], got["r"]) == ("x", 1, 5)
