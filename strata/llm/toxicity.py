@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import pickle
 import uuid
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -179,8 +180,8 @@ def spread(start, end, values):
     return at, np.repeat(values, n)
 
 
-def vector(text: str | None, known: dict[str, int], weight, memo: dict):
-    """Unit TF-IDF vector (terms, weights) of a whole text; empty if no term occurs."""
+def counted(text: str | None, known: dict[str, int], memo: dict):
+    """(terms, counts) of a whole text, by number of the term."""
     from collections import Counter
 
     import numpy as np
@@ -195,11 +196,20 @@ def vector(text: str | None, known: dict[str, int], weight, memo: dict):
             tf[t] = tf.get(t, 0) + n
     terms = np.fromiter(tf, np.int64, len(tf))
     order = np.argsort(terms)
-    terms = terms[order]
-    out = (1 + np.log(np.fromiter(tf.values(), np.float64, len(tf))[order])) * weight[terms]
+    return terms[order], np.fromiter(tf.values(), np.int64, len(tf))[order]
+
+
+def unit(terms, counts, weight):
+    """Unit TF-IDF vector (terms, weights); empty if no term occurs."""
+    import numpy as np
+    out = (1 + np.log(counts)) * weight[terms]
     return terms, out / np.sqrt((out * out).sum())
 
 
+def vector(text: str | None, known: dict[str, int], weight, memo: dict):
+    return unit(*counted(text, known, memo), weight)
+
+
 def votes(model: dict, queries: list):
     """(weighted share of label 1, rows of the neighbours) of each query."""
     import numpy as np
@@ -228,7 +238,7 @@ def logistic(v, y) -> tuple[float, float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text") -> dict:
-    """Vocabulary, index, prior and calibration curve, or a constant."""
+    """Terms, weights, examples, prior and calibration curve (see ``loaded``), or a constant."""
     import numpy as np
     sample = labelled_sample(docs, labels, label, PER_CLASS, CALIBRATION, text)
     fits = {r["y"]: r["count"] for r in sample.where("part = 'fit'").groupBy("y").count().collect()}
@@ -240,38 +250,43 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "t
     def run(batches):
         memo: dict = {}
         for b in batches:
-            v = [vector(t, known, weight, memo) for t in b.column("text").to_pylist()]
+            v = [counted(t, known, memo) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id").cast(pa.int64()), b.column("y"), b.column("part"),
-                 pa.array([t.astype("<i4").tobytes() for t, _ in v], pa.binary()), pa.array([w.astype("<f8").tobytes() for _, w in v], pa.binary())],
-                names=["doc_id", "y", "part", "terms", "weights"])
+                 *(pa.array([x[i].astype("<i4").tobytes() for x in v], pa.binary()) for i in (0, 1))],
+                names=["doc_id", "y", "part", "terms", "counts"])
     # at most sum(PER_CLASS) + CALIBRATION rows, as long as their texts
-    rows = sample.mapInArrow(run, "doc_id long, y int, part string, terms binary, weights binary").toArrow().sort_by("doc_id").to_pylist()
-
-    def own(part):
-        got = [(r["doc_id"], r["y"], np.frombuffer(r["terms"], "<i4"), np.frombuffer(r["weights"], "<f8")) for r in rows if r["part"] == part]
-        return [[r[0] for r in got], [r[1] for r in got], [r[2:] for r in got]]
-    ids, y, vectors = own("fit")
-    full = [i for i, v in enumerate(vectors) if len(v[0])]
-    index = Index([vectors[i] for i in full], [y[i] for i in full], [ids[i] for i in full], len(known))
-    model = {"known": known, "weight": weight, "index": index, "prior": fits[1] / total}
-    _, y, vectors = own("calibrate")
-    v = np.array([x for x, _ in votes(model, vectors)])
-    model["curve"] = logistic(np.clip(v, 1e-6, 1 - 1e-6), np.array(y, dtype=float)) if y else (1.0, 0.0)
-    return model
+    rows = sample.mapInArrow(run, "doc_id long, y int, part string, terms binary, counts binary").toArrow().sort_by("doc_id").to_pylist()
+    examples = [(r["doc_id"], r["y"], r["terms"], r["counts"]) for r in rows if r["part"] == "fit" and r["terms"]]
+    model = loaded({"terms": "\n".join(known), "weight": weight, "prior": fits[1] / total, "examples": examples, "curve": (1.0, 0.0)})
+    apart = [r for r in rows if r["part"] == "calibrate"]
+    v = np.array([x for x, _ in votes(model, [unit(np.frombuffer(r["terms"], "<i4"), np.frombuffer(r["counts"], "<i4"), weight) for r in apart])])
+    y = np.array([r["y"] for r in apart], dtype=float)
+    return model["packed"] | {"curve": logistic(np.clip(v, 1e-6, 1 - 1e-6), y) if len(y) else (1.0, 0.0)}
+
+
+def loaded(packed: dict) -> dict:
+    """What votes need, from what is sent: terms and counts of the examples, the
+    weights of the terms. The index is built where it is used."""
+    import numpy as np
+    vectors = [unit(np.frombuffer(t, "<i4"), np.frombuffer(n, "<i4"), packed["weight"]) for _, _, t, n in packed["examples"]]
+    index = Index(vectors, [x[1] for x in packed["examples"]], [x[0] for x in packed["examples"]], len(packed["weight"]))
+    known = {t: i for i, t in enumerate(packed["terms"].split("\n"))}
+    return {"known": known, "weight": packed["weight"], "index": index, "prior": packed["prior"], "curve": packed["curve"], "packed": packed}
 
 
 def score(text: Column, model: dict) -> Column:
     """(score, evidence): probability of label 1, ids of the nearest examples, nearest first."""
     kind = pa.struct([("score", pa.float64()), ("evidence", pa.list_(pa.int64()))])
-    # a task gets bytes, and a worker makes the model of them once
-    packed, name = pickle.dumps(model, protocol=5), uuid.uuid4().hex
+    # a task gets a few MB, and a worker makes the index of them once
+    packed, name = zlib.compress(pickle.dumps(model, protocol=5), 6), uuid.uuid4().hex
 
     def run(col: pa.Array) -> pa.Array:
         import math
         cache = process_cache("toxicity")
         if cache.get("toxicity of") != name:
-            cache["toxicity of"], cache["toxicity model"], cache["toxicity words"] = name, pickle.loads(packed), {}
+            sent = pickle.loads(zlib.decompress(packed))
+            cache["toxicity of"], cache["toxicity model"], cache["toxicity words"] = name, sent if "constant" in sent else loaded(sent), {}
         own, memo = cache["toxicity model"], cache["toxicity words"]
         if "constant" in own:
             return pa.array([{"score": own["constant"], "evidence": []}] * len(col), kind)
