@@ -44,7 +44,7 @@ from .sampling import labelled_sample
 PER_CLASS = {0: 3000, 1: 1500}
 CALIBRATION = 3000
 EVEN = 0.01
-NEAREST, BLOCK, DENSE, PRIOR_WEIGHT = 15, 64, 16, 2.0
+NEAREST, BLOCK, DENSE, PRIOR_WEIGHT = 15, 256, 16, 2.0
 BATCH = 128
 MAX_WORDS = 300_000
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¿«»…–—"
@@ -147,8 +147,9 @@ class Index:
         bound = scores.reshape(-1, BLOCK).max(axis=1, initial=0.0) + add + 1e-12
 
         def read(blocks):
-            use = blocks[block]
-            at, w = spread(self.first[entry[use]], self.first[entry[use] + 1], weight[use])
+            use = np.flatnonzero(blocks[block])
+            own = entry[use]
+            at, w = spread(self.first[own], self.first[own + 1], weight[use])
             return np.bincount(self.row[at], weights=w * self.weight[at], minlength=len(scores))
 
         if not len(bound):
@@ -180,6 +181,22 @@ def spread(start, end, values):
     return at, np.repeat(values, n)
 
 
+def numbers_of(word: str, known: dict[str, int]) -> list[int]:
+    """Numbers of the known terms of a word (see ``terms_of``)."""
+    w = word.strip(MARKS).lower()
+    if not w:
+        return []
+    get, out = known.get, []
+    if (t := get("=" + w)) is not None:
+        out.append(t)
+    if len(w) > 3:
+        if (t := get("4" + w[:4])) is not None:
+            out.append(t)
+        if len(w) > 4 and (t := get("5" + w[:5])) is not None:
+            out.append(t)
+    return out
+
+
 def counted(text: str | None, known: dict[str, int], memo: dict):
     """(terms, counts) of a whole text, by number of the term."""
     from collections import Counter
@@ -187,16 +204,20 @@ def counted(text: str | None, known: dict[str, int], memo: dict):
     import numpy as np
     if len(memo) > MAX_WORDS:
         memo.clear()
-    tf: dict[int, int] = {}
+    get, terms, counts = memo.get, [], []
     for w, n in Counter((text or "").split()).items():
-        terms = memo.get(w)
-        if terms is None:
-            terms = memo[w] = tuple(known[t] for t in terms_of(w) if t in known)
-        for t in terms:
-            tf[t] = tf.get(t, 0) + n
-    terms = np.fromiter(tf, np.int64, len(tf))
+        own = get(w)
+        if own is None:
+            own = memo[w] = numbers_of(w, known)
+        terms += own
+        counts += [n] * len(own)
+    terms, counts = np.array(terms, dtype=np.int64), np.array(counts, dtype=np.int64)
+    if not len(terms):
+        return terms, counts
     order = np.argsort(terms)
-    return terms[order], np.fromiter(tf.values(), np.int64, len(tf))[order]
+    terms = terms[order]
+    first = np.flatnonzero(np.append(True, terms[1:] != terms[:-1]))
+    return terms[first], np.add.reduceat(counts[order], first)
 
 
 def unit(terms, counts, weight):
