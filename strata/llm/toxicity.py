@@ -10,8 +10,8 @@ The examples lie in an inverted index in blocks of ``BLOCK``. Terms that more
 than one in ``DENSE`` examples has are columns of a dense matrix, whose part of
 the cosine is one product for a batch of documents; the others are postings by
 term and block. The greatest weight of a term in a block bounds what the block
-can add. The block of the best bound is read first, which bounds the k-th best
-cosine, and then every block that reaches it, so the neighbours are exact.
+can add. The k-th best dense part bounds the k-th best cosine, and every block
+that reaches it is read, so the neighbours are exact.
 Votes weigh ``1 / (0.05 + distance)``; the prior joins them with a weight of its
 own, which is all that a document without any known term gets. A logistic curve,
 fitted on rows apart, turns the vote into a probability.
@@ -146,24 +146,16 @@ class Index:
         add = np.bincount(block, weights=weight * self.top[entry], minlength=self.blocks)
         bound = scores.reshape(-1, BLOCK).max(axis=1, initial=0.0) + add + 1e-12
 
-        def read(blocks):
-            use = np.flatnonzero(blocks[block])
-            own = entry[use]
-            at, w = spread(self.first[own], self.first[own + 1], weight[use])
-            return np.bincount(self.row[at], weights=w * self.weight[at], minlength=len(scores))
-
-        if not len(bound):
-            return np.zeros(0, dtype=np.int64), np.zeros(0)
-        best = np.zeros(self.blocks, dtype=bool)
-        best[np.argsort(-bound, kind="stable")[:-(-2 * k // BLOCK)]] = True
-        scores = scores + read(best)
-        done = np.repeat(best, BLOCK)
-        got = scores[done]
-        least = np.partition(got, len(got) - k)[len(got) - k] if len(got) >= k else 0.0
-        more = ~best & (bound >= least - 1e-12)
-        if more.any():
-            scores = scores + read(more)
-            done |= np.repeat(more, BLOCK)
+        # the dense part bounds every cosine from below, so its k-th best bounds the k-th best cosine
+        least = np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) >= k else 0.0
+        use = bound >= least - 1e-12
+        if use.all():  # the postings of a term are one range over all blocks
+            at, w = spread(self.first[self.lists[terms]], self.first[self.lists[terms + 1]], weights)
+        else:
+            own = np.flatnonzero(use[block])
+            at, w = spread(self.first[entry[own]], self.first[entry[own] + 1], weight[own])
+        scores = scores + np.bincount(self.row[at], weights=w * self.weight[at], minlength=len(scores))
+        done = np.repeat(use, BLOCK)
         rows = np.flatnonzero(done & (scores > 0))
         rows = rows[rows < len(self.ids)]
         if len(rows) > k:  # all at the k-th cosine stay, as the ids decide
@@ -181,43 +173,62 @@ def spread(start, end, values):
     return at, np.repeat(values, n)
 
 
-def numbers_of(word: str, known: dict[str, int]) -> list[int]:
-    """Numbers of the known terms of a word (see ``terms_of``)."""
-    w = word.strip(MARKS).lower()
-    if not w:
-        return []
-    get, out = known.get, []
-    if (t := get("=" + w)) is not None:
-        out.append(t)
-    if len(w) > 3:
-        if (t := get("4" + w[:4])) is not None:
-            out.append(t)
-        if len(w) > 4 and (t := get("5" + w[:5])) is not None:
-            out.append(t)
-    return out
+class Words:
+    """The known terms of words, remembered by word: a row of ``numbers`` holds the
+    numbers of the word and of its beginnings (see ``terms_of``), ``unknown`` for none."""
+
+    def __init__(self, known: dict[str, int]):
+        import numpy as np
+        kinds: dict[str, dict[str, int]] = {"=": {}, "4": {}, "5": {}}
+        for t, i in known.items():
+            kinds[t[0]][t[1:]] = i
+        self.whole, self.four, self.five = kinds["="], kinds["4"], kinds["5"]
+        self.unknown = len(known)
+        self.place: dict[str, int] = {}
+        self.numbers = np.empty((1024, 3), dtype=np.int64)
+
+    def learn(self, new) -> None:
+        """Give the words, which aren't remembered, a row each."""
+        import numpy as np
+        whole, four, five, none, found = self.whole.get, self.four.get, self.five.get, self.unknown, []
+        for word in new:
+            w = word.strip(MARKS).lower()
+            n = len(w)
+            # a word of fewer than four or five letters has no such beginning
+            found += (whole(w, none), four(w[:4], none) if n > 3 else none, five(w[:5], none) if n > 4 else none)
+        start, end = len(self.place), len(self.place) + len(new)
+        self.place.update(zip(new, range(start, end)))
+        if end > len(self.numbers):
+            more = max(end, 2 * len(self.numbers)) - len(self.numbers)
+            self.numbers = np.concatenate([self.numbers, np.empty((more, 3), dtype=np.int64)])
+        self.numbers[start:end] = np.array(found, dtype=np.int64).reshape(-1, 3)
+
+    def of(self, words):
+        """A row of three numbers for each of the words, the keys of a dict."""
+        import numpy as np
+        if len(self.place) > MAX_WORDS:
+            self.place.clear()
+        place = self.place
+        if new := [w for w in words if w not in place]:
+            self.learn(new)
+        return self.numbers[np.fromiter(map(place.__getitem__, words), np.int64, len(words))]
 
 
-def counted(text: str | None, known: dict[str, int], memo: dict):
+def counted(text: str | None, words: Words):
     """(terms, counts) of a whole text, by number of the term."""
     from collections import Counter
 
     import numpy as np
-    if len(memo) > MAX_WORDS:
-        memo.clear()
-    get, terms, counts = memo.get, [], []
-    for w, n in Counter((text or "").split()).items():
-        own = get(w)
-        if own is None:
-            own = memo[w] = numbers_of(w, known)
-        terms += own
-        counts += [n] * len(own)
-    terms, counts = np.array(terms, dtype=np.int64), np.array(counts, dtype=np.int64)
+    own = Counter((text or "").split())
+    terms = words.of(own).ravel()
+    counts = np.repeat(np.fromiter(own.values(), np.int64, len(own)), 3)
+    known = np.flatnonzero(terms < words.unknown)
+    known = known[np.argsort(terms[known])]
+    terms = terms[known]
     if not len(terms):
-        return terms, counts
-    order = np.argsort(terms)
-    terms = terms[order]
+        return terms, terms
     first = np.flatnonzero(np.append(True, terms[1:] != terms[:-1]))
-    return terms[first], np.add.reduceat(counts[order], first)
+    return terms[first], np.add.reduceat(counts[known], first)
 
 
 def unit(terms, counts, weight):
@@ -227,8 +238,8 @@ def unit(terms, counts, weight):
     return terms, out / np.sqrt((out * out).sum())
 
 
-def vector(text: str | None, known: dict[str, int], weight, memo: dict):
-    return unit(*counted(text, known, memo), weight)
+def vector(text: str | None, words: Words, weight):
+    return unit(*counted(text, words), weight)
 
 
 def votes(model: dict, queries: list):
@@ -269,9 +280,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "t
     known, weight = vocabulary(sample.where("part = 'fit'"), total, fits[1])
 
     def run(batches):
-        memo: dict = {}
+        words = Words(known)
         for b in batches:
-            v = [counted(t, known, memo) for t in b.column("text").to_pylist()]
+            v = [counted(t, words) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id").cast(pa.int64()), b.column("y"), b.column("part"),
                  *(pa.array([x[i].astype("<i4").tobytes() for x in v], pa.binary()) for i in (0, 1))],
@@ -292,8 +303,8 @@ def loaded(packed: dict) -> dict:
     import numpy as np
     vectors = [unit(np.frombuffer(t, "<i4"), np.frombuffer(n, "<i4"), packed["weight"]) for _, _, t, n in packed["examples"]]
     index = Index(vectors, [x[1] for x in packed["examples"]], [x[0] for x in packed["examples"]], len(packed["weight"]))
-    known = {t: i for i, t in enumerate(packed["terms"].split("\n"))}
-    return {"known": known, "weight": packed["weight"], "index": index, "prior": packed["prior"], "curve": packed["curve"], "packed": packed}
+    words = Words({t: i for i, t in enumerate(packed["terms"].split("\n"))})
+    return {"words": words, "weight": packed["weight"], "index": index, "prior": packed["prior"], "curve": packed["curve"], "packed": packed}
 
 
 def score(text: Column, model: dict) -> Column:
@@ -307,14 +318,14 @@ def score(text: Column, model: dict) -> Column:
         cache = process_cache("toxicity")
         if cache.get("toxicity of") != name:
             sent = pickle.loads(zlib.decompress(packed))
-            cache["toxicity of"], cache["toxicity model"], cache["toxicity words"] = name, sent if "constant" in sent else loaded(sent), {}
-        own, memo = cache["toxicity model"], cache["toxicity words"]
+            cache["toxicity of"], cache["toxicity model"] = name, sent if "constant" in sent else loaded(sent)
+        own = cache["toxicity model"]
         if "constant" in own:
             return pa.array([{"score": own["constant"], "evidence": []}] * len(col), kind)
         slope, shift = own["curve"]
         out = []
         for at in range(0, len(col), BATCH):
-            for v, rows in votes(own, [vector(t, own["known"], own["weight"], memo) for t in col[at:at + BATCH].to_pylist()]):
+            for v, rows in votes(own, [vector(t, own["words"], own["weight"]) for t in col[at:at + BATCH].to_pylist()]):
                 v = min(max(v, 1e-6), 1 - 1e-6)
                 z = slope * math.log(v / (1 - v)) + shift
                 out.append({"score": 1 / (1 + math.exp(-min(max(z, -40.0), 40.0))), "evidence": own["index"].ids[rows].tolist()})
