@@ -33,45 +33,51 @@ PASSES, TOL = 60, 1e-11
 @dataclass(frozen=True)
 class Logistic:
     """``c``: inverse penalty; ``held``: the fold that the fit doesn't see;
-    ``balanced``: classes weigh the same in sum."""
+    ``balanced``: classes weigh the same in sum; ``columns``: places of the
+    features that it reads (None: all)."""
 
     c: float
     held: int | None = None
     balanced: bool = False
+    columns: tuple[int, ...] | None = None
 
 
 def blocks(df: DataFrame, points: dict, weights: dict) -> dict:
     """name -> (loss, gradient, Hessian) at its point, from one pass over
-    (x, y, fold). ``weights`` has the weights of the two classes."""
+    (x, y, fold). ``points`` has fold held out, columns and point, ``weights`` the
+    weights of the two classes."""
     import numpy as np
     names = list(points)
-    held = {n: points[n][0] for n in names}
-    at = {n: points[n][1] for n in names}
-    size = len(next(iter(at.values())))
+    held, columns, at = ({n: points[n][i] for n in names} for i in range(3))
+    size = {n: len(b) for n, b in at.items()}
+    length = {n: 1 + d + d * d for n, d in size.items()}
 
     def run(batches):
-        total = {n: np.zeros(1 + size + size * size) for n in names}
+        total = {n: np.zeros(length[n]) for n in names}
         for b in batches:
-            x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, size - 1) if b.num_rows else np.zeros((0, size - 1))
-            x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
+            if not b.num_rows:
+                continue
+            every = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            every = np.concatenate([every, np.ones((len(every), 1))], axis=1)
             y, fold = (b.column(i).to_numpy(zero_copy_only=False).astype(float) for i in (1, 2))
             for n in names:
                 use = np.ones(len(y), dtype=bool) if held[n] is None else fold != held[n]
+                x = every[use] if columns[n] is None else every[use][:, [*columns[n], -1]]
                 w = np.where(y[use] > 0, weights[n][1], weights[n][0])
-                z = x[use] @ at[n]
+                z = x @ at[n]
                 p = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
                 total[n][0] += (w * (np.logaddexp(0, z) - y[use] * z)).sum()
-                total[n][1:1 + size] += x[use].T @ (w * (p - y[use]))
-                total[n][1 + size:] += ((x[use] * (w * p * (1 - p))[:, None]).T @ x[use]).ravel()
+                total[n][1:1 + size[n]] += x.T @ (w * (p - y[use]))
+                total[n][1 + size[n]:] += ((x * (w * p * (1 - p))[:, None]).T @ x).ravel()
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(np.arange(len(names), dtype=np.int32), 1 + size + size * size)),
-             pa.array(np.tile(np.arange(1 + size + size * size, dtype=np.int32), len(names))), pa.array(np.concatenate([total[n] for n in names]))],
+            [pa.array(np.repeat(np.arange(len(names), dtype=np.int32), [length[n] for n in names])),
+             pa.array(np.concatenate([np.arange(length[n], dtype=np.int32) for n in names])), pa.array(np.concatenate([total[n] for n in names]))],
             names=["model", "place", "value"])
     got = df.mapInArrow(run, "model int, place int, value double").groupBy("model", "place").agg(F.sum("value").alias("value")).collect()
-    out = {n: np.zeros(1 + size + size * size) for n in names}
+    out = {n: np.zeros(length[n]) for n in names}
     for r in got:  # numbers per model, not rows
         out[names[r["model"]]][r["place"]] = r["value"]
-    return {n: (v[0], v[1:1 + size], v[1 + size:].reshape(size, size)) for n, v in out.items()}
+    return {n: (v[0], v[1:1 + size[n]], v[1 + size[n]:].reshape(size[n], size[n])) for n, v in out.items()}
 
 
 def fit(df: DataFrame, models: dict[str, Logistic], label: str, x: str = "x", fold: str = "fold") -> dict:
@@ -84,7 +90,8 @@ def fit(df: DataFrame, models: dict[str, Logistic], label: str, x: str = "x", fo
     counts = {}
     for r in rows.groupBy("fold", "y").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("x")).alias("d")).collect():  # folds and classes
         counts[r["fold"], r["y"]] = (r["n"], r["d"])
-    size = max((d for _, d in counts.values()), default=0) + 1
+    every = max((d for _, d in counts.values()), default=0)
+    size = {n: 1 + (every if m.columns is None else len(m.columns)) for n, m in models.items()}
     point, step, loss, weights, done = {}, {}, {}, {}, {}
     for n, m in models.items():
         neg, pos = (sum(c for (f, y), (c, _) in counts.items() if y == k and (m.held is None or f != m.held)) for k in (0, 1))
@@ -92,12 +99,12 @@ def fit(df: DataFrame, models: dict[str, Logistic], label: str, x: str = "x", fo
             done[n] = None
             continue
         weights[n] = ((pos + neg) / (2 * neg), (pos + neg) / (2 * pos)) if m.balanced else (1.0, 1.0)
-        point[n], step[n], loss[n] = np.zeros(size), np.zeros(size), np.inf
-    pull = {n: np.append(np.full(size - 1, 1 / m.c), 0.0) for n, m in models.items()}
+        point[n], step[n], loss[n] = np.zeros(size[n]), np.zeros(size[n]), np.inf
+    pull = {n: np.append(np.full(size[n] - 1, 1 / m.c), 0.0) for n, m in models.items()}
     for _ in range(PASSES):
         if not point:
             break
-        now = blocks(rows, {n: (models[n].held, b) for n, b in point.items()}, weights)
+        now = blocks(rows, {n: (models[n].held, models[n].columns, b) for n, b in point.items()}, weights)
         for n, (value, grad, hess) in now.items():
             b = point[n]
             value += 0.5 * float(pull[n] @ (b * b))
@@ -106,7 +113,7 @@ def fit(df: DataFrame, models: dict[str, Logistic], label: str, x: str = "x", fo
                 point[n] = b - step[n]
             else:
                 loss[n] = value
-                step[n] = -np.linalg.solve(hess + np.diag(pull[n]) + 1e-12 * np.trace(hess) / size * np.eye(size), grad + pull[n] * b)
+                step[n] = -np.linalg.solve(hess + np.diag(pull[n]) + 1e-12 * np.trace(hess) / size[n] * np.eye(size[n]), grad + pull[n] * b)
                 point[n] = b + step[n]
             if np.abs(step[n]).max() <= TOL * max(1.0, np.abs(point[n]).max()):
                 done[n] = (point[n][:-1], float(point[n][-1]))

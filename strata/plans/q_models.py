@@ -80,11 +80,11 @@ def logistic_balanced(spark, sf):
     return rounded(spark.createDataFrame([*((c, float(w)) for c, w in zip(s.cols, b)), ("intercept", b0)], "feature string, coef double"))
 
 
-def _newton_sql():
+def newton_sql(name="nt", src="f", weights="cw", splits=K, c=1.0):
     """Newton steps for two features and an intercept, by Cramer's rule, for each fold left out."""
     x = ["1.0", "x1", "x2"]
-    sums = ", ".join([f"sum(w * (p - y) * {x[i]}) + {f'b{i}' if i else '0'} * {1 if i else 0} as g{i}" for i in range(3)]
-                     + [f"sum(w * p * (1 - p) * {x[i]} * {x[j]}) + {1 if i == j and i else 0} as h{i}{j}" for i in range(3) for j in range(i, 3)])
+    sums = ", ".join([f"sum(w * (p - y) * {x[i]}) + {f'b{i}' if i else '0'} * {1 / c if i else 0} as g{i}" for i in range(3)]
+                     + [f"sum(w * p * (1 - p) * {x[i]} * {x[j]}) + {1 / c if i == j and i else 0} as h{i}{j}" for i in range(3) for j in range(i, 3)])
 
     def det(m):
         (a, b, c), (d, e, f), (g, h, i) = m
@@ -92,14 +92,15 @@ def _newton_sql():
     h = [[f"h{min(i, j)}{max(i, j)}" for j in range(3)] for i in range(3)]
     down = [det([[f"g{r}" if c == k else h[r][c] for c in range(3)] for r in range(3)]) + " / " + det(h) for k in range(3)]
     return f"""
-nt(held, i, b0, b1, b2) as (
-  select unnest(range(0, 5)), 0, 0.0::double, 0.0::double, 0.0::double
+{name}(held, i, b0, b1, b2) as (
+  select unnest(range(0, {splits})), 0, 0.0::double, 0.0::double, 0.0::double
   union all
   select held, i + 1, b0 - {down[0]}, b1 - {down[1]}, b2 - {down[2]}
   from (select held, i, b0, b1, b2, {sums}
-        from (select nt.*, x1, x2, y, case when y = 1 then cw.n / (2.0 * cw.pos) else cw.n / (2.0 * (cw.n - cw.pos)) end as w,
+        from (select {name}.*, x1, x2, y, case when y = 1 then {weights}.n / (2.0 * {weights}.pos)
+                                               else {weights}.n / (2.0 * ({weights}.n - {weights}.pos)) end as w,
                      1 / (1 + exp(-(b0 + b1 * x1 + b2 * x2))) as p
-              from nt join f on f.fold <> nt.held join cw using (held) where i < 12) a
+              from {name} join {src} on {src}.fold <> {name}.held join {weights} using (held) where i < 12) a
         group by held, i, b0, b1, b2) s)"""
 
 
@@ -109,7 +110,7 @@ f as (select *, cast((row_number() over (partition by y order by md5('42:' || ca
       from f0),
 h as (select unnest(range(0, 5)) as held),
 cw as (select held, count(*) as n, sum(y) as pos from h join f on f.fold <> h.held group by held),
-{_newton_sql()}
+{newton_sql()}
 select cast(held as integer) as held, round(b1, 6) as coef_D, round(b2, 6) as coef_G, round(b0, 6) as intercept from nt where i = 12
 """)
 def logistic_folds(spark, sf):

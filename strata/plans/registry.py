@@ -37,7 +37,7 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 def load_all() -> None:
     # import for side effects (each module registers its queries)
     from . import (q_core, q_ensemble, q_eval, q_features, q_io, q_models, q_profile,  # noqa: F401
-                   q_regression, q_routes, q_trees)
+                   q_regression, q_routes, q_stacking, q_trees)
 
 
 def queries():
