@@ -5,12 +5,15 @@ models is just more rows and every blend is a grouped aggregate.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .concurrent import at_once
 from .metrics import roc_auc_counts
 from .util import broadcast_if_small, stored
 
@@ -169,3 +172,24 @@ def platt_apply(model, df: DataFrame, score: str, out: str = "p_cal") -> DataFra
     r = model.setFeaturesCol("_pl_f").transform(a)
     return r.withColumn(out, vector_to_array("probability")[1]).drop("_pl_f", "rawPrediction", "probability",
                                                                      "prediction")
+
+
+#: The calibrations: how each is fitted and applied.
+CALIBRATIONS = {"isotonic": (isotonic_fit, isotonic_apply), "sigmoid": (platt_fit, platt_apply)}
+
+
+def cross_calibrated(scores: DataFrame, label: str, k: int, score: str = "p", fold: str = "fold") -> DataFrame:
+    """The rows of ``scores`` (a written table with folds 0 to k - 1) once for each
+    ``kind``: "raw", and every calibration fitted on the rows of the other folds. All
+    fits run at once from driver threads. A fold whose others have one class isn't supported
+    by the sigmoid curve. Empty input gives an empty result."""
+    if scores.isEmpty():
+        return scores.withColumn("kind", F.lit(None).cast("string"))
+    fits = at_once(scores.sparkSession, {f"{kind}/{f}": partial(make, scores.where(F.col(fold) != f), score, label)
+                                         for kind, (make, _) in CALIBRATIONS.items() for f in range(k)})
+    out = scores.withColumn("kind", F.lit("raw"))
+    for kind, (_, apply) in CALIBRATIONS.items():
+        for f in range(k):
+            own = apply(fits[f"{kind}/{f}"], scores.where(F.col(fold) == f), score, "_calibrated")
+            out = out.unionByName(own.withColumn(score, F.col("_calibrated")).drop("_calibrated").withColumn("kind", F.lit(kind)))
+    return out

@@ -1,5 +1,5 @@
-"""Stacks of logistic models whose every number SQL can make again (M14–M16, M22,
-M31, M32, A7, A17, O1).
+"""Stacks of logistic models whose every number SQL can make again (M14–M16, M19,
+M22, M31, M32, A7, A17, O1).
 
 Two base models over the labelled documents, one on length and word variety,
 one on the shares of marks and digits, meet in a balanced logistic meta-model.
@@ -12,6 +12,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import prob_to_class
+from ..operators import ensemble as EN
 from ..operators import newton
 from ..operators.metrics import accuracy, cv_summary, roc_auc
 from ..operators.stacking import MEAN, STACK, cross_fit
@@ -117,3 +118,56 @@ def stack_linear_predict(spark, sf):
     _, stack = stacked(spark, sf)
     test = docs.test_table(Tables(spark, sf)).select("doc_id", F.array(*COLS).alias("x"))
     return rounded(stack.predict(test, out="target").select("doc_id", "target"))
+
+
+CALIBRATED_SQL = f"""
+raw as (select doc_id, y, fold, round(x2, {PLACES}) as p from level1),
+seen as (select held, y, p from h join raw on raw.fold <> held where held < {K}),
+g as (select held, p, count(*) as n, sum(y) as pos, row_number() over (partition by held order by p) as i from seen group by held, p),
+gc as (select *, sum(n) over w as cn, sum(pos) over w as cp from g window w as (partition by held order by i)),
+ab as (select a.held, a.i as a, b.i as b, (b.cp - a.cp + a.pos) / (b.cn - a.cn + a.n) as m
+       from gc a join gc b on a.held = b.held and a.i <= b.i),
+lo as (select held, b, min(m) over (partition by held, a order by b desc) as mn from ab),
+cal as (select held, b as i, max(mn) as v from lo group by held, b),
+near as (select raw.doc_id, raw.y, raw.fold, raw.p, max(g.p) filter (g.p <= raw.p) as p0, max(v) filter (g.p <= raw.p) as v0,
+                min(g.p) filter (g.p >= raw.p) as p1, min(v) filter (g.p >= raw.p) as v1
+         from raw join g on g.held = raw.fold join cal on cal.held = g.held and cal.i = g.i group by all),
+c as (select held, sum(y) as np, count(*) - sum(y) as nn from seen group by held),
+d as (select held, p, case when y = 1 then (np + 1) / (np + 2) else 1 / (nn + 2) end as t, count(*) as k from seen join c using (held) group by all),
+nw(i, held, a, b) as (
+  select 0, held, 0.0::double, 0.0::double from c
+  union all
+  select i + 1, held, a - (h22 * g1 - h12 * g2) / (h11 * h22 - h12 * h12), b - (h11 * g2 - h12 * g1) / (h11 * h22 - h12 * h12)
+  from (select i, held, a, b, sum(k * (q - t) * p) as g1, sum(k * (q - t)) as g2, sum(k * q * (1 - q) * p * p) as h11,
+               sum(k * q * (1 - q) * p) as h12, sum(k * q * (1 - q)) as h22
+        from (select nw.i, nw.held, a, b, p, t, k, 1 / (1 + exp(-(a * p + b))) as q from nw join d using (held) where nw.i < 25) x
+        group by i, held, a, b) z),
+kinds as (select kind, y, fold, round(p, {PLACES}) as p from (
+  select 'raw' as kind, y, fold, p from raw
+  union all select 'isotonic', y, fold, case when p0 is null then v1 when p1 is null or p1 = p0 then v0
+                                             else v0 + (v1 - v0) * (p - p0) / (p1 - p0) end from near
+  union all select 'sigmoid', y, fold, 1 / (1 + exp(-(a * p + b))) from raw join nw on held = fold and i = 25) u)"""
+
+
+@query("calibration_choice", f"""
+with recursive {STACK_SQL}, {CALIBRATED_SQL},
+{_auc_cte("by_fold", "kinds", "kind, fold", "p", "y")},
+s as (select kind, round(avg(auc), 6) as auc_mean from by_fold group by kind),
+b as (select kind, round(avg((p - y) * (p - y)), 4) as brier from kinds group by kind),
+best as (select case when max(auc_mean) filter (kind <> 'raw') > max(auc_mean) filter (kind = 'raw')
+                     then (select kind from s where kind <> 'raw' order by auc_mean desc, kind limit 1) else 'raw' end as chosen from s)
+select kind, auc_mean, brier, kind = chosen as chosen from s join b using (kind), best
+""")
+def calibration_choice(spark, sf):
+    """M17 + M18 + M19: isotonic and sigmoid calibration of out-of-fold scores, each fitted
+    without the fold it is applied to, against the raw scores: mean AUC over the folds,
+    Brier score; a calibration is chosen only if its AUC beats the raw one."""
+    oof, _ = stacked(spark, sf)
+    raw = stored(oof.where("model = 'marks'").withColumn("p", F.round("p", PLACES)).drop("model"), "raw")
+    kinds = stored(EN.cross_calibrated(raw, "target", K).withColumn("p", F.round("p", PLACES)), "calibrated")
+    auc = cv_summary(roc_auc(kinds, "target", "p", ["kind", "fold"]), "auc", ["kind"]).select("kind", F.round("auc_mean", 6).alias("auc_mean"))
+    error = F.col("p") - F.col("target")
+    rep = stored(auc.join(kinds.groupBy("kind").agg(F.round(F.avg(error * error), 4).alias("brier")), "kind"), "report")
+    means = {r["kind"]: r["auc_mean"] for r in rep.collect()}  # a row per kind
+    best = max(sorted(EN.CALIBRATIONS), key=means.__getitem__)
+    return rep.withColumn("chosen", F.col("kind") == F.lit(best if means[best] > means["raw"] else "raw"))

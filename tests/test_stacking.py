@@ -4,6 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from strata.operators import boosting as B
+from strata.operators import ensemble as EN
 from strata.operators import models as M
 from strata.operators import newton
 from strata.operators.stacking import MEAN, STACK, cross_fit
@@ -87,3 +89,41 @@ def test_cases(spark):
     assert got.where("fold = 0 and p is not null").count() == 0 and got.where("fold = 1 and p is null").where("k <> 7").where(
         F.col("model").isin(list(BASES))).count() == 0
     assert cross_fit(stored(df.limit(0), "rows"), BASES, META, K, 4, "k", "y")[0].count() == 0
+
+
+def test_calibrations_are_fitted_on_the_other_folds(spark):
+    rng = np.random.default_rng(3)
+    p = np.round(rng.random(300), 2)
+    y = (rng.random(300) < p ** 2).astype(int)
+    fold = np.arange(300) % K
+    df = stored(spark.createDataFrame([(i, float(a), int(b), int(f)) for i, (a, b, f) in enumerate(zip(p, y, fold))],
+                                      "k long, p double, y int, fold int").repartition(4), "scores")
+    got = {(r["kind"], r["k"]): r["p"] for r in EN.cross_calibrated(df, "y", K).collect()}
+    assert len(got) == 900
+    for f in range(K):
+        fit, held = fold != f, np.flatnonzero(fold == f)
+        points, (a, b) = B.isotonic(p[fit], y[fit].astype(float)), B.platt(p[fit], y[fit].astype(float))
+        for i in held:
+            assert got["raw", i] == p[i]
+            assert got["isotonic", i] == pytest.approx(np.interp(p[i], *points), abs=1e-9)
+            assert got["sigmoid", i] == pytest.approx(sigmoid(a * p[i] + b), abs=1e-4)
+    assert EN.cross_calibrated(df.limit(0), "y", K).count() == 0
+
+
+def test_forests_are_fitted_on_all_rows(spark, monkeypatch):
+    """The bound on the rows of a boosted fit is no bound on a forest's."""
+    from strata.operators import validate as V
+    monkeypatch.setattr(B, "FIT_ROWS", 4)
+    df = frame(spark, 300).withColumn("heavy", F.when(F.col("y") == 1, 20.0).otherwise(1.0))
+    df = stored(df, "rows")
+    s = V.Setup(df, K, "k", "y", [], [])
+    forest = B.Trees(20, 4, columns="sqrt", min_rows=3, forest=True)
+    frames = {0: df.where("fold <> 0").select("k", "y", "x", "heavy")}
+    plain, even = (V.fit(s, {"rf": t}, (), frames=frames) for t in (forest, B.Trees(20, 4, columns="sqrt", min_rows=3, forest=True, balanced=True)))
+    held = df.where("fold = 0").select("k", "y", "x")
+    rows = plain.score(held, "rf", 0).collect()
+    order = [(a["p"] > b["p"]) + 0.5 * (a["p"] == b["p"]) for a in rows for b in rows if a["y"] > b["y"]]
+    assert np.mean(order) > 0.8
+    mean = [m.score(held, "rf", 0).agg(F.avg("p")).first()[0] for m in (plain, even, V.fit(s, {"rf": forest}, (), "heavy", frames))]
+    assert mean[0] < mean[1] < mean[2]  # weights reach the fit
+    assert len(V.feature_importance(plain.mllib["rf", 0], ["a", "b", "c", "d"])) == 4
