@@ -45,7 +45,7 @@ PER_CLASS = {0: 3000, 1: 1500}
 CALIBRATION = 3000
 EVEN = 0.01
 NEAREST, BLOCK, DENSE, PRIOR_WEIGHT = 15, 256, 16, 2.0
-BATCH = 128
+BATCH = 512
 MAX_WORDS = 300_000
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¿«»…–—"
 
