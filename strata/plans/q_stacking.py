@@ -79,7 +79,7 @@ select doc_id, cast(y as integer) as target, fold, model, round(p, 6) as p from
 """)
 def stack_linear_oof(spark, sf):
     """M14 + M16 + M22 + U2: out-of-fold predictions of the base models, their mean and the stack."""
-    return rounded(stacked(spark, sf)[0])
+    return rounded(stacked(spark, sf)[0].withColumn("p", F.round("p", PLACES)))
 
 
 @query("stack_linear", f"""
