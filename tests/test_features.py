@@ -49,3 +49,22 @@ def test_robust_scaler_zero_iqr(spark):
     out = rs.transform(df).toPandas()
     assert out.c.tolist() == [0.0] * 4
     assert out.a.tolist() == pytest.approx(((np.array([1, 2, 3, 4]) - 2.5) / 1.5).tolist())
+
+
+def test_words_are_ascii_runs_of_letters_and_digits(spark):
+    """The class of the splitting pattern, on marks, underscores, accents, surrogate pairs, nulls and empty texts."""
+    from pyspark.sql import functions as F
+
+    from strata.functions import text as T
+    texts = ["", " ", "a_b", "Café İx9", "\U0001F600a\U0001F600b", "x\n\ty zK", "_", "A1-b2" * 50, None,
+             *["".join(map(chr, range(i, i + 64))) for i in (0, 64, 128, 256)]]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    w = T.normalised_words(F.col("t"))
+    got = {r["i"]: r for r in df.select("i", w.alias("w"), T.mean_word_length(F.col("t"), w).alias("m")).collect()}
+    import re
+    for i, t in enumerate(texts):
+        words = None if t is None else re.findall("[a-z0-9]+", re.sub("[^A-Za-z0-9]", " ", t).lower())
+        assert got[i]["w"] == words
+        if words:
+            assert got[i]["m"] == pytest.approx(sum(map(len, words)) / len(words))
+    assert not re.search(r"\[\^", T.WORD_SPLIT)  # a negated class of ranges takes Java's matcher six times as long
