@@ -185,3 +185,21 @@ def test_oversampling_lies_between_neighbours(spark):
                 ok |= -1e-9 <= t <= 1 + 1e-9 and np.abs(small[i] + t * way - p).max() < 1e-9
         assert ok
     assert oversample(df.where("y = 1"), "k", "y").where("synthetic").count() == 0
+
+
+@pytest.mark.parametrize("setting", [B.Trees(1, 5, rows=0.6, columns=0.5, min_rows=3), B.Trees(1, 4, columns="sqrt", min_rows=2, min_split=8),
+                                     B.Trees(1, 6, leaves=9, l1=0.2, l2=1.0, min_weight=0.5)])
+def test_growing_tells_the_leaf_of_every_row(setting):
+    """The leaves that a tree is grown with, for used and unused rows, are those that walking it finds,
+    and a leaf's value is that of its used rows."""
+    x, y = data(400)
+    b = B.binned(x, [np.quantile(x[:, f], np.linspace(0, 1, 30)[1:-1]) for f in range(6)])
+    rng, gains = np.random.default_rng(5), np.zeros(6)
+    g, h, use = 0.4 - y, np.full(400, 0.24), rng.random(400) < 0.7
+    tree, at = B.grow(b, g, h, use, setting, rng, gains)
+    assert len(tree) > 3 and gains.sum() > 0
+    assert (B.walk(b, [[*t[:3], float(i)] for i, t in enumerate(tree)]) == at).all()
+    for leaf in np.unique(at):
+        own = use & (at == leaf)
+        soft = np.sign(g[own].sum()) * max(abs(g[own].sum()) - setting.l1, 0)
+        assert tree[leaf][2] == -1 and tree[leaf][3] == pytest.approx(-soft / (h[own].sum() + setting.l2))
