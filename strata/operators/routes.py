@@ -91,21 +91,23 @@ def nearest_cell(points: DataFrame, cells: DataFrame) -> DataFrame:
 
 def sweep(cost, rows, columns):
     """Exact L1 distance transform of ``cost`` (least cost to reach each cell at
-    first), over sorted coordinates: two sweeps along either axis."""
+    first) of one grid or several, over sorted coordinates: two sweeps along either axis."""
     import numpy as np
-    for axis, at in ((1, columns[None, :]), (0, rows[:, None])):
+    for axis, at in ((-1, columns[None, :]), (-2, rows[:, None])):
         ahead = np.minimum.accumulate(cost - at, axis=axis) + at
         back = np.flip(np.minimum.accumulate(np.flip(cost + at, axis), axis=axis), axis) - at
         cost = np.minimum(ahead, back)
     return cost
 
 
-FAR = 1 << 60
+#: A cost beyond all others; cells of the grids that are swept at once.
+FAR, SWEPT = 1 << 60, 1 << 13
 
 
 def followed(parts: pa.Table, cells: pa.Table) -> pa.Table:
     """(route_id, type, costs) after the types of each part, in the grid of
-    ``cells``: the costs at the cells of the last type, by row and column."""
+    ``cells``: the costs at the cells of the last type, by row and column. The
+    routes that go from one type to another at the same stage go together."""
     import numpy as np
     r, c = (cells.column(x).to_numpy().astype(np.int64) for x in ("r", "c"))
     rows, i = np.unique(r, return_inverse=True)
@@ -114,25 +116,50 @@ def followed(parts: pa.Table, cells: pa.Table) -> pa.Table:
     for n, t in enumerate(cells.column("type").to_pylist()):
         kinds.setdefault(t, []).append(n)
     # cells of a type by (row, column); the same place twice is one cell
-    at = {t: tuple(np.unique(np.stack([i[n], j[n]]), axis=1)) for t, n in kinds.items()}
-    out = []
-    for p in parts.to_pylist():
-        last, costs = p["last"], None if p["costs"] is None else np.array(p["costs"], dtype=np.int64)
-        for t in p["types"]:
-            if t not in at:
-                continue
-            y, x = at[t]
-            if last is None:
-                costs = np.abs(rows[y] - p["sr"]) + np.abs(columns[x] - p["sc"])
-            else:
-                grid = np.full((len(rows), len(columns)), FAR, dtype=np.int64)
-                grid[at[last]] = costs
-                costs = sweep(grid, rows, columns)[y, x]
-            last = t
-        out.append((p["route_id"], last, None if costs is None else costs.tolist()))
-    return pa.table({"route_id": pa.array([o[0] for o in out], parts.schema.field("route_id").type),
-                     "last": pa.array([o[1] for o in out], parts.schema.field("last").type),
-                     "costs": pa.array([o[2] for o in out], pa.list_(pa.int64()))})
+    at = [tuple(np.unique(np.stack([i[n], j[n]]), axis=1)) for n in kinds.values()]
+    names, number = [*kinds, None], {t: n for n, t in enumerate(kinds)}
+    sr, sc = (parts.column(x).to_numpy().astype(np.int64) for x in ("sr", "sc"))
+
+    def reached(own, last, costs, kind):
+        y, x = at[kind]
+        if names[last] is None:  # from the start
+            return np.abs(rows[y] - sr[own, None]) + np.abs(columns[x] - sc[own, None])
+        out, most = np.empty((len(own), len(y)), dtype=np.int64), max(1, SWEPT // (len(rows) * len(columns)))
+        for n in range(0, len(own), most):
+            grids = np.full((len(costs[n:n + most]), len(rows), len(columns)), FAR, dtype=np.int64)
+            grids[:, at[last][0], at[last][1]] = costs[n:n + most]
+            out[n:n + most] = sweep(grids, rows, columns)[:, y, x]
+        return out
+
+    # the stops with a cell, by number of the type, those of a route together
+    listed = parts.column("types").to_pylist()
+    stops = [[number[t] for t in types if t in number] for types in listed]
+    count = np.array([len(x) for x in stops], dtype=np.int64)
+    first, stop = np.cumsum(count) - count, np.array([t for x in stops for t in x], dtype=np.int64)
+    before, known = parts.column("costs").to_pylist(), parts.column("last").to_pylist()
+    by_last: dict = {}
+    for n, (t, costs) in enumerate(zip(known, before)):
+        by_last.setdefault((-1 if costs is None else number[t]), []).append(n)
+    now = [(k, np.array(own), None if k < 0 else np.array([before[n] for n in own], dtype=np.int64)) for k, own in by_last.items()]
+    out, stage = [], 0
+    while now:
+        following: dict = {}
+        for last, own, costs in now:
+            left = count[own] > stage
+            if not left.all():
+                out.append((own[~left], last, None if costs is None else costs[~left]))
+            own, costs = own[left], None if costs is None else costs[left]
+            kind = stop[first[own] + stage]
+            for k in np.unique(kind):
+                on = kind == k
+                following.setdefault(int(k), []).append((own[on], reached(own[on], last, None if costs is None else costs[on], k)))
+        now = [(k, *(np.concatenate(x) for x in zip(*got))) for k, got in following.items()]
+        stage += 1
+    ids, schema = parts.column("route_id"), parts.schema
+    tables = [pa.table({"route_id": ids.take(pa.array(own)), "last": pa.array([names[last]] * len(own), schema.field("last").type),
+                        "costs": pa.array([None] * len(own) if costs is None else costs.tolist(), pa.list_(pa.int64()))})
+              for own, last, costs in out]
+    return pa.concat_tables(tables) if tables else parts.select(["route_id", "last", "costs"])  # a grid without routes
 
 
 def staged_route_cost(routes: DataFrame, stops: DataFrame, cells: DataFrame) -> DataFrame:

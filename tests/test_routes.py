@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 
 from strata.operators import routes as RT
 from strata.operators.routes import staged_route_cost
@@ -103,3 +104,15 @@ def test_large_grids_and_ties(spark):
         spark.createDataFrame(points, "n int, grid_id int, r int, c int, type string"), cells).collect()}
     want = {n: min((abs(r - y) + abs(c - x), y, x) for y, x, k in at if k == t) for n, _, r, c, t in points if t != "z"}
     assert near == want
+
+
+def test_grids_are_swept_together():
+    """Several grids at once, as each alone and as all pairs of cells tell."""
+    rng = np.random.default_rng(3)
+    rows, columns = np.array([0, 2, 3, 9]), np.array([-4, 1, 2])
+    cost = np.where(rng.random((7, 4, 3)) < 0.3, RT.FAR, rng.integers(0, 9, (7, 4, 3)))
+    got = RT.sweep(cost, rows, columns)
+    way = np.abs(rows[:, None, None, None] - rows[None, None, :, None]) + np.abs(columns[None, :, None, None] - columns[None, None, None, :])
+    for n in range(7):
+        assert (got[n] == RT.sweep(cost[n], rows, columns)).all()
+        assert (got[n] == (cost[n] + way).min(axis=(2, 3))).all()
