@@ -118,11 +118,14 @@ def followed(parts: pa.Table, cells: pa.Table) -> pa.Table:
     # cells of a type by (row, column); the same place twice is one cell
     at = [tuple(np.unique(np.stack([i[n], j[n]]), axis=1)) for n in kinds.values()]
     names, number = [*kinds, None], {t: n for n, t in enumerate(kinds)}
-    sr, sc = (parts.column(x).to_numpy().astype(np.int64) for x in ("sr", "sc"))
+    begun = np.array([a is not None and b is not None for a, b in zip(*(parts.column(x).to_pylist() for x in ("sr", "sc")))], dtype=bool)
+    sr, sc = (np.nan_to_num(parts.column(x).to_numpy()).astype(np.int64) for x in ("sr", "sc"))
 
     def reached(own, last, costs, kind):
         y, x = at[kind]
         if names[last] is None:  # from the start
+            if not begun[own].all():
+                raise ValueError("staged_route_cost: a route with stops has no start")
             return np.abs(rows[y] - sr[own, None]) + np.abs(columns[x] - sc[own, None])
         out, most = np.empty((len(own), len(y)), dtype=np.int64), max(1, SWEPT // (len(rows) * len(columns)))
         for n in range(0, len(own), most):

@@ -116,3 +116,19 @@ def test_grids_are_swept_together():
     for n in range(7):
         assert (got[n] == RT.sweep(cost[n], rows, columns)).all()
         assert (got[n] == (cost[n] + way).min(axis=(2, 3))).all()
+
+
+def test_a_route_with_stops_needs_a_start():
+    """A null start is an error for a route with a stop in the grid, and of no account for others."""
+    import pyarrow as pa
+    import pytest
+    cells = pa.table({"r": [0, 1], "c": [0, 0], "type": ["a", "b"]})
+
+    def parts(types, sr):
+        return pa.table({"route_id": pa.array([7], pa.int64()), "types": pa.array([types], pa.list_(pa.string())), "sr": pa.array([sr], pa.int64()),
+                         "sc": pa.array([2], pa.int64()), "last": pa.array([None], pa.string()), "costs": pa.array([None], pa.list_(pa.int64()))})
+    assert RT.followed(parts(["a", "z", "b"], 3), cells).to_pylist() == [{"route_id": 7, "last": "b", "costs": [6]}]
+    assert RT.followed(parts(["z"], None), cells).to_pylist() == [{"route_id": 7, "last": None, "costs": None}]
+    with pytest.raises(ValueError, match="no start"):
+        RT.followed(parts(["z", "a"], None), cells)
+    assert RT.followed(parts(["a"], 3).slice(0, 0), cells).num_rows == 0
