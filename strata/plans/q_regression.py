@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import boosting as B
+from ..operators import forests as FO
 from ..operators import gram as G
 from ..operators import models as M
 from ..operators.concurrent import at_once
@@ -282,8 +283,15 @@ TASK_ROWS = 100_000
 def tree_predictions(df, trees):
     """(model, fold, p_partkey, y, p) of every tree regressor on its held-out
     folds: all fits at once, each on all rows outside its fold, scored where the
-    fold lies."""
+    fold lies. All forests are fitted in the same pass."""
     rows = assembled(df)
+    wooded = {n: t for n, t in trees.items() if t.forest}
+
+    def forests():
+        got = FO.fit_cells(rows, ["W0", "W1"], "y", wooded, {f: f for f in range(5)})
+        each = F.explode(F.array(*[F.struct(F.lit(n).alias("model"), FO.score_cells(got, n, F.col("fold"), ["W0", "W1"]).alias("p"))
+                                   for n in wooded])).alias("s")
+        return stored(rows.select("fold", "p_partkey", "y", each).select("s.model", "fold", "p_partkey", "y", "s.p"), "held")
 
     def one(name, f):
         def run():
@@ -291,7 +299,8 @@ def tree_predictions(df, trees):
             return stored(model.transform(rows.where(F.col("fold") == f)).select(
                 F.lit(name).alias("model"), "fold", "p_partkey", "y", F.col("prediction").alias("p")), "held")
         return run
-    got = at_once(df.sparkSession, {f"{n} {f}": one(n, f) for n in trees for f in range(5)})
+    work = {f"{n} {f}": one(n, f) for n in trees if n not in wooded for f in range(5)}
+    got = at_once(df.sparkSession, {**({"forests": forests} if wooded else {}), **work})
     return union(list(got.values()))
 
 
@@ -328,6 +337,9 @@ def refitted(df, name):
     """``df`` with the predictions ``p`` of a regressor fitted on all of its rows."""
     if name in B.REGRESSORS:
         rows = assembled(df)
+        if B.REGRESSORS[name].forest:
+            got = FO.fit_cells(rows, ["W0", "W1"], "y", {name: B.REGRESSORS[name]}, {0: None})
+            return rows.withColumn("p", FO.score_cells(got, name, F.lit(0), ["W0", "W1"]))
         return M.tree_regressor(B.REGRESSORS[name], "y").fit(rows).transform(rows).withColumn("p", F.col("prediction"))
     at, fit = LINEAR[name]
     b, b0 = fit(G.of(G.total(G.fold_moments(df, POLY, "y")), at))
