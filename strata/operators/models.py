@@ -40,7 +40,7 @@ def lasso(alpha: float, label: str = "label", features: str = "features"):
 
 
 def tree_regressor(s, label: str = "label", features: str = "features"):
-    """M5 random forest or M6 gradient boosting with the settings of a ``boosting.Trees``."""
+    """M5 random forest (``forests.fit_cells`` fits many at once) or M6 gradient boosting with the settings of a ``boosting.Trees``."""
     if s.forest:
         # rows keep their nodes, so that tasks aren't sent the trees, and a level of all trees is one job
         return RandomForestRegressor(featuresCol=features, labelCol=label, numTrees=s.trees, maxDepth=s.depth,
@@ -61,7 +61,8 @@ def rf_classifier(n_trees: int = 100, depth: int = 10, min_leaf: int = 1, seed:
 
 
 def forest(s, weight: str, label="label", features="features"):
-    """M7 with the settings of a ``boosting.Trees``, fitted on all rows. MLlib has no least
+    """M7 with the settings of a ``boosting.Trees`` and weights per row, fitted on all rows
+    (``forests.fit_levels`` fits many without weights at once). MLlib has no least
     rows of a node to split; a node that splits has at least two leaves' rows, where the
     published forests ask for those of two to three."""
     return RandomForestClassifier(featuresCol=features, labelCol=label, weightCol=weight, numTrees=s.trees, maxDepth=s.depth,

@@ -3,9 +3,10 @@
 ``Setup`` holds a labelled table with its folds and one feature plan per fold,
 fitted without the fold's rows, so that no statistic of a held-out row reaches
 the model that scores it; feature selection and calibration belong to a
-setting and are fitted inside as well. Forests and logistic models are MLlib
-fits over all rows, several at once from driver threads; boosted settings are
-fitted all at once, one task a fit (``boosting``). The driver loops over folds
+setting and are fitted inside as well. Forests are fitted over all rows, a pass
+per level for all of them (``forests``); logistic models and weighted forests are
+MLlib fits, several at once from driver threads; boosted settings are fitted all
+at once, one task a fit (``boosting``). The driver loops over folds
 and settings, never over rows.
 """
 
@@ -19,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import boosting as B
+from . import forests as FO
 from . import models as M
 from .concurrent import at_once
 from .metrics import regression_metrics, roc_auc
@@ -100,7 +102,10 @@ def fit(s: Setup, settings: dict[str, B.Trees | Callable], splits, weight: str |
     frames = frames or {f: s.fit_rows(f) for f in splits}
     boosted = {n: t for n, t in settings.items() if isinstance(t, B.Trees) and not t.forest}
     models = B.fit_many(frames, boosted, s.key, s.label, weight=weight) if boosted else {}
-    rest = {n: make for n, make in settings.items() if n not in boosted}
+    wooded = {n: t for n, t in settings.items() if isinstance(t, B.Trees) and t.forest and not weight}
+    if wooded:
+        models |= FO.fit_levels(frames, wooded, s.key, s.label)
+    rest = {n: make for n, make in settings.items() if n not in boosted and n not in wooded}
     if not rest:
         return Fitted(models, {})
     # written once, as every fit and every level of a forest's trees reads them, in partitions of a

@@ -2,7 +2,7 @@
 
 Features are fitted inside the folds, settings are the published ones in full
 (``boosting.PRESETS``), and the only bound is on the labelled rows a boosted fit
-reads (``boosting.FIT_ROWS``); forests are MLlib fits on all rows. Fitted trees
+reads (``boosting.FIT_ROWS``); forests are fitted on all rows (``forests``). Fitted trees
 have no SQL form; tests compare them with plain versions, and the reports have
 fixed shapes. Stacks and calibrations with an SQL twin are in ``q_stacking``.
 """
@@ -306,7 +306,7 @@ def _ranked(spark, importances):
 def importance_rank(spark, sf):
     """M26 + W1: random-forest importances, ranked (ties by name; a row per feature)."""
     s = clf_setup(spark, sf)
-    model = final(s, {"rf": B.PRESETS["rf_v4"]}).mllib["rf", s.k]
+    model = final(s, {"rf": B.PRESETS["rf_v4"]}).trees["rf", s.k]
     return rounded(_ranked(spark, V.feature_importance(model, s.cols)))
 
 

@@ -76,3 +76,69 @@ def test_odd_labels_and_features(spark):
     got = FO.fit_cells(odd, ["a", "b"], "y", setting, {0: None})
     scored = odd.select(FO.score_cells(got, "f", F.lit(0), ["a", "b"]).alias("p"))
     assert scored.where("p is null or isnan(p)").count() == 0
+
+
+def test_histogram_counts_drawn_rows_by_node():
+    rng = np.random.default_rng(3)
+    x, y = rng.integers(0, 64, (6, 400)).astype(np.uint8), rng.integers(0, 2, 400).astype(np.uint8)
+    times = rng.poisson(1, 400)
+    own = np.flatnonzero(times)
+    nodes = np.array([[2, 4, -1, -1, -1], [30, 10, 0, 0, 0], [1, 3, -1, -1, -1]])  # root, left split again, right a leaf above
+    ask = np.array([[0, 5], [1, 3]])
+    got = FO.histogram(x, y, own, times[own], nodes, 2, ask).reshape(2, 2, 64, 2)
+    for k, under in enumerate((x[4] <= 10, x[4] > 10)):
+        for j, f in enumerate(ask[k]):
+            for label in (0, 1):
+                use = (x[2] <= 30) & under & (y == label)
+                assert (got[k, j, :, label] == np.bincount(x[f][use], times[use], 64)).all()
+
+
+def test_best_cut_is_the_best_of_all():
+    rng = np.random.default_rng(4)
+    hist = rng.integers(0, 9, (3, 2, 128))
+    hist[:, 1] = rng.permuted(hist[:, 0].reshape(3, 64, 2), axis=1).reshape(3, 128)  # the same rows by another feature
+    s, w = B.Trees(1, 1, min_rows=40), (0.7, 2.0)
+
+    def gini(c):
+        c = c * w
+        return c.sum() - (c ** 2).sum() / c.sum() if c.sum() else 0.0
+    for node, (j, cut, gain, l0, l1, t0, t1) in zip(hist.reshape(3, 2, 64, 2), FO.best_cuts(hist, s, w)):
+        want = max((gini(node[f].sum(axis=0)) - gini(node[f][:c + 1].sum(axis=0)) - gini(node[f][c + 1:].sum(axis=0)), -f, -c)
+                   for f in range(2) for c in range(64) if min(node[f][:c + 1].sum(), node[f][c + 1:].sum()) >= 40)
+        assert (gain, -j, -cut) == pytest.approx(want) and (t0, t1) == tuple(node[0].sum(axis=0))
+        assert (l0, l1) == tuple(node[int(j)][:int(cut) + 1].sum(axis=0))
+
+
+def classes(spark, n=900):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(n, 6))
+    y = (x[:, 0] * x[:, 1] + x[:, 2] > 0.4).astype(int)
+    return spark.createDataFrame([(i, int(i % 3), int(b), [float(v) for v in a]) for i, (a, b) in enumerate(zip(x, y))],
+                                 "k long, fold int, y int, x array<double>"), x, y
+
+
+def test_forests_of_all_splits_share_a_pass_per_level(spark, monkeypatch):
+    """Thirty-six forests were as many MLlib fits of eight jobs or more, each on a task or two. All rows are read,
+    however few a bounded fit may, and neither partitions nor blocks of another order matter."""
+    monkeypatch.setattr(B, "FIT_ROWS", 2)
+    monkeypatch.setattr(M, "forest", lambda *a, **k: pytest.fail("an MLlib fit"))
+    from strata.operators import validate as V
+    df, x, y = classes(spark)
+    s = B.Trees(25, 5, columns="sqrt", min_rows=3, balanced=True, forest=True)
+    levels, level = [], FO.one_level
+    monkeypatch.setattr(FO, "one_level", lambda *a: levels.append(a[4]) or level(*a))
+    setup = V.Setup(df, 3, "k", "y", [], [])
+    frames = {f: df.where(F.col("fold") != f) for f in range(3)}
+    got = V.fit(setup, {"rf": s, "small": B.Trees(5, 2, columns="sqrt", forest=True)}, (), frames=frames)
+    assert levels == list(range(5)) and got.names() == ["rf", "small"] and len(got.trees) == 6
+    for f in range(3):
+        held = np.arange(900) % 3 == f
+        p = B.predict(got.trees["rf", f], x[held])
+        assert np.mean((p > 0.5) == y[held]) > 0.8 and len(got.trees["rf", f]["trees"]) == 25
+    again = FO.fit_levels({f: d.repartition(5) for f, d in frames.items()}, {"rf": s}, "k", "y")
+    assert (B.predict(again["rf", 1], x) == B.predict(got.trees["rf", 1], x)).all()
+    monkeypatch.setattr(FO, "BLOCK_ROWS", 100)
+    many = FO.fit_levels({0: frames[0]}, {"rf": s}, "k", "y")["rf", 0]
+    assert np.corrcoef(B.predict(many, x), B.predict(got.trees["rf", 0], x))[0, 1] > 0.95
+    with pytest.raises(ValueError):
+        FO.fit_levels({0: df.withColumn("y", F.when(F.col("k") > 0, F.col("y")))}, {"rf": s}, "k", "y")
