@@ -257,7 +257,7 @@ def fit_levels(frames: dict[int, DataFrame], settings: dict[str, B.Trees], key:
     of all forests is one pass: the tasks walk the trees so far and count the drawn rows of a block by node,
     feature, bin and label, a shuffle adds the blocks up per tree and chooses the cuts. The driver holds the trees.
     A bootstrap draws as many rows of a block as it has. Least rows are of drawn rows, impurity is gini, a node draws
-    its features and trees weigh the same, as in MLlib; leaves of equal class aren't merged, as MLlib does."""
+    its features, leaves of the same class are merged and trees weigh the same, as in MLlib."""
     import numpy as np
     rows = None
     for split, df in frames.items():
@@ -278,8 +278,8 @@ def fit_levels(frames: dict[int, DataFrame], settings: dict[str, B.Trees], key:
     weights = {(n, f): (size[f] / (2.0 * max(size[f] - pos[f], 1)), size[f] / (2.0 * max(pos[f], 1))) if s.balanced else (1.0, 1.0)
                for n, s in settings.items() for f in frames}
     packed = blocks(rows, edges, max(size.values()))
-    # per tree: (feature, cut, left) of its nodes, their values, its level's nodes, gain per feature
-    trees = {(n, f, t): [np.array([[-1], [0], [-1]]), np.zeros(1), 1, np.zeros(wide)]
+    # per tree: (feature, cut, left) of its nodes, their values, its level's nodes, gain by node
+    trees = {(n, f, t): [np.array([[-1], [0], [-1]]), np.zeros(1), 1, np.zeros(1)]
              for n, s in settings.items() for f in frames for t in range(s.trees)}
     for level in range(max(s.depth for s in settings.values())):
         now = {k: (v[0], v[2]) for k, v in trees.items() if v[2] and level < settings[k[0]].depth}
@@ -301,16 +301,28 @@ def fit_levels(frames: dict[int, DataFrame], settings: dict[str, B.Trees], key:
             grown[:, first + cut] = f, best[cut, 1], nodes.shape[1] + 2 * np.arange(len(cut))
             right = total[cut] - left[cut]
             both = np.stack([left[cut], right], axis=1).reshape(-1, 2)
-            np.add.at(gains, f, best[cut, 2])
-            trees[k] = [grown, np.concatenate([values, both[:, 1] / np.maximum(both.sum(axis=1), 1e-300)]), 2 * len(cut), gains]
+            gains[first + cut] = best[cut, 2]
+            trees[k] = [grown, np.concatenate([values, both[:, 1] / np.maximum(both.sum(axis=1), 1e-300)]), 2 * len(cut),
+                        np.concatenate([gains, np.zeros(2 * len(cut))])]
     out = {}
     for (n, f, t), (nodes, values, _, gains) in trees.items():
         m = out.setdefault((n, f), {"edges": edges[f], "trees": [], "importance": np.zeros(wide), "kind": "forest", "cols": None})
+        merge(nodes, values)
         m["trees"].append(np.column_stack([nodes.T, values]))
-        m["importance"] += gains / max(gains.sum(), 1e-300)  # trees count the same, as in MLlib
+        split = nodes[2] >= 0
+        m["importance"] += np.bincount(nodes[0][split], gains[split], wide) / max(gains[split].sum(), 1e-300)  # trees count the same
     return {k: {**m, "importance": m["importance"].tolist()} for k, m in out.items()}
 
 
+def merge(nodes, values) -> None:
+    """Makes a leaf of every node whose children are leaves of the same class, as MLlib does."""
+    left, high = nodes[2].tolist(), (values > 0.5).tolist()
+    for i in range(len(left) - 1, -1, -1):  # a child has a higher number
+        a = left[i]
+        if a >= 0 and left[a] < 0 and left[a + 1] < 0 and high[a] == high[a + 1]:
+            left[i] = nodes[2, i] = nodes[0, i] = -1
+
+
 def one_level(packed: DataFrame, settings: dict, now: dict, weights: dict, level: int, wide: int) -> DataFrame:
     """(name, split, tree, best) of the trees in ``now``: (nodes, nodes of the level)."""
     of_split = {}

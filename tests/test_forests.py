@@ -142,3 +142,11 @@ def test_forests_of_all_splits_share_a_pass_per_level(spark, monkeypatch):
     assert np.corrcoef(B.predict(many, x), B.predict(got.trees["rf", 0], x))[0, 1] > 0.95
     with pytest.raises(ValueError):
         FO.fit_levels({0: df.withColumn("y", F.when(F.col("k") > 0, F.col("y")))}, {"rf": s}, "k", "y")
+
+
+def test_leaves_of_a_class_are_merged():
+    """Upwards, and only where both children are leaves of the same class."""
+    nodes = np.array([[3, 1, 2, -1, -1, 4, -1, -1, -1], [9, 8, 7, 0, 0, 6, 0, 0, 0], [1, 3, 5, -1, -1, 7, -1, -1, -1]])
+    values = np.array([0.5, 0.2, 0.8, 0.1, 0.3, 0.9, 0.2, 0.7, 0.95])
+    FO.merge(nodes, values)
+    assert nodes[2].tolist() == [1, -1, 5, -1, -1, -1, -1, -1, -1] and nodes[0].tolist() == [3, -1, 2, -1, -1, -1, -1, -1, -1]
