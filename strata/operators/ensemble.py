@@ -5,8 +5,11 @@ models is just more rows and every blend is a grouped aggregate.
 
 from __future__ import annotations
 
+import sys
 from functools import partial
 
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import IsotonicRegression
@@ -17,6 +20,8 @@ from .concurrent import at_once
 from .metrics import roc_auc_counts
 from .util import broadcast_if_small, stored
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need numpy and pyarrow only
+
 
 def hard_vote(preds: DataFrame, key: str, threshold: float = 0.5) -> DataFrame:
     """Majority of per-model classes, ``bround(mean(class))`` (half-even)."""
@@ -99,31 +104,132 @@ def auc_bounds(scored: DataFrame, classes: int = CLASSES) -> DataFrame:
     return sums.where(pairs > 0).select("cand", (F.col("sure") / pairs).alias("low"), ((F.col("sure") + F.col("open")) / pairs).alias("high"))
 
 
-def blend_race(oof: DataFrame, key: str, label: str, models, candidates: DataFrame, digits: int = 12) -> DataFrame:
+#: Steps of a class within a power of two, and the least power that has classes of its own.
+STEPS, OCTAVES = 64, 42
+
+
+def rounds(x, digits: int):
+    """``F.round`` of doubles: half up in the shortest decimal form."""
+    import numpy as np
+    from decimal import ROUND_HALF_UP, Decimal
+    scaled = x * 10.0 ** digits
+    out = np.rint(scaled) / 10.0 ** digits
+    near = np.abs(scaled - np.floor(scaled) - 0.5) <= np.maximum(1e-3, 4 * np.spacing(np.abs(scaled)))
+    for i in np.flatnonzero(near):  # one in five hundred
+        out[i] = float(Decimal(repr(float(x[i]))).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP))
+    return out
+
+
+def classes_of(score):
+    """A class that grows with the score: even steps within each power of two of the distance to 0 or to 1, where
+    the scores of good models crowd."""
+    import numpy as np
+    low = score < 0.5
+    near = np.clip(np.where(low, score, 1 - score), 2.0 ** -OCTAVES, 0.5)
+    way = (near.view(np.int64) >> 46) - (np.array(2.0 ** -OCTAVES).view(np.int64) >> 46)
+    return np.where(low, way, 2 * STEPS * OCTAVES - way)
+
+
+def race_table(oof: DataFrame, key: str, label: str, models) -> DataFrame:
+    """(y, p0, p1, ..): a row per key and label with the prediction of each model, written."""
+    wide = oof.groupBy(key, label).agg(*[F.max(F.when(F.col("model") == m, F.col("p"))).alias(f"p{i}") for i, m in enumerate(models)])
+    return stored(wide.select(F.col(label).cast("long").alias("y"), *[f"p{i}" for i in range(len(models))]), "race")
+
+
+def race_scores(batch, weights: dict[int, list[float]], digits: int):
+    """Per candidate, its number and its blends of a batch of ``race_table``: those of label 1 and those of label 0.
+    A null blend is below all others, NaN above; a row without a label counts in neither."""
+    import numpy as np
+    y = batch.column(0)
+    known = np.flatnonzero(y.is_valid().to_numpy(zero_copy_only=False))
+    y = np.asarray(y.to_numpy(zero_copy_only=False), dtype=float)[known] > 0
+    p = [np.asarray(batch.column(i).to_numpy(zero_copy_only=False), dtype=float)[known] for i in range(1, batch.num_columns)]
+    null = np.any([~batch.column(i).is_valid().to_numpy(zero_copy_only=False)[known] for i in range(1, batch.num_columns)], axis=0)
+    for cand, w in weights.items():
+        dot, total = np.zeros(len(known)), 0.0
+        for v, one in zip(w, p):
+            dot, total = dot + v * one, total + v
+        score = rounds(dot / total, digits)
+        score = np.where(null, -np.inf, np.where(np.isnan(score), np.inf, score))
+        yield cand, score[y], score[~y]
+
+
+def weights_by(candidates: DataFrame, models) -> dict[int, list[float]]:
+    """Weights of the candidates that have any, by number."""
+    by = {}
+    for r in candidates.collect():
+        by.setdefault(r["cand"], {})[r["model"]] = float(r["w"])
+    return {c: [w[m] for m in models] for c, w in sorted(by.items()) if sum(w.values()) > 0}
+
+
+def race_bounds(table: DataFrame, weights: dict[int, list[float]], digits: int) -> dict[int, tuple[float, float]]:
+    """(low, high) of each candidate's AUC, as ``auc_bounds``, by finer classes: a task counts its rows by
+    candidate, class and label, a shuffle adds the counts up. Without both labels a candidate has none."""
+    size = 2 * STEPS * OCTAVES + 1
+
+    def count(batches):
+        import numpy as np
+        sums = {c: np.zeros(2 * size, dtype=np.int64) for c in weights}
+        for batch in batches:
+            for c, pos, neg in race_scores(batch, weights, digits):
+                sums[c] += np.bincount(np.concatenate([classes_of(pos), size + classes_of(neg)]), minlength=2 * size)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([v.astype(np.int32).tobytes() for v in sums.values()], pa.binary())],
+                                         names=["cand", "n"])
+
+    def bound(got: pa.Table) -> pa.Table:
+        import numpy as np
+        pos, neg = sum(np.frombuffer(v.as_buffer(), dtype=np.int32).astype(np.int64) for v in got.column("n")).reshape(2, -1)
+        sure, open_, pairs = float((pos * (neg.cumsum() - neg)).sum()), float((pos * neg).sum()), float(pos.sum()) * float(neg.sum())
+        some = [got.column("cand")[0].as_py()] if pairs else []
+        return pa.table({"cand": pa.array(some, pa.int64()), "low": [sure / pairs for _ in some], "high": [(sure + open_) / pairs for _ in some]},
+                        schema=pa.schema([("cand", pa.int64()), ("low", pa.float64()), ("high", pa.float64())]))
+    got = table.mapInArrow(count, "cand long, n binary").groupBy("cand").applyInArrow(bound, "cand long, low double, high double")
+    return {r["cand"]: (r["low"], r["high"]) for r in got.collect()}
+
+
+def race_aucs(table: DataFrame, weights: dict[int, list[float]], digits: int) -> DataFrame:
+    """(cand, auc), exactly: a candidate's scores, nine bytes a row at most, are sorted in a task."""
+    def split(batches):
+        for batch in batches:
+            got = list(race_scores(batch, weights, digits))
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, *_ in got], pa.int64()), pa.array([p.tobytes() for _, p, _ in got], pa.binary()),
+                                              pa.array([n.tobytes() for *_, n in got], pa.binary())], names=["cand", "pos", "neg"])
+
+    def auc(got: pa.Table) -> pa.Table:
+        import numpy as np
+        pos, neg = (np.sort(np.frombuffer(b"".join(v.as_buffer() for v in got.column(c)))) for c in ("pos", "neg"))
+        u2 = int(np.searchsorted(neg, pos, side="left").sum()) + int(np.searchsorted(neg, pos, side="right").sum())
+        value = u2 / (2.0 * len(pos) * len(neg)) if len(pos) and len(neg) else None
+        return pa.table({"cand": pa.array([got.column("cand")[0].as_py()], pa.int64()), "auc": pa.array([value], pa.float64())})
+    return table.mapInArrow(split, "cand long, pos binary, neg binary").groupBy("cand").applyInArrow(auc, "cand long, auc double")
+
+
+def blend_race(oof: DataFrame, key: str, label: str, models, candidates: DataFrame, digits: int = 12, table: DataFrame | None = None) -> DataFrame:
     """(cand, auc) of the candidates that can be the best: those whose upper
     bound is below another's lower bound are dropped, and only the others' AUCs
-    are made exactly. The best of ``blend_search`` is the best here."""
-    rows = stored(oof.select(key, label, "model", "p"), "predictions")
-    scored = blended(rows, key, label, models, candidates, digits)
-    bounds = stored(auc_bounds(scored), "bounds")
-    least = bounds.agg(F.max("low")).first()[0]
-    if least is None:
+    are made exactly. The best of ``blend_search`` is the best here. ``table``:
+    the ``race_table`` of ``oof``, if several races read it."""
+    table = race_table(oof, key, label, models) if table is None else table
+    weights = weights_by(candidates, models)
+    bounds = race_bounds(table, weights, digits) if weights else {}
+    if not bounds:
         return candidates.select("cand").distinct().withColumn("auc", F.lit(0.0))
-    left = [r["cand"] for r in bounds.where(F.col("high") >= least).select("cand").collect()]  # candidates, not data
-    return auc_of(blended(rows, key, label, models, candidates.where(F.col("cand").isin(left)), digits))
+    least = max(low for low, _ in bounds.values())
+    return race_aucs(table, {c: weights[c] for c, (_, high) in bounds.items() if high >= least}, digits)
 
 
 def refine(oof: DataFrame, key: str, label: str, models, best: dict[str, float], rounds: int = 3, per_round: int = 50,
-           seed: int = 42) -> tuple[dict[str, float], float]:
+           seed: int = 42, table: DataFrame | None = None) -> tuple[dict[str, float], float]:
     """Rounds of candidates around the best weights so far, each narrower than
     the last; the weights and AUC at the end, never worse than at the start."""
     import random
     rng, spark, auc, width = random.Random(seed), oof.sparkSession, None, 0.25
+    table = race_table(oof, key, label, models) if table is None else table
     for _ in range(rounds):
         tries = [best] + [{m: min(max(best[m] + rng.uniform(-width, width), 0.0), 1.0) for m in models}
                           for _ in range(per_round - 1)]
         rows = [(i, m, float(t[m])) for i, t in enumerate(tries) for m in models]
-        got = blend_race(oof, key, label, models, spark.createDataFrame(rows, "cand long, model string, w double"))
+        got = blend_race(oof, key, label, models, spark.createDataFrame(rows, "cand long, model string, w double"), table=table)
         top = best_candidate(got).first()
         best, auc, width = tries[top["cand"]], top["auc"], width / 2
     return best, auc

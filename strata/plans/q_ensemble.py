@@ -8,11 +8,14 @@ normalisation fitted on the labelled rows; predictions are kept LONG
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from ..operators import ensemble as EN
 from ..operators import boosting as B
 from ..operators import validate as V
+from ..operators.concurrent import at_once
 from ..operators.metrics import cv_summary, roc_auc
 from ..operators.util import stored
 from ..sources.tables import Tables
@@ -237,16 +240,18 @@ def blend_oof(spark, sf):
 
     def search(rows):
         cw = EN.candidate_weights(spark, names, N_CAND)
-        top = EN.best_candidate(EN.blend_race(rows, "doc_id", "target", names, cw)).first()["cand"]
+        table = EN.race_table(rows, "doc_id", "target", names)
+        top = EN.best_candidate(EN.blend_race(rows, "doc_id", "target", names, cw, table=table)).first()["cand"]
         start = {r["model"]: r["w"] for r in cw.where(F.col("cand") == top).collect()}
-        return EN.refine(rows, "doc_id", "target", names, start)
+        return EN.refine(rows, "doc_id", "target", names, start, table=table)
 
     def blended(rows, w):
         table = spark.createDataFrame([(m, float(w[m])) for m in names], "model string, w double")
         return EN.weighted_blend(rows, table, "doc_id")
-    best, found = search(oof)
+    searches = at_once(spark, {"all": partial(search, oof), **{str(f): partial(search, oof.where(F.col("fold") != f)) for f in range(5)}})
+    best, found = searches["all"]
     labels = oof.where(F.col("model") == names[0]).select("doc_id", "target", "fold")
-    nested = V.union([blended(oof.where(F.col("fold") == f), search(oof.where(F.col("fold") != f))[0]) for f in range(5)])
+    nested = V.union([blended(oof.where(F.col("fold") == f), searches[str(f)][0]) for f in range(5)])
     rows = [("cv_weighted", *(auc[m] / sum(auc.values()) for m in names),
              roc_auc(blended(oof, auc).join(labels, "doc_id"), "target", "p").first()["auc"]),
             ("optimised", *(best[m] / sum(best.values()) for m in names), found),
