@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strata.operators import boosting as B
+from strata.operators import ensemble as EN
 from strata.operators import validate as V
 
 PLAIN = B.Trees(12, 3, rows=0.7, columns=0.7, l2=1.0, balanced=True)
@@ -77,6 +78,13 @@ def test_columns_of_the_same_bins_are_summed_once(monkeypatch):
         assert both[0][0] == both[1][0] and (both[0][1] == both[1][1]).all() and (both[0][2] == both[1][2]).all()
 
 
+def test_modules_sent_to_executors_need_no_others_of_here():
+    """Executors have numpy and pyarrow, not this package."""
+    from pyspark import cloudpickle
+    for sent in (B, B.fit_bins, EN.race_scores):
+        assert b"strata.operators.util" not in cloudpickle.dumps(sent)
+
+
 def test_an_interpolation_needs_corners_only():
     at, values = np.arange(9.0), np.array([0, 0, 0, 0.2, 0.2, 0.5, 0.9, 0.9, 0.9])
     x = np.linspace(-1, 10, 200)
